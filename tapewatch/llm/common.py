@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -68,5 +69,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return parent.select("node", F.col("p").alias("label"))
 
 
+def widened(df: DataFrame, **columns: str) -> StructType:
+    """The schema of df with further columns."""
+    return reduce(lambda s, c: s.add(*c), columns.items(), StructType(list(df.schema.fields)))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

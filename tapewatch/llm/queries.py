@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import binary_records, packing, simhash, warc
-from tapewatch.llm.common import table
+from tapewatch.llm import binary_records, decontaminate, langid, lattice, packing, pii, quality_cnn, simhash, toxicity, warc
+from tapewatch.llm.common import bucket_of_id, table
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -22,11 +22,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.held_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages")).where("kind = 'record'")
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), window=2048, end_id=1)
 
@@ -36,14 +44,52 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return docs.select("doc_id", "text").join(labels.select("doc_id", F.col(label).alias("label")), "doc_id")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _labelled(spark, sf_dir, "toxic").where(bucket_of_id("doc_id", 3) != 1)
+    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity.fit(known))
+    return scored.select("doc_id", (bucket_of_id("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _labelled(spark, sf_dir, "quality").where(bucket_of_id("doc_id", 5) != 0)
+    scored = quality_cnn.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_cnn.fit(known))
+    return scored.select("doc_id", (bucket_of_id("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(bucket_of_id("doc_id", 5) != 0))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (bucket_of_id("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_decontaminate": op2_decontaminate,
         "op3_warc": op3_warc,
+        "op4_lattice": op4_lattice,
         "op5_packing": op5_packing,
         "op6_records": op6_records,
+        "op7_toxicity": op7_toxicity,
+        "op8_pii": op8_pii,
+        "op9_quality": op9_quality,
+        "op10_langid": op10_langid,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """Only operator 3 is held against SQL; the others are tested against brute force, round trips or held-out labels."""
     return {}

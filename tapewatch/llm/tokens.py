@@ -9,17 +9,26 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
+MARKS = ".,;:!?\n"
+#: Longer pieces are not kept.
+LONG = 64
 _AMID_SPACE = re.compile(r"\s \s")
 _OPEN: dict[tuple, PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """Encodes texts to bytes of ids; itemsize is 2 where the vocabulary allows it, else 4."""
+    """Encodes texts to bytes of ids; itemsize is 2 where the vocabulary allows it, else 4.
 
-    def __init__(self, path: str, specials_as_text: bool = False, entries: int = 400_000):
+    New pieces are taken apart where the pre-tokenizer always does so, at single line breaks and before one final
+    mark after a letter, so that most of a batch is put together from words that were seen before. Once `entries`
+    pieces are known, all but the earliest quarter, which holds the frequent ones, are forgotten.
+    """
+
+    def __init__(self, path: str, specials_as_text: bool = False, entries: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -27,32 +36,54 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = specials_as_text
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.entries = entries
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # pieces after a space
+        self.bare: dict[str, bytes] = {}  # pieces after a line break
+        self.marks = dict(zip(MARKS, self._whole(list(MARKS)), strict=True)) | {"": b""}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        plans, spaced, bare = [], {}, {}
+        for p in pieces:
+            words = w if "\n" in p and (w := p.split("\n")) == p.split() else [p]
+            plan = []
+            for k, w in enumerate(words):
+                stem, mark = (w[:-1], w[-1]) if len(w) > 1 and w[-1] in self.marks and w[-2].isalpha() else (w, "")
+                old, new = (self.bare, bare) if k else (self.known, spaced)
+                new[stem] = old.get(stem)
+                plan.append((new, stem, mark))
+            plans.append((p, plan))
+        ask = [(new, s) for new in (spaced, bare) for s, got in new.items() if got is None]
+        for (new, s), ids in zip(ask, self._whole([" " + s if new is spaced else s for new, s in ask]), strict=True):
+            new[s] = ids
+        out = {}
+        for p, plan in plans:
+            parts = []
+            for k, (new, stem, mark) in enumerate(plan):
+                parts += [self.marks["\n" if k else ""], new[stem], self.marks[mark]]
+            out[p] = b"".join(parts)
+        for mine, table in (({**spaced, **out}, self.known), (bare, self.bare)):
+            if len(table) + len(mine) > self.entries:
+                first = dict(islice(table.items(), self.entries // 4))
+                table.clear()
+                table.update(first)
+            table.update((p, ids) for p, ids in mine.items() if len(p) <= LONG and "\n" not in p)
+        return out
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _AMID_SPACE.search(text):
             return self._whole([text])[0]
         first, *rest = text.split(" ")
-        known = self.known
-        if new := [p for p in set(rest) if p not in known]:
-            if len(known) + len(new) > self.entries:
-                known.clear()
-                new = list(set(rest))
-            packed = self._whole([" " + p for p in new])
-            if max(map(len, new)) > 200 or len(new) > self.entries:  # rare and long: used once, not kept
-                mine = dict(zip(new, packed, strict=True))
-                known.update((p, b) for p, b in mine.items() if len(p) <= 64)
-                return self._head(first) + b"".join([mine[p] if p in mine else known[p] for p in rest])
-            known.update(zip(new, packed, strict=True))
-        return self._head(first) + b"".join(map(known.__getitem__, rest))
-
-    def _head(self, first: str) -> bytes:
-        return self._whole([first])[0] if first else b""
+        got = list(map(self.known.get, rest))
+        if None in got:
+            missing = [k for k, ids in enumerate(got) if ids is None]
+            new = self._learn({rest[k] for k in missing})
+            for k in missing:
+                got[k] = new[rest[k]]
+        return (self._whole([first])[0] if first else b"") + b"".join(got)
 
 
 def encoder(path: str, specials_as_text: bool = False) -> PieceEncoder:

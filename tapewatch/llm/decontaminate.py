@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +31,29 @@ WORDS_SENT, WINDOWS_SENT = 1_000_000, 1_000_000
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years percent dollar dollars euro euros pound pounds cent cents meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres mile miles inch inches foot feet degree degrees mph kmh hz khz mhz ghz w kw v kb mb gb tb"
 TITLES = "mr mrs ms miss dr prof sir madam herr frau monsieur madame señor señora"
 _UNITS, _TITLES = frozenset(UNITS.split()), frozenset(TITLES.split())
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?\n%$€£]")
-_END, _SIGN = frozenset(".!?\n"), frozenset("%$€£")
+_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?%$€£]")
+_END, _SIGN = frozenset(".!?"), frozenset("%$€£")
 NUM, UNIT, NAME = 1, 2, 3
-WORD, CAPITAL, NUMBER, UNITWORD, TITLE, MARK, SIGN = range(7)
+#: Kinds of pieces, in the low bits of their codes; PARTS has more than one word, NONE has none. ENDS: a sentence ends here.
+WORD, CAPITAL, NUMBER, UNITWORD, TITLE, SIGN, NONE, PARTS = range(8)
+ENDS = 8
 SCHEMA = "id long, form int, pos int, n int, hash long, slots array<string>"
 
 
+def parts_of(piece: str) -> list[str]:
+    """Words, numbers and marks of a piece between white space; signs only beside a number."""
+    toks = _TOKEN.findall(piece)
+    return toks if any(t[0].isdigit() for t in toks) else [t for t in toks if t not in _SIGN]
+
+
 class Canon:
-    """Words of a text as numbers; known words keep a hash, others are 0 if a filter is given."""
+    """Words of a text as numbers; with a filter, words outside it are 0."""
 
-    def __init__(self, only: frozenset[str] | None = None, entries: int = 400_000):
+    def __init__(self, only: frozenset[str] | None = None, entries: int = 500_000):
         self.only, self.entries, self.known = only, entries, {}
 
-    def _kind(self, tok: str) -> int:
+    def _code(self, tok: str) -> int:
         low = tok.lower()
-        if tok in _END:
-            return MARK
         if tok in _SIGN:
             kind = SIGN
         elif tok[0].isdigit():
@@ -60,48 +67,82 @@ class Canon:
         code = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 3) >> 12 << 4 if self.only is None or low in self.only else 0
         return code | kind
 
+    def _parts(self, piece: str) -> list[int]:
+        out: list[int] = []
+        for t in parts_of(piece):
+            if t not in _END:
+                out.append(self._code(t))
+            elif out:
+                out[-1] |= ENDS
+        return out
+
+    def _piece(self, piece: str) -> int:
+        own = self._parts(piece)
+        return own[0] if len(own) == 1 else PARTS if own else NONE | (ENDS if any(c in _END for c in piece) else 0)
+
     def forms(self, text: str | None) -> tuple[list[str], list[np.ndarray]]:
-        """The words, and for either form their codes: 0 unknown, NUM, UNIT, NAME or a hash."""
-        toks = _TOKEN.findall(text or "")
-        known = self.known
-        if len(known) > self.entries:
-            known.clear()
-        for t in set(toks):
-            if t not in known:
-                known[t] = self._kind(t)
-        raw = np.fromiter(map(known.__getitem__, toks), np.int64, len(toks))
-        kind = raw & 15
-        real = np.flatnonzero(kind != MARK)
-        opens = np.concatenate(([True], kind[:-1] == MARK))[real] if len(raw) else np.zeros(0, bool)
-        kind, code = kind[real], raw[real] & ~np.int64(15)
-        before = np.concatenate(([WORD], kind[:-1])) if len(kind) else kind
-        after = np.concatenate((kind[1:], [WORD])) if len(kind) else kind
-        plain = np.where(kind == NUMBER, NUM, code)
-        plain = np.where((kind == UNITWORD) & (before == NUMBER) | (kind == SIGN), UNIT, plain)
-        named = np.where((kind == CAPITAL) & (~opens | (before == TITLE)) & (after != NUMBER), NAME, plain)
-        return [toks[k] for k in real] if len(real) else [], [plain, named]
-
-
-def windows(doc: int | None, words: list[str], forms: list[np.ndarray], sizes: list[int]) -> Iterator[tuple]:
-    """(id, form, pos, n, hash, slots): windows with enough literal words and no unknown one."""
+        """The pieces with a word, and for either form their codes: 0 unknown, NUM, UNIT, NAME or a hash."""
+        pieces = (text or "").split()
+        got = list(map(self.known.get, pieces))
+        if None in got:
+            if len(self.known) > self.entries:
+                self.known = dict(islice(self.known.items(), self.entries // 4))
+            for k, g in enumerate(got):
+                if g is None:
+                    p = pieces[k]
+                    got[k] = self.known.get(p)
+                    if got[k] is None:
+                        got[k] = self._piece(p)
+                        if len(p) <= 40:
+                            self.known[p] = got[k]
+        raw = np.array(got, np.int64)
+        if (raw == PARTS).any():
+            whole = [(w, c) for p, g in zip(pieces, got, strict=True) for w, c in (zip([t for t in parts_of(p) if t not in _END], self._parts(p), strict=True) if g == PARTS else ((p, g),))]
+            pieces, raw = [w for w, _ in whole], np.array([c for _, c in whole], np.int64)
+        ends = (raw & ENDS) != 0
+        kind = raw & 7
+        opens = np.concatenate(([True], ends[:-1]))[: len(raw)]
+        if (none := kind == NONE).any():
+            # a mark on its own ends the sentence for the next word
+            real = np.flatnonzero(~none)
+            pieces, raw, kind, opens = [pieces[k] for k in real], raw[real], kind[real], opens[real]
+        code = raw & ~np.int64(15)
+        number = kind == NUMBER
+        if number.any() or (kind == SIGN).any():
+            code = np.where(number, NUM, code)
+            after = np.concatenate(([False], number[:-1]))
+            code = np.where((kind == UNITWORD) & after | (kind == SIGN), UNIT, code)
+        named = (kind == CAPITAL) & ~opens
+        if (title := kind == TITLE).any():
+            named |= (kind == CAPITAL) & np.concatenate(([False], title[:-1]))
+        return pieces, [code, np.where(named, NAME, code)] if named.any() else [code]
+
+
+def windows(doc: int | None, pieces: list[str], forms: list[np.ndarray], sizes: list[int]) -> Iterator[tuple]:
+    """(id, form, pos, n, hash, slots): windows with enough literal words and no unknown one. Form 1 only where it differs."""
     for form, codes in enumerate(forms):
-        if form == 1 and not (codes == NAME).any():
-            continue  # the same as form 0
-        for n in sizes:
-            if len(codes) < n:
-                continue
-            size = len(codes) - n + 1
-            total = np.zeros(size, np.uint64)
-            good, literal, slot = np.ones(size, bool), np.zeros(size, np.int32), np.zeros(size, bool)
-            for k in range(n):
-                part = codes[k : k + size]
-                total = total * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) + np.uint64(1)
-                good &= part != 0
-                literal += part > NAME
-                slot |= (part > 0) & (part <= NAME)
-            for p in np.flatnonzero(good & (literal >= min(LITERALS, n))).tolist():
-                own = [words[p + k].lower() for k in range(n) if 0 < codes[p + k] <= NAME] if slot[p] else []
-                yield doc, form, p, n, int(total[p : p + 1].view(np.int64)[0]), own
+        gaps = np.concatenate(([-1], np.flatnonzero(codes == 0), [len(codes)]))
+        runs = np.flatnonzero(np.diff(gaps) > min(sizes))
+        for r in runs.tolist():
+            lo, hi = int(gaps[r]) + 1, int(gaps[r + 1])
+            own = codes[lo:hi]
+            slot = own <= NAME
+            for n in sizes:
+                size = hi - lo - n + 1
+                if size < 1:
+                    continue
+                total = np.zeros(size, np.uint64)
+                for k in range(n):
+                    total = total * np.uint64(0x9E3779B97F4A7C15) + own[k : k + size].astype(np.uint64) + np.uint64(1)
+                filled = np.concatenate(([0], np.cumsum(slot)))
+                slots = filled[n:] - filled[:-n]
+                names = np.concatenate(([0], np.cumsum(own == NAME)))
+                good = n - slots >= min(LITERALS, n)
+                if form:
+                    good &= names[n:] > names[:-n]  # without a name it is a window of form 0
+                for p in np.flatnonzero(good).tolist():
+                    words = ["".join(parts_of(pieces[lo + k])).lower().rstrip(".!?") for k in np.flatnonzero(slot[p : p + n]) + p] if slots[p] else []
+                    yield doc, form, lo + p, n, int(total[p : p + 1].view(np.int64)[0]), words
 
 
 def template_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], only=None) -> DataFrame:
@@ -131,7 +172,7 @@ def _item_words(items: DataFrame, text_col: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for t in b.column(0):
-                toks = [w for w in _TOKEN.findall(t.as_py() or "") if w not in _END]
+                toks = [w for p in (t.as_py() or "").split() for w in parts_of(p) if w not in _END]
                 words = sorted({w.lower() for w in toks})
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([len(toks)] * len(words), pa.int32())], names=["word", "n"])
 

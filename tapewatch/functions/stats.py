@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Scales the median absolute deviation to the standard deviation of a normal distribution.
@@ -25,26 +25,29 @@ def array_median(a: Column) -> Column:
     return median_of_sorted(F.array_sort(a))
 
 
-def robust_zscore(value: Column, sample: Column) -> Column:
-    """Score of a value against an array sample.
+def with_robust_zscore(df: DataFrame, value: str, sample: Column, out: str) -> DataFrame:
+    """Adds the score of a value column against an array sample.
 
     Non-finite points are dropped; below five points the score is null. It is the scaled distance from the median in
     median absolute deviations; without spread there, in sample standard deviations; without any spread it is 0 where
-    the value equals the median (to 1e-12, relative or absolute), else null.
+    the value equals the median (to 1e-12, relative or absolute), else null. Each step is a column of its own, so that
+    nothing is computed again for every element.
     """
-    a = F.array_sort(F.filter(sample, finite))
-    m = median_of_sorted(a)
-    mad = array_median(F.transform(a, lambda x: F.abs(x - m)))
+    a, m, d, mean, sd = (f"__{out}_{k}" for k in ("a", "m", "d", "mean", "sd"))
     n = F.size(a).cast("double")
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    sd = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / (n - 1))
-    near = F.abs(value - m) <= F.greatest(TINY * F.greatest(F.abs(value), F.abs(m)), F.lit(TINY))
-    return (
-        F.when(~finite(value) | (F.size(a) < MIN_SAMPLE), F.lit(None).cast("double"))
-        .when(mad > TINY, F.lit(MAD_SCALE) * (value - m) / mad)
-        .when(sd > TINY, (value - mean) / sd)
+    x = F.col(value)
+    df = df.withColumn(a, F.array_sort(F.filter(sample, finite)))
+    df = df.withColumn(m, median_of_sorted(F.col(a))).withColumn(mean, F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, v: s + v), n))
+    df = df.withColumn(d, F.array_sort(F.transform(a, lambda v: F.abs(v - F.col(m))))).withColumn(sd, F.sqrt(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - F.col(mean)) * (v - F.col(mean))), n - 1)))
+    df = df.withColumn(d, median_of_sorted(F.col(d)))
+    near = F.abs(x - F.col(m)) <= F.greatest(TINY * F.greatest(F.abs(x), F.abs(F.col(m))), F.lit(TINY))
+    score = (
+        F.when(~finite(x) | (F.size(a) < MIN_SAMPLE), F.lit(None).cast("double"))
+        .when(F.col(d) > TINY, F.lit(MAD_SCALE) * (x - F.col(m)) / F.col(d))
+        .when(F.col(sd) > TINY, (x - F.col(mean)) / F.col(sd))
         .when(near, F.lit(0.0))
     )
+    return df.withColumn(out, score).drop(a, m, d, mean, sd)
 
 
 def severity_rank(severity: Column) -> Column:

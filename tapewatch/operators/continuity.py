@@ -26,7 +26,7 @@ def pair_breaks(log: DataFrame) -> DataFrame:
     rows = log.where(F.col("phase").isin("start", "end")).withColumn("__episode", F.coalesce(ended, F.lit(0)))
     start, end = F.col("phase") == "start", F.col("phase") == "end"
     paired = rows.groupBy(*SERIES, "__episode").agg(
-        F.greatest(F.min(F.when(start, F.col("timestamp_ms"))), F.lit(1)).alias("start_ms"),
+        F.min(F.when(start, F.greatest("timestamp_ms", F.lit(1)))).alias("start_ms"),
         F.min(F.when(end, F.col("timestamp_ms"))).alias("__end"),
         _reasons(F.collect_set(F.when(start, F.substring("reason", 1, 120)))).alias("reason"),
     )
@@ -94,7 +94,7 @@ def runtime_pauses(ticks: DataFrame, interval_seconds: float = 5.0, max_gap_seco
     order = Window.partitionBy("source").orderBy("monotonic_s")
     elapsed = F.greatest((F.col("wall_ms") - F.lag("wall_ms").over(order)) / 1000.0, F.col("monotonic_s") - F.lag("monotonic_s").over(order))
     late = ticks.withColumn("interruption_seconds", elapsed - interval_seconds).where(F.col("interruption_seconds") > max_gap_seconds)
-    return late.select("source", F.greatest((F.col("wall_ms") - F.col("interruption_seconds") * 1000).cast("long"), F.lit(1)).alias("start_ms"), F.col("wall_ms").alias("end_ms"), "interruption_seconds")
+    return late.select("source", F.greatest(F.col("wall_ms") - F.round(F.col("interruption_seconds") * 1000).cast("long"), F.lit(1)).alias("start_ms"), F.col("wall_ms").alias("end_ms"), "interruption_seconds")
 
 
 def clock_jumps(receipts: DataFrame, max_skew_seconds: float = 5.0) -> DataFrame:

@@ -35,12 +35,25 @@ def _finish(df: DataFrame, side: str) -> DataFrame:
     return df.select("exchange", "symbol", F.col("timestamp_ms").cast("long").alias("timestamp_ms"), "price", "quantity", side, "event_id", *STAMPS)
 
 
+def _object(text: Column) -> Column:
+    """A JSON object as a map of raw values; keys keep their case, which structs would not."""
+    return F.from_json(text, "map<string,string>")
+
+
+def _payload(frames: DataFrame) -> DataFrame:
+    """Stamps and the payload `p`, which may be wrapped in `data`."""
+    outer = frames.select(*STAMPS, "frame", _object(F.col("frame")).alias("o"))
+    return outer.select(*STAMPS, "frame", F.when(F.col("o")["data"].isNotNull(), _object(F.col("o")["data"])).otherwise(F.col("o")).alias("p"))
+
+
 def normalize_agg_trades(frames: DataFrame, symbol_map: DataFrame, exchange: str = "binance") -> DataFrame:
     """Aggregate trades; the payload may be wrapped in `data`. The buyer being the maker means a sell; a flag that is no boolean drops the row."""
-    body = "struct<e:string,E:string,T:string,s:string,o:struct<s:string>,a:string,p:string,q:string,m:string>"
-    j = frames.select(*STAMPS, F.from_json("frame", f"struct<e:string,E:string,T:string,s:string,o:struct<s:string>,a:string,p:string,q:string,m:string,data:{body}>", {"allowNumericLeadingZeros": "true"}).alias("j"), F.get_json_object("frame", "$.data").isNotNull().alias("wrapped"))
-    p = j.select(*STAMPS, F.when(F.col("wrapped"), F.col("j.data")).otherwise(F.struct(*(F.col(f"j.{c}") for c in ("e", "E", "T", "s", "o", "a", "p", "q", "m")))).alias("p")).where("p.e = 'aggTrade' and p.m in ('true', 'false')")
-    rows = p.select(*STAMPS, F.upper(_present(F.col("p.s"), F.col("p.o.s"))).alias("venue_symbol"), _present(F.col("p.T"), F.col("p.E")).try_cast("long").alias("timestamp_ms"), _num("p.p").alias("price"), _num("p.q").alias("quantity"), F.when(F.col("p.m") == "true", "sell").otherwise("buy").alias("taker_side"), F.col("p.a").alias("a"))
+    v = F.try_parse_json("frame")
+    flag = F.coalesce(F.try_variant_get(v, "$.data.m", "variant"), F.try_variant_get(v, "$.m", "variant"))
+    x = F.col("p")
+    p = _payload(frames).where((x["e"] == "aggTrade") & (F.schema_of_variant(flag) == "BOOLEAN"))
+    symbol = F.upper(_present(x["s"], _object(x["o"])["s"]))
+    rows = p.select(*STAMPS, symbol.alias("venue_symbol"), _present(x["T"], x["E"]).try_cast("long").alias("timestamp_ms"), x["p"].try_cast("double").alias("price"), x["q"].try_cast("double").alias("quantity"), F.when(x["m"] == "true", "sell").otherwise("buy").alias("taker_side"), x["a"].alias("a"))
     named = canonicalize(rows, symbol_map, exchange)
     return _finish(named.withColumn("event_id", F.concat_ws(":", F.lit(exchange), F.lit("trade"), "symbol", F.coalesce("a", F.col("timestamp_ms").cast("string")))), "taker_side")
 
@@ -50,40 +63,39 @@ def normalize_force_orders(frames: DataFrame, symbol_map: DataFrame, exchange: s
 
     A sold order means longs were liquidated, anything else shorts. The id uses the first fields that are present.
     """
-    order = "struct<s:string,S:string,p:string,ap:string,q:string,l:string,z:string,T:string>"
-    j = frames.select(*STAMPS, F.from_json("frame", f"struct<e:string,E:string,o:{order},data:struct<e:string,E:string,o:{order}>>").alias("j"))
-    p = j.select(*STAMPS, F.coalesce("j.data.e", "j.e").alias("e"), F.coalesce("j.data.E", "j.E").alias("E"), F.coalesce("j.data.o", "j.o").alias("o")).where("e = 'forceOrder'")
-    plus = lambda *names: F.coalesce(*(F.when(_num(f"o.{n}") > 0, _num(f"o.{n}")) for n in names))
-    first = lambda *names: _present(*(F.col(f"o.{n}") for n in names))
+    x = F.col("p")
+    p = _payload(frames).where(x["e"] == "forceOrder").select(*STAMPS, x["E"].alias("event_ms"), _object(x["o"]).alias("o"))
+    o = F.col("o")
+    plus = lambda *names: F.coalesce(*(F.when(o[n].try_cast("double") > 0, o[n].try_cast("double")) for n in names))
+    first = lambda *names: _present(*(o[n] for n in names))
     rows = p.select(
-        *STAMPS, F.upper("o.s").alias("venue_symbol"), _present(F.col("o.T"), F.col("E")).try_cast("long").alias("timestamp_ms"), plus("ap", "p").alias("price"), plus("l", "z", "q").alias("quantity"),
-        F.when(F.upper("o.S") == "SELL", "long").otherwise("short").alias("liquidated_side"), F.upper("o.S").alias("S"), first("l", "z", "q").alias("qid"), first("ap", "p").alias("pid"),
+        *STAMPS, F.upper(o["s"]).alias("venue_symbol"), _present(o["T"], F.col("event_ms")).try_cast("long").alias("timestamp_ms"), plus("ap", "p").alias("price"), plus("l", "z", "q").alias("quantity"),
+        F.when(F.upper(o["S"]) == "SELL", "long").otherwise("short").alias("liquidated_side"), F.upper(o["S"]).alias("order_side"), first("l", "z", "q").alias("qid"), first("ap", "p").alias("pid"),
     ).where("price > 0 and quantity > 0")
     named = canonicalize(rows, symbol_map, exchange)
-    return _finish(named.withColumn("event_id", F.concat_ws(":", F.lit(exchange), F.lit("liquidation"), "symbol", F.col("timestamp_ms").cast("string"), "S", "qid", "pid")), "liquidated_side")
-
-
-_ITEM = "array<struct<T:string,s:string,S:string,v:string,p:string,i:string,seq:string>>"
+    return _finish(named.withColumn("event_id", F.concat_ws(":", F.lit(exchange), F.lit("liquidation"), "symbol", F.col("timestamp_ms").cast("string"), "order_side", "qid", "pid")), "liquidated_side")
 
 
 def _topic(frames: DataFrame, prefix: str) -> DataFrame:
-    j = frames.select(*STAMPS, F.from_json("frame", f"struct<topic:string,data:{_ITEM}>").alias("j")).where(F.col("j.topic").startswith(prefix))
-    return j.select(*STAMPS, F.posexplode("j.data").alias("k", "d"))
+    """Elements d of the data lists of topics with this prefix, and their place k."""
+    j = frames.select(*STAMPS, F.from_json("frame", "struct<topic:string,data:array<map<string,string>>>").alias("j")).where(F.col("j.topic").startswith(prefix))
+    return j.select(*STAMPS, F.posexplode("j.data").alias("k", "d")).where(F.lower(F.col("d")["S"]).isin("buy", "sell"))
 
 
 def normalize_public_trades(frames: DataFrame, symbol_map: DataFrame, exchange: str = "bybit") -> DataFrame:
     """Trade lists under topics publicTrade.*: one row per element; a side that is neither buy nor sell drops it."""
-    d = _topic(frames, "publicTrade.").where(F.lower("d.S").isin("buy", "sell"))
-    tail = F.concat_ws(":", "d.T", "d.p", "d.v")
-    rows = d.select(*STAMPS, F.upper("d.s").alias("venue_symbol"), F.col("d.T").try_cast("long").alias("timestamp_ms"), _num("d.p").alias("price"), _num("d.v").alias("quantity"), F.lower("d.S").alias("taker_side"), _present(F.col("d.i"), F.col("d.seq"), tail).alias("tail"))
+    d = F.col("d")
+    tail = _present(d["i"], d["seq"], F.concat_ws(":", d["T"], d["p"], d["v"]))
+    rows = _topic(frames, "publicTrade.").select(*STAMPS, F.upper(d["s"]).alias("venue_symbol"), d["T"].try_cast("long").alias("timestamp_ms"), d["p"].try_cast("double").alias("price"), d["v"].try_cast("double").alias("quantity"), F.lower(d["S"]).alias("taker_side"), tail.alias("tail"))
     named = canonicalize(rows, symbol_map, exchange)
     return _finish(named.withColumn("event_id", F.concat_ws(":", F.lit(exchange), F.lit("trade"), "symbol", "tail")), "taker_side")
 
 
 def normalize_liquidations(frames: DataFrame, symbol_map: DataFrame, exchange: str = "bybit") -> DataFrame:
     """Liquidation lists under topics allLiquidation.*; the side is that of the position: Buy means longs were liquidated."""
-    d = _topic(frames, "allLiquidation.").where(F.lower("d.S").isin("buy", "sell"))
-    rows = d.select(*STAMPS, F.upper("d.s").alias("venue_symbol"), F.col("d.T").try_cast("long").alias("timestamp_ms"), _num("d.p").alias("price"), _num("d.v").alias("quantity"), F.when(F.lower("d.S") == "buy", "long").otherwise("short").alias("liquidated_side"), F.concat_ws(":", "d.T", "d.S", "d.p", "d.v", F.col("k").cast("string")).alias("tail"))
+    d = F.col("d")
+    tail = F.concat_ws(":", d["T"], d["S"], d["p"], d["v"], F.col("k").cast("string"))
+    rows = _topic(frames, "allLiquidation.").select(*STAMPS, F.upper(d["s"]).alias("venue_symbol"), d["T"].try_cast("long").alias("timestamp_ms"), d["p"].try_cast("double").alias("price"), d["v"].try_cast("double").alias("quantity"), F.when(F.lower(d["S"]) == "buy", "long").otherwise("short").alias("liquidated_side"), tail.alias("tail"))
     named = canonicalize(rows, symbol_map, exchange)
     return _finish(named.withColumn("event_id", F.concat_ws(":", F.lit(exchange), F.lit("liquidation"), "symbol", "tail")), "liquidated_side")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewatch.functions.stats import robust_zscore
+from tapewatch.functions.stats import with_robust_zscore
 from tapewatch.operators.continuity import overlaps_break, segment_continuity
 from tapewatch.params import Grid
 
@@ -90,9 +90,9 @@ def metric_snapshots(buckets: DataFrame, breaks: DataFrame | None = None, g: Gri
     else:
         points = points.withColumns({"hist": F.lit(True), "continuous": F.lit(True), "coverage_ratio": F.lit(1.0), "largest_gap_seconds": F.lit(0.0), "last_gap_end_ms": F.lit(None).cast("long")})
     found = baseline_samples(points, g).where(F.pmod(F.col("idx") + 1, F.lit(every)) == 0)
-    ret_z = robust_zscore(F.col("ret"), F.transform("sample", lambda x: x["ret"]))
-    vol_z = robust_zscore(F.col("volume"), F.transform("sample", lambda x: x["volume"]))
-    found = found.withColumns({"return_z": ret_z, "volume_z": vol_z, "baseline_points": F.size("sample")})
+    found = with_robust_zscore(found, "ret", F.transform("sample", lambda x: x["ret"]), "return_z")
+    found = with_robust_zscore(found, "volume", F.transform("sample", lambda x: x["volume"]), "volume_z")
+    found = found.withColumn("baseline_points", F.size("sample")).drop("sample")
     reason = (
         F.when(F.col("ret").isNull(), "insufficient_window")
         .when(~F.col("continuous"), "recovering_after_gap")
@@ -106,6 +106,10 @@ def metric_snapshots(buckets: DataFrame, breaks: DataFrame | None = None, g: Gri
         F.greatest((F.col("timestamp_ms") - F.col("last_ms")) / 1000.0, F.lit(0.0)).alias("data_age_seconds"), reason.alias("readiness_reason"),
         F.col("coverage_ratio").alias("window_coverage_ratio"), "largest_gap_seconds", left.alias("recovery_seconds_remaining"),
     )
+    # One row per key as it is, so this aggregate changes nothing and needs no shuffle; but filters on the metrics stop
+    # here, where they would otherwise be pushed down as copies of all the score expressions.
+    key = ["timestamp_ms", *SERIES, "window_seconds"]
+    out = out.groupBy(*key).agg(*(F.first(c).alias(c) for c in out.columns if c not in key)).select(*out.columns)
     if pairs is None:
         return out
     absent = pairs.select(*SERIES).distinct().join(buckets.select(*SERIES).distinct(), SERIES, "left_anti")

@@ -13,9 +13,9 @@ RULES = Rules((WindowRule(21_600, WARNING, CRITICAL),), 0.0, 7200.0, 1.75, 8000.
 
 TICKS_SQL = """
 tick AS (SELECT ['binance','bybit','okx'][1 + user_id % 3] AS exchange, ['BTCUSDT','ETHUSDT'][1 + (user_id // 3) % 2] AS symbol,
-  epoch_ms(ts) AS timestamp_ms, 100 + value / 50 AS price, CAST(1 + event_id % 17 AS DOUBLE) AS quantity,
+  epoch_us(ts) // 1000 AS timestamp_ms, 100 + value / 50 AS price, CAST(1 + event_id % 17 AS DOUBLE) AS quantity,
   CASE WHEN event_type IN ('click', 'purchase') THEN 'buy' ELSE 'sell' END AS taker_side, event_id AS arrival_seq, event_type,
-  epoch_ms(ts) + (event_id % 11 - 3) * 1000 AS received_wall_ms FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
+  epoch_us(ts) // 1000 + (event_id % 11 - 3) * 1000 AS received_wall_ms FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
 trades AS (SELECT * FROM tick WHERE event_type <> 'error'),
 liqs AS (SELECT *, CASE WHEN arrival_seq % 2 = 0 THEN 'long' ELSE 'short' END AS liquidated_side FROM tick WHERE event_type = 'error'),
 bucket AS (SELECT exchange, symbol, timestamp_ms - timestamp_ms % 3600000 AS start_ms, arg_min(price, (timestamp_ms, arrival_seq)) AS open, max(price) AS high, min(price) AS low,
@@ -126,11 +126,11 @@ def instruments(spark: SparkSession) -> DataFrame:
 
 
 ALERTS_SQL = """
-al AS (SELECT CAST(event_id AS VARCHAR) AS id, epoch_ms(ts) AS timestamp_ms, CASE WHEN event_type = 'purchase' THEN 'critical' WHEN event_type = 'view' THEN 'info' ELSE 'warning' END AS severity,
+al AS (SELECT CAST(event_id AS VARCHAR) AS id, epoch_us(ts) // 1000 AS timestamp_ms, CASE WHEN event_type = 'purchase' THEN 'critical' WHEN event_type = 'view' THEN 'info' ELSE 'warning' END AS severity,
   CASE WHEN event_id % 5 = 0 THEN 'liquidation' WHEN event_id % 7 = 0 THEN 'monitoring_gap' WHEN event_id % 11 = 0 THEN 'test' ELSE 'price' END AS category, ['BTCUSDT','ETHUSDT'][1 + user_id % 2] AS symbol,
   'key:' || (user_id % 40) AS dedup_key, event_id AS sequence, CASE WHEN event_id % 13 = 0 THEN 'external' ELSE 'detector' END AS source, 'Alert ' || event_type AS title, coalesce(props, '') AS message FROM events WHERE ts IS NOT NULL),
-jb AS (SELECT CAST(event_id AS VARCHAR) AS alert_id, CAST(event_id % 3 AS INTEGER) AS priority, 'key:' || (user_id % 40) AS original_dedup_key, ['queued','attempt','success','failure'][1 + event_id % 4] AS status, CAST(event_id % 3 AS INTEGER) AS attempt, epoch_ms(ts) + 500 AS updated_ms FROM events WHERE ts IS NOT NULL AND event_id % 2 = 0),
-rc AS (SELECT event_id AS id, CAST(event_id // 3 AS VARCHAR) AS alert_id, epoch_ms(ts) AS timestamp_ms, ['local','push','hook'][1 + user_id % 3] AS channel, ['queued','attempt','success','failure'][1 + event_id % 4] AS status, CAST(event_id % 3 AS INTEGER) AS attempt FROM events WHERE ts IS NOT NULL)"""
+jb AS (SELECT CAST(event_id AS VARCHAR) AS alert_id, CAST(event_id % 3 AS INTEGER) AS priority, 'key:' || (user_id % 40) AS original_dedup_key, ['queued','attempt','success','failure'][1 + event_id % 4] AS status, CAST(event_id % 3 AS INTEGER) AS attempt, epoch_us(ts) // 1000 + 500 AS updated_ms FROM events WHERE ts IS NOT NULL AND event_id % 2 = 0),
+rc AS (SELECT event_id AS id, CAST(event_id // 3 AS VARCHAR) AS alert_id, epoch_us(ts) // 1000 AS timestamp_ms, ['local','push','hook'][1 + user_id % 3] AS channel, ['queued','attempt','success','failure'][1 + event_id % 4] AS status, CAST(event_id % 3 AS INTEGER) AS attempt FROM events WHERE ts IS NOT NULL)"""
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ def _n11(s, d):
 
 
 @query("n12_normalize_external_alerts", """SELECT event_id, CASE WHEN event_type = 'error' THEN 'critical' ELSE 'warning' END AS severity, 'ext' AS category, upper('sym' || user_id) AS symbol, CASE WHEN event_id % 2 = 0 THEN 'up' ELSE 'mixed' END AS direction,
- least(greatest(x, now), now + 300000) AS timestamp_ms, 'external:k' || event_id AS dedup_key FROM (SELECT *, epoch_ms(ts) AS x, (SELECT max(epoch_ms(ts)) FROM events) - 600000 AS now FROM events WHERE ts IS NOT NULL)""")
+ least(greatest(x, now), now + 300000) AS timestamp_ms, 'external:k' || event_id AS dedup_key FROM (SELECT *, epoch_us(ts) // 1000 AS x, (SELECT max(epoch_us(ts) // 1000) FROM events) - 600000 AS now FROM events WHERE ts IS NOT NULL)""")
 def _n12(s, d):
     e = s.read.parquet(f"{d}/events.parquet").where("ts is not null").withColumn("x", F.unix_millis(F.col("ts").cast("timestamp")))
     last = e.agg(F.max("x")).first()[0]
@@ -169,13 +169,13 @@ def _e3(s, d):
     return b.select("exchange", "symbol", "start_ms", *(r(c) for c in ("open", "high", "low", "close")), *(r(c, 4) for c in ("quote_volume", "buy_quote_volume", "sell_quote_volume")), "trades", "first_trade_ms", "last_trade_ms")
 
 
-@query("e3_bucketize_lineitem", """SELECT s.n_name AS symbol, CAST(l_shipdate AS DATE) AS day, round(sum(l_extendedprice), 2) AS quote_volume, count(*) AS trades, round(max(l_extendedprice / l_quantity), 6) AS high, round(min(l_extendedprice / l_quantity), 6) AS low
+@query("e3_bucketize_lineitem", """SELECT s.n_name AS symbol, CAST(l_shipdate AS DATE) AS day, round(sum(l_extendedprice), 2) AS quote_volume, count(*) AS trades, round(max(l_extendedprice / l_quantity), 3) AS high, round(min(l_extendedprice / l_quantity), 3) AS low
  FROM lineitem JOIN (SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) s ON s_suppkey = l_suppkey GROUP BY 1, 2""")
 def _e3l(s, d):
     li = s.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_returnflag", "l_orderkey", "l_linenumber")
     sup = s.read.parquet(f"{d}/supplier.parquet").join(s.read.parquet(f"{d}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
     t = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select(F.lit("x").alias("exchange"), F.col("n_name").alias("symbol"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("timestamp_ms"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), F.col("l_quantity").cast("double").alias("quantity"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("taker_side"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("arrival_seq"))
-    return E.bucketize(t, 86_400).select("symbol", F.to_date(F.timestamp_millis("start_ms")).alias("day"), r("quote_volume", 2), "trades", r("high"), r("low"))
+    return E.bucketize(t, 86_400).select("symbol", F.to_date(F.timestamp_millis("start_ms")).alias("day"), r("quote_volume", 2), "trades", r("high", 3), r("low", 3))
 
 
 @query("e4_drop_late", "SELECT arrival_seq FROM (SELECT *, max(x) OVER (PARTITION BY exchange, symbol ORDER BY arrival_seq) AS mx FROM (SELECT *, CASE WHEN arrival_seq % 23 = 0 THEN timestamp_ms - 200000000 ELSE timestamp_ms END AS x FROM trades)) WHERE mx - (x - x % 3600000) <= 86400000", T)
@@ -312,7 +312,7 @@ def _metrics(s, d):
 
 @query("w1_asof_price", "SELECT l.arrival_seq, round((SELECT arg_max(b.close, b.last_trade_ms) FROM bucket b WHERE b.exchange = l.exchange AND b.symbol = l.symbol AND b.last_trade_ms <= l.timestamp_ms), 6) AS price FROM liqs l", T)
 def _w1(s, d):
-    liq = D.liquidations(s, d)
+    liq = D.liquidations(s, d).drop("price")
     got = W.asof_price(_buckets(s, d), liq.select("exchange", "symbol", F.col("timestamp_ms").alias("t_ms")).distinct())
     return liq.join(got, (liq["exchange"] == got["exchange"]) & (liq["symbol"] == got["symbol"]) & (liq["timestamp_ms"] == got["t_ms"])).select("arrival_seq", r("price"))
 

@@ -17,7 +17,7 @@ def list_alerts(alerts: DataFrame, limit: int = 100) -> DataFrame:
     return alerts.orderBy(F.desc("timestamp_ms"), F.desc("sequence")).limit(_clamp(limit, 1000))
 
 
-def recent_dedup(alerts: DataFrame, jobs: DataFrame, cutoff_ms: int, limit: int = 10_000) -> DataFrame:
+def recent_dedup(alerts: DataFrame, jobs: DataFrame, cutoff_ms: int, limit: int | None = 10_000) -> DataFrame:
     """Keys whose newest row since the cutoff restores a cooldown: emitted alerts do, local jobs only after success.
 
     At equal times a row that does not restore goes first.
@@ -25,7 +25,9 @@ def recent_dedup(alerts: DataFrame, jobs: DataFrame, cutoff_ms: int, limit: int
     plain = alerts.where((F.col("dedup_key") != "") & (F.col("timestamp_ms") >= cutoff_ms)).select("dedup_key", "timestamp_ms", "severity", F.lit(1).alias("restores"))
     met = jobs.join(alerts.select(F.col("id").alias("alert_id"), "timestamp_ms", "severity"), "alert_id").where((F.col("original_dedup_key") != "") & (F.col("timestamp_ms") >= cutoff_ms))
     local = met.select(F.col("original_dedup_key").alias("dedup_key"), "timestamp_ms", "severity", (F.col("status") == "success").cast("int").alias("restores"))
-    rows = plain.unionByName(local).orderBy(F.desc("timestamp_ms"), "restores", "dedup_key").limit(limit)
+    rows = plain.unionByName(local)
+    if limit is not None:
+        rows = rows.orderBy(F.desc("timestamp_ms"), "restores", "dedup_key").limit(limit)
     first = Window.partitionBy("dedup_key").orderBy(F.desc("timestamp_ms"), "restores")
     return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1 and restores = 1").drop("__n", "restores")
 

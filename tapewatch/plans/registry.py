@@ -504,7 +504,7 @@ def _p1(s, d):
 @query("p2_recent_dedup", """SELECT dedup_key, timestamp_ms FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY timestamp_ms DESC, restores) AS n FROM (SELECT dedup_key, timestamp_ms, 1 AS restores FROM al UNION ALL
  SELECT original_dedup_key, a.timestamp_ms, CASE WHEN status = 'success' THEN 1 ELSE 0 END FROM jb JOIN al a ON a.id = jb.alert_id)) WHERE n = 1 AND restores = 1""", AL)
 def _p2(s, d):
-    return P.recent_dedup(D.alerts(s, d), D.jobs(s, d), 0, 10**9).select("dedup_key", "timestamp_ms")
+    return P.recent_dedup(D.alerts(s, d), D.jobs(s, d), 0, None).select("dedup_key", "timestamp_ms")
 
 
 @query("p3_pending_alarms", "SELECT jb.alert_id, jb.priority FROM jb JOIN al ON al.id = jb.alert_id WHERE status IN ('queued', 'attempt') AND CAST(jb.alert_id AS BIGINT) % 10 <> 0 ORDER BY priority, updated_ms, timestamp_ms, jb.alert_id LIMIT 500", AL)

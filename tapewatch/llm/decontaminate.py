@@ -201,15 +201,14 @@ def held_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         bench_side = F.broadcast(bench)
     else:
         bench_side = bench
-    of_item = bench.groupBy("item", "form").agg(F.countDistinct("item_pos").alias("of"))
+    of_item = bench.groupBy("item").agg(F.countDistinct("item_pos").alias("of"))
     met = template_windows(docs, id_col, text_col, sizes, only).join(bench_side, ["form", "n", "hash"])
     met = met.withColumn("pairs", F.arrays_zip("item_slots", "slots"))
-    line = met.groupBy("id", "item", "form", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    line = met.groupBy("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda x: x["item_slots"]))) == F.size("pairs"))
+    one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda x: x["item_slots"]))) == F.size("pairs")
     line = line.where(one_to_one).withColumn("same", F.forall("pairs", lambda x: x["item_slots"] == x["slots"]))
-    per_form = line.groupBy("id", "item", "form").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_windows"), F.max("same").alias("same"))
-    found = per_form.join(of_item, ["item", "form"]).withColumn("coverage", F.col("n_windows") / F.col("of")).where(F.col("coverage") >= coverage)
-    best = found.groupBy("id", "item").agg(F.max("coverage").alias("coverage"), F.max("n_windows").cast("long").alias("n_windows"), F.max(F.col("same") & (F.col("form") == 0)).alias("verbatim"))
+    held = line.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.max("same").alias("verbatim"))
+    best = held.join(of_item, "item").withColumn("coverage", F.col("n_windows") / F.col("of")).where(F.col("coverage") >= coverage)
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.round("coverage", 6).alias("coverage"), "n_windows", "verbatim")

@@ -140,9 +140,12 @@ def candidates(docs: DataFrame, text_col: str = "text", out: str = "spans", keep
     """All columns of docs, the text only if asked for, and the candidate spans with their votes; proposed spans that
     overlap a base span fall away. A column named `out` is replaced."""
     keep = [F.col(f"`{c}`") for c in docs.columns if c != out and (keep_text or c != text_col)]
-    src = docs.select(*keep, _clean(F.col(f"`{text_col}`")).alias("__text"))
-    per_kind = src.select(*keep, *(_spans(F.col("__text"), k).alias(f"__{k}") for k in KINDS))
-    spans = F.concat(*(F.col(f"__{k}") for k in KINDS))
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):  # columns of docs may have any name
+        mark += "_"
+    src = docs.select(*keep, _clean(F.col(f"`{text_col}`")).alias(f"{mark}text"))
+    per_kind = src.select(*keep, *(_spans(F.col(f"{mark}text"), k).alias(f"{mark}{k}") for k in KINDS))
+    spans = F.concat(*(F.col(f"{mark}{k}") for k in KINDS))
     base = F.filter(spans, lambda s: s["base"])
     free = F.filter(spans, lambda s: ~s["base"] & ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     return per_kind.select(*keep, F.concat(base, free).alias(out))

@@ -101,21 +101,23 @@ class Net:
         return self
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", sample: int = SAMPLE, longest: int = LONGEST) -> Net:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", sample: int = SAMPLE, longest: int = LONGEST) -> Net:
     """Learns from about `sample` documents of either label, drawn by a hash of the id, of at most `longest` bytes.
 
-    Rows with a null text or label are left out; with fewer than two labels the net stays at one half for all.
+    Rows with a null id, text or label are left out; with fewer than two labels the net stays at one half for all.
     """
-    src = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
-    src = src.where((F.col("y").isin(0, 1)) & (F.octet_length("text") <= longest))
-    sizes = {r["y"]: r["count"] for r in src.groupBy("y").count().collect()}
     net = Net()
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
+    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(sizes) < 2:
         net.w["o"][:] = 0
         return net
     draw = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1_000_000)) / 1e6
-    rate = F.when(F.col("y") == 1, sample / sizes[1]).otherwise(sample / sizes[0])
-    rows = sorted((r["id"] if r["id"] is not None else -1, r["text"], r["y"]) for r in src.where(draw < rate).select("id", "text", "y").collect())
+    drawn = known.where(draw < F.when(F.col("y") == 1, sample / sizes[1]).otherwise(sample / sizes[0]))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= longest)
+    # about 2 * sample rows of two numbers: sent to the tasks, so that no text is shuffled
+    src = texts.join(F.broadcast(drawn), "id")
+    rows = sorted((r["id"] if r["id"] is not None else -1, r["text"], r["y"]) for r in src.select("id", "text", "y").collect())
     return net.learn([r[1] for r in rows], np.array([r[2] for r in rows], np.float32)) if rows else net
 
 

@@ -44,14 +44,14 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return docs.select("doc_id", "text").join(labels.select("doc_id", F.col(label).alias("label")), "doc_id")
+def _labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _labelled(spark, sf_dir, "toxic").where(bucket_of_id("doc_id", 3) != 1)
-    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity.fit(known))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = _labels(spark, sf_dir, "toxic").where(bucket_of_id("doc_id", 3) != 1)
+    scored = toxicity.score(docs, toxicity.fit(docs, known))
     return scored.select("doc_id", (bucket_of_id("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -63,8 +63,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _labelled(spark, sf_dir, "quality").where(bucket_of_id("doc_id", 5) != 0)
-    scored = quality_cnn.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_cnn.fit(known))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = _labels(spark, sf_dir, "quality").where(bucket_of_id("doc_id", 5) != 0)
+    scored = quality_cnn.score(docs, quality_cnn.fit(docs, known))
     return scored.select("doc_id", (bucket_of_id("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

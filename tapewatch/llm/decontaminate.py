@@ -49,7 +49,7 @@ def parts_of(piece: str) -> list[str]:
 class Canon:
     """Words of a text as numbers; with a filter, words outside it are 0."""
 
-    def __init__(self, only: frozenset[str] | None = None, entries: int = 500_000):
+    def __init__(self, only: frozenset[str] | None = None, entries: int = 250_000):
         self.only, self.entries, self.known = only, entries, {}
 
     def _code(self, tok: str) -> int:

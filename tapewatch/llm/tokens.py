@@ -28,7 +28,7 @@ class PieceEncoder:
     pieces are known, all but the earliest quarter, which holds the frequent ones, are forgotten.
     """
 
-    def __init__(self, path: str, specials_as_text: bool = False, entries: int = 800_000):
+    def __init__(self, path: str, specials_as_text: bool = False, entries: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -120,7 +120,7 @@ def continuity_episodes(metrics: DataFrame, freshness_seconds: float) -> DataFra
             out.append((now["opened_ms"], None, sorted(now["pairs"]), now["cov"], now["largest"], now["rec"]))
         return pd.DataFrame(out, columns=["opened_ms", "closed_ms", "pairs", "min_coverage", "max_gap_seconds", "max_recovery_seconds"]).astype({"closed_ms": "Int64"})
 
-    return changed.groupBy(F.lit(1)).applyInPandas(fold, "opened_ms long, closed_ms long, pairs array<string>, min_coverage double, max_gap_seconds double, max_recovery_seconds double")
+    return changed.withColumn("one", F.lit("1")).groupBy("one").applyInPandas(fold, "opened_ms long, closed_ms long, pairs array<string>, min_coverage double, max_gap_seconds double, max_recovery_seconds double")
 
 
 def episode_alerts(episodes: DataFrame) -> DataFrame:

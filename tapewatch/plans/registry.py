@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tapewatch.operators import alerts as A
 from tapewatch.operators import continuity as C
 from tapewatch.operators import events as E
+from tapewatch.operators import evidence as G
 from tapewatch.operators import health as H
 from tapewatch.operators import normalize as N
 from tapewatch.operators import rules as R
@@ -49,7 +50,7 @@ def r(name: str, places: int = 6) -> Column:
     return F.round(F.col(name).cast("double"), places).alias(name)
 
 
-T, B, M, L, AL = D.TICKS_SQL, D.BREAKS_SQL, D.METRICS_SQL, None, D.ALERTS_SQL
+T, B, M, AL = D.TICKS_SQL, D.BREAKS_SQL, D.METRICS_SQL, D.ALERTS_SQL
 EVENT = ["exchange", "symbol", "timestamp_ms", "arrival_seq"]
 
 
@@ -641,3 +642,69 @@ def _h10(s, d):
 def _h11(s, d):
     f = _health_history(s, d).select(F.col("healthy").alias("connected"), F.lit(True).alias("subscription_acknowledged"), F.col("age_seconds").alias("message_age_seconds"), F.lit(True).alias("ready"))
     return H.public_readiness(f, 60)
+
+
+# ---- G: evidence gate
+
+V = D.EVIDENCE_SQL
+
+
+@query("g3_dedup_samples", "SELECT DISTINCT t AS timestamp_ms FROM evd", V)
+def _g3(s, d):
+    return G.dedup_samples(D.evidence(s, d))[0].select("timestamp_ms")
+
+
+@query("g4_coverage", "SELECT count(*) AS samples, round((max(t) - min(t)) / 1000.0, 3) AS duration_seconds, round(least(1, count(*) / greatest(1, floor((max(t) - min(t)) / 1000.0 / 600) + 1)), 6) AS coverage FROM evd", V)
+def _g4(s, d):
+    return G.coverage(D.evidence(s, d), 600).select("samples", r("duration_seconds", 3), r("coverage"))
+
+
+@query("g5_failure_counts", """SELECT i AS instance, CAST(sum(n) AS BIGINT) AS failures, max(n) AS longest_run FROM (SELECT i, run, count(*) FILTER (bad) AS n FROM (SELECT *, sum(st) OVER (PARTITION BY i ORDER BY t, k) AS run FROM
+ (SELECT *, CASE WHEN bad AND NOT coalesce(lag(bad) OVER (PARTITION BY i ORDER BY t, k), false) THEN 1 ELSE 0 END AS st FROM (SELECT unnest(['primary', 'shadow']) AS i, k, t, k % 7 = 0 AS bad FROM evd))) GROUP BY 1, 2) GROUP BY 1""", V)
+def _g5(s, d):
+    return G.failure_counts(G.parsed(D.evidence(s, d)))
+
+
+@query("g6_monitor_gaps", "SELECT count(*) FILTER (step >= 900) AS gaps, coalesce(max(step) FILTER (step >= 900), 0) AS largest_gap_seconds FROM (SELECT (t - lag(t) OVER (ORDER BY t)) / 1000.0 AS step FROM evd)", V)
+def _g6(s, d):
+    return G.monitor_gaps(G.parsed(D.evidence(s, d)), 600)
+
+
+@query("g8_container_restarts", "SELECT count(*) AS restarts FROM (SELECT k // 300 AS c, lag(k // 300) OVER (ORDER BY t, k) AS p FROM evd) WHERE c <> p", V)
+def _g8(s, d):
+    return G.container_restarts(G.parsed(D.evidence(s, d)))
+
+
+@query("g7_runtime_restarts")
+def _g7(s, d):
+    return G.runtime_restarts(G.parsed(D.evidence(s, d)))
+
+
+@query("g1_flatten_status", "SELECT t AS timestamp_ms, i AS instance, true AS feed_healthy, k % 2 > 0 AS symbol_healthy FROM (SELECT k, t, unnest(['primary', 'shadow']) AS i FROM evd)", V)
+def _g1(s, d):
+    return G.flatten_status(G.parsed(D.evidence(s, d)), 30, 30).select("timestamp_ms", "instance", "feed_healthy", "symbol_healthy")
+
+
+@query("g2_g9_instance_evidence_errors")
+def _g9(s, d):
+    return G.instance_evidence_errors(G.parsed(D.evidence(s, d)))
+
+
+@query("g10_container_evidence_errors", "SELECT t AS timestamp_ms, CASE WHEN k % 50 = 0 THEN 1 ELSE 0 END AS n FROM evd", V)
+def _g10(s, d):
+    return G.container_evidence_errors(G.parsed(D.evidence(s, d))).select("timestamp_ms", F.size("errors").alias("n"))
+
+
+@query("g11_g12_detector_readiness", "SELECT 2 * count(DISTINCT t) FILTER (k % 4 = 0) AS unready_samples FROM evd", V)
+def _g12(s, d):
+    return G.detector_readiness(G.parsed(D.evidence(s, d))).select("unready_samples")
+
+
+@query("g13_max_rollups", "SELECT CAST(max(k % 3) AS DOUBLE) AS max_feed_drops, 1.0 AS max_feed_age FROM evd", V)
+def _g13(s, d):
+    return G.max_rollups(G.parsed(D.evidence(s, d))).select("max_feed_drops", "max_feed_age")
+
+
+@query("g14_gate")
+def _g14(s, d):
+    return G.gate(G.summarize(D.evidence(s, d)))

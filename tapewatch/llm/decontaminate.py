@@ -189,7 +189,7 @@ def held_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     seen = written(_item_words(items, item_text).groupBy("word").agg(F.min("n").alias("least")), "benchmark-words")
     least = seen.agg(F.min("least")).first()[0]
-    sizes = sorted({window} | set(range(LITERALS, min(window, least or window))))
+    sizes = sorted({window} | set(range(max(LITERALS, least or window), window)))
     many = seen.count()
     only = spark.sparkContext.broadcast(frozenset(r["word"] for r in seen.select("word").collect())) if many <= WORDS_SENT else None
     whole = template_windows(items, item_col, item_text, sizes)

@@ -14,6 +14,8 @@ from itertools import islice
 import numpy as np
 
 MARKS = ".,;:!?\n"
+#: Pieces that a worker keeps, about 250 bytes each; fewer make it encode words again.
+ENTRIES = 800_000
 #: Longer pieces are not kept.
 LONG = 64
 _AMID_SPACE = re.compile(r"\s \s")
@@ -28,7 +30,7 @@ class PieceEncoder:
     pieces are known, all but the earliest quarter, which holds the frequent ones, are forgotten.
     """
 
-    def __init__(self, path: str, specials_as_text: bool = False, entries: int = 300_000):
+    def __init__(self, path: str, specials_as_text: bool = False, entries: int = ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -86,9 +88,9 @@ class PieceEncoder:
         return (self._whole([first])[0] if first else b"") + b"".join(got)
 
 
-def encoder(path: str, specials_as_text: bool = False) -> PieceEncoder:
+def encoder(path: str, specials_as_text: bool = False, entries: int = ENTRIES) -> PieceEncoder:
     """The worker's own encoder for a file, opened once."""
-    key = (path, specials_as_text)
+    key = (path, specials_as_text, entries)
     if key not in _OPEN:
-        _OPEN[key] = PieceEncoder(path, specials_as_text)
+        _OPEN[key] = PieceEncoder(path, specials_as_text, entries)
     return _OPEN[key]

@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers and units become typed placeholders, and in a second form names too. Windows of canonical words of documents
+Numbers and units become typed placeholders, in a second form names too, and in a third one also the capitalised words
+that open a sentence, which may be names or not. Windows of canonical words of documents
 and benchmark items are joined by hash. Matches of one document and item are grouped by alignment; an alignment counts
 if its slots are consistent, that is if each of the item's slot values always stands against the same value in the
 document. A document that covers enough of an item's windows holds the item, possibly with other numbers and names.
@@ -81,7 +82,7 @@ class Canon:
         return own[0] if len(own) == 1 else PARTS if own else NONE | (ENDS if any(c in _END for c in piece) else 0)
 
     def forms(self, text: str | None) -> tuple[list[str], list[np.ndarray]]:
-        """The pieces with a word, and for either form their codes: 0 unknown, NUM, UNIT, NAME or a hash."""
+        """The pieces with a word, and for each form their codes: 0 unknown, NUM, UNIT, NAME or a hash."""
         pieces = (text or "").split()
         got = list(map(self.known.get, pieces))
         if None in got:
@@ -115,11 +116,15 @@ class Canon:
         named = (kind == CAPITAL) & ~opens
         if (title := kind == TITLE).any():
             named |= (kind == CAPITAL) & np.concatenate(([False], title[:-1]))
-        return pieces, [code, np.where(named, NAME, code)] if named.any() else [code]
+        capital = kind == CAPITAL
+        return pieces, [code, np.where(named, NAME, code), np.where(capital, NAME, code)] if capital.any() else [code]
 
 
-def windows(doc: int | None, pieces: list[str], forms: list[np.ndarray], sizes: list[int]) -> Iterator[tuple]:
-    """(id, form, pos, n, hash, slots): windows with enough literal words and no unknown one. Form 1 only where it differs."""
+def windows(doc: int | None, pieces: list[str], forms: list[np.ndarray], sizes: list[int], wanted: np.ndarray | None = None) -> Iterator[tuple]:
+    """(id, form, pos, n, hash, slots): windows with enough literal words and no unknown one. Forms 1 and 2 only where they differ from the one before.
+
+    `wanted`: sorted hashes, others are left out.
+    """
     for form, codes in enumerate(forms):
         gaps = np.concatenate(([-1], np.flatnonzero(codes == 0), [len(codes)]))
         runs = np.flatnonzero(np.diff(gaps) > min(sizes))
@@ -136,17 +141,20 @@ def windows(doc: int | None, pieces: list[str], forms: list[np.ndarray], sizes:
                     total = total * np.uint64(0x9E3779B97F4A7C15) + own[k : k + size].astype(np.uint64) + np.uint64(1)
                 filled = np.concatenate(([0], np.cumsum(slot)))
                 slots = filled[n:] - filled[:-n]
-                names = np.concatenate(([0], np.cumsum(own == NAME)))
                 good = n - slots >= min(LITERALS, n)
                 if form:
-                    good &= names[n:] > names[:-n]  # without a name it is a window of form 0
+                    new = np.concatenate(([0], np.cumsum(own != forms[form - 1][lo:hi])))
+                    good &= new[n:] > new[:-n]  # without a further name it is a window of the form before
+                if wanted is not None and good.any():
+                    h = total.view(np.int64)
+                    good &= wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
                 for p in np.flatnonzero(good).tolist():
                     words = ["".join(parts_of(pieces[lo + k])).lower().rstrip(".!?") for k in np.flatnonzero(slot[p : p + n]) + p] if slots[p] else []
                     yield doc, form, lo + p, n, int(total[p : p + 1].view(np.int64)[0]), words
 
 
-def template_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], only=None) -> DataFrame:
-    """Rows of SCHEMA for every whole text; `only` is a broadcast set of words without which no window can match."""
+def template_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], only=None, wanted=None) -> DataFrame:
+    """Rows of SCHEMA for every whole text; `only` and `wanted` are broadcast: the words and the sorted hashes that can match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon(only.value if only is not None else None)
@@ -155,7 +163,7 @@ def template_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[in
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for row in windows(doc, *canon.forms(text.as_py()), sizes):
+                for row in windows(doc, *canon.forms(text.as_py()), sizes, wanted.value if wanted is not None else None):
                     rows.append(row)
                     if len(rows) == 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -195,16 +203,19 @@ def held_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     whole = template_windows(items, item_col, item_text, sizes)
     # an item is compared by windows of the usual size, or by one that spans it
     top = whole.groupBy("id").agg(F.max("n").alias("top"))
-    bench = whole.join(top, "id").where("n = top").select(F.col("id").alias("item"), "form", F.col("pos").alias("item_pos"), "n", "hash", F.col("slots").alias("item_slots"))
+    bench = whole.join(top, "id").where("n = top").select(F.col("id").alias("item"), F.col("form").alias("item_form"), F.col("pos").alias("item_pos"), "n", "hash", F.col("slots").alias("item_slots"))
     bench = written(bench, "benchmark-windows")
-    if bench.count() <= WINDOWS_SENT:
+    bench_side, wanted = bench, None
+    if 0 < bench.count() <= WINDOWS_SENT:
         bench_side = F.broadcast(bench)
-    else:
-        bench_side = bench
+        wanted = spark.sparkContext.broadcast(np.unique(np.array([r["hash"] for r in bench.select("hash").distinct().collect()], np.int64)))
     of_item = bench.groupBy("item").agg(F.countDistinct("item_pos").alias("of"))
-    met = template_windows(docs, id_col, text_col, sizes, only).join(bench_side, ["form", "n", "hash"])
-    met = met.withColumn("pairs", F.arrays_zip("item_slots", "slots"))
-    line = met.groupBy("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    met = template_windows(docs, id_col, text_col, sizes, only, wanted).join(bench_side, ["n", "hash"])
+    # a name may open a sentence on one side only, so the forms need not be equal. Opening words need not be names:
+    # an alignment counts if it is consistent with them (level 1) or without them (level 0)
+    levels = F.when(F.greatest("form", "item_form") == 2, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    met = met.withColumn("pairs", F.arrays_zip("item_slots", "slots")).withColumn("level", F.explode(levels))
+    line = met.groupBy("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "level").agg(
         F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
     one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda x: x["item_slots"]))) == F.size("pairs")

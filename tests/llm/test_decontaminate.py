@@ -59,3 +59,17 @@ def test_windows_equal_brute_force():
     assert len([g for g in got if g[1] == 0]) == sum((forms[0][p : p + 8] > dc.NAME).sum() >= dc.LITERALS for p in range(len(pieces) - 7))
     again = {g[4] for g in dc.windows(2, *canon.forms(text.replace("12", "77")), [8]) if g[1] == 0}
     assert {g[4] for g in got if g[1] == 0} == again
+
+
+def test_opening_names_are_slots(spark):
+    items = [(0, "Tom has 12 apples. Sara buys 5 more apples. Tom gives 3 to Sara."), (1, "Anna walks slowly to the old mill."), (2, "The red cart holds 7 stones. It rolls down the long hill. There it stops at the 3 gates.")]
+    docs = [
+        (0, "xx yy. Kim has 31 apples. Lee buys 9 more apples. Kim gives 4 to Lee. zz"),
+        (1, "So it goes. Bertha walks slowly to the old mill. Then"),
+        (2, "Question: Kim has 31 apples. Lee buys 9 more apples. Kim gives 4 to Lee."),
+        (3, "Kim has 31 apples. Lee buys 9 more apples. Lee gives 4 to Lee."),  # two names become one
+        (4, items[2][1].replace("There it", "It")),  # openers changed without being names: the other windows count
+        (5, "They walks quickly to the old mill."),
+    ]
+    got = {(r.doc_id, r.item_id): r.verbatim for r in dc.held_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k for k in got if k[0] != 3} == {(0, 0), (1, 1), (2, 0), (4, 2)} and not got[0, 0]

@@ -5,13 +5,14 @@ that open a sentence, which may be names or not. Windows of canonical words of d
 and benchmark items are joined by hash. Matches of one document and item are grouped by alignment; an alignment counts
 if its slots are consistent, that is if each of the item's slot values always stands against the same value in the
 document. A document that covers enough of an item's windows holds the item, possibly with other numbers and names.
+Items without any window that has enough literal words are compared by windows of their words and slot values.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,13 @@ WORDS_SENT, WINDOWS_SENT = 1_000_000, 1_000_000
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years percent dollar dollars euro euros pound pounds cent cents meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres mile miles inch inches foot feet degree degrees mph kmh hz khz mhz ghz w kw v kb mb gb tb"
 TITLES = "mr mrs ms miss dr prof sir madam herr frau monsieur madame señor señora"
 _UNITS, _TITLES = frozenset(UNITS.split()), frozenset(TITLES.split())
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?%$€£]")
+# Letters of scripts without spaces between words (Thai to Tibetan, Burmese, Khmer, kana, Han, Yi) are words of their own.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aad\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf\uf900-\ufaff\uff66-\uff9d\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|[^\W\d_{_UNSPACED}]+|(?=[^\W\d_])[{_UNSPACED}]|[.!?%$€£]")
 _END, _SIGN = frozenset(".!?"), frozenset("%$€£")
 NUM, UNIT, NAME = 1, 2, 3
+#: The form of windows that are compared by all their words and values.
+EXACT = 3
 #: Kinds of pieces, in the low bits of their codes; PARTS has more than one word, NONE has none. ENDS: a sentence ends here.
 WORD, CAPITAL, NUMBER, UNITWORD, TITLE, SIGN, NONE, PARTS = range(8)
 ENDS = 8
@@ -81,8 +86,8 @@ class Canon:
         own = self._parts(piece)
         return own[0] if len(own) == 1 else PARTS if own else NONE | (ENDS if any(c in _END for c in piece) else 0)
 
-    def forms(self, text: str | None) -> tuple[list[str], list[np.ndarray]]:
-        """The pieces with a word, and for each form their codes: 0 unknown, NUM, UNIT, NAME or a hash."""
+    def _read(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The pieces with a word, their codes with kinds, and which open a sentence."""
         pieces = (text or "").split()
         got = list(map(self.known.get, pieces))
         if None in got:
@@ -107,7 +112,16 @@ class Canon:
             # a mark on its own ends the sentence for the next word
             real = np.flatnonzero(~none)
             pieces, raw, kind, opens = [pieces[k] for k in real], raw[real], kind[real], opens[real]
-        code = raw & ~np.int64(15)
+        return pieces, raw, opens
+
+    def values(self, text: str | None) -> np.ndarray:
+        """Codes that keep every number, unit and name: 0 unknown or a hash."""
+        return self._read(text)[1] & ~np.int64(15)
+
+    def forms(self, text: str | None) -> tuple[list[str], list[np.ndarray]]:
+        """The pieces with a word, and for each form their codes: 0 unknown, NUM, UNIT, NAME or a hash."""
+        pieces, raw, opens = self._read(text)
+        kind, code = raw & 7, raw & ~np.int64(15)
         number = kind == NUMBER
         if number.any() or (kind == SIGN).any():
             code = np.where(number, NUM, code)
@@ -120,6 +134,34 @@ class Canon:
         return pieces, [code, np.where(named, NAME, code), np.where(capital, NAME, code)] if capital.any() else [code]
 
 
+def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """Of all windows of n codes."""
+    size = len(codes) - n + 1
+    total = np.zeros(size, np.uint64)
+    for k in range(n):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + size].astype(np.uint64) + np.uint64(1)
+    return total
+
+
+def _among(total: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    h = total.view(np.int64)
+    return wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+
+
+def exact_windows(doc: int | None, codes: np.ndarray, sizes: list[int], wanted: np.ndarray | None = None) -> Iterator[tuple]:
+    """Like windows(), of the codes of values(): all windows without an unknown word, none has slots."""
+    known = np.concatenate(([0], np.cumsum(codes != 0)))
+    for n in sizes:
+        if not 0 < n <= len(codes):
+            continue
+        total = _hashes(codes, n)
+        good = known[n:] - known[:-n] == n
+        if wanted is not None and good.any():
+            good &= _among(total, wanted)
+        for p in np.flatnonzero(good).tolist():
+            yield doc, EXACT, p, n, int(total[p : p + 1].view(np.int64)[0]), []
+
+
 def windows(doc: int | None, pieces: list[str], forms: list[np.ndarray], sizes: list[int], wanted: np.ndarray | None = None) -> Iterator[tuple]:
     """(id, form, pos, n, hash, slots): windows with enough literal words and no unknown one. Forms 1 and 2 only where they differ from the one before.
 
@@ -136,9 +178,7 @@ def windows(doc: int | None, pieces: list[str], forms: list[np.ndarray], sizes:
                 size = hi - lo - n + 1
                 if size < 1:
                     continue
-                total = np.zeros(size, np.uint64)
-                for k in range(n):
-                    total = total * np.uint64(0x9E3779B97F4A7C15) + own[k : k + size].astype(np.uint64) + np.uint64(1)
+                total = _hashes(own, n)
                 filled = np.concatenate(([0], np.cumsum(slot)))
                 slots = filled[n:] - filled[:-n]
                 good = n - slots >= min(LITERALS, n)
@@ -146,24 +186,29 @@ def windows(doc: int | None, pieces: list[str], forms: list[np.ndarray], sizes:
                     new = np.concatenate(([0], np.cumsum(own != forms[form - 1][lo:hi])))
                     good &= new[n:] > new[:-n]  # without a further name it is a window of the form before
                 if wanted is not None and good.any():
-                    h = total.view(np.int64)
-                    good &= wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                    good &= _among(total, wanted)
                 for p in np.flatnonzero(good).tolist():
                     words = ["".join(parts_of(pieces[lo + k])).lower().rstrip(".!?") for k in np.flatnonzero(slot[p : p + n]) + p] if slots[p] else []
                     yield doc, form, lo + p, n, int(total[p : p + 1].view(np.int64)[0]), words
 
 
-def template_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], only=None, wanted=None) -> DataFrame:
-    """Rows of SCHEMA for every whole text; `only` and `wanted` are broadcast: the words and the sorted hashes that can match."""
+def template_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], only=None, wanted=None, exact: list[int] | None = None) -> DataFrame:
+    """Rows of SCHEMA for every whole text; `only` and `wanted` are broadcast: the words and the sorted hashes that can match.
+
+    `exact`: sizes of exact windows that are wanted besides.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon(only.value if only is not None else None)
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
         names = [f.split()[0] for f in SCHEMA.split(", ")]
+        hashes = wanted.value if wanted is not None else None
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for row in windows(doc, *canon.forms(text.as_py()), sizes, wanted.value if wanted is not None else None):
+                t = text.as_py()
+                found = windows(doc, *canon.forms(t), sizes, hashes) if sizes else iter(())
+                for row in chain(found, exact_windows(doc, canon.values(t), exact, hashes)) if exact else found:
                     rows.append(row)
                     if len(rows) == 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -174,6 +219,21 @@ def template_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[in
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
+def _spans(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """Exact windows of items, of the usual size or that of the item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canon()
+        for b in batches:
+            rows = []
+            for item, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                codes = canon.values(t)
+                rows += exact_windows(item, codes, [min(window, len(codes))])
+            yield pa.RecordBatch.from_pylist([dict(zip(("id", "form", "pos", "n", "hash", "slots"), r, strict=True)) for r in rows], schema=pa.schema([("id", pa.int64()), ("form", pa.int32()), ("pos", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))]))
+
+    return items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+
+
 def _item_words(items: DataFrame, text_col: str) -> DataFrame:
     """Distinct lower-case words and numbers of the benchmark, and the number of words of each item."""
 
@@ -190,7 +250,8 @@ def _item_words(items: DataFrame, text_col: str) -> DataFrame:
 def held_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(id, item, coverage, n_windows, verbatim): documents that hold a benchmark item, one row for each pair.
 
-    An item shorter than a window is one window of its own length, if it has words enough. Null and empty texts and
+    An item shorter than a window is one window of its own length, if it has words enough. An item of which no window
+    has enough literal words (tables of numbers, one to three words) is held where its words and values stand. Null and empty texts and
     items match nothing. Rows that share an id count as one document, rows without an id as one too. `verbatim` is
     true where all slot values are equal as well.
     """
@@ -200,7 +261,11 @@ def held_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     sizes = sorted({window} | set(range(max(LITERALS, least or window), window)))
     many = seen.count()
     only = spark.sparkContext.broadcast(frozenset(r["word"] for r in seen.select("word").collect())) if many <= WORDS_SENT else None
-    whole = template_windows(items, item_col, item_text, sizes)
+    whole = written(template_windows(items, item_col, item_text, sizes), "item-windows")
+    bare = items.join(whole.select(F.col("id").alias(item_col)).distinct(), item_col, "left_anti").where(F.col(item_col).isNotNull())
+    spans = written(_spans(bare, item_col, item_text, window), "item-spans")
+    exact = sorted(r["n"] for r in spans.select("n").distinct().collect())
+    whole = whole.unionByName(spans)
     # an item is compared by windows of the usual size, or by one that spans it
     top = whole.groupBy("id").agg(F.max("n").alias("top"))
     bench = whole.join(top, "id").where("n = top").select(F.col("id").alias("item"), F.col("form").alias("item_form"), F.col("pos").alias("item_pos"), "n", "hash", F.col("slots").alias("item_slots"))
@@ -210,7 +275,7 @@ def held_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         bench_side = F.broadcast(bench)
         wanted = spark.sparkContext.broadcast(np.unique(np.array([r["hash"] for r in bench.select("hash").distinct().collect()], np.int64)))
     of_item = bench.groupBy("item").agg(F.countDistinct("item_pos").alias("of"))
-    met = template_windows(docs, id_col, text_col, sizes, only, wanted).join(bench_side, ["n", "hash"])
+    met = template_windows(docs, id_col, text_col, sizes, only, wanted, exact).join(bench_side, ["n", "hash"])
     # a name may open a sentence on one side only, so the forms need not be equal. Opening words need not be names:
     # an alignment counts if it is consistent with them (level 1) or without them (level 0)
     levels = F.when(F.greatest("form", "item_form") == 2, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))

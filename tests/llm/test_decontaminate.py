@@ -73,3 +73,19 @@ def test_opening_names_are_slots(spark):
     ]
     got = {(r.doc_id, r.item_id): r.verbatim for r in dc.held_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert {k for k in got if k[0] != 3} == {(0, 0), (1, 1), (2, 0), (4, 2)} and not got[0, 0]
+
+
+def test_items_without_a_literal_window(spark, monkeypatch):
+    han = "小明有十二个苹果他又买了五个苹果现在一共有多少个"
+    items = [(0, "12 + 45 * 3 - 7 / 2 = 140 and 9 8 7 6 5"), (1, "blue heron"), (2, han), (3, "ราคาของแอปเปิลสามผลคือเท่าไร"), (4, "7 9"), (None, "red fox")]
+    docs = [
+        (0, "xx 12 + 45 * 3 - 7 / 2 = 140 and 9 8 7 6 5 yy"), (1, "xx 13 + 46 * 4 - 8 / 3 = 141 and 8 7 6 5 4 yy"), (2, "a Blue heron flew"), (3, "heron blue and red fox"),
+        (4, "前文" + han + "。后文"), (5, "เขาถามว่าราคาของแอปเปิลสามผลคือเท่าไรครับ"), (6, "7 8 9"), (7, "at 7 9."), (8, None),
+    ]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(0, 0), (2, 1), (4, 2), (5, 3), (7, 4)}
+    got = dc.held_items(*frames).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and all(r.verbatim for r in got)
+    monkeypatch.setattr(dc, "WORDS_SENT", 0)
+    monkeypatch.setattr(dc, "WINDOWS_SENT", 0)
+    assert {(r.doc_id, r.item_id) for r in dc.held_items(*frames).collect()} == want

@@ -169,7 +169,14 @@ def windows(doc: int | None, pieces: list[str], forms: list[np.ndarray], sizes:
     """
     for form, codes in enumerate(forms):
         gaps = np.concatenate(([-1], np.flatnonzero(codes == 0), [len(codes)]))
-        runs = np.flatnonzero(np.diff(gaps) > min(sizes))
+        lo_hi = gaps[:-1] + 1, gaps[1:]
+        fits = np.diff(gaps) > min(sizes)
+        # a run needs literal words for one window, and in a later form a further name
+        for marks, least in ((codes > NAME, min(LITERALS, min(sizes))), (codes != forms[form - 1] if form else None, 1)):
+            if marks is not None:
+                total = np.concatenate(([0], np.cumsum(marks)))
+                fits &= total[lo_hi[1]] - total[lo_hi[0]] >= least
+        runs = np.flatnonzero(fits)
         for r in runs.tolist():
             lo, hi = int(gaps[r]) + 1, int(gaps[r + 1])
             own = codes[lo:hi]

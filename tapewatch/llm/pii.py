@@ -226,14 +226,14 @@ def as_text(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of overlapping spans the first one counts."""
+    """The text with each span replaced by its kind in angle brackets; of overlapping spans a later one counts from where the one before ends."""
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        piece = F.array(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.element_at(names, s["kind"] + 1))
-        return F.when(s["start"] < a["at"], a).otherwise(F.struct(s["stop"].alias("at"), F.concat(a["out"], piece).alias("out")))
+        piece = F.array(F.substring(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int")), F.element_at(names, s["kind"] + 1))
+        return F.when(s["stop"] <= a["at"], a).otherwise(F.struct(s["stop"].alias("at"), F.concat(a["out"], piece).alias("out")))
 
     done = F.aggregate(order, state, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)

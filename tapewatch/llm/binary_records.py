@@ -3,7 +3,8 @@
 A frame is: payload length (8 bytes), masked CRC-32 of those 8 bytes (4), payload, masked CRC-32 of the payload (4),
 one zero byte. The payload is: flag (1, bit 0: the id is null), id (8), bytes for each token id (1), number of ids (4),
 ids. All numbers are little-endian. Frames are written by Spark's text writer with the zero byte as line separator,
-so that its commit protocol covers them. Files are in ascending id order, by part number, then file number.
+so that its commit protocol covers them. Files are in ascending id order, by part number, then segment number; a
+segment ends with the frame that brings it to FILE_BYTES.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import scratch
+from tapewatch.llm.common import scratch, write_files
 from tapewatch.llm.tokens import encoder
 
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BqBI")
 INDEX = "path string, part long, file long, record long, offset long, length long, doc_id long, start_in_file long, n_tokens long, ids_crc32 long"
+#: A file ends with the record that brings it to so many bytes.
+FILE_BYTES = 128 << 20
 #: Files above this count are joined by key instead of being sent to each executor (about 200 bytes each).
 FILES_SENT = 100_000
 
@@ -56,7 +59,7 @@ def frames(data: bytes, at: int = 0) -> Iterator[tuple[int, int, int | None, np.
         at = end
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, max_records: int = 50_000) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, file_bytes: int = FILE_BYTES) -> None:
     """Writes the ids of every whole text (null: empty), in ascending id order, null ids first.
 
     Rows with the same id stay together, in an order given by their text's hash.
@@ -65,15 +68,21 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         tail = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
+        total = k = 0
         for b in batches:
-            out = [frame(d, enc.encode(t.as_py()) + tail, enc.dtype.itemsize)[:-1] for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+            texts = (t.as_py() for t in b.column(1))
+            rows = []
+            for d, ids in zip(b.column(0).to_pylist(), enc.encode_all(texts), strict=True):
+                data = frame(d, ids.tobytes() + tail, enc.dtype.itemsize)[:-1]
+                rows.append((total // file_bytes, k, data))
+                total, k = total + len(data) + 1, k + 1
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["seg", "k", "data"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(files, "doc_id") if files else rows.repartitionByRange("doc_id")
     ready = dealt.sortWithinPartitions("doc_id", F.xxhash64("text"))
-    lines = ready.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    lines.write.option("lineSep", "\0").option("maxRecordsPerFile", max_records).text(path)
+    write_files(ready.mapInArrow(run, "seg int, k long, data binary"), path, ordered=True)
 
 
 def index_records(spark: SparkSession, path: str, index_path: str) -> DataFrame:
@@ -82,7 +91,7 @@ def index_records(spark: SparkSession, path: str, index_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part, file = map(int, re.search(r"part-(\d+)-.*?-c(\d+)", name).groups())
+                part, file = map(int, re.search(r"/seg=(\d+)/part-(\d+)-[^/]*$", name).group(2, 1))
                 rows, start = [], 0
                 for k, (at, length, doc, ids) in enumerate(frames(data.as_buffer().to_pybytes())):
                     rows.append((name, part, file, k, at, length, doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))

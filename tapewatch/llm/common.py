@@ -32,6 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_files(df: DataFrame, path: str, ordered: bool = False) -> None:
+    """Writes rows (seg int, k long, data binary) as files of raw bytes, each datum followed by a zero byte.
+
+    Every task writes one file for each of its values of seg, so that whoever numbers them bounds a file's bytes; if
+    `ordered`, by k in each file. Spark's text writer does it, so its commit protocol covers the files; it passes the
+    bytes of a string on as they are, whether they are UTF-8 or not.
+    """
+    rows = df.sortWithinPartitions("seg", "k") if ordered else df
+    rows.select("seg", F.col("data").cast("string").alias("value")).write.partitionBy("seg").option("lineSep", "\0").text(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

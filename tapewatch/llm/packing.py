@@ -35,8 +35,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int | None, id_
         enc = encoder(tokenizer, entries=entries)
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(enc.encode(text.as_py()), enc.dtype).astype("<u4")
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all(t.as_py() for t in b.column(1)), strict=True):
+                ids = ids.astype("<u4")
                 if end_id is not None:
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for at in range(0, len(ids), window):
@@ -102,19 +102,23 @@ def fill_windows(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
 def pack(parts: DataFrame, window: int = 2048, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to pieces of 1 to `window` ids; in a sequence, offsets follow without gaps.
 
-    Rows are dealt over groups by their place in the table, so equal rows, ties and null ids spread as well; a group
-    leaves at most its last few windows partly filled. An empty table gives an empty one.
+    Full pieces are sequences of their own, numbered from 2**62. The others are dealt over groups by their place in the
+    table, so equal rows, ties and null ids spread as well; a group leaves at most its last few windows partly filled.
+    An empty table gives an empty one.
     """
     parts = written(parts, "pieces")
-    groups = max(1, -(-parts.count() // group))
+    full = parts.where(F.col("length") == window).withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id())
+    rest = parts.where(F.col("length") < window)
+    groups = max(1, -(-rest.count() // group))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
         place, offset = fill_windows(pdf["length"].to_numpy(np.int64), window)
         return pdf.drop(columns="grp").assign(sequence_id=(int(key[0]) << 32) + place, offset=offset)
 
-    dealt = parts.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    dealt = rest.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    packed = dealt.groupBy("grp").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    return packed.unionByName(full.withColumn("offset", F.lit(0).cast("long")))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, entries: int = ENTRIES) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tapewatch.llm import binary_records as br
@@ -11,7 +12,10 @@ from tapewatch.llm.common import scratch
 from tapewatch.llm.queries import tokenizer_file
 from tapewatch.llm.tokens import PieceEncoder
 
-TEXTS = [None, "", " ", "  ", "a", " a  b \n c", "x\n \ny z\t \t q", "Éauouon.\nEn paeux  leaux", "it's 12 345, ok?! ", "ab " * 3000, "   x \x1c \x1cy", "q" * 5000 + " w", "日本語 テキスト", "<|endoftext|> a <|endoftext|>"]
+TEXTS = [
+    None, "", " ", "  ", "a", " a  b \n c", "x\n \ny z\t \t q", "Éauouon.\nEn paeux  leaux", "it's 12 345, ok?! ", "ab " * 3000, "   x \x1c \x1cy", "q" * 5000 + " w", "日本語 テキスト", "<|endoftext|> a <|endoftext|>",
+    "caf\u00e9. na\u00efve\u00d7. x\u00a0 y a\u00a0\u00a0b \u2003 \u3000z\u3000.", "a\nb\n\nc\n d\n", "\n", " \n ", "one,\ntwo.\nThree", "tail ", "a. b! c? d; 1. \u0417\u0434. .", "don't we'll 'tis.",
+]
 
 
 TOKENIZER = Tokenizer.from_file(tokenizer_file())
@@ -50,8 +54,12 @@ def test_records_round_trip(spark):
 
 def test_shuffled_reads_and_damage(spark):
     path = scratch(spark, "t")
-    br.write_records(docs(spark), path, tokenizer_file(), files=3, max_records=4)
+    br.write_records(docs(spark), path, tokenizer_file(), files=3, file_bytes=200)
     index = br.index_records(spark, path, scratch(spark, "i"))
+    files = index.groupBy("path").agg(F.sum("length").alias("n"), F.max("length").alias("one")).collect()
+    assert len(files) > 6 and all(r.n < 200 + r.one for r in files)
+    ids = [r.doc_id for r in br.starts(index).orderBy("start").collect()]
+    assert ids == [None, *sorted(i for i in ids if i is not None)]
     got = {r.doc_id: r.ids for r in br.read_at(spark, index.where("record % 2 = 1")).collect()}
     assert got and all(ids == [*reference(TEXTS[d // 3]), 0] for d, ids in got.items() if d is not None and d != 9)
     good = br.frame(5, b"\1\0\2\0", 2)

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
+from functools import cache, reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a new temporary folder in local mode; on a cluster that is an error, as executors would not share it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tapewatch-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -87,3 +93,24 @@ def widened(df: DataFrame, **columns: str) -> StructType:
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def drop_columns(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns of these names; Spark does not tell upper from lower case, so neither does this."""
+    gone = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone))
+
+
+@cache
+def _fold() -> np.ndarray:
+    table = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
+        if (s := chr(c)).isalpha():
+            low = s.lower()
+            table[c] = ord(low) if len(low) == 1 else c
+    return table
+
+
+def letters(text: str) -> np.ndarray:
+    """For each character its lower-case letter as a code point, or 0 where it is no letter."""
+    return _fold()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]

@@ -1,5 +1,8 @@
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,9 +80,67 @@ def test_toxicity_finds_unseen_forms(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels.where("label = 0"))).collect()} == {0.0}
 
 
-def test_kneser_ney_sums_to_one():
-    m = toxicity.KneserNey([toxicity.Counter({"abba": 3, "bab": 2, "ab": 1}), toxicity.Counter({"cab": 2, "abc": 1})])
-    for cls in (0, 1):
-        for h in ("\x02\x02\x02\x02\x02", "\x02\x02\x02\x02a", "\x02\x02\x02ab"):
-            total = sum(m._p(cls, h + c) for c in "abc\x03") + m._p(cls, h + "?")
-            assert total == pytest.approx(1, abs=1e-9)
+def kneser_ney(texts, cls):
+    """Brute force over strings: p(last symbol after the others) for n-grams of ORDER symbols."""
+    top = [Counter() for _ in texts]
+    for c, own in zip(top, texts, strict=True):
+        for t in own:
+            s = " " * 4 + re.sub("[^a-z]+", " ", t.lower()) + ("" if t[-1:] == " " else " ")
+            for k in range(4, len(s)):
+                c[s[k - 4 : k + 1]] += 1
+    by = {5: top}
+    for n in (4, 3):
+        by[n] = [Counter(g[1:] for g in c) for c in by[n + 1]]
+    for n in (2, 1):
+        both = Counter(g[1:] for g in set(by[n + 1][0]) | set(by[n + 1][1]))
+        by[n] = [both, both]
+    base = 1 / max(2, len(by[1][0]) + 1)
+
+    def p(g):
+        q = base
+        for n in range(1, 6):
+            own = g[5 - n :]
+            follow = {x: c for x, c in by[n][cls].items() if x[:-1] == own[:-1]}
+            if follow:
+                total = sum(follow.values())
+                q = max(follow.get(own, 0) - 0.75, 0) / total + 0.75 * len(follow) / total * q
+        return q
+
+    return p
+
+
+def test_kneser_ney_against_brute_force(spark):
+    texts = [["Abba bab, ab ab", "ba! abba", "cab a bac"], ["cab abc", "abcab bb"]]
+    rows = spark.createDataFrame([(t, y) for y in (0, 1) for t in texts[y]], "text string, y int").repartition(3)
+    tables = {o: tuple(toxicity.table_of(x) for x in pair) for o, pair in toxicity.smoothed(toxicity.counts(rows)).items()}
+    model = toxicity.Model(tables)
+    p0, p1 = kneser_ney(texts, 0), kneser_ney(texts, 1)
+    for cls, p in ((0, p0), (1, p1)):
+        for h in ("    ", " aba", "ab a", "zzca"):
+            assert sum(p(h + c) for c in "abc ") + p(h + "?") == pytest.approx(1, abs=1e-9), cls
+    text = "abba cab zab bacc abz ab"
+    s = " " * 4 + text + " "
+    want = [np.log(p1(s[k : k + 5]) / p0(s[k : k + 5])) for k in range(len(text) + 1)]
+    ((f, g),) = toxicity._texts_grams(text)
+    assert len(f) == len(text) + 1
+    assert model.differences(g) == pytest.approx(want, abs=1e-5)
+
+
+def test_symbols_do_not_depend_on_chunks(monkeypatch):
+    texts = [words("aa", 50), "  x\n\n y!", "q" * 100 + " ", "", None, "1 2", "Привет, мир 漢字", "a" * 33 + " b"]
+    join = lambda t: [np.concatenate(x).tolist() if x else [] for x in ([f for f, _ in toxicity._texts_grams(t)], [g for _, g in toxicity._texts_grams(t)])]
+    whole = [join(t) for t in texts]
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    for t, w in zip(texts, whole, strict=True):
+        assert join(t) == w, t
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    long = "stupid idiot " + words("aa", 400_000)
+    docs = spark.createDataFrame([(1, long, 1), (1, long, 2), (2, "a" * 300_000, 3)], "doc_id long, text string, SCORE int")
+    train = spark.createDataFrame([(k, words("aa", 30) + (" stupid idiot" if k % 2 else "")) for k in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, label int")
+    got = toxicity.score(docs, toxicity.fit(train, labels))
+    assert got.columns == ["doc_id", "text", "score"]
+    rows = got.collect()
+    assert len(rows) == 3 and rows[0].score == rows[1].score and all(0 <= r.score <= 1 for r in rows)

@@ -43,6 +43,12 @@ EXACT = 3
 #: Kinds of pieces, in the low bits of their codes; PARTS has more than one word, NONE has none. ENDS: a sentence ends here.
 WORD, CAPITAL, NUMBER, UNITWORD, TITLE, SIGN, NONE, PARTS = range(8)
 ENDS = 8
+_CUT, _AFTER, _OTHER = np.zeros(256, bool), np.zeros(256, bool), np.ones(256, bool)
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+_CUT[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_AFTER[list(b".,;:!?")] = True
+_OTHER[[*range(97, 123), 0xC3, *range(0x9F, 0xC0)]] = False
 SCHEMA = "id long, form int, pos int, n int, hash long, slots array<string>"
 
 
@@ -134,6 +140,72 @@ class Canon:
         return pieces, [code, np.where(named, NAME, code), np.where(capital, NAME, code)] if capital.any() else [code]
 
 
+class Sieve:
+    """Finds the stretches of texts that may hold a window: enough pieces one after another that are not plain words
+    unknown to the benchmark. A plain word is of lower-case Latin letters, with marks after it at most."""
+
+    def __init__(self, words: frozenset[str], least: int):
+        self.least = least
+        self.multiplier, self.room = 0x9E3779B97F4A7C15, 0
+        self._powers(1 << 20)
+        self.known = np.unique(np.array([self._hash(w.encode("utf-8", "surrogatepass")) for w in words | _UNITS], np.uint64))
+
+    def _powers(self, n: int) -> None:
+        if n > self.room:
+            self.room = n
+            self.power, self.inverse = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, m, np.uint64)))) for m in (self.multiplier, pow(self.multiplier, -1, 1 << 64)))
+
+    def _hash(self, word: bytes) -> int:
+        return int(((np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)) * self.power[: len(word)]).sum())
+
+    def stretches(self, texts: list[bytes]) -> list[list[tuple[int, str]]]:
+        """For each text (number of the first piece, stretch); one piece more on the left, which may end a sentence."""
+        raw = b" \x7f ".join(texts) + b" \x7f"  # one piece between texts, which ends every stretch
+        buf = np.frombuffer(raw, np.uint8)
+        self._powers(len(buf))
+        upper = _UPPER[buf]
+        cut = np.flatnonzero(_CUT[buf])
+        start, stop = np.concatenate(([0], cut + 1)), np.append(cut, len(buf))
+        some = stop > start
+        start, stop = start[some], stop[some]
+        ends = np.searchsorted(start, np.cumsum([len(t) + 3 for t in texts]) - 2)  # the pieces between texts
+        end = stop.copy()
+        for _ in range(2):  # marks after a word
+            end -= (end - start > 1) & _AFTER[buf[end - 1]]
+        other = _OTHER[buf]
+        wide = np.flatnonzero(buf[:-1] == 0xC3)
+        after = buf[wide + 1]
+        other[wide] = (after < 0x9F) | (after == 0xB7)
+        other = np.concatenate(([0], np.cumsum(other)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(((buf + 32 * upper).astype(np.uint64) + np.uint64(1)) * self.power[: len(buf)])))
+        h = (sums[end] - sums[start]) * self.inverse[start]
+        capital = upper[start]
+        odd = other[end] - other[start] > capital  # may be several words, or one with another lower-case form
+        literal = self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] == h if len(self.known) else odd
+        maybe = odd | capital | literal
+        maybe[ends] = False
+        gaps = np.concatenate(([-1], np.flatnonzero(~maybe), [len(maybe)]))
+        runs = np.flatnonzero(np.diff(gaps) > 1)
+        lo, hi = gaps[runs] + 1, gaps[runs + 1]
+        # an odd piece counts with all its bytes
+        most = np.where(odd, stop - start, 1)
+        size, found = (np.concatenate(([0], np.cumsum(x))) for x in (most, most * (odd | literal)))
+        need = min(LITERALS, self.least)
+        long = (size[hi] - size[lo] >= self.least) & (found[hi] - found[lo] >= need)
+        # a window spans at most `least` pieces, and one more for each piece without a word, which counts as found
+        good = np.concatenate(([0], np.cumsum(found[self.least :] - found[: -self.least] >= need))) if len(found) > self.least else np.zeros(1, np.int64)
+        wide = hi - lo >= self.least
+        long[wide] &= good[hi[wide] - self.least + 1] > good[lo[wide]]
+        lo, hi = lo[long], hi[long]
+        of = np.searchsorted(ends, lo)
+        base = np.concatenate(([0], ends[:-1] + 1))
+        lo = np.maximum(lo - 1, base[of])
+        out: list[list[tuple[int, str]]] = [[] for _ in texts]
+        for k, first, x, y in zip(of.tolist(), (lo - base[of]).tolist(), start[lo].tolist(), stop[hi - 1].tolist(), strict=True):
+            out[k].append((first, raw[x:y].decode("utf-8", "surrogatepass")))
+        return out
+
+
 def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
     """Of all windows of n codes."""
     size = len(codes) - n + 1
@@ -199,6 +271,23 @@ def windows(doc: int | None, pieces: list[str], forms: list[np.ndarray], sizes:
                     yield doc, form, lo + p, n, int(total[p : p + 1].view(np.int64)[0]), words
 
 
+def _parts(b: pa.RecordBatch, sieve: Sieve | None) -> Iterator[tuple[int | None, int, str | None]]:
+    """(id, number of the first piece, text): whole texts, or what the sieve leaves of them."""
+    ids = b.column(0).to_pylist()
+    if sieve is None:
+        yield from ((doc, 0, t.as_py()) for doc, t in zip(ids, b.column(1), strict=True))
+        return
+    own, texts, size = [], [], 0
+    for k, t in enumerate(b.column(1)):
+        texts.append((t.as_py() or "").encode())
+        own.append(ids[k])
+        size += len(texts[-1])
+        if size > 1 << 20 or k + 1 == len(ids):
+            for doc, parts in zip(own, sieve.stretches(texts), strict=True):
+                yield from ((doc, first, part) for first, part in parts)
+            own, texts, size = [], [], 0
+
+
 def template_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], only=None, wanted=None, exact: list[int] | None = None) -> DataFrame:
     """Rows of SCHEMA for every whole text; `only` and `wanted` are broadcast: the words and the sorted hashes that can match.
 
@@ -210,18 +299,18 @@ def template_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[in
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         hashes = wanted.value if wanted is not None else None
+        sieve = Sieve(only.value, min([*sizes, *(exact or [])])) if only is not None else None
+        rows: list[tuple] = []
         for b in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                t = text.as_py()
+            for doc, first, t in _parts(b, sieve):
                 found = windows(doc, *canon.forms(t), sizes, hashes) if sizes else iter(())
                 for row in chain(found, exact_windows(doc, canon.values(t), exact, hashes)) if exact else found:
-                    rows.append(row)
+                    rows.append((*row[:2], row[2] + first, *row[3:]))
                     if len(rows) == 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                         rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 

@@ -89,3 +89,21 @@ def test_items_without_a_literal_window(spark, monkeypatch):
     monkeypatch.setattr(dc, "WORDS_SENT", 0)
     monkeypatch.setattr(dc, "WINDOWS_SENT", 0)
     assert {(r.doc_id, r.item_id) for r in dc.held_items(*frames).collect()} == want
+
+
+def test_sieve_leaves_every_window():
+    """Windows of sieved texts equal those of whole texts, hashes and places alike."""
+    rng = random.Random(6)
+    items = ["the cat Anna sat on 12 kg mats, and Mr. Bob ran.", "ein Größe über straße naïve café thé tea No. 7", "Élan vital: $5 for 3 cats - now!", "a b c d e f g h"]
+    vocabulary = frozenset(w.lower() for x in items for p in x.split() for w in dc.parts_of(p) if w not in ".!?")
+    pool = [w for x in items for w in x.split()] + ["Zed", "unknown", "other", "-", "...", "4,5", "well-known", "日本", "x\u00a0y", "Über", "SAT", "kg", "mr"]
+    texts = [rng.choice([" ", "\n", "  "]).join(rng.choices(pool, weights=[3] * (len(pool) - 13) + [1] * 13, k=rng.randint(0, 120))) for _ in range(300)] + ["", " ", items[0]]
+    for sizes in ([8], [4, 5, 8]):
+        sieve, canon = dc.Sieve(vocabulary, min(sizes)), dc.Canon(vocabulary)
+        found = 0
+        for text, parts in zip(texts, sieve.stretches([t.encode() for t in texts]), strict=True):
+            whole = sorted((f, n, h, tuple(s)) for _, f, _, n, h, s in dc.windows(1, *canon.forms(text), sizes))
+            own = sorted((f, n, h, tuple(s)) for _, t in parts for _, f, _, n, h, s in dc.windows(1, *canon.forms(t), sizes))
+            assert own == whole, text
+            found += len(own)
+        assert found > 500

@@ -14,31 +14,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import widened
+from tapewatch.llm.common import drop_columns, letters, widened
 
 BINS = 1 << 16
-#: Labelled documents learned from, per language, and languages learned at most (the most frequent ones).
-SAMPLE, LANGUAGES = 2500, 64
-_FOLD: list[np.ndarray] = []
-
-
-def _fold() -> np.ndarray:
-    """For each code point its lower-case letter, or 0 where it is no letter."""
-    if not _FOLD:
-        table = np.zeros(0x110000, np.uint32)
-        for c in range(0x110000):
-            if (s := chr(c)).isalpha():
-                low = s.lower()
-                table[c] = ord(low) if len(low) == 1 else c
-        _FOLD.append(table)
-    return _FOLD[0]
+#: Labelled documents learned from, per language.
+SAMPLE = 2500
+#: Languages with a smaller share of a text are in no set.
+NOTE = 0.02
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Hashed letter trigrams of a whole text and their counts; None where the text has no letter."""
     if not text:
         return None
-    f = _fold()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    f = letters(text)
     letter = f > 0
     if not letter.any():
         return None
@@ -58,11 +47,15 @@ class Model:
         total = counts.sum(0)
         back = (total + 0.5) / (total.sum() + 0.5 * BINS)
         own = counts.sum(1, keepdims=True)
-        self.p = np.ascontiguousarray(((counts + prior * back) / (own + prior)).T)  # (bin, language)
+        self.p = np.ascontiguousarray(((counts + prior * back) / (own + prior)).T.astype(np.float32))  # (bin, language)
 
     def mixture(self, at: np.ndarray, n: np.ndarray, penalty: float = 3.0, rounds: int = 8) -> tuple[int, float]:
-        """The leading language of the chosen set and its proportion."""
-        p, n = self.p[at], n.astype(np.float64)
+        """The leading language of the chosen set and its proportion.
+
+        Sets are nested, in the order of the proportions over all languages; every one up to the last language with a
+        share of note is scored, so that a set may win although the one before it did not gain.
+        """
+        p, n = self.p[at].astype(np.float64), n.astype(np.float64)
         size = n.sum()
         k = p.shape[1]
         if k == 1:
@@ -71,34 +64,35 @@ class Model:
         for _ in range(rounds):
             share = share * ((n / (p @ share)) @ p) / size
         order = np.argsort(-share, kind="stable")
+        most = max(1, int((share > NOTE).sum()))
         best, found = -np.inf, (int(order[0]), 1.0)
-        for m in range(1, min(k, 3) + 1):
+        for m in range(1, most + 1):
             own = p[:, order[:m]]
             s = share[order[:m]] / share[order[:m]].sum()
             for _ in range(3 if m > 1 else 0):
                 s = s * ((n / (own @ s)) @ own) / size
             score = n @ np.log(own @ s) - penalty * (m - 1) * np.log(size + 1)
-            if score <= best:
-                break
-            lead = int(np.argmax(s))
-            best, found = score, (int(order[lead]), float(min(1.0, s[lead])))
+            if score > best:
+                lead = int(np.argmax(s))
+                best, found = score, (int(order[lead]), float(min(1.0, s[lead])))
         return found
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Learns trigram counts from about `sample` documents of each language, drawn by a hash of the id.
 
-    Rows with a null text or language are left out. The bound keeps what reaches the driver at `languages` arrays.
+    Every language is learned. Rows with a null text or language are left out. What reaches the driver is one array of
+    trigram counts for each language, whatever the number of documents.
     """
     src = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = src.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return Model([], np.zeros((0, BINS)))
     langs = sorted(r["lang"] for r in sizes)
-    rate = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], sample / max(1, r["count"]))))
+    rates = labelled.sparkSession.createDataFrame([(r["lang"], sample / max(1, r["count"])) for r in sizes], "lang string, rate double")
     draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000)) / 1e6
-    # a language outside the map has a null rate and falls away
-    picked = src.where(draw < F.element_at(rate, F.col("lang"))).select("lang", "text").repartition(4)
+    # one row for each language is sent to the tasks
+    picked = src.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "text").repartition(4)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict[str, np.ndarray] = {}
@@ -118,11 +112,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     """Adds the predicted language and the share of the text that speaks it.
 
     'und' and 0 where the text is null or has no letter, or nothing was learned. Columns of these two names are
-    replaced, all others stay.
+    replaced, in upper or lower case, all others stay.
     """
-    keep = [c for c in docs.columns if c not in (lang_out, score_out)]
-    src = docs.select(*(F.col(f"`{c}`") for c in keep))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 64 languages at most
+    src = drop_columns(docs, lang_out, score_out)
+    keep = src.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # one array of BINS for each language
 
     def run(batches):
         import pyarrow as pa

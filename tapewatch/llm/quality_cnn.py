@@ -13,11 +13,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import widened
+from tapewatch.llm.common import drop_columns, widened
 
 CHUNK, HOP, WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 256, 192, 8, 4, 8, 24, 16
-#: Documents learned from for each label, and bytes of the longest one of them.
-SAMPLE, LONGEST = 1200, 16_384
+#: Documents learned from for each label, and chunks of each of them that a step takes at most (drawn anew each time).
+SAMPLE, STEP_CHUNKS = 1200, 85
 _SPOTS = (CHUNK - WIDTH) // STRIDE + 1
 _AT = np.arange(_SPOTS)[:, None] * STRIDE + np.arange(WIDTH)
 
@@ -64,8 +64,9 @@ class Net:
             order = r.permutation(len(parts))
             for s in range(0, len(order), 24):
                 own = order[s : s + 24]
-                x = np.concatenate([parts[k] for k in own])
-                size = np.array([len(parts[k]) for k in own])
+                taken = [parts[k] if len(parts[k]) <= STEP_CHUNKS else parts[k][np.sort(r.choice(len(parts[k]), STEP_CHUNKS, replace=False))] for k in own]
+                x = np.concatenate(taken)
+                size = np.array([len(t) for t in taken])
                 starts = np.concatenate(([0], np.cumsum(size)[:-1]))
                 doc = np.repeat(np.arange(len(own)), size)
                 win = w["e"][x[:, _AT]].reshape(len(x), _SPOTS, WIDTH * EMBED)
@@ -91,8 +92,8 @@ class Net:
                 best = win[rows, arg]  # (chunks, filters, inputs)
                 grad["c"] = np.einsum("bfi,bf->if", best, gt, optimize=True)
                 ge = (gt[:, :, None] * w["c"].T[None]).reshape(len(x), FILTERS, WIDTH, EMBED)
-                grad["e"] = np.zeros_like(w["e"])
-                np.add.at(grad["e"], x[rows[..., None], _AT[arg]].reshape(-1), ge.reshape(-1, EMBED))
+                byte = x[rows[..., None], _AT[arg]].reshape(-1)
+                grad["e"] = np.stack([np.bincount(byte, g_, 256) for g_ in ge.reshape(-1, EMBED).T], 1).astype(np.float32)
                 step += 1
                 for k, v in grad.items():
                     m1[k] += 0.1 * (v - m1[k])
@@ -101,10 +102,10 @@ class Net:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", sample: int = SAMPLE, longest: int = LONGEST) -> Net:
-    """Learns from about `sample` documents of either label, drawn by a hash of the id, of at most `longest` bytes.
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", sample: int = SAMPLE) -> Net:
+    """Learns from about `sample` documents of either label, drawn by a hash of the id, whatever their length.
 
-    Rows with a null id, text or label are left out; with fewer than two labels the net stays at one half for all.
+    A long document takes part in a step with STEP_CHUNKS of its chunks, drawn anew each time. Rows with a null id, text or label are left out; with fewer than two labels the net stays at one half for all.
     """
     net = Net()
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
         return net
     draw = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1_000_000)) / 1e6
     drawn = known.where(draw < F.when(F.col("y") == 1, sample / sizes[1]).otherwise(sample / sizes[0]))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= longest)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     # about 2 * sample rows of two numbers: sent to the tasks, so that no text is shuffled
     src = texts.join(F.broadcast(drawn), "id")
     rows = sorted((r["id"] if r["id"] is not None else -1, r["text"], r["y"]) for r in src.select("id", "text", "y").collect())
@@ -122,9 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 
 
 def score(docs: DataFrame, net: Net, text_col: str = "text", out: str = "score") -> DataFrame:
-    """Adds the probability of label 1 for every whole text; a null text counts as empty. A column of this name is replaced."""
-    keep = [c for c in docs.columns if c != out]
-    src = docs.select(*(F.col(f"`{c}`") for c in keep))
+    """Adds the probability of label 1 for every whole text; a null text counts as empty. A column of this name, in upper or lower case, is replaced."""
+    src = drop_columns(docs, out)
+    keep = src.columns
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

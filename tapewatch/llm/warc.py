@@ -2,7 +2,9 @@
 
 Every record is a gzip member of its own. Members are written by Spark's text writer, so that its commit protocol
 covers the archives: the last byte of a member (the top byte of its length, zero below 16 MiB) is the line separator;
-a longer member is followed by one zero byte of padding, which readers skip.
+a longer member is followed by one zero byte of padding, which readers skip. An archive ends with the member that
+brings it to FILE_BYTES. The reader inflates a member in pieces and looks for each next magic or version line once, so
+that its time follows the archive's length.
 """
 
 from __future__ import annotations
@@ -18,12 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import scratch, written
+from tapewatch.llm.common import scratch, write_files, written
 
 READ = (
     "path string, offset long, length long, kind string, problem string, record_type string, record_id string, page_id long, target_uri string, "
     "payload_digest string, payload_bytes long, refers_to_id string, refers_to long, payload binary"
 )
+#: An archive ends with the record that brings it to so many bytes; a member is inflated so many bytes at a time.
+FILE_BYTES, PIECE = 128 << 20, 1 << 16
+#: Bytes in which the header of an uncompressed record ends.
+MOST_HEADER = 1 << 20
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _SPACE = 0x7461706577 << 88
 
@@ -73,7 +79,7 @@ def member(data: bytes, level: int = 6) -> bytes:
     return out if out[-1] == 0 else out + b"\0"
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", body_col: str = "html", level: int = 4, max_records: int = 20_000) -> None:
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", body_col: str = "html", level: int = 4, file_bytes: int = FILE_BYTES) -> None:
     """Writes one record for each page (null body: empty payload).
 
     Of pages with equal payloads of at least `min_revisit_bytes`, the one with the largest id is the response and
@@ -86,15 +92,18 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date
     marked = src.join(winners, "sha", "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("winner"), F.col("winner")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
         for b in batches:
-            out = []
+            rows = []
             for page, url, data, ref in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 raw = data.as_py()
-                out.append(member(record(page, url, raw, sha1_32(raw), ref, date), level)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+                out = member(record(page, url, raw, sha1_32(raw), ref, date), level)[:-1]
+                rows.append((total // file_bytes, 0, out))
+                total += len(out) + 1
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["seg", "k", "data"])
 
-    lines = marked.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
-    lines.write.option("lineSep", "\0").option("maxRecordsPerFile", max_records).text(path)
+    write_files(marked.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "seg int, k long, data binary"), path)
 
 
 def parse(data: bytes) -> dict:
@@ -131,23 +140,28 @@ def parse(data: bytes) -> dict:
 def _at(data: bytes, at: int) -> tuple[dict, int]:
     """The record at a byte, and the byte after it."""
     if data.startswith(MAGIC, at):
-        z = zlib.decompressobj(31)
+        z, parts, end, view = zlib.decompressobj(31), [], at, memoryview(data)
         try:
-            plain = z.decompress(memoryview(data)[at:])
+            while not z.eof and end < len(data):
+                parts.append(z.decompress(view[end : end + PIECE]))
+                end = min(end + PIECE, len(data))
         except zlib.error as e:
             raise ValueError(f"gzip member: {e}") from None
         if not z.eof:
             raise ValueError("gzip member is cut short")
+        plain = b"".join(parts)
         fields = parse(plain)
         if fields["size"] != len(plain):
             raise ValueError("more bytes in the member than the record has")
-        return fields, len(data) - len(z.unused_data)
+        return fields, end - len(z.unused_data)
     if data.startswith(VERSION, at):
-        stop = data.find(b"\r\n\r\n", at)
+        stop = data.find(b"\r\n\r\n", at, at + MOST_HEADER)
         said = re.search(rb"(?i)\r\ncontent-length:\s*([0-9]{1,18})\s*\r\n", data[at : stop + 2]) if stop >= 0 else None
         if not said:
             raise ValueError("no header end or Content-Length")
         end = stop + 8 + int(said[1])
+        if data[end - 4 : end] != b"\r\n\r\n":
+            raise ValueError("block does not end where Content-Length says")
         return parse(data[at:end]), end
     raise ValueError("neither a gzip member nor a version line")
 
@@ -159,6 +173,7 @@ def salvage(data: bytes) -> Iterator[dict]:
     checks; the bytes between are one gap, with the first check that failed.
     """
     at, bad, why = 0, -1, ""
+    ahead = {MAGIC: -1, VERSION: -1}  # where each stands next; looked for again only once it lies behind
     while at < len(data):
         if data[at] == 0 and bad < 0:  # padding
             at += 1
@@ -168,8 +183,11 @@ def salvage(data: bytes) -> Iterator[dict]:
         except ValueError as e:
             if bad < 0:
                 bad, why = at, str(e)
-            tries = [k for k in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if k >= 0]
-            at = min(tries, default=len(data))
+            for mark, k in ahead.items():
+                if k <= at:
+                    k = data.find(mark, at + 1)
+                    ahead[mark] = k if k >= 0 else len(data)
+            at = min(ahead.values())
             continue
         if bad >= 0:
             yield {"kind": "gap", "offset": bad, "length": at - bad, "problem": why}

@@ -144,3 +144,26 @@ def test_very_long_text_and_repeated_rows(spark):
     assert got.columns == ["doc_id", "text", "score"]
     rows = got.collect()
     assert len(rows) == 3 and rows[0].score == rows[1].score and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_more_languages_than_any_cap(spark):
+    """70 languages are all learned, and a text of five languages shares out in five parts."""
+    rng = random.Random(5)
+    syl = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(12)] for k in range(70)}
+    say = lambda lang, n: " ".join("".join(rng.choices(syl[lang], k=2)) for _ in range(n))
+    rows = [(k * 10 + j, say(f"l{k:02}", 60), f"l{k:02}") for k in range(70) for j in range(4)]
+    mixed = " ".join([say("l03", 120), say("l64", 60), say("l65", 60), say("l66", 60), say("l67", 60)])
+    docs = spark.createDataFrame([*rows, (5000, mixed, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert all(got[i][0] == lang for i, _, lang in rows)
+    assert got[5000][0] == "l03" and 0.28 < got[5000][1] < 0.4
+
+
+def test_long_documents_are_learned_from(spark):
+    """Labelled documents of several hundred chunks take part; a column that clashes in another case is replaced."""
+    long = lambda up: (words("aa", 9000).upper() if up else words("aa", 9000))
+    docs = spark.createDataFrame([(i, long(i % 2 == 0), 1) for i in range(24)], "doc_id long, text string, Score int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id long, label int")
+    got = quality_cnn.score(docs, quality_cnn.fit(docs, labels))
+    assert got.columns == ["doc_id", "text", "score"]
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in got.collect())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,14 +69,47 @@ def pending_order(jobs: DataFrame, capacity: int) -> DataFrame:
 def sample_metrics(metrics: DataFrame, every_seconds: int = 30) -> DataFrame:
     """Snapshots of the first tick and then of each tick at least `every_seconds` after the last one kept.
 
-    The greedy choice runs over the distinct ticks of a day, so days are independent and spread over the cluster.
+    One clock runs over all days. For each day, and each tick at which its choice may start, the last tick kept is
+    worked out; a fold over these few rows a day tells where each day starts.
     """
+    every = every_seconds * 1000
     day = F.floor(F.col("timestamp_ms") / 86_400_000)
-    ticks = metrics.select("timestamp_ms").distinct().groupBy(day.alias("day")).agg(F.array_sort(F.collect_set("timestamp_ms")).alias("all"))
-    state = F.struct(F.lit(None).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda s, t: F.when(s["at"].isNotNull() & (t - s["at"] < every_seconds * 1000), s).otherwise(F.struct(t.alias("at"), F.concat(s["out"], F.array(t)).alias("out")))
-    kept = ticks.select(F.explode(F.aggregate("all", state, step, lambda s: s["out"])).alias("timestamp_ms"))
-    return metrics.join(kept, "timestamp_ms", "left_semi")
+    ticks = metrics.select(day.alias("day"), "timestamp_ms").distinct()
+
+    def options(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["timestamp_ms"].to_numpy())
+        after = np.searchsorted(t, t + every)
+        rows = []
+        for k in range(min(len(t), int(np.searchsorted(t, t[0] + every)) + 1)):
+            last = k
+            while after[last] < len(t):
+                last = after[last]
+            rows.append((int(pdf["day"].iloc[0]), int(t[k]), int(t[last])))
+        return pd.DataFrame(rows, columns=["day", "start", "last"])
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, at = [], None
+        for d, own in pdf.sort_values(["day", "start"]).groupby("day"):
+            fit = own if at is None else own[own["start"] >= at + every]
+            if len(fit):
+                rows.append((int(d), int(fit["start"].iloc[0])))
+                at = int(fit["last"].iloc[0])
+        return pd.DataFrame(rows, columns=["day", "start"])
+
+    def kept(key: tuple, own: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(begin):
+            t = np.sort(own["timestamp_ms"].to_numpy())
+            k = int(np.searchsorted(t, begin["start"].iloc[0]))
+            while k < len(t):
+                out.append(int(t[k]))
+                k = int(np.searchsorted(t, t[k] + every))
+        return pd.DataFrame({"timestamp_ms": pd.Series(out, dtype="int64")})
+
+    found = ticks.groupBy("day").applyInPandas(options, "day long, start long, last long")
+    starts = found.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(fold, "day long, start long")  # a few rows a day
+    chosen = ticks.groupBy("day").cogroup(starts.groupBy("day")).applyInPandas(kept, "timestamp_ms long")
+    return metrics.join(chosen, "timestamp_ms", "left_semi")
 
 
 def latest_per_key(old: DataFrame | None, new: DataFrame, keys: list[str], version: str = "sequence") -> DataFrame:

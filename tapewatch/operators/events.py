@@ -14,15 +14,33 @@ def notional() -> Column:
     return F.col("price") * F.col("quantity")
 
 
+#: Arrivals of one chunk of a series; chunks are sorted in tasks of their own.
+CHUNK = 1 << 20
+
+
+def running_max(df: DataFrame, keys: list[str], value: Column, out: str, chunk: int = CHUNK) -> DataFrame:
+    """Adds the largest value so far in arrival order, this row included, for each combination of keys.
+
+    Series are cut into chunks of `chunk` arrival numbers. Within a chunk the maximum runs over its own rows; what came
+    before is one row for each chunk, so that no task sorts a whole series. Nulls count as nothing.
+    """
+    rows = df.withColumn("__chunk", F.floor(F.col("arrival_seq") / chunk)).withColumn("__value", value)
+    per = rows.groupBy(*keys, "__chunk").agg(F.max("__value").alias("__top"))
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "__chunk", F.max("__top").over(before).alias("__before"))
+    own = Window.partitionBy(*keys, "__chunk").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("__own", F.max("__value").over(own)).join(per, [*keys, "__chunk"])
+    return met.withColumn(out, F.greatest("__own", "__before")).select(*df.columns, out)
+
+
 def _dedup(df: DataFrame, keys: list[str], horizon_ms: int) -> DataFrame:
     """Keeps an event unless its id was accepted less than the horizon before the newest event so far.
 
     Ids that are null or empty are never duplicates. `max_ms` runs over arrival order; an id that was already older
     than the horizon when it arrived is passed and not remembered.
     """
-    order = Window.partitionBy(*keys).orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
     named = F.col("event_id").isNotNull() & (F.col("event_id") != "")
-    seen = df.withColumn("__max", F.max("timestamp_ms").over(order)).withColumn("__late", F.col("timestamp_ms") < F.col("__max") - horizon_ms)
+    seen = running_max(df, keys, F.col("timestamp_ms"), "__max").withColumn("__late", F.col("timestamp_ms") < F.col("__max") - horizon_ms)
     before = Window.partitionBy(*keys, "event_id", "__late").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max("timestamp_ms").over(before)
     again = named & ~F.col("__late") & last.isNotNull() & (last >= F.col("__max") - horizon_ms)
@@ -34,17 +52,27 @@ def dedup_trades(df: DataFrame, horizon_seconds: int = 120) -> DataFrame:
     return _dedup(df, SERIES, horizon_seconds * 1000)
 
 
-def dedup_liquidations(df: DataFrame, horizon_seconds: int = 4500) -> DataFrame:
-    """Drops repeated liquidation ids over all venues: one row per id, the first to arrive; rows without an id stay.
+def dedup_liquidations(df: DataFrame, horizon_seconds: int = 4500, chunk: int = CHUNK) -> DataFrame:
+    """Drops repeated liquidation ids over all venues in arrival order; rows without an id stay.
 
-    Ids are spread over the cluster by their own hash, so no task sees all events. Ids older than the horizon at
-    arrival, measured against the newest liquidation with the same id, count as new.
+    The cutoff of a row is the newest time so far, over all rows with an id, less the horizon. An accepted id is
+    remembered until the cutoff passes the newest time at its arrival; a row already behind its cutoff is not
+    remembered. Ids are spread over the cluster by their own hash; an id's times, not its rows, are folded.
     """
     named = F.col("event_id").isNotNull() & (F.col("event_id") != "")
-    before = Window.partitionBy("event_id").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max("timestamp_ms").over(before)
-    fresh = df.where(named).withColumn("__last", last).where(F.col("__last").isNull() | (F.col("__last") < F.col("timestamp_ms") - horizon_seconds * 1000)).drop("__last")
-    return fresh.unionByName(df.where(~named))
+    seen = running_max(df.where(named).withColumn("__all", F.lit(0)), ["__all"], F.col("timestamp_ms"), "__max", chunk).drop("__all")
+    horizon = horizon_seconds * 1000
+    row = F.struct(F.col("arrival_seq").alias("seq"), F.col("__max").alias("top"), (F.col("timestamp_ms") < F.col("__max") - horizon).alias("late"))
+    rows = seen.groupBy("event_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    state = F.struct(F.lit(None).cast("long").alias("top"), F.array().cast("array<long>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        again = F.coalesce(s["top"] >= x["top"] - horizon, F.lit(False))
+        taken = F.struct(F.when(x["late"], s["top"]).otherwise(x["top"]).alias("top"), F.concat(s["out"], F.array(x["seq"])).alias("out"))
+        return F.when(again, s).otherwise(taken)
+
+    kept = rows.select("event_id", F.explode(F.aggregate("rows", state, step, lambda s: s["out"])).alias("arrival_seq"))
+    return df.where(named).join(kept, ["event_id", "arrival_seq"], "left_semi").select(*df.columns).unionByName(df.where(~F.coalesce(named, F.lit(False))))
 
 
 def bucket_columns() -> list[Column]:
@@ -74,26 +102,26 @@ def bucketize(trades: DataFrame, bucket_seconds: int = 5) -> DataFrame:
 def drop_late(trades: DataFrame, retention_seconds: int = 4500, bucket_seconds: int = 5) -> DataFrame:
     """Drops trades whose bucket starts more than the retention before the series' newest trade at their arrival."""
     ms = bucket_seconds * 1000
-    order = Window.partitionBy(*SERIES).orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("timestamp_ms") - F.pmod("timestamp_ms", F.lit(ms))
-    return trades.withColumn("__max", F.max("timestamp_ms").over(order)).where(F.col("__max") - start <= retention_seconds * 1000).drop("__max")
+    return running_max(trades, SERIES, F.col("timestamp_ms"), "__max").where(F.col("__max") - start <= retention_seconds * 1000).drop("__max")
 
 
 def data_age(trades: DataFrame, now_ms: Column | int) -> DataFrame:
     """Seconds since the newest trade of each series, by event time or by the receipt of a trade that moved it, the larger one."""
     now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
-    order = Window.partitionBy(*SERIES).orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
-    moved = trades.withColumn("__front", F.max("timestamp_ms").over(order)).where(F.col("timestamp_ms") >= F.col("__front"))
+    moved = running_max(trades, SERIES, F.col("timestamp_ms"), "__front").where(F.col("timestamp_ms") >= F.col("__front"))
     latest = moved.groupBy(*SERIES).agg(F.max("timestamp_ms").alias("last_event_ms"), F.max_by("received_wall_ms", "arrival_seq").alias("last_received_ms"))
     age = lambda c: F.greatest((now - F.col(c)) / 1000.0, F.lit(0.0))
     return latest.withColumn("data_age_seconds", F.greatest(age("last_event_ms"), age("last_received_ms")))
 
 
 def order_liquidations(liqs: DataFrame, retention_seconds: int = 4500) -> DataFrame:
-    """Liquidations within the retention of the newest one of their symbol, numbered in time order (ties: arrival)."""
-    newest = F.max("timestamp_ms").over(Window.partitionBy("symbol"))
-    kept = liqs.withColumn("__newest", newest).where(F.col("timestamp_ms") >= F.col("__newest") - retention_seconds * 1000).drop("__newest")
-    return kept.withColumn("position", F.row_number().over(Window.partitionBy("symbol").orderBy("timestamp_ms", "arrival_seq")))
+    """Liquidations within the retention of the newest one with an id, of any series, numbered in time order (ties:
+    arrival) for each exchange and symbol."""
+    named = F.col("event_id").isNotNull() & (F.col("event_id") != "")
+    newest = liqs.agg(F.coalesce(F.max(F.when(named, F.col("timestamp_ms"))), F.max("timestamp_ms")).alias("__newest"))  # one row
+    kept = liqs.crossJoin(F.broadcast(newest)).where(F.col("timestamp_ms") >= F.col("__newest") - retention_seconds * 1000).drop("__newest")
+    return kept.withColumn("position", F.row_number().over(Window.partitionBy(*SERIES).orderBy("timestamp_ms", "arrival_seq")))
 
 
 def restore_buckets(saved: DataFrame, allowed: DataFrame, now_ms: int, saved_ms: int, bucket_seconds: int = 5, retention_seconds: int = 4500, skew_seconds: int = 5, max_age_seconds: int = 3600) -> DataFrame:

@@ -6,6 +6,8 @@ a rule tells a wrong type from a missing value, the raw token is looked at as a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ INSTANCE = (
     "struct<ok:boolean,evidence_complete:boolean,evidence_errors:array<string>,runtime_started_ms:bigint,uptime_seconds:double,readiness:struct<ready:boolean,state:string,reasons:array<string>>,queue_size:bigint,queue_capacity:bigint,"
     f"feeds:map<string,{FEED}>,expected_tasks:array<string>,tasks:map<string,{TASK}>,queue_health:struct<high_water:bigint,drops_total:bigint,drops_since_last_health_check:bigint,consumer_lag_seconds:double,utilization:double>,"
     "clock_health:struct<future_events_quarantined:bigint,clock_adjustments:bigint,last_quarantine_ms:bigint>,alarm_delivery:struct<enabled:boolean,local_queue_depth:bigint,counts:map<string,bigint>>,"
-    f"checkpoint_health:struct<enabled:boolean,age_seconds:double,failures:bigint,last_failure_ms:bigint>,markets:array<{MARKET}>>"
+    f"checkpoint_health:struct<enabled:boolean,healthy:boolean,last_success_age_seconds:double,age_seconds:double,failures:bigint,last_failure_ms:bigint>,markets:array<{MARKET}>>"
 )
 CONTAINER = "struct<observed:boolean,present:boolean,running:boolean,status:string,health:string,restart_count:bigint,container_id:string,started_at:string>"
 SAMPLE = f"struct<timestamp:string,monitor_gap_seconds:double,primary:{INSTANCE},shadow:{INSTANCE},docker:{CONTAINER}>"
@@ -98,7 +100,9 @@ def _wrong_optional(raw: Column, path: str, ok: tuple[str, ...]) -> Column:
     return F.coalesce(kind.isNotNull() & ~kind.isin("VOID", *ok) & ~kind.startswith("DECIMAL"), F.lit(False))
 
 
-BASE_TASKS = ["consumer", "detector", "health"]
+# The tasks that every instance runs, and the one that it runs where checkpoints are enabled.
+BASE_TASKS = ["event-consumer", "detector", "health-monitor", "maintenance", "alert-workers"]
+CHECKPOINT_TASK = "state-checkpoint"
 
 
 def status_errors(i: Column, raw: Column) -> Column:
@@ -151,7 +155,7 @@ def instance_evidence_errors(samples: DataFrame) -> DataFrame:
     """
     rows = instances(samples)
     i = F.col("i")
-    want = F.array_union(F.array_union(F.array(*(F.lit(t) for t in BASE_TASKS)), F.transform(F.map_keys(i["feeds"]), lambda f: F.concat(F.lit("feed-"), f))), F.when(i["checkpoint_health"]["enabled"], F.array(F.lit("checkpoint"))).otherwise(F.array().cast("array<string>")))
+    want = F.array_union(F.array_union(F.array(*(F.lit(t) for t in BASE_TASKS)), F.transform(F.map_keys(i["feeds"]), lambda f: F.concat(F.lit("feed-"), f))), F.when(i["checkpoint_health"]["enabled"], F.array(F.lit(CHECKPOINT_TASK))).otherwise(F.array().cast("array<string>")))
     tasks_differ = F.array_sort(want) != F.array_sort(F.array_distinct(i["expected_tasks"]))
     eligible = F.exists(i["markets"], lambda m: F.size(F.filter(F.map_values(m["venue_readiness"]), lambda v: F.coalesce(v["alert_eligible"], F.lit(False)))) != m["ready_venues"])
     more = F.array_compact(F.array(
@@ -207,34 +211,68 @@ def max_rollups(samples: DataFrame) -> DataFrame:
         "symbol_age": F.coalesce(F.array_max(F.transform(F.map_values(i["feeds"]), lambda f: most(f["symbols"], "message_age_seconds"))), F.lit(0.0)),
         "task_heartbeat_age": most(i["tasks"], "heartbeat_age_seconds"), "queue_size": one(i["queue_size"]), "queue_high_water": one(i["queue_health"]["high_water"]), "queue_drops": one(i["queue_health"]["drops_total"]),
         "queue_lag": one(i["queue_health"]["consumer_lag_seconds"]), "queue_utilization": one(i["queue_health"]["utilization"]), "future_events": one(i["clock_health"]["future_events_quarantined"]), "clock_adjustments": one(i["clock_health"]["clock_adjustments"]),
-        "alarm_depth": one(i["alarm_delivery"]["local_queue_depth"]), "alarm_failures": one(F.element_at(i["alarm_delivery"]["counts"], "failure")), "checkpoint_age": one(i["checkpoint_health"]["age_seconds"]), "checkpoint_failures": one(i["checkpoint_health"]["failures"]),
+        "alarm_depth": one(i["alarm_delivery"]["local_queue_depth"]), "alarm_failures": one(F.element_at(i["alarm_delivery"]["counts"], "failure")), "checkpoint_age": one(i["checkpoint_health"]["last_success_age_seconds"]), "checkpoint_failures": one(i["checkpoint_health"]["failures"]),
     }
     return instances(samples).where("i is not null").agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(f"max_{n}") for n, c in cols.items()))
 
 
-def summarize(rows: DataFrame, g: Gate = Gate()) -> DataFrame:
-    """One row with everything the gate looks at. Each part is an aggregate of its own, so the joins are of single rows."""
+def summarize(rows: DataFrame, g: Gate = Gate(), counts: DataFrame | None = None) -> DataFrame:
+    """One row with everything the gate looks at; `counts` is the row of read_evidence that tells the invalid lines.
+
+    Each part is an aggregate of its own, so the joins are of single rows.
+    """
     kept, duplicates = dedup_samples(rows)
     s = parsed(kept)
-    per_instance = failure_counts(s).agg(F.sum("failures").alias("failures"), F.max("longest_run").alias("longest_failure_run"))
-    errors = instance_evidence_errors(s).agg(F.count_if(F.size("errors") > 0).alias("instance_errors"))
-    boxes = container_evidence_errors(s).agg(F.count_if(F.size("errors") > 0).alias("container_errors"))
-    parts = [coverage(kept, g.interval_seconds), duplicates, per_instance, monitor_gaps(s, g.interval_seconds), runtime_restarts(s).agg(F.coalesce(F.sum("restarts"), F.lit(0)).alias("runtime_restarts")), container_restarts(s).withColumnRenamed("restarts", "container_restarts"), errors, boxes, detector_readiness(s), max_rollups(s)]
+    of = lambda name, value: F.coalesce(F.sum(F.when(F.col("instance") == name, value)), F.lit(0)).alias
+    both = ("primary", "shadow")
+    failures = failure_counts(s).agg(*(of(n, F.col("failures"))(f"{n}_failures") for n in both), F.max("longest_run").alias("longest_failure_run"))
+    errors = instance_evidence_errors(s).agg(*(of(n, (F.size("errors") > 0).cast("int"))(f"{n}_evidence_failures") for n in both))
+    restarts = runtime_restarts(s).agg(*(of(n, F.col("restarts"))(f"{n}_restarts") for n in both))
+    boxes = container_evidence_errors(s).agg(F.count_if(F.size("errors") > 0).alias("container_evidence_failures"))
+    samples = s.agg(F.count_if(_bad_number(F.col("s.monitor_gap_seconds"))).alias("malformed_gaps"), F.coalesce(F.max(F.when(F.col("s.docker.restart_count") >= 0, F.col("s.docker.restart_count"))), F.lit(0)).alias("container_restart_count"))
+    checkpoint = F.col("i.checkpoint_health")
+    unhealthy = F.coalesce(checkpoint["enabled"], F.lit(False)) & ~F.coalesce(checkpoint["healthy"], F.lit(False))
+    checkpoints = instances(s).agg(F.count_if(unhealthy).alias("checkpoint_unhealthy_samples"))
+    parts = [
+        coverage(kept, g.interval_seconds), duplicates, failures, errors, boxes, samples, monitor_gaps(s, g.interval_seconds), restarts,
+        container_restarts(s).withColumnRenamed("restarts", "container_identity_restarts"), checkpoints, detector_readiness(s), max_rollups(s),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)  # single rows
-    return out
+    return out.withColumn("invalid_rows", F.lit(0).cast("long")) if counts is None else out.crossJoin(counts.select(F.col("invalid").alias("invalid_rows")))
 
 
 def gate(summary: DataFrame, g: Gate = Gate()) -> DataFrame:
-    """The verdict: ordered reasons, pass iff there are none; without samples it fails for that alone."""
+    """The verdict: ordered reasons with their counts, pass iff there are none; without samples it fails for that alone."""
     c = F.col
+
+    def told(text: str, *names: str, bad: Column | None = None) -> Column:
+        some = bad if bad is not None else reduce(lambda a, b: a | b, (c(n) > 0 for n in names))
+        return F.when(F.coalesce(some, F.lit(False)), F.format_string(text, *(c(n).cast("long") for n in names)))
+
+    hours = F.format_string("duration %.2fh is below %.2fh", c("duration_seconds") / 3600, F.lit(float(g.hours)))
+    share = F.format_string("sample coverage %.1f%% is below %.1f%%", c("coverage") * 100, F.lit(g.min_coverage * 100))
     reasons = [
-        (c("duration_seconds") < g.hours * 3600, "soak too short"), (c("coverage") < g.min_coverage, "sample coverage too low"), (c("duplicates") > 0, "duplicate timestamps"), (c("failures") > 0, "failed samples"),
-        (c("gaps") > 0, "monitor gaps"), (c("runtime_restarts") > 0, "runtime restarts"), (c("container_restarts") > 0, "container restarts"), (c("instance_errors") > 0, "invalid instance evidence"), (c("container_errors") > 0, "invalid container evidence"),
-        (c("unready_samples") > 0, "detector not ready"), (c("max_feed_drops") > 0, "feed drops"), (c("max_queue_drops") > 0, "queue drops"), (c("max_alarm_failures") > 0, "alarm failures"), (c("max_checkpoint_failures") > 0, "checkpoint failures"),
-    ]
-    listed = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), text) for bad, text in reasons)))
-    why = F.when(c("samples") == 0, F.array(F.lit("no valid soak samples"))).otherwise(listed)
+        F.when(c("duration_seconds") < g.hours * 3600, hours),
+        F.when(c("coverage") < g.min_coverage, share),
+        told("%d duplicate timestamp sample(s)", "duplicates"),
+        told("%d primary failure sample(s)", "primary_failures"),
+        told("%d shadow failure sample(s)", "shadow_failures"),
+        told("%d incomplete primary evidence sample(s)", "primary_evidence_failures"),
+        told("%d incomplete shadow evidence sample(s)", "shadow_evidence_failures"),
+        told("%d absent, unobserved, or unhealthy Docker sample(s)", "container_evidence_failures"),
+        told("%d malformed monitor-gap sample(s)", "malformed_gaps"),
+        told("%d monitoring gap(s)", "gaps"),
+        told("drop counter reached %d feed / %d market queue", "max_feed_drops", "max_queue_drops"),
+        told("future-event quarantine counter reached %d", "max_future_events"),
+        told("clock adjustment counter reached %d", "max_clock_adjustments"),
+        told("local alarm failure counter reached %d", "max_alarm_failures"),
+        told("%d unhealthy checkpoint sample(s)", "checkpoint_unhealthy_samples"),
+        told("%d detector-unready instance sample(s)", "unready_samples"),
+        told("runtime restarts observed: primary %d, shadow %d, container counter %d, container identity %d", "primary_restarts", "shadow_restarts", "container_restart_count", "container_identity_restarts"),
+        told("%d invalid JSONL row(s)", "invalid_rows"),
+    ]
+    why = F.when(c("samples") == 0, F.array(F.lit("no valid soak samples"))).otherwise(F.array_compact(F.array(*reasons)))
     out = summary.withColumn("reasons", why).withColumn("passed", F.size("reasons") == 0)
     return out.withColumns({"coverage": F.round("coverage", 6), "duration_seconds": F.round("duration_seconds", 3), "largest_gap_seconds": F.round("largest_gap_seconds", 3), "min_ready_ratio": F.round("min_ready_ratio", 6)})

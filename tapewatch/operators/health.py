@@ -60,6 +60,13 @@ def _episodes(history: DataFrame, keys: list[str], bad: Column) -> DataFrame:
     return history.withColumn("bad", bad).withColumn("was_bad", F.lag("bad").over(order))
 
 
+def _told(back: Column, what: str, name: Column) -> tuple[Column, Column]:
+    """Category and key: those of the problem, or of the return, whose key also has the time."""
+    category = F.when(back, f"{what}_recovery").otherwise(f"{what}_health")
+    again = F.concat(name, F.lit(":recovered:"), F.col("timestamp_ms").cast("string"))
+    return category, F.when(back, again).otherwise(F.concat(name, F.lit(":unhealthy")))
+
+
 def feed_health_alerts(history: DataFrame, stale_seconds: float) -> DataFrame:
     """Alerts from sampled feed health (exchange, timestamp_ms, healthy, age_seconds).
 
@@ -70,7 +77,10 @@ def feed_health_alerts(history: DataFrame, stale_seconds: float) -> DataFrame:
     first = F.col("bad") & ~F.coalesce("was_bad", F.lit(False))
     back = ~F.col("bad") & F.coalesce("was_bad", F.lit(False))
     severity = F.when(back, "info").when(F.col("age_seconds") > 3 * stale_seconds, "critical").otherwise("warning")
-    return e.where(F.col("bad") | back).select("timestamp_ms", "exchange", severity.alias("severity"), F.lit("feed_health").alias("category"), F.concat_ws(":", F.lit("feed_health"), "exchange", F.when(back, F.lit("recovery"))).alias("dedup_key"), (first | back).alias("bypass"))
+    category, key = _told(back, "feed", F.concat(F.lit("health:"), "exchange"))
+    return e.where(F.col("bad") | back).select(
+        "timestamp_ms", "exchange", severity.alias("severity"), category.alias("category"), F.lit("SYSTEM").alias("symbol"), key.alias("dedup_key"), (first | back).alias("bypass")
+    )
 
 
 def pipeline_health_alerts(samples: DataFrame, interval_seconds: float) -> DataFrame:
@@ -86,7 +96,11 @@ def pipeline_health_alerts(samples: DataFrame, interval_seconds: float) -> DataF
     severity = F.when((F.col("new_drops") > 0) | (use >= 0.95) | (F.col("lag_seconds") > 3 * lag_limit), "critical").when((use >= 0.8) | (F.col("lag_seconds") > lag_limit), "warning")
     e = _episodes(s.withColumn("severity", severity), ["source"], F.col("severity").isNotNull())
     first, back = F.col("bad") & ~F.coalesce("was_bad", F.lit(False)), ~F.col("bad") & F.coalesce("was_bad", F.lit(False))
-    return e.where(F.col("bad") | back).select("timestamp_ms", "source", F.when(back, "info").otherwise(F.col("severity")).alias("severity"), F.lit("pipeline_health").alias("category"), F.concat_ws(":", F.lit("pipeline_health"), "source", F.when(back, F.lit("recovery"))).alias("dedup_key"), (first | back | (F.col("new_drops") > 0)).alias("bypass"), "utilization", "new_drops")
+    category, key = _told(back, "runtime", F.lit("runtime:market-queue"))
+    return e.where(F.col("bad") | back).select(
+        "timestamp_ms", "source", F.when(back, "info").otherwise(F.col("severity")).alias("severity"), category.alias("category"), F.lit("SYSTEM").alias("symbol"), key.alias("dedup_key"),
+        (first | back | (F.col("new_drops") > 0)).alias("bypass"), "utilization", "new_drops",
+    )
 
 
 def continuity_episodes(metrics: DataFrame, freshness_seconds: float) -> DataFrame:

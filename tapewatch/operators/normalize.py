@@ -150,20 +150,35 @@ def clock_counters(kept: DataFrame, quarantined: DataFrame, event_type: str = "t
 
 
 def normalize_external_alerts(payloads: DataFrame) -> DataFrame:
-    """Alerts posted by others (columns payload, now_ms): defaults, cases, lengths, allowed values, time within [now - 300 s, now]."""
-    fields = "struct<severity:string,category:string,symbol:string,title:string,message:string,direction:string,dedup_key:string,timestamp_ms:string,exchanges:array<string>>"
+    """Alerts posted by others (columns payload, now_ms): defaults, cases, lengths, allowed values, time within [now - 300 s, now].
+
+    The source stands for the exchange. The key is the caller's or source:symbol:category:direction, always below
+    `external:`. Where the time was moved, metrics (values as text) tell so. Missing and null fields take defaults.
+    """
+    fields = (
+        "struct<severity:string,source:string,category:string,symbol:string,title:string,message:string,direction:string,"
+        "dedup_key:string,timestamp_ms:string,metrics:map<string,string>>"
+    )
     j = payloads.select("now_ms", F.from_json("payload", fields).alias("j"))
-    text = lambda name, default, n: F.substring(F.coalesce(_present(F.col(f"j.{name}")), F.lit(default)), 1, n)
-    sev, ts = F.lower(F.coalesce("j.severity", F.lit("warning"))), F.coalesce(F.col("j.timestamp_ms").try_cast("long"), F.col("now_ms"))
-    side = F.lower(F.coalesce("j.direction", F.lit("mixed")))
-    out = j.select(
-        "now_ms", F.when(sev.isin("info", "warning", "critical"), sev).otherwise("warning").alias("severity"), F.lower(text("category", "external", 80)).alias("category"),
-        F.upper(text("symbol", "MARKET", 40)).alias("symbol"), text("title", "External alert", 200).alias("title"), text("message", "", 4000).alias("message"),
-        F.when(side.isin("up", "down", "mixed"), side).otherwise("mixed").alias("direction"), F.least(F.greatest(ts, F.col("now_ms") - 300_000), F.col("now_ms")).alias("timestamp_ms"),
-        F.coalesce((ts < F.col("now_ms") - 300_000) | (ts > F.col("now_ms")), F.lit(False)).alias("timestamp_normalized"), F.coalesce("j.exchanges", F.array().cast("array<string>")).alias("exchanges"), _present(F.col("j.dedup_key")).alias("__key"),
+    told = j.select(
+        "now_ms", F.lower(F.coalesce("j.severity", F.lit("warning"))).alias("sev"), F.substring(F.coalesce("j.source", F.lit("external")), 1, 80).alias("source"),
+        F.substring(F.upper(F.coalesce("j.symbol", F.lit("MARKET"))), 1, 40).alias("symbol"), F.lower(F.coalesce("j.direction", F.lit("mixed"))).alias("side"),
+        F.substring(F.coalesce("j.category", F.lit("external")), 1, 80).alias("category"), "j.title", F.substring(F.coalesce("j.message", F.lit("External alert received.")), 1, 4000).alias("message"),
+        F.coalesce(F.nullif(F.col("j.timestamp_ms").try_cast("long"), F.lit(0)), F.col("now_ms")).alias("told_ms"), _present(F.col("j.dedup_key")).alias("key"),
+        F.coalesce("j.metrics", F.create_map().cast("map<string,string>")).alias("metrics"),
+    )
+    at = F.greatest(F.col("now_ms") - 300_000, F.least("told_ms", "now_ms"))
+    moved = at != F.col("told_ms")
+    mark = F.create_map(F.lit("_timestamp_normalized"), F.lit("true"))
+    rest = F.map_filter("metrics", lambda k, _: k != "_timestamp_normalized")
+    out = told.select(
+        F.when(F.col("sev").isin("info", "warning", "critical"), F.col("sev")).otherwise("warning").alias("severity"), "category", "symbol",
+        F.substring(F.coalesce("title", F.concat(F.lit("External alert: "), "symbol")), 1, 200).alias("title"), "message",
+        F.when(F.col("side").isin("up", "down", "mixed"), F.col("side")).otherwise("mixed").alias("direction"), at.alias("timestamp_ms"), moved.alias("timestamp_normalized"),
+        F.array("source").alias("exchanges"), F.when(moved, F.map_concat(rest, mark)).otherwise(F.col("metrics")).alias("metrics"), "source", "key",
     )
-    key = F.coalesce("__key", F.concat_ws(":", "category", "symbol", "title"))
-    return out.withColumn("dedup_key", F.substring(F.when(key.startswith("external:"), key).otherwise(F.concat(F.lit("external:"), key)), 1, 300)).drop("__key", "now_ms")
+    key = F.coalesce("key", F.concat_ws(":", "source", "symbol", "category", "direction"))
+    return out.withColumn("dedup_key", F.substring(F.concat(F.lit("external:"), key), 1, 300)).drop("key")
 
 
 def sanitize_json(col: Column, max_entries: int = 200, max_key: int = 100, max_value: int = 1000) -> Column:

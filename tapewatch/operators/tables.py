@@ -20,11 +20,13 @@ def list_alerts(alerts: DataFrame, limit: int = 100) -> DataFrame:
 def recent_dedup(alerts: DataFrame, jobs: DataFrame, cutoff_ms: int, limit: int | None = 10_000) -> DataFrame:
     """Keys whose newest row since the cutoff restores a cooldown: emitted alerts do, local jobs only after success.
 
-    At equal times a row that does not restore goes first.
+    An alert counts with its own time, a job with that of its last change. At equal times a row that does not restore
+    goes first.
     """
     plain = alerts.where((F.col("dedup_key") != "") & (F.col("timestamp_ms") >= cutoff_ms)).select("dedup_key", "timestamp_ms", "severity", F.lit(1).alias("restores"))
-    met = jobs.join(alerts.select(F.col("id").alias("alert_id"), "timestamp_ms", "severity"), "alert_id").where((F.col("original_dedup_key") != "") & (F.col("timestamp_ms") >= cutoff_ms))
-    local = met.select(F.col("original_dedup_key").alias("dedup_key"), "timestamp_ms", "severity", (F.col("status") == "success").cast("int").alias("restores"))
+    recent = jobs.where((F.col("original_dedup_key") != "") & (F.col("updated_ms") >= cutoff_ms))
+    met = recent.join(alerts.select(F.col("id").alias("alert_id"), "severity"), "alert_id")
+    local = met.select(F.col("original_dedup_key").alias("dedup_key"), F.col("updated_ms").alias("timestamp_ms"), "severity", (F.col("status") == "success").cast("int").alias("restores"))
     rows = plain.unionByName(local)
     if limit is not None:
         rows = rows.orderBy(F.desc("timestamp_ms"), "restores", "dedup_key").limit(limit)
@@ -107,9 +109,12 @@ def change_feed(alerts: DataFrame, cursor: str | None, epoch: str, limit: int =
     return rows, state.select(F.concat_ws(":", F.lit(epoch), "next").alias("cursor"), "has_more", F.lit(reason).cast("string").alias("reset_reason"))
 
 
-def alert_kind() -> Column:
-    c = F.col("category")
-    return F.when(c == "test", "test").when(c.startswith("monitoring") | c.isin("feed_health", "pipeline_health"), "monitoring").when((F.col("source") == "external") | F.col("dedup_key").startswith("external:"), "external").otherwise("market")
+def alert_kind(own_source: str = "detector") -> Column:
+    """test, monitoring, external (of another source than `own_source`) or market, looked at in this order."""
+    c = F.substring("category", 1, 80)
+    monitoring = c.isin("monitoring_gap", "feed_health", "runtime_health") | F.coalesce(F.col("symbol") == "SYSTEM", F.lit(False))
+    external = F.coalesce(F.col("source") != own_source, F.lit(True))
+    return F.when(c == "system_test", "test").when(monitoring, "monitoring").when(external, "external").otherwise("market")
 
 
 def feed_metadata(status: DataFrame) -> DataFrame:

@@ -123,5 +123,5 @@ SEVERITIES = ("info", "warning", "critical")
 class Gate:
     interval_seconds: float = 60.0
     hours: float = 1.0
-    min_coverage: float = 0.95
+    min_coverage: float = 0.98
     instances: tuple[str, ...] = field(default=("primary", "shadow"))

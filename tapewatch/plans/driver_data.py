@@ -127,7 +127,7 @@ def instruments(spark: SparkSession) -> DataFrame:
 
 ALERTS_SQL = """
 al AS (SELECT CAST(event_id AS VARCHAR) AS id, epoch_us(ts) // 1000 AS timestamp_ms, CASE WHEN event_type = 'purchase' THEN 'critical' WHEN event_type = 'view' THEN 'info' ELSE 'warning' END AS severity,
-  CASE WHEN event_id % 5 = 0 THEN 'liquidation' WHEN event_id % 7 = 0 THEN 'monitoring_gap' WHEN event_id % 11 = 0 THEN 'test' ELSE 'price' END AS category, ['BTCUSDT','ETHUSDT'][1 + user_id % 2] AS symbol,
+  CASE WHEN event_id % 5 = 0 THEN 'liquidation' WHEN event_id % 7 = 0 THEN 'monitoring_gap' WHEN event_id % 11 = 0 THEN 'system_test' ELSE 'price' END AS category, ['BTCUSDT','ETHUSDT'][1 + user_id % 2] AS symbol,
   'key:' || (user_id % 40) AS dedup_key, event_id AS sequence, CASE WHEN event_id % 13 = 0 THEN 'external' ELSE 'detector' END AS source, 'Alert ' || event_type AS title, coalesce(props, '') AS message FROM events WHERE ts IS NOT NULL),
 jb AS (SELECT CAST(event_id AS VARCHAR) AS alert_id, CAST(event_id % 3 AS INTEGER) AS priority, 'key:' || (user_id % 40) AS original_dedup_key, ['queued','attempt','success','failure'][1 + event_id % 4] AS status, CAST(event_id % 3 AS INTEGER) AS attempt, epoch_us(ts) // 1000 + 500 AS updated_ms FROM events WHERE ts IS NOT NULL AND event_id % 2 = 0),
 rc AS (SELECT event_id AS id, CAST(event_id // 3 AS VARCHAR) AS alert_id, epoch_us(ts) // 1000 AS timestamp_ms, ['local','push','hook'][1 + user_id % 3] AS channel, ['queued','attempt','success','failure'][1 + event_id % 4] AS status, CAST(event_id % 3 AS INTEGER) AS attempt FROM events WHERE ts IS NOT NULL)"""
@@ -138,7 +138,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     return e.select(
         k.cast("string").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), F.when(F.col("event_type") == "purchase", "critical").when(F.col("event_type") == "view", "info").otherwise("warning").alias("severity"),
-        F.when(k % 5 == 0, "liquidation").when(k % 7 == 0, "monitoring_gap").when(k % 11 == 0, "test").otherwise("price").alias("category"), F.when(F.col("user_id") % 2 == 0, "BTCUSDT").otherwise("ETHUSDT").alias("symbol"),
+        F.when(k % 5 == 0, "liquidation").when(k % 7 == 0, "monitoring_gap").when(k % 11 == 0, "system_test").otherwise("price").alias("category"), F.when(F.col("user_id") % 2 == 0, "BTCUSDT").otherwise("ETHUSDT").alias("symbol"),
         F.concat(F.lit("key:"), (F.col("user_id") % 40).cast("string")).alias("dedup_key"), k.alias("sequence"), F.when(k % 13 == 0, "external").otherwise("detector").alias("source"),
         F.concat(F.lit("Alert "), "event_type").alias("title"), F.coalesce("props", F.lit("")).alias("message"), F.array(F.when(F.col("user_id") % 3 == 0, "binance").otherwise("okx")).alias("exchanges"),
     )

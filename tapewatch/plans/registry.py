@@ -123,14 +123,22 @@ def _n11(s, d):
     return c.select("quarantined_total", "normalized_total", "last_quarantine_ms", F.size("by_feed").cast("long").alias("feeds"))
 
 
-@query("n12_normalize_external_alerts", """SELECT event_id, CASE WHEN event_type = 'error' THEN 'critical' ELSE 'warning' END AS severity, 'ext' AS category, upper('sym' || user_id) AS symbol, CASE WHEN event_id % 2 = 0 THEN 'up' ELSE 'mixed' END AS direction,
- least(greatest(x, now), now + 300000) AS timestamp_ms, 'external:k' || event_id AS dedup_key FROM (SELECT *, epoch_us(ts) // 1000 AS x, (SELECT max(epoch_us(ts) // 1000) FROM events) - 600000 AS now FROM events WHERE ts IS NOT NULL)""")
+@query("n12_normalize_external_alerts", """SELECT event_id, CASE WHEN event_type = 'error' THEN 'critical' ELSE 'warning' END AS severity, 'Ext' AS category, upper('sym' || user_id) AS symbol, CASE WHEN event_id % 2 = 0 THEN 'up' ELSE 'mixed' END AS direction,
+ greatest(now - 300000, least(x, now)) AS timestamp_ms, x < now - 300000 OR x > now AS moved, 'src' || user_id % 3 AS exchange, 'External alert: ' || upper('sym' || user_id) AS title, 'm' || event_id AS message,
+ 'external:' || CASE WHEN event_id % 3 = 0 THEN 'external:k' || event_id ELSE 'src' || user_id % 3 || ':' || upper('sym' || user_id) || ':Ext:' || CASE WHEN event_id % 2 = 0 THEN 'up' ELSE 'mixed' END END AS dedup_key
+ FROM (SELECT *, epoch_us(ts) // 1000 AS x, (SELECT max(epoch_us(ts) // 1000) FROM events) - 300000 AS now FROM events WHERE ts IS NOT NULL)""")
 def _n12(s, d):
     e = s.read.parquet(f"{d}/events.parquet").where("ts is not null").withColumn("x", F.unix_millis(F.col("ts").cast("timestamp")))
     last = e.agg(F.max("x")).first()[0]
-    body = F.struct(F.when(F.col("event_type") == "error", "CRITICAL").otherwise("odd").alias("severity"), F.lit("EXT").alias("category"), F.concat(F.lit("sym"), "user_id").alias("symbol"), F.when(F.col("event_id") % 2 == 0, "UP").otherwise("sideways").alias("direction"), F.col("x").alias("timestamp_ms"), F.concat(F.lit("k"), "event_id").alias("dedup_key"))
+    k = F.col("event_id")
+    body = F.struct(
+        F.when(F.col("event_type") == "error", "CRITICAL").otherwise("odd").alias("severity"), F.lit("Ext").alias("category"), F.concat(F.lit("sym"), "user_id").alias("symbol"),
+        F.when(k % 2 == 0, "UP").otherwise("sideways").alias("direction"), F.col("x").alias("timestamp_ms"), F.when(k % 3 == 0, F.concat(F.lit("external:k"), k)).alias("dedup_key"),
+        F.concat(F.lit("src"), F.col("user_id") % 3).alias("source"), F.concat(F.lit("m"), k).alias("message"),
+    )
     got = N.normalize_external_alerts(e.select(F.to_json(body).alias("payload"), F.lit(last - 300_000).alias("now_ms")))
-    return got.select(F.substring("dedup_key", 11, 30).cast("long").alias("event_id"), "severity", "category", "symbol", "direction", "timestamp_ms", "dedup_key")
+    moved = F.coalesce(F.element_at("metrics", "_timestamp_normalized") == "true", F.lit(False))
+    return got.select(F.substring("message", 2, 30).cast("long").alias("event_id"), "severity", "category", "symbol", "direction", "timestamp_ms", moved.alias("moved"), F.col("exchanges")[0].alias("exchange"), "title", "message", "dedup_key")
 
 
 @query("n13_sanitize_numbers", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE round(value, 6) END AS a, round(value, 6) AS b FROM events")
@@ -170,13 +178,13 @@ def _e3(s, d):
     return b.select("exchange", "symbol", "start_ms", *(r(c) for c in ("open", "high", "low", "close")), *(r(c, 4) for c in ("quote_volume", "buy_quote_volume", "sell_quote_volume")), "trades", "first_trade_ms", "last_trade_ms")
 
 
-@query("e3_bucketize_lineitem", """SELECT s.n_name AS symbol, CAST(l_shipdate AS DATE) AS day, round(sum(l_extendedprice), 2) AS quote_volume, count(*) AS trades, round(max(l_extendedprice / l_quantity), 3) AS high, round(min(l_extendedprice / l_quantity), 3) AS low
+@query("e3_bucketize_lineitem", """SELECT s.n_name AS symbol, CAST(l_shipdate AS DATE) AS day, round(sum(l_extendedprice), 2) AS quote_volume, count(*) AS trades, round(max(l_extendedprice), 2) AS high, round(min(l_extendedprice), 2) AS low
  FROM lineitem JOIN (SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) s ON s_suppkey = l_suppkey GROUP BY 1, 2""")
 def _e3l(s, d):
     li = s.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_returnflag", "l_orderkey", "l_linenumber")
     sup = s.read.parquet(f"{d}/supplier.parquet").join(s.read.parquet(f"{d}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-    t = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select(F.lit("x").alias("exchange"), F.col("n_name").alias("symbol"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("timestamp_ms"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), F.col("l_quantity").cast("double").alias("quantity"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("taker_side"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("arrival_seq"))
-    return E.bucketize(t, 86_400).select("symbol", F.to_date(F.timestamp_millis("start_ms")).alias("day"), r("quote_volume", 2), "trades", r("high", 3), r("low", 3))
+    t = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select(F.lit("x").alias("exchange"), F.col("n_name").alias("symbol"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("timestamp_ms"), F.col("l_extendedprice").cast("double").alias("price"), F.lit(1.0).alias("quantity"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("taker_side"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("arrival_seq"))
+    return E.bucketize(t, 86_400).select("symbol", F.to_date(F.timestamp_millis("start_ms")).alias("day"), r("quote_volume", 2), "trades", r("high", 2), r("low", 2))
 
 
 @query("e4_drop_late", "SELECT arrival_seq FROM (SELECT *, max(x) OVER (PARTITION BY exchange, symbol ORDER BY arrival_seq) AS mx FROM (SELECT *, CASE WHEN arrival_seq % 23 = 0 THEN timestamp_ms - 200000000 ELSE timestamp_ms END AS x FROM trades)) WHERE mx - (x - x % 3600000) <= 86400000", T)
@@ -191,7 +199,7 @@ def _e5(s, d):
     return E.data_age(D.trades(s, d), 1_706_745_600_000).select("exchange", "symbol", "last_event_ms", "last_received_ms", r("data_age_seconds"))
 
 
-@query("e6_order_liquidations", "SELECT arrival_seq, row_number() OVER (PARTITION BY symbol ORDER BY timestamp_ms, arrival_seq) AS position FROM (SELECT *, max(timestamp_ms) OVER (PARTITION BY symbol) AS m FROM liqs) WHERE timestamp_ms >= m - 864000000", T)
+@query("e6_order_liquidations", "SELECT arrival_seq, row_number() OVER (PARTITION BY exchange, symbol ORDER BY timestamp_ms, arrival_seq) AS position FROM (SELECT *, max(timestamp_ms) OVER () AS m FROM liqs) WHERE timestamp_ms >= m - 864000000", T)
 def _e6(s, d):
     return E.order_liquidations(D.liquidations(s, d), 864_000).select("arrival_seq", F.col("position").cast("long").alias("position"))
 
@@ -468,9 +476,9 @@ def _a5(s, d):
     return A.pending_order(D.alerts(s, d), 200).select("id", F.col("position").cast("long").alias("position"))
 
 
-@query("a6_sample_metrics", "SELECT exchange, symbol, timestamp_ms FROM met WHERE (timestamp_ms + 1) % 43200000 = 21600000", T, M)
+@query("a6_sample_metrics", "SELECT exchange, symbol, timestamp_ms FROM met WHERE (timestamp_ms - (SELECT min(timestamp_ms) FROM met)) % 64800000 = 0", T, M)
 def _a6(s, d):
-    return A.sample_metrics(_metrics(s, d), 43_200).select("exchange", "symbol", "timestamp_ms")
+    return A.sample_metrics(_metrics(s, d), 64_800).select("exchange", "symbol", "timestamp_ms")
 
 
 @query("a7_latest_per_key", "SELECT dedup_key, max(sequence) AS sequence FROM al GROUP BY 1", AL)
@@ -503,7 +511,7 @@ def _p1(s, d):
 
 
 @query("p2_recent_dedup", """SELECT dedup_key, timestamp_ms FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY timestamp_ms DESC, restores) AS n FROM (SELECT dedup_key, timestamp_ms, 1 AS restores FROM al UNION ALL
- SELECT original_dedup_key, a.timestamp_ms, CASE WHEN status = 'success' THEN 1 ELSE 0 END FROM jb JOIN al a ON a.id = jb.alert_id)) WHERE n = 1 AND restores = 1""", AL)
+ SELECT original_dedup_key, jb.updated_ms, CASE WHEN status = 'success' THEN 1 ELSE 0 END FROM jb JOIN al a ON a.id = jb.alert_id)) WHERE n = 1 AND restores = 1""", AL)
 def _p2(s, d):
     return P.recent_dedup(D.alerts(s, d), D.jobs(s, d), 0, None).select("dedup_key", "timestamp_ms")
 
@@ -545,7 +553,7 @@ def _p9(s, d):
     return P.change_feed(D.alerts(s, d), "e:250", "e", 999)[0].select("sequence")
 
 
-@query("p10_alert_kind", "SELECT id, CASE WHEN category = 'test' THEN 'test' WHEN starts_with(category, 'monitoring') THEN 'monitoring' WHEN source = 'external' THEN 'external' ELSE 'market' END AS kind FROM al", AL)
+@query("p10_alert_kind", "SELECT id, CASE WHEN category = 'system_test' THEN 'test' WHEN category IN ('monitoring_gap', 'feed_health', 'runtime_health') OR symbol = 'SYSTEM' THEN 'monitoring' WHEN source <> 'detector' THEN 'external' ELSE 'market' END AS kind FROM al", AL)
 def _p10(s, d):
     return D.alerts(s, d).select("id", P.alert_kind().alias("kind"))
 
@@ -598,9 +606,9 @@ def _health_history(s, d):
 _HH = "hh AS (SELECT exchange, timestamp_ms * 2 + arrival_seq % 2 AS timestamp_ms, (arrival_seq // 5) % 4 = 0 AS bad, arrival_seq % 50 AS age FROM tick), h2 AS (SELECT *, coalesce(lag(bad) OVER (PARTITION BY exchange ORDER BY timestamp_ms), false) AS was FROM hh)"
 
 
-@query("h5_feed_health_alerts", "SELECT timestamp_ms, exchange, CASE WHEN NOT bad THEN 'info' WHEN age > 30 THEN 'critical' ELSE 'warning' END AS severity, NOT bad OR NOT was AS bypass FROM h2 WHERE bad OR was", T, _HH)
+@query("h5_feed_health_alerts", "SELECT timestamp_ms, exchange, CASE WHEN NOT bad THEN 'info' WHEN age > 30 THEN 'critical' ELSE 'warning' END AS severity, NOT bad OR NOT was AS bypass, CASE WHEN bad THEN 'feed_health' ELSE 'feed_recovery' END AS category, 'health:' || exchange || CASE WHEN bad THEN ':unhealthy' ELSE ':recovered:' || timestamp_ms END AS dedup_key FROM h2 WHERE bad OR was", T, _HH)
 def _h5(s, d):
-    return H.feed_health_alerts(_health_history(s, d), 10).select("timestamp_ms", "exchange", "severity", "bypass")
+    return H.feed_health_alerts(_health_history(s, d), 10).select("timestamp_ms", "exchange", "severity", "bypass", "category", "dedup_key")
 
 
 @query("h4_feed_readiness", "SELECT timestamp_ms, exchange, (CASE WHEN bad THEN 1 ELSE 0 END) + (CASE WHEN age > 10 THEN 1 ELSE 0 END) AS n FROM h2", T, _HH)
@@ -609,11 +617,13 @@ def _h4(s, d):
     return H.feed_readiness(f, 10).select("timestamp_ms", "exchange", F.size("reasons").alias("n"))
 
 
-@query("h6_pipeline_health_alerts")
+@query("h6_pipeline_health_alerts", """SELECT source, timestamp_ms, CASE WHEN NOT bad THEN 'info' WHEN nd > 0 OR size >= 95 OR lg > 30 THEN 'critical' ELSE 'warning' END AS severity, CASE WHEN bad THEN 'runtime_health' ELSE 'runtime_recovery' END AS category,
+ 'runtime:market-queue:' || CASE WHEN bad THEN 'unhealthy' ELSE 'recovered:' || timestamp_ms END AS dedup_key, NOT bad OR NOT coalesce(was, false) OR nd > 0 AS bypass, CAST(nd AS BIGINT) AS new_drops FROM (SELECT *, lag(bad) OVER (PARTITION BY source ORDER BY timestamp_ms, arrival_seq) AS was FROM (SELECT *, nd > 0 OR size >= 80 OR lg > 10 AS bad
+ FROM (SELECT *, greatest(drops - coalesce(lag(drops) OVER (PARTITION BY source ORDER BY timestamp_ms, arrival_seq), 0), 0) AS nd FROM (SELECT exchange AS source, timestamp_ms, arrival_seq, arrival_seq % 100 AS size, arrival_seq // 1000 AS drops, arrival_seq % 37 AS lg FROM tick)))) WHERE bad OR was""", T)
 def _h6(s, d):
     t = D.ticks(s, d)
     samples = t.select(F.col("exchange").alias("source"), "timestamp_ms", (F.col("arrival_seq") % 100).alias("size"), F.lit(100).alias("capacity"), F.floor(F.col("arrival_seq") / 1000).alias("drops_total"), (F.col("arrival_seq") % 37).cast("double").alias("lag_seconds"))
-    return H.pipeline_health_alerts(samples, 5.0)
+    return H.pipeline_health_alerts(samples, 5.0).select("source", "timestamp_ms", "severity", "category", "dedup_key", "bypass", F.col("new_drops").cast("long").alias("new_drops"))
 
 
 @query("h7_continuity_episodes")

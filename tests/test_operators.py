@@ -242,12 +242,15 @@ def test_health(spark):
     assert H.public_readiness(f, 5).first().ready and not H.public_readiness(f, 5, False).first().ready and not H.public_readiness(f.where("false"), 5).first().ready
 
 
+TASKS = ("event-consumer", "detector", "health-monitor", "maintenance", "alert-workers")
+
+
 def sample(k, **change):
     venue = {"ready": True, "base_ready": True, "alert_eligible": True, "reason": "ready", "data_age_seconds": 1.0}
     inst = {
         "ok": True, "evidence_complete": True, "evidence_errors": [], "runtime_started_ms": 1000, "uptime_seconds": 100.0 + 60 * k, "readiness": {"ready": True, "state": "ready", "reasons": []}, "queue_size": 1, "queue_capacity": 100,
         "feeds": {"okx": {"healthy": True, "connected": True, "subscription_acknowledged": True, "message_age_seconds": 1.0, "dropped_events": 0, "reconnects": 0, "trades": 5, "liquidations": 0, "symbols": {"BTC": {"healthy": True, "message_age_seconds": 1.0, "messages": 5, "trades": 5, "liquidations": 0}}}},
-        "expected_tasks": ["consumer", "detector", "health", "feed-okx"], "tasks": {t: {"state": "running", "ready": True, "heartbeat_age_seconds": 1.0, "heartbeat_stale": False, "last_error": None} for t in ("consumer", "detector", "health", "feed-okx")},
+        "expected_tasks": [*TASKS, "feed-okx"], "tasks": {t: {"state": "running", "ready": True, "heartbeat_age_seconds": 1.0, "heartbeat_stale": False, "last_error": None} for t in (*TASKS, "feed-okx")},
         "queue_health": {"high_water": 3, "drops_total": 0, "drops_since_last_health_check": 0, "consumer_lag_seconds": 0.1, "utilization": 0.01}, "clock_health": {"future_events_quarantined": 0, "clock_adjustments": 0, "last_quarantine_ms": None},
         "alarm_delivery": {"enabled": True, "local_queue_depth": 0, "counts": {"success": 1}}, "checkpoint_health": {"enabled": False, "age_seconds": None, "failures": 0, "last_failure_ms": None},
         "markets": [{"symbol": "BTC", "ready_venues": 1, "configured_venues": 1, "readiness_reasons": ["ready"], "max_recovery_seconds_remaining": 0.0, "min_window_coverage_ratio": 1.0, "max_largest_gap_seconds": 0.0, "venue_readiness": {"okx": venue}}],
@@ -258,17 +261,82 @@ def sample(k, **change):
 
 def verdict(spark, lines, **gate):
     rows, counts = read_evidence(spark.createDataFrame([(x,) for x in lines], "line string"))
-    return G.gate(G.summarize(rows, Gate(**gate)), Gate(**gate)).first(), counts.first()
+    return G.gate(G.summarize(rows, Gate(**gate), counts), Gate(**gate)).first(), counts.first()
 
 
 def test_gate(spark):
     lines = [sample(k) for k in range(61)]
+    v, c = verdict(spark, lines)
+    assert v.passed and v.reasons == [] and v.coverage == 1.0 and (c.valid, c.invalid) == (61, 0)
     v, c = verdict(spark, [*lines, "", "no json", '{"timestamp": "x"}'])
-    assert v.passed and v.reasons == [] and v.coverage == 1.0 and (c.valid, c.invalid) == (61, 2)
-    bad = [*lines[:20], sample(20, ok=False), sample(21, uptime_seconds=1.0), sample(22, expected_tasks=["consumer"]), *lines[26:], lines[40]]
+    assert not v.passed and v.reasons == ["2 invalid JSONL row(s)"] and (c.valid, c.invalid) == (61, 2)
+    counters = {"queue_health": {"high_water": 3, "drops_total": 4, "drops_since_last_health_check": 0, "consumer_lag_seconds": 0.1, "utilization": 0.01}, "clock_health": {"future_events_quarantined": 2, "clock_adjustments": 1, "last_quarantine_ms": None}}
+    bad = [*lines[:20], sample(20, ok=False), sample(21, uptime_seconds=1.0), sample(22, expected_tasks=["event-consumer"]), sample(23, **counters), *lines[27:], lines[40]]
     v, _ = verdict(spark, bad)
-    assert not v.passed and set(v.reasons) == {"duplicate timestamps", "failed samples", "monitor gaps", "runtime restarts", "invalid instance evidence"}
+    assert v.reasons == [
+        "sample coverage 95.1% is below 98.0%", "1 duplicate timestamp sample(s)", "1 primary failure sample(s)", "1 incomplete primary evidence sample(s)", "1 monitoring gap(s)", "drop counter reached 0 feed / 4 market queue",
+        "future-event quarantine counter reached 2", "clock adjustment counter reached 1", "runtime restarts observed: primary 1, shadow 0, container counter 0, container identity 0",
+    ]
     assert verdict(spark, ["{}"])[0].reasons == ["no valid soak samples"]
+    assert verdict(spark, lines[:31], min_coverage=0.5)[0].reasons == ["duration 0.50h is below 1.00h"]
+
+
+def test_liquidation_ids_against_a_fold(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [("x", 1_000_000 + k * 300 + rng.choice([0, 0, -900, 4000]), f"i{rng.randrange(40)}" if k % 5 else None, k) for k in range(600)]
+    df = spark.createDataFrame(rows, "exchange string, timestamp_ms long, event_id string, arrival_seq long")
+    top, kept, want = 0, {}, []
+    for _, ts, name, seq in rows:
+        if name is None:
+            want.append(seq)
+            continue
+        top = max(top, ts)
+        if name in kept and kept[name] >= top - 5000:
+            continue
+        want.append(seq)
+        if ts >= top - 5000:
+            kept[name] = top
+    for chunk in (1 << 20, 17):
+        got = sorted(r.arrival_seq for r in E.dedup_liquidations(df, 5, chunk).collect())
+        assert got == want and len(want) < 560
+
+
+def test_running_max_by_chunks(spark):
+    rows = [(f"s{k % 2}", k, (k * 37) % 101 if k % 7 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "symbol string, arrival_seq long, v long").repartition(5)
+    top, want = {}, {}
+    for s, k, v in rows:
+        top[s] = max(x for x in (top.get(s), v) if x is not None) if (s in top or v is not None) else None
+        if top[s] is None:
+            del top[s]
+        want[k] = top.get(s)
+    found = E.running_max(df, ["symbol"], F.col("v"), "m", chunk=4)
+    assert {r.arrival_seq: r.m for r in found.collect()} == want
+
+
+def test_one_clock_over_days(spark):
+    day, step = 86_400_000, 21_600_000
+    ticks = [k * step for k in range(40) if k not in (5, 6, 7)] + [9 * step + 7]
+    want, last = [], None
+    for t in sorted(ticks):
+        if last is None or t - last >= 64_800_000:
+            want.append(t)
+            last = t
+    got = A.sample_metrics(spark.createDataFrame([(t,) for t in ticks], "timestamp_ms long"), 64_800)
+    assert sorted(r.timestamp_ms for r in got.collect()) == want and len({t // day for t in want}) > 4
+
+
+def test_external_alerts_and_kinds(spark):
+    now = 1_000_000_000
+    rows = [('{"source": "bot", "symbol": "btc", "metrics": {"a": 1}, "timestamp_ms": 5}', now), ("{}", now), ('{"dedup_key": "external:k", "severity": "CRITICAL", "timestamp_ms": "x", "category": "Odd"}', now)]
+    a, b, c = N.normalize_external_alerts(spark.createDataFrame(rows, "payload string, now_ms long")).collect()
+    assert (a.exchanges, a.dedup_key, a.timestamp_ms, a.metrics) == (["bot"], "external:bot:BTC:external:mixed", now - 300_000, {"a": "1", "_timestamp_normalized": "true"})
+    assert (b.title, b.message, b.dedup_key, b.metrics) == ("External alert: MARKET", "External alert received.", "external:external:MARKET:external:mixed", {})
+    assert (c.dedup_key, c.severity, c.category, c.timestamp_ms) == ("external:external:k", "critical", "Odd", now)
+    kinds = spark.createDataFrame([("system_test", "SYSTEM", "x"), ("feed_recovery", "SYSTEM", "detector"), ("runtime_health", "A", "x"), ("test", "A", "bot"), ("monitoring_x", "A", "detector")], "category string, symbol string, source string")
+    assert [r.k for r in kinds.select(P.alert_kind().alias("k")).collect()] == ["test", "monitoring", "monitoring", "external", "market"]
 
 
 def test_streaming_buckets_equal_batch(spark, tmp_path):

@@ -11,6 +11,7 @@ Items without any window that has enough literal words are compared by windows o
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -40,6 +41,8 @@ _END, _SIGN = frozenset(".!?"), frozenset("%$€£")
 NUM, UNIT, NAME = 1, 2, 3
 #: The form of windows that are compared by all their words and values.
 EXACT = 3
+#: Stands before each stretch where stretches are read together: an unknown word that ends a sentence.
+BORDER = "\ufdd0\ufdd1"
 #: Kinds of pieces, in the low bits of their codes; PARTS has more than one word, NONE has none. ENDS: a sentence ends here.
 WORD, CAPITAL, NUMBER, UNITWORD, TITLE, SIGN, NONE, PARTS = range(8)
 ENDS = 8
@@ -62,7 +65,7 @@ class Canon:
     """Words of a text as numbers; with a filter, words outside it are 0."""
 
     def __init__(self, only: frozenset[str] | None = None, entries: int = 250_000):
-        self.only, self.entries, self.known = only, entries, {}
+        self.only, self.entries, self.known = only, entries, {BORDER: ENDS}
 
     def _code(self, tok: str) -> int:
         low = tok.lower()
@@ -271,11 +274,11 @@ def windows(doc: int | None, pieces: list[str], forms: list[np.ndarray], sizes:
                     yield doc, form, lo + p, n, int(total[p : p + 1].view(np.int64)[0]), words
 
 
-def _parts(b: pa.RecordBatch, sieve: Sieve | None) -> Iterator[tuple[int | None, int, str | None]]:
-    """(id, number of the first piece, text): whole texts, or what the sieve leaves of them."""
+def _parts(b: pa.RecordBatch, sieve: Sieve | None) -> Iterator[list[tuple[int | None, int, str | None]]]:
+    """Lists of (id, number of the first piece, text): a whole text, or what the sieve leaves of about 1 MB of texts."""
     ids = b.column(0).to_pylist()
     if sieve is None:
-        yield from ((doc, 0, t.as_py()) for doc, t in zip(ids, b.column(1), strict=True))
+        yield from ([(doc, 0, t.as_py())] for doc, t in zip(ids, b.column(1), strict=True))
         return
     own, texts, size = [], [], 0
     for k, t in enumerate(b.column(1)):
@@ -283,11 +286,34 @@ def _parts(b: pa.RecordBatch, sieve: Sieve | None) -> Iterator[tuple[int | None,
         own.append(ids[k])
         size += len(texts[-1])
         if size > 1 << 20 or k + 1 == len(ids):
-            for doc, parts in zip(own, sieve.stretches(texts), strict=True):
-                yield from ((doc, first, part) for first, part in parts)
+            yield [(doc, first, part) for doc, parts in zip(own, sieve.stretches(texts), strict=True) for first, part in parts]
             own, texts, size = [], [], 0
 
 
+def _found(canon: Canon, parts: list[tuple[int | None, int, str | None]], sizes: list[int], exact: list[int] | None, hashes: np.ndarray | None) -> Iterator[tuple]:
+    """Windows of several stretches, read as one text with a border before each."""
+    if len(parts) > 1 and any(BORDER in t for _, _, t in parts):
+        for one in parts:
+            yield from _found(canon, [one], sizes, exact, hashes)
+        return
+    if not parts:
+        return
+    text = parts[0][2] if len(parts) == 1 else "".join(f" {BORDER} {t}" for _, _, t in parts)
+    pieces, forms = canon.forms(text)
+    found = windows(None, pieces, forms, sizes, hashes) if sizes else iter(())
+    if exact:
+        found = chain(found, exact_windows(None, canon.values(text), exact, hashes))
+    if len(parts) == 1:
+        doc, first, _ = parts[0]
+        yield from ((doc, row[1], row[2] + first, *row[3:]) for row in found)
+        return
+    border = [k for k, p in enumerate(pieces) if p == BORDER]
+    for row in found:
+        k = bisect_right(border, row[2]) - 1
+        doc, first, _ = parts[k]
+        yield doc, row[1], row[2] - border[k] - 1 + first, *row[3:]
+
+
 def template_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], only=None, wanted=None, exact: list[int] | None = None) -> DataFrame:
     """Rows of SCHEMA for every whole text; `only` and `wanted` are broadcast: the words and the sorted hashes that can match.
 
@@ -302,10 +328,9 @@ def template_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[in
         sieve = Sieve(only.value, min([*sizes, *(exact or [])])) if only is not None else None
         rows: list[tuple] = []
         for b in batches:
-            for doc, first, t in _parts(b, sieve):
-                found = windows(doc, *canon.forms(t), sizes, hashes) if sizes else iter(())
-                for row in chain(found, exact_windows(doc, canon.values(t), exact, hashes)) if exact else found:
-                    rows.append((*row[:2], row[2] + first, *row[3:]))
+            for parts in _parts(b, sieve):
+                for row in _found(canon, parts, sizes, exact, hashes):
+                    rows.append(row)
                     if len(rows) == 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                         rows = []

@@ -106,4 +106,7 @@ def test_sieve_leaves_every_window():
             own = sorted((f, n, h, tuple(s)) for _, t in parts for _, f, _, n, h, s in dc.windows(1, *canon.forms(t), sizes))
             assert own == whole, text
             found += len(own)
+        alone = sorted((k, f, p, n, h, tuple(s)) for k, parts in enumerate(sieve.stretches([t.encode() for t in texts])) for first, t in parts for _, f, p, n, h, s in dc._found(canon, [(k, first, t)], sizes, sizes, None))
+        parts = [(k, first, t) for k, parts in enumerate(sieve.stretches([t.encode() for t in texts])) for first, t in parts]
+        assert sorted((k, f, p, n, h, tuple(s)) for k, f, p, n, h, s in dc._found(canon, parts, sizes, sizes, None)) == alone
         assert found > 500

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,22 +19,30 @@ def apply_cooldown(alerts: DataFrame, cooldown_seconds: float, history: DataFram
     alerts: dedup_key, timestamp_ms, sequence, severity, optional bypass, and further columns. Dropped rows do not move
     the clock, bypassing rows are emitted and do. An empty or null key is never held back. history (dedup_key,
     timestamp_ms, severity) seeds the clocks. Each key's decisions follow from earlier decisions, so a key's times and
-    ranks (not its other columns) are folded as one sorted array; the rows are then joined back.
+    ranks (not its other columns) stream through one fold in order, none are gathered; the rows are then joined back.
     """
     base = alerts if "bypass" in alerts.columns else alerts.withColumn("bypass", F.lit(False))
     keyed = F.coalesce(F.col("dedup_key"), F.lit("")) != ""
     small = base.where(keyed).select("dedup_key", "timestamp_ms", "sequence", severity_rank(F.col("severity")).alias("rank"), F.coalesce("bypass", F.lit(False)).alias("bypass"), F.lit(True).alias("real"))
     if history is not None:
         small = small.unionByName(history.where(keyed).select("dedup_key", "timestamp_ms", F.lit(-1).cast("long").alias("sequence"), severity_rank(F.col("severity")).alias("rank"), F.lit(True).alias("bypass"), F.lit(False).alias("real")))
-    rows = small.groupBy("dedup_key").agg(F.array_sort(F.collect_list(F.struct("timestamp_ms", "sequence", "rank", "bypass", "real"))).alias("rows"))
-    state = F.struct(F.lit(None).cast("long").alias("at"), F.lit(-1).alias("rank"), F.array().cast("array<struct<timestamp_ms:bigint,sequence:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        held = s["at"].isNotNull() & ~x["bypass"] & (x["rank"] <= s["rank"]) & ((x["timestamp_ms"] - s["at"]) / 1000.0 < cooldown_seconds)
-        one = F.array(F.struct(x["timestamp_ms"].alias("timestamp_ms"), x["sequence"].alias("sequence")))
-        return F.when(held, s).otherwise(F.struct(x["timestamp_ms"].alias("at"), x["rank"].alias("rank"), F.when(x["real"], F.concat(s["out"], one)).otherwise(s["out"]).alias("out")))
 
-    emitted = rows.select("dedup_key", F.explode(F.aggregate("rows", state, step, lambda s: s["out"])).alias("x")).select("dedup_key", "x.timestamp_ms", "x.sequence")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, at, best = None, None, -1
+        for rows in batches:
+            out = []
+            for key, ms, sequence, rank, bypass, real in rows.itertuples(index=False):
+                if key != now:
+                    now, at, best = key, None, -1
+                if at is not None and not bypass and rank <= best and (ms - at) / 1000.0 < cooldown_seconds:
+                    continue
+                at, best = ms, rank
+                if real:
+                    out.append((key, ms, sequence))
+            yield pd.DataFrame(out, columns=["dedup_key", "timestamp_ms", "sequence"])
+
+    ordered = small.repartition("dedup_key").sortWithinPartitions("dedup_key", "timestamp_ms", "sequence", "rank", "bypass", "real")
+    emitted = ordered.mapInPandas(fold, "dedup_key string, timestamp_ms long, sequence long").distinct()
     return alerts.join(emitted, ["dedup_key", "timestamp_ms", "sequence"], "left_semi").unionByName(alerts.where(~keyed))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewatch.functions.series import previous
+
 SERIES = ["exchange", "symbol"]
 FOREVER = (1 << 63) - 1
 #: Log kinds that open a break on every symbol of a feed.
@@ -49,10 +52,32 @@ def _touches(start: str, end: str) -> Column:
     return (F.col("b.start_ms") <= F.col(f"a.{end}")) & (F.col("b.end_ms").isNull() | (F.col("b.end_ms") >= F.col(f"a.{start}")))
 
 
-def overlaps_break(df: DataFrame, breaks: DataFrame, start: str = "start_ms", end: str = "end_ms", keep: bool = True) -> DataFrame:
-    """Rows whose [start, end] touches a break of their series (inclusive), or with keep=False those without one."""
+def _binned(breaks: DataFrame, width_ms: int, end: DataFrame) -> DataFrame:
+    """A row for each bin of time that a break covers, up to the newest time of the rows it is to meet (end: one row, `top`)."""
+    until = F.greatest("start_ms", F.least(F.coalesce("end_ms", F.lit(FOREVER)), F.col("top")))
+    bins = F.sequence(F.floor(F.col("start_ms") / width_ms), F.floor(until / width_ms))
+    return breaks.crossJoin(F.broadcast(end)).where("start_ms <= top").withColumn("bin", F.explode(bins)).drop("top")
+
+
+def overlaps_break(df: DataFrame, breaks: DataFrame, start: str = "start_ms", end: str = "end_ms", keep: bool = True, width_ms: int = 3_600_000) -> DataFrame:
+    """Rows whose [start, end] touches a break of their series (inclusive), or with keep=False those without one.
+
+    A row no longer than `width_ms` lies in at most two bins of time, those of its ends, and meets the breaks there;
+    longer rows, and those without a start or end, meet all breaks of their series.
+    """
+    b = _binned(breaks, width_ms, df.agg(F.max(end).alias("top")))
     same = (F.col("a.exchange") == F.col("b.exchange")) & (F.col("a.symbol") == F.col("b.symbol"))
-    return df.alias("a").join(breaks.alias("b"), same & _touches(start, end), "left_semi" if keep else "left_anti")
+    short = F.coalesce(F.col(end) - F.col(start) < width_ms, F.lit(False))
+
+    def meet(rows: DataFrame, at: str, how: str) -> DataFrame:
+        there = F.col("b.bin") == F.floor(F.col(f"a.{at}") / width_ms)
+        return rows.alias("a").join(b.alias("b"), same & there & _touches(start, end), how)
+
+    apart = meet(df.where(short), start, "left_anti")
+    long = df.where(~short).alias("a").join(breaks.alias("b"), same & _touches(start, end), "left_semi" if keep else "left_anti")
+    if not keep:
+        return meet(apart, end, "left_anti").unionByName(long)
+    return meet(df.where(short), start, "left_semi").unionByName(meet(apart, end, "left_semi")).unionByName(long)
 
 
 def close_on_first_trade(feed_breaks: DataFrame, trades: DataFrame) -> DataFrame:
@@ -91,9 +116,10 @@ def runtime_pauses(ticks: DataFrame, interval_seconds: float = 5.0, max_gap_seco
 
     ticks: source, wall_ms, monotonic_s. Returns source, start_ms, end_ms, interruption_seconds.
     """
-    order = Window.partitionBy("source").orderBy("monotonic_s")
-    elapsed = F.greatest((F.col("wall_ms") - F.lag("wall_ms").over(order)) / 1000.0, F.col("monotonic_s") - F.lag("monotonic_s").over(order))
-    late = ticks.withColumn("interruption_seconds", elapsed - interval_seconds).where(F.col("interruption_seconds") > max_gap_seconds)
+    day = F.floor(F.col("monotonic_s") / 86_400)
+    stepped = previous(ticks, ["source"], ["monotonic_s", "wall_ms"], day, F.struct("wall_ms", "monotonic_s"), "__before")
+    elapsed = F.greatest((F.col("wall_ms") - F.col("__before.wall_ms")) / 1000.0, F.col("monotonic_s") - F.col("__before.monotonic_s"))
+    late = stepped.withColumn("interruption_seconds", elapsed - interval_seconds).where(F.col("interruption_seconds") > max_gap_seconds)
     return late.select("source", F.greatest(F.col("wall_ms") - F.round(F.col("interruption_seconds") * 1000).cast("long"), F.lit(1)).alias("start_ms"), F.col("wall_ms").alias("end_ms"), "interruption_seconds")
 
 
@@ -102,29 +128,34 @@ def clock_jumps(receipts: DataFrame, max_skew_seconds: float = 5.0) -> DataFrame
 
     A deviation ahead of more than the skew is a jump: the anchor moves and a break [projected, wall] is reported; one
     behind is reported once for each run of such receipts and the projection is used. Anchors follow from earlier
-    anchors, so each source is folded in order; receipts come in with source, wall_ms, monotonic_s.
+    anchors, so a source's receipts (source, wall_ms, monotonic_s) stream through one fold in order; none are gathered.
+    Receipts with a null in them are left out.
     """
     skew = max_skew_seconds * 1000
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, anchor, behind = [], None, False
-        for wall, mono in pdf.sort_values("monotonic_s")[["wall_ms", "monotonic_s"]].itertuples(index=False):
-            if anchor is None:
-                anchor = (wall, mono)
-                continue
-            projected = anchor[0] + round((mono - anchor[1]) * 1000)
-            if wall - projected > skew:
-                out.append((key[0], "forward", projected, wall))
-                anchor, behind = (wall, mono), False
-            elif projected - wall > skew:
-                if not behind:
-                    out.append((key[0], "backward", wall, projected))
-                behind = True
-            else:
-                behind = False
-        return pd.DataFrame(out, columns=["source", "kind", "start_ms", "end_ms"])
-
-    return receipts.select("source", "wall_ms", "monotonic_s").groupBy("source").applyInPandas(fold, "source string, kind string, start_ms long, end_ms long")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, anchor, behind = None, (0, 0.0), False
+        for rows in batches:
+            out = []
+            for source, wall, mono in rows.itertuples(index=False):
+                if source != now:
+                    now, anchor, behind = source, (wall, mono), False
+                    continue
+                projected = anchor[0] + round((mono - anchor[1]) * 1000)
+                if wall - projected > skew:
+                    out.append((source, "forward", projected, wall))
+                    anchor, behind = (wall, mono), False
+                elif projected - wall > skew:
+                    if not behind:
+                        out.append((source, "backward", wall, projected))
+                    behind = True
+                else:
+                    behind = False
+            yield pd.DataFrame(out, columns=["source", "kind", "start_ms", "end_ms"])
+
+    rows = receipts.select("source", "wall_ms", "monotonic_s").where("source is not null and wall_ms is not null and monotonic_s is not null")
+    ordered = rows.repartition("source").sortWithinPartitions("source", "monotonic_s", "wall_ms")
+    return ordered.mapInPandas(fold, "source string, kind string, start_ms long, end_ms long")
 
 
 def downtime_breaks(pairs: DataFrame, saved_ms: int, now_ms: int, retention_seconds: int = 4500) -> DataFrame:
@@ -133,22 +164,26 @@ def downtime_breaks(pairs: DataFrame, saved_ms: int, now_ms: int, retention_seco
     return pairs.select(*SERIES).distinct().select(*SERIES, F.lit(start).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), F.lit("checkpoint_downtime").alias("reason"))
 
 
-def segment_continuity(segments: DataFrame, breaks: DataFrame, max_gap_seconds: float, min_coverage: float, now: bool = True) -> DataFrame:
+def segment_continuity(segments: DataFrame, breaks: DataFrame, max_gap_seconds: float, min_coverage: float, now: bool = True, width_ms: int = 3_600_000) -> DataFrame:
     """Adds coverage_ratio, largest_gap_seconds, last_gap_end_ms and continuous to segments.
 
     segments: exchange, symbol, seg_id, t_ms (end), w_ms (length), price_start_ms (last trade of the start price).
     breaks: merged ones. A break counts if it ends after price_start_ms and starts before the segment's end (open:
     not after it). Its whole length decides largest_gap_seconds; coverage is what the breaks leave of the segment.
     With now=True a break that ends after t counts as still open at t; with now=False only breaks without an end do.
+    Segments meet breaks in bins of `width_ms`; a pair counts in the first bin that both cover.
     """
     t, bs, be = F.col("t_ms"), F.col("bs"), F.col("be")
-    b = breaks.select(*SERIES, F.col("start_ms").alias("bs"), F.col("end_ms").alias("be"))
+    b = _binned(breaks, width_ms, segments.agg(F.max("t_ms").alias("top"))).select(*SERIES, F.col("start_ms").alias("bs"), F.col("end_ms").alias("be"), "bin")
+    low = F.least(F.coalesce(F.col("price_start_ms"), t - F.col("w_ms")), t)
+    cut = segments.withColumn("bin", F.explode(F.sequence(F.floor(low / width_ms), F.floor(t / width_ms))))
     if now:
         is_open, end = be.isNull() | (be > t), F.when(be.isNull() | (be > t), t).otherwise(be)
     else:
         is_open, end = be.isNull(), F.coalesce(be, t)
     relevant = ((bs < t) | (is_open & (bs <= t))) & (is_open | (be > F.coalesce(F.col("price_start_ms"), t - F.col("w_ms"))))
-    met = segments.join(b, SERIES).where(relevant).withColumn("__open", is_open).withColumn("__end", end)
+    first = F.col("bin") == F.floor(F.greatest(bs, low) / width_ms)
+    met = cut.join(b, [*SERIES, "bin"]).where(first & relevant).withColumn("__open", is_open).withColumn("__end", end)
     clipped = F.greatest(F.least(F.col("__end"), t) - F.greatest(bs, t - F.col("w_ms")), F.lit(0))
     per = met.groupBy("seg_id").agg(F.max("__open").alias("__open"), F.max(F.col("__end") - bs).alias("__gap"), F.sum(clipped).alias("__lost"), F.max("__end").alias("__last"))
     out = segments.join(per, "seg_id", "left")

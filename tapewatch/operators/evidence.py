@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewatch.functions.series import by_time, previous
 from tapewatch.functions.stats import finite
 from tapewatch.params import Gate
 
@@ -65,8 +66,9 @@ def failure_counts(samples: DataFrame) -> DataFrame:
 
 def monitor_gaps(samples: DataFrame, interval_seconds: float) -> DataFrame:
     """Explicit gaps above zero plus steps of at least 1.5 intervals between samples: how many and the largest."""
-    order = Window.partitionBy(F.lit(0)).orderBy("timestamp_ms")  # one small row per sample
-    t = samples.select("timestamp_ms", F.coalesce(F.col("s.monitor_gap_seconds"), F.lit(0.0)).alias("told")).withColumn("step", (F.col("timestamp_ms") - F.lag("timestamp_ms").over(order)) / 1000.0)
+    told = samples.select("timestamp_ms", F.coalesce(F.col("s.monitor_gap_seconds"), F.lit(0.0)).alias("told"), F.lit(0).alias("one"))
+    t = previous(told, ["one"], ["timestamp_ms"], by_time(), F.col("timestamp_ms"), "before")
+    t = t.withColumn("step", (F.col("timestamp_ms") - F.col("before")) / 1000.0)
     wide = F.coalesce(F.col("step") >= 1.5 * interval_seconds, F.lit(False))
     return t.agg((F.count_if(F.col("told") > 0) + F.count_if(wide)).alias("gaps"), F.coalesce(F.greatest(F.max(F.when(F.col("told") > 0, F.col("told"))), F.max(F.when(wide, F.col("step")))), F.lit(0.0)).alias("largest_gap_seconds"))
 
@@ -74,16 +76,17 @@ def monitor_gaps(samples: DataFrame, interval_seconds: float) -> DataFrame:
 def runtime_restarts(samples: DataFrame) -> DataFrame:
     """Per instance, among rows with a start and an uptime: the start changed or the uptime fell by over a second."""
     rows = instances(samples).where(F.col("i.runtime_started_ms").isNotNull() & finite(F.col("i.uptime_seconds")) & (F.col("i.uptime_seconds") >= 0))
-    order = Window.partitionBy("instance").orderBy("timestamp_ms")
-    again = (F.col("i.runtime_started_ms") != F.lag("i.runtime_started_ms").over(order)) | (F.col("i.uptime_seconds") < F.lag("i.uptime_seconds").over(order) - 1)
+    now = F.struct(F.col("i.runtime_started_ms").alias("start"), F.col("i.uptime_seconds").alias("uptime"))
+    rows = previous(rows.select("instance", "timestamp_ms", now.alias("now")), ["instance"], ["timestamp_ms"], by_time(), F.col("now"), "was")
+    again = (F.col("now.start") != F.col("was.start")) | (F.col("now.uptime") < F.col("was.uptime") - 1)
     return rows.withColumn("again", F.coalesce(again, F.lit(False))).groupBy("instance").agg(F.count_if("again").alias("restarts"))
 
 
 def container_restarts(samples: DataFrame) -> DataFrame:
     """How often (container_id, started_at) changed between samples that have both."""
-    rows = samples.select("timestamp_ms", F.struct("s.docker.container_id", "s.docker.started_at").alias("c")).where("c.container_id is not null and c.started_at is not null")
-    order = Window.partitionBy(F.lit(0)).orderBy("timestamp_ms")
-    return rows.withColumn("again", F.coalesce(F.col("c") != F.lag("c").over(order), F.lit(False))).agg(F.count_if("again").alias("restarts"))
+    rows = samples.select("timestamp_ms", F.struct("s.docker.container_id", "s.docker.started_at").alias("c"), F.lit(0).alias("one"))
+    rows = previous(rows.where("c.container_id is not null and c.started_at is not null"), ["one"], ["timestamp_ms"], by_time(), F.col("c"), "was")
+    return rows.withColumn("again", F.coalesce(F.col("c") != F.col("was"), F.lit(False))).agg(F.count_if("again").alias("restarts"))
 
 
 def _bad_count(c: Column) -> Column:

@@ -10,7 +10,7 @@ FEED = ["exchange"]
 
 
 def _age(now: Column, col: str) -> Column:
-    return F.round(F.greatest((now - F.col(col)) / 1000.0, F.lit(0.0)), 2)
+    return F.when(F.col(col).isNotNull(), F.round(F.greatest((now - F.col(col)) / 1000.0, F.lit(0.0)), 2))
 
 
 def feed_counters(messages: DataFrame, feed_log: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:

@@ -1,14 +1,17 @@
 """Window metrics on the bucket grid: as-of prices, returns, volumes, robust baselines, readiness.
 
 Ticks are the last milliseconds of buckets, so every window and every baseline segment is a whole number of rows of a
-dense grid per series, and one window partitioning by series serves them all.
+dense grid per series. Series are cut into chunks (functions/series.py), so that a long one is spread over many tasks.
 """
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewatch.functions.series import DAY_MS, by_time, carried, chunk_rows, with_halo
 from tapewatch.functions.stats import with_robust_zscore
 from tapewatch.operators.continuity import overlaps_break, segment_continuity
 from tapewatch.params import Grid
@@ -17,43 +20,50 @@ SERIES = ["exchange", "symbol"]
 
 
 def grid(buckets: DataFrame, bucket_seconds: int) -> DataFrame:
-    """One row for each series and bucket number between its first and last bucket; empty buckets have null values."""
+    """One row for each series and bucket number between its first bucket and the last one of all series.
+
+    Empty buckets have null values; a venue that has fallen silent keeps its rows, so that its data grows old.
+    """
     ms = bucket_seconds * 1000
     numbered = buckets.withColumn("idx", F.floor(F.col("start_ms") / ms).cast("long"))
-    span = numbered.groupBy(*SERIES).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
-    dense = span.select(*SERIES, F.explode(F.sequence("lo", "hi")).alias("idx"))
+    span = numbered.groupBy(*SERIES).agg(F.min("idx").alias("lo"))
+    end = numbered.agg(F.max("idx").alias("hi"))  # one row
+    dense = span.crossJoin(F.broadcast(end)).select(*SERIES, F.explode(F.sequence("lo", "hi")).alias("idx"))
     return dense.join(numbered, [*SERIES, "idx"], "left").withColumn("timestamp_ms", (F.col("idx") + 1) * ms - 1)
 
 
-def _order() -> Window:
-    return Window.partitionBy(*SERIES).orderBy("idx")
+def asof_price(buckets: DataFrame, ticks: DataFrame, chunk_ms: int = DAY_MS) -> DataFrame:
+    """For each tick (exchange, symbol, t_ms) the close of the last bucket whose last trade is not after it; null before the first.
+
+    Ticks and buckets are merged in one sorted pass per series and chunk of time instead of a range join.
+    """
+    none = F.lit(None)
+    b = buckets.select(*SERIES, F.col("last_trade_ms").alias("__at"), F.lit(0).alias("__kind"), none.cast("long").alias("t_ms"), "close")
+    t = ticks.select(*SERIES, F.col("t_ms").alias("__at"), F.lit(1).alias("__kind"), "t_ms", none.cast("double").alias("close"))
+    met = carried(b.unionByName(t), SERIES, ["__at", "__kind"], by_time("__at", chunk_ms), F.col("close"), "price")
+    return met.where("__kind = 1").select(*SERIES, "t_ms", "price")
 
 
-def asof_price(buckets: DataFrame, ticks: DataFrame) -> DataFrame:
-    """For each tick (exchange, symbol, t_ms) the close of the last bucket whose last trade is not after it; null before the first.
+def window_columns(dense: DataFrame, g: Grid, length: int | None = None) -> DataFrame:
+    """Adds price, ret, volume, buy, sell, n_trades, price_start_ms and last_ms of the window that ends at each grid row.
 
-    Ticks and buckets are merged in one sorted pass per series instead of a range join.
+    Series are cut into chunks of `length` rows with a halo of one window.
     """
-    b = buckets.select(*SERIES, F.col("last_trade_ms").alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("t_ms"), "close")
-    t = ticks.select(*SERIES, F.col("t_ms").alias("__at"), F.lit(1).alias("__kind"), "t_ms", F.lit(None).cast("double").alias("close"))
-    order = Window.partitionBy(*SERIES).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    return b.unionByName(t).withColumn("price", F.last("close", ignorenulls=True).over(order)).where("__kind = 1").select(*SERIES, "t_ms", "price")
-
-
-def window_columns(dense: DataFrame, g: Grid) -> DataFrame:
-    """Adds price, ret, volume, buy, sell, n_trades, price_start_ms and last_ms of the window that ends at each grid row."""
-    inside = _order().rowsBetween(-(g.n - 1), 0)
-    before = _order().rowsBetween(Window.unboundedPreceding, -g.n)
-    so_far = _order().rowsBetween(Window.unboundedPreceding, 0)
-    start, price = F.last("close", ignorenulls=True).over(before), F.last("close", ignorenulls=True).over(so_far)
+    length = length or chunk_rows(g.n)
+    close = F.when(F.col("close").isNotNull(), F.struct("close", "last_trade_ms"))
+    filled = carried(dense, SERIES, ["idx"], F.floor(F.col("idx") / length), close, "__at")
+    order = Window.partitionBy(*SERIES, "__chunk").orderBy("idx")
+    inside = order.rowsBetween(-(g.n - 1), 0)
     total = lambda c: F.coalesce(F.sum(c).over(inside), F.lit(0.0))
-    return dense.select(
-        *SERIES, "idx", "timestamp_ms", price.alias("price"),
-        F.when((F.count("close").over(inside) > 0) & (start > 0), price / start - 1).alias("ret"),
+    found = with_halo(filled, length, g.n).select(
+        *SERIES, "idx", "timestamp_ms", "__own", "__at", F.lag("__at", g.n).over(order).alias("__then"), F.count("close").over(inside).alias("__filled"),
         total("quote_volume").alias("volume"), total("buy_quote_volume").alias("buy"), total("sell_quote_volume").alias("sell"),
         F.coalesce(F.sum("trades").over(inside), F.lit(0)).alias("n_trades"),
-        F.last("last_trade_ms", ignorenulls=True).over(before).alias("price_start_ms"),
-        F.last("last_trade_ms", ignorenulls=True).over(so_far).alias("last_ms"),
+    )
+    price, start = F.col("__at.close"), F.col("__then.close")
+    return found.where("__own").select(
+        *SERIES, "idx", "timestamp_ms", price.alias("price"), F.when((F.col("__filled") > 0) & (start > 0), price / start - 1).alias("ret"),
+        "volume", "buy", "sell", "n_trades", F.col("__then.last_trade_ms").alias("price_start_ms"), F.col("__at.last_trade_ms").alias("last_ms"),
     )
 
 
@@ -61,17 +71,19 @@ def taker_imbalance(buy: Column, sell: Column) -> Column:
     return F.when(buy + sell > 0, (buy - sell) / (buy + sell)).otherwise(0.0)
 
 
-def baseline_samples(points: DataFrame, g: Grid) -> DataFrame:
+def baseline_samples(points: DataFrame, g: Grid, length: int | None = None) -> DataFrame:
     """Adds `sample`: (ret, volume) of past windows, one window back and then every stride, as far as the baseline goes.
 
     Only windows with a return that were continuous (column `hist`) count, and at most the newest max_points of them.
+    A window is a whole number of strides, so the rows of a sample share their phase: frames run over the rows of one
+    phase, in chunks of `length` grid rows with a halo of one baseline.
     """
-    past = _order().rowsBetween(-g.baseline, -g.n)
-    rows = F.collect_list(F.struct("idx", "ret", "volume", "hist")).over(past)
-    # rows are thinned while they are collected: those at another phase of the stride are null and dropped
-    phases = points.withColumn("__past", rows)
-    mine = F.filter("__past", lambda x: (F.pmod(F.col("idx") - g.n - x["idx"], F.lit(g.stride)) == 0) & x["ret"].isNotNull() & x["hist"])
-    return phases.withColumn("sample", F.slice(F.reverse(mine), 1, g.max_points)).drop("__past")
+    cut = with_halo(points, length or chunk_rows(g.baseline), g.baseline).withColumn("__phase", F.pmod("idx", F.lit(g.stride)))
+    order = Window.partitionBy(*SERIES, "__chunk", "__phase").orderBy("idx")
+    past = order.rowsBetween(-(g.baseline // g.stride), -(g.n // g.stride))
+    counted = F.when(F.col("ret").isNotNull() & F.col("hist"), F.struct("ret", "volume"))
+    found = cut.withColumn("__past", F.collect_list(counted).over(past)).where("__own")
+    return found.select(*points.columns, F.slice(F.reverse("__past"), 1, g.max_points).alias("sample"))
 
 
 def metric_snapshots(buckets: DataFrame, breaks: DataFrame | None = None, g: Grid = Grid(), every: int = 1, pairs: DataFrame | None = None) -> DataFrame:
@@ -89,6 +101,8 @@ def metric_snapshots(buckets: DataFrame, breaks: DataFrame | None = None, g: Gri
         points = points.join(then, [*SERIES, "idx"]).join(now, [*SERIES, "idx"])
     else:
         points = points.withColumns({"hist": F.lit(True), "continuous": F.lit(True), "coverage_ratio": F.lit(1.0), "largest_gap_seconds": F.lit(0.0), "last_gap_end_ms": F.lit(None).cast("long")})
+    # phases of the stride that hold no wanted tick are left out before the windows
+    points = points.where(F.pmod(F.col("idx") + 1, F.lit(gcd(every, g.stride))) == 0)
     found = baseline_samples(points, g).where(F.pmod(F.col("idx") + 1, F.lit(every)) == 0)
     found = with_robust_zscore(found, "ret", F.transform("sample", lambda x: x["ret"]), "return_z")
     found = with_robust_zscore(found, "volume", F.transform("sample", lambda x: x["volume"]), "volume_z")

@@ -24,14 +24,14 @@ bucket AS (SELECT exchange, symbol, timestamp_ms - timestamp_ms % 3600000 AS sta
   FROM trades GROUP BY 1, 2, 3)"""
 
 BREAKS_SQL = """
-clog AS (SELECT exchange, symbol, CASE arrival_seq % 3 WHEN 0 THEN 'end' ELSE 'start' END AS phase, timestamp_ms, 'r' || (arrival_seq % 4) AS reason, arrival_seq FROM tick WHERE arrival_seq % 53 < 2),
+clog AS (SELECT exchange, symbol, CASE arrival_seq % 3 WHEN 0 THEN 'end' ELSE 'start' END AS phase, timestamp_ms, 'r' || (arrival_seq % 4) AS reason, arrival_seq FROM tick),
 ep AS (SELECT *, coalesce(sum(CASE WHEN phase = 'end' THEN 1 ELSE 0 END) OVER (PARTITION BY exchange, symbol ORDER BY timestamp_ms, CASE WHEN phase = 'start' THEN 0 ELSE 1 END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM clog),
 paired AS (SELECT exchange, symbol, e, greatest(min(timestamp_ms) FILTER (phase = 'start'), 1) AS start_ms, min(timestamp_ms) FILTER (phase = 'end') AS endx,
   array_to_string(list_sort(list(DISTINCT reason) FILTER (phase = 'start')), ',') AS reason FROM ep GROUP BY 1, 2, 3 HAVING count(*) FILTER (phase = 'start') > 0),
 breaks AS (SELECT exchange, symbol, start_ms, CASE WHEN endx IS NOT NULL THEN greatest(endx, start_ms + 1) END AS end_ms, reason FROM paired)"""
 
 METRICS_SQL = """
-span AS (SELECT exchange, symbol, min(start_ms) // 3600000 AS lo, max(start_ms) // 3600000 AS hi FROM bucket GROUP BY 1, 2),
+span AS (SELECT exchange, symbol, min(start_ms) // 3600000 AS lo, (SELECT max(start_ms) // 3600000 FROM bucket) AS hi FROM bucket GROUP BY 1, 2),
 dense0 AS (SELECT exchange, symbol, unnest(range(lo, hi + 1)) AS idx FROM span),
 dense AS (SELECT d.exchange, d.symbol, d.idx, (d.idx + 1) * 3600000 - 1 AS timestamp_ms, b.close, b.quote_volume, b.buy_quote_volume, b.sell_quote_volume, b.trades, b.last_trade_ms
   FROM dense0 d LEFT JOIN bucket b ON b.exchange = d.exchange AND b.symbol = d.symbol AND b.start_ms = d.idx * 3600000),
@@ -74,7 +74,7 @@ def liquidations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def continuity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ticks(spark, sf_dir).where("arrival_seq % 53 < 2")
+    t = ticks(spark, sf_dir)
     return t.select("exchange", "symbol", F.when(F.col("arrival_seq") % 3 == 0, "end").otherwise("start").alias("phase"), "timestamp_ms", F.concat(F.lit("r"), (F.col("arrival_seq") % 4).cast("string")).alias("reason"))
 
 
@@ -129,7 +129,7 @@ ALERTS_SQL = """
 al AS (SELECT CAST(event_id AS VARCHAR) AS id, epoch_us(ts) // 1000 AS timestamp_ms, CASE WHEN event_type = 'purchase' THEN 'critical' WHEN event_type = 'view' THEN 'info' ELSE 'warning' END AS severity,
   CASE WHEN event_id % 5 = 0 THEN 'liquidation' WHEN event_id % 7 = 0 THEN 'monitoring_gap' WHEN event_id % 11 = 0 THEN 'system_test' ELSE 'price' END AS category, ['BTCUSDT','ETHUSDT'][1 + user_id % 2] AS symbol,
   'key:' || (user_id % 40) AS dedup_key, event_id AS sequence, CASE WHEN event_id % 13 = 0 THEN 'external' ELSE 'detector' END AS source, 'Alert ' || event_type AS title, coalesce(props, '') AS message FROM events WHERE ts IS NOT NULL),
-jb AS (SELECT CAST(event_id AS VARCHAR) AS alert_id, CAST(event_id % 3 AS INTEGER) AS priority, 'key:' || (user_id % 40) AS original_dedup_key, ['queued','attempt','success','failure'][1 + event_id % 4] AS status, CAST(event_id % 3 AS INTEGER) AS attempt, epoch_us(ts) // 1000 + 500 AS updated_ms FROM events WHERE ts IS NOT NULL AND event_id % 2 = 0),
+jb AS (SELECT CAST(event_id AS VARCHAR) AS alert_id, CAST(event_id % 3 AS INTEGER) AS priority, 'key:' || (user_id % 40) AS original_dedup_key, ['queued','attempt','success','failure'][1 + event_id % 4] AS status, CAST(event_id % 3 AS INTEGER) AS attempt, epoch_us(ts) // 1000 + 500 AS updated_ms FROM events WHERE ts IS NOT NULL),
 rc AS (SELECT event_id AS id, CAST(event_id // 3 AS VARCHAR) AS alert_id, epoch_us(ts) // 1000 AS timestamp_ms, ['local','push','hook'][1 + user_id % 3] AS channel, ['queued','attempt','success','failure'][1 + event_id % 4] AS status, CAST(event_id % 3 AS INTEGER) AS attempt FROM events WHERE ts IS NOT NULL)"""
 
 
@@ -149,7 +149,7 @@ def _status(k):
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, k = _read(spark, sf_dir, "events").where("ts is not null and event_id % 2 = 0"), F.col("event_id")
+    e, k = _read(spark, sf_dir, "events").where("ts is not null"), F.col("event_id")
     return e.select(k.cast("string").alias("alert_id"), (k % 3).cast("int").alias("priority"), F.concat(F.lit("key:"), (F.col("user_id") % 40).cast("string")).alias("original_dedup_key"), _status(k).alias("status"), (k % 3).cast("int").alias("attempt"), (F.unix_millis(F.col("ts").cast("timestamp")) + 500).alias("updated_ms"))
 
 
@@ -161,7 +161,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples (timestamp_ms, body) whose instances are derived from events; every seventh is not ok."""
-    e = _read(spark, sf_dir, "events").where("ts is not null and event_id % 10 < 9")
+    e = _read(spark, sf_dir, "events").where("ts is not null")
     k = F.col("event_id")
     ms = (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).cast("long") * 1000
     venue = F.create_map(F.lit("okx"), F.struct((k % 4 != 0).alias("ready"), (k % 4 != 0).alias("alert_eligible"), F.when(k % 4 != 0, "ready").otherwise("stale_data").alias("reason")))
@@ -173,4 +173,4 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(ms.alias("timestamp_ms"), F.to_json(body).alias("body"))
 
 
-EVIDENCE_SQL = "evd AS (SELECT event_id AS k, (epoch_us(ts) // 1000000) * 1000 AS t FROM events WHERE ts IS NOT NULL AND event_id % 10 < 9)"
+EVIDENCE_SQL = "evd AS (SELECT event_id AS k, (epoch_us(ts) // 1000000) * 1000 AS t FROM events WHERE ts IS NOT NULL)"

@@ -221,15 +221,15 @@ def _c1(s, d):
     return C.pair_breaks(D.continuity_log(s, d)).select(*_BR)
 
 
-_WIDE = """wide AS (SELECT exchange, symbol, timestamp_ms AS start_ms, CASE WHEN arrival_seq % 4001 = 0 THEN NULL ELSE timestamp_ms + (arrival_seq % 37) * 900000 END AS end_ms, 'r' || (arrival_seq % 4) AS reason FROM tick WHERE arrival_seq % 29 = 0),
+_WIDE = """wide AS (SELECT exchange, symbol, timestamp_ms AS start_ms, CASE WHEN arrival_seq % 8009 = 8000 THEN NULL ELSE timestamp_ms + (arrival_seq % 37) * 60000 END AS end_ms, 'r' || (arrival_seq % 4) AS reason FROM tick),
 w1 AS (SELECT *, coalesce(end_ms, 9223372036854775807) AS e, max(coalesce(end_ms, 9223372036854775807)) OVER (PARTITION BY exchange, symbol ORDER BY start_ms, coalesce(end_ms, 9223372036854775807) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide),
 w2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms > reach THEN 1 ELSE 0 END) OVER (PARTITION BY exchange, symbol ORDER BY start_ms, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM w1),
 merged AS (SELECT exchange, symbol, min(start_ms) AS start_ms, nullif(max(e), 9223372036854775807) AS end_ms, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reason FROM w2 GROUP BY exchange, symbol, isl)"""
 
 
 def _wide(s, d):
-    t = D.ticks(s, d).where("arrival_seq % 29 = 0")
-    end = F.when(F.col("arrival_seq") % 4001 != 0, F.col("timestamp_ms") + (F.col("arrival_seq") % 37) * 900_000)
+    t = D.ticks(s, d)
+    end = F.when(F.col("arrival_seq") % 8009 != 8000, F.col("timestamp_ms") + (F.col("arrival_seq") % 37) * 60_000)
     return t.select("exchange", "symbol", F.col("timestamp_ms").alias("start_ms"), end.alias("end_ms"), F.concat(F.lit("r"), (F.col("arrival_seq") % 4).cast("string")).alias("reason"))
 
 
@@ -243,28 +243,28 @@ def _c3(s, d):
     return C.overlaps_break(E.bucketize(D.trades(s, d), 3600), C.merge_breaks(_wide(s, d)), "first_trade_ms", "last_trade_ms").select("exchange", "symbol", "start_ms")
 
 
-_FB = "fb AS (SELECT exchange, symbol, timestamp_ms AS start_ms, arrival_seq // 500 AS generation, 'feed_disconnect' AS reason FROM tick WHERE arrival_seq % 101 = 0)"
+_FB = "fb AS (SELECT exchange, symbol, timestamp_ms AS start_ms, arrival_seq // 500 AS generation, 'feed_disconnect' AS reason FROM tick)"
 
 
 @query("c4_close_on_first_trade", "SELECT fb.exchange, fb.symbol, fb.start_ms, greatest(fb.start_ms + 1, min(t.received_wall_ms) FILTER (t.timestamp_ms >= fb.start_ms)) AS end_ms, fb.generation FROM fb LEFT JOIN trades t ON t.exchange = fb.exchange AND t.symbol = fb.symbol AND t.arrival_seq // 500 = fb.generation GROUP BY fb.exchange, fb.symbol, fb.start_ms, fb.generation".replace("greatest(fb.start_ms + 1, min(t.received_wall_ms) FILTER (t.timestamp_ms >= fb.start_ms))", "CASE WHEN min(t.received_wall_ms) FILTER (t.timestamp_ms >= fb.start_ms) IS NOT NULL THEN greatest(fb.start_ms + 1, min(t.received_wall_ms) FILTER (t.timestamp_ms >= fb.start_ms)) END"), T, _FB)
 def _c4(s, d):
-    fb = D.ticks(s, d).where("arrival_seq % 101 = 0").select("exchange", "symbol", F.col("timestamp_ms").alias("start_ms"), F.col("continuity_generation").alias("generation"), F.lit("feed_disconnect").alias("reason"))
+    fb = D.ticks(s, d).select("exchange", "symbol", F.col("timestamp_ms").alias("start_ms"), F.col("continuity_generation").alias("generation"), F.lit("feed_disconnect").alias("reason"))
     return C.close_on_first_trade(fb, D.trades(s, d)).select("exchange", "symbol", "start_ms", "end_ms", "generation")
 
 
-@query("c5_fan_out_breaks", "SELECT t.exchange, m.symbol, t.timestamp_ms FROM tick t, (VALUES ('BTCUSDT'), ('ETHUSDT')) m(symbol) WHERE arrival_seq % 97 = 0", T)
+@query("c5_fan_out_breaks", "SELECT t.exchange, m.symbol, t.timestamp_ms FROM tick t, (VALUES ('BTCUSDT'), ('ETHUSDT')) m(symbol)", T)
 def _c5(s, d):
-    log = D.ticks(s, d).where("arrival_seq % 97 = 0").select("exchange", F.lit("start").alias("phase"), "timestamp_ms", F.lit("x").alias("reason"), F.lit(None).cast("string").alias("symbol"))
+    log = D.ticks(s, d).select("exchange", F.lit("start").alias("phase"), "timestamp_ms", F.lit("x").alias("reason"), F.lit(None).cast("string").alias("symbol"))
     return C.fan_out_breaks(log, D.symbol_map(s)).select("exchange", "symbol", "timestamp_ms")
 
 
 def _feed_log(s, d):
     kinds = F.array(*(F.lit(k) for k in ("process_start", "feed_disconnect", "connect", "queue_drop", "reconnect")))
-    t = D.ticks(s, d).where("arrival_seq % 41 = 0")
+    t = D.ticks(s, d)
     return t.select("exchange", F.element_at(kinds, (F.col("arrival_seq") % 5).cast("int") + 1).alias("kind"), "timestamp_ms")
 
 
-_FL = "fl AS (SELECT exchange, ['process_start','feed_disconnect','connect','queue_drop','reconnect'][1 + arrival_seq % 5] AS kind, timestamp_ms FROM tick WHERE arrival_seq % 41 = 0)"
+_FL = "fl AS (SELECT exchange, ['process_start','feed_disconnect','connect','queue_drop','reconnect'][1 + arrival_seq % 5] AS kind, timestamp_ms FROM tick)"
 
 
 @query("c6_loss_breaks", "SELECT exchange, timestamp_ms, kind AS reason, count(*) OVER (PARTITION BY exchange ORDER BY timestamp_ms, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS generation FROM fl WHERE kind IN ('process_start', 'feed_disconnect', 'queue_drop')", T, _FL)
@@ -300,12 +300,12 @@ mt AS (SELECT g.*, b.start_ms AS bs, (b.end_ms IS NULL OR b.end_ms > g.t) AS op,
 pr AS (SELECT exchange, symbol, idx, bool_or(op) AS op, max(en - bs) AS gap, sum(greatest(least(en, t) - greatest(bs, t - w), 0)) AS lost FROM mt GROUP BY 1, 2, 3)"""
 
 
-@query("c10_segment_continuity", "SELECT seg.exchange, seg.symbol, seg.idx, round(1 - least(coalesce(lost, 0), w) / w, 6) AS coverage_ratio, round(coalesce(gap, 0) / 1000.0, 6) AS largest_gap_seconds, NOT coalesce(op, false) AND coalesce(gap, 0) / 1000.0 <= 14400 AND 1 - least(coalesce(lost, 0), w) / w >= 0.3 AS continuous FROM seg LEFT JOIN pr ON pr.exchange = seg.exchange AND pr.symbol = seg.symbol AND pr.idx = seg.idx", T, _WIDE, M, _SEG)
+@query("c10_segment_continuity", "SELECT seg.exchange, seg.symbol, seg.idx, round(1 - least(coalesce(lost, 0), w) / w, 9) AS coverage_ratio, round(coalesce(gap, 0) / 1000.0, 6) AS largest_gap_seconds, NOT coalesce(op, false) AND coalesce(gap, 0) / 1000.0 <= 14400 AND 1 - least(coalesce(lost, 0), w) / w >= 0.3 AS continuous FROM seg LEFT JOIN pr ON pr.exchange = seg.exchange AND pr.symbol = seg.symbol AND pr.idx = seg.idx", T, _WIDE, M, _SEG)
 def _c10(s, d):
     g = D.GRID
     p = W.window_columns(W.grid(E.bucketize(D.trades(s, d), g.bucket_seconds), g.bucket_seconds), g)
     seg = p.select("exchange", "symbol", "idx", F.col("timestamp_ms").alias("t_ms"), F.lit(g.window_seconds * 1000).cast("long").alias("w_ms"), "price_start_ms", F.concat_ws("|", "exchange", "symbol", "idx").alias("seg_id"))
-    return C.segment_continuity(seg, C.merge_breaks(_wide(s, d)), g.max_gap_seconds, g.min_coverage).select("exchange", "symbol", "idx", r("coverage_ratio"), r("largest_gap_seconds"), "continuous")
+    return C.segment_continuity(seg, C.merge_breaks(_wide(s, d)), g.max_gap_seconds, g.min_coverage).select("exchange", "symbol", "idx", r("coverage_ratio", 9), r("largest_gap_seconds"), "continuous")
 
 
 # ---- W: window metrics
@@ -516,10 +516,10 @@ def _p2(s, d):
     return P.recent_dedup(D.alerts(s, d), D.jobs(s, d), 0, None).select("dedup_key", "timestamp_ms")
 
 
-@query("p3_pending_alarms", "SELECT jb.alert_id, jb.priority FROM jb JOIN al ON al.id = jb.alert_id WHERE status IN ('queued', 'attempt') AND CAST(jb.alert_id AS BIGINT) % 10 <> 0 ORDER BY priority, updated_ms, timestamp_ms, jb.alert_id LIMIT 500", AL)
+@query("p3_pending_alarms", "SELECT jb.alert_id, jb.priority FROM jb JOIN al ON al.id = jb.alert_id WHERE status IN ('queued', 'attempt') AND jb.alert_id NOT IN (SELECT alert_id FROM rc WHERE channel = 'push') ORDER BY priority, updated_ms, timestamp_ms, jb.alert_id LIMIT 500", AL)
 def _p3(s, d):
     j = D.jobs(s, d)
-    return P.pending_alarms(j, D.alerts(s, d), 500, j.where("cast(alert_id as long) % 10 = 0")).select("alert_id", "priority")
+    return P.pending_alarms(j, D.alerts(s, d), 500, D.receipts(s, d).where("channel = 'push'").select("alert_id").distinct()).select("alert_id", "priority")
 
 
 @query("p4_list_metrics", "SELECT timestamp_ms, exchange FROM met WHERE symbol = 'BTCUSDT' ORDER BY timestamp_ms DESC, exchange LIMIT 100", T, M)
@@ -580,12 +580,12 @@ _H1 = """lg AS (SELECT exchange, max(timestamp_ms) FILTER (kind IN ('connect', '
 bs AS (SELECT t.exchange, symbol, count(*) AS messages, count(*) FILTER (event_type <> 'error') AS trades, count(*) FILTER (event_type = 'error') AS liquidations, max(CASE WHEN received_wall_ms >= coalesce(c, 0) THEN received_wall_ms END) AS last_ms FROM tick t LEFT JOIN lg ON lg.exchange = t.exchange GROUP BY 1, 2)"""
 
 
-@query("h1_feed_counters", "SELECT exchange, symbol, messages, trades, liquidations, last_ms, round(greatest((1707000000000 - last_ms) / 1000.0, 0), 2) AS age_seconds FROM bs", T, _FL, _H1)
+@query("h1_feed_counters", "SELECT exchange, symbol, messages, trades, liquidations, last_ms, CASE WHEN last_ms IS NOT NULL THEN round(greatest((1707000000000 - last_ms) / 1000.0, 0), 2) END AS age_seconds FROM bs", T, _FL, _H1)
 def _h1(s, d):
     return H.feed_counters(_messages(s, d), _feed_log(s, d), 1_707_000_000_000)[1]
 
 
-@query("h2_feed_ages", "SELECT exchange, CASE WHEN bool_and(last_ms IS NOT NULL) THEN max(round(greatest((1707000000000 - last_ms) / 1000.0, 0), 2)) END AS message_age_seconds, min(round(greatest((1707000000000 - last_ms) / 1000.0, 0), 2)) AS latest_age_seconds FROM bs GROUP BY 1", T, _FL, _H1)
+@query("h2_feed_ages", "SELECT exchange, CASE WHEN bool_and(last_ms IS NOT NULL) THEN max(round(greatest((1707000000000 - last_ms) / 1000.0, 0), 2)) END AS message_age_seconds, min(CASE WHEN last_ms IS NOT NULL THEN round(greatest((1707000000000 - last_ms) / 1000.0, 0), 2) END) AS latest_age_seconds FROM bs GROUP BY 1", T, _FL, _H1)
 def _h2(s, d):
     by = H.feed_counters(_messages(s, d), _feed_log(s, d), 1_707_000_000_000)[1]
     return H.feed_ages(by, _messages(s, d)).select("exchange", "message_age_seconds", "latest_age_seconds")

@@ -2,12 +2,14 @@
 
 import json
 import math
+import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from tapewatch import schemas
+from tapewatch.functions import series
 from tapewatch.functions.stats import MAD_SCALE, with_robust_zscore
 from tapewatch.operators import alerts as A
 from tapewatch.operators import continuity as C
@@ -316,6 +318,53 @@ def test_running_max_by_chunks(spark):
     assert {r.arrival_seq: r.m for r in found.collect()} == want
 
 
+def test_windows_by_chunks(spark):
+    g = Grid(5, 60, 300, 5, 240, 15, 0.8)
+    rows = [("x", NOW - 2_000_000 + k * 5000, 100 + 0.3 * math.sin(k / 3), 10 + k % 5, "buy" if k % 2 else "sell", None) for k in range(400) if k % 11 and not 100 < k < 180]
+    rows += [("y", NOW - 2_000_000 + k * 5000, 100.0 + k, 1, "buy", None) for k in range(20)]
+    dense = W.grid(E.bucketize(trades(spark, rows), 5), 5)
+    assert dense.groupBy("exchange").agg(F.max("idx").alias("hi")).select("hi").distinct().count() == 1
+    whole, cut = W.window_columns(dense, g, 10_000), W.window_columns(dense, g, 4)
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, cut.collect()), key=str)
+    points = whole.withColumn("hist", F.pmod("idx", F.lit(7)) > 0)
+    by_id = lambda df: {(r.exchange, r.idx): [tuple(x) for x in r.sample] for r in df.collect()}
+    want = by_id(W.baseline_samples(points, g, 10_000))
+    assert by_id(W.baseline_samples(points, g, 3)) == want and max(map(len, want.values())) > 5
+    last = W.metric_snapshots(E.bucketize(trades(spark, rows), 5), None, g).where("exchange = 'y'").orderBy(F.desc("timestamp_ms")).first()
+    assert last.readiness_reason == "insufficient_window" and last.data_age_seconds > 1800 and last.price == 119.0
+
+
+def test_breaks_in_bins_equal_plain_joins(spark):
+    rng = random.Random(9)
+    spans = [(lo, None if k % 40 == 39 else lo + rng.randrange(1, 900)) for k in range(80) for lo in [rng.randrange(20_000)]]
+    rows = [(k, "x", "BTC", a, a + rng.choice([0, 5, 99, 2500])) for k in range(300) for a in [rng.randrange(22_000)]] + [(900, "x", "BTC", None, 5), (901, "z", "BTC", 1, 5)]
+    br = spark.createDataFrame([("x", "BTC", a, b, "r") for a, b in spans], "exchange string, symbol string, start_ms long, end_ms long, reason string")
+    df = spark.createDataFrame(rows, "k int, exchange string, symbol string, start_ms long, end_ms long")
+    hit = {k for k, x, _, a, b in rows if x == "x" and a is not None and any(s <= b and (e is None or e >= a) for s, e in spans)}
+    assert {r.k for r in C.overlaps_break(df, br, width_ms=100).collect()} == hit
+    assert {r.k for r in C.overlaps_break(df, br, keep=False, width_ms=100).collect()} == {r[0] for r in rows} - hit
+    merged = C.merge_breaks(br.where("start_ms < 15000 and end_ms is not null"))
+    seg = df.where("exchange = 'x' and start_ms is not null").selectExpr("exchange", "symbol", "cast(k as string) seg_id", "end_ms t_ms", "cast(700 as long) w_ms", "end_ms - 900 price_start_ms")
+    for now in (True, False):
+        one, many = (sorted(map(str, C.segment_continuity(seg, merged, 0.5, 0.5, now, width_ms=w).collect())) for w in (10_000_000, 50))
+        assert one == many
+
+
+def test_previous_and_carried_by_chunks(spark):
+    rng = random.Random(4)
+    rows = [(k % 2, k, rng.choice([None, k])) for k in range(200) if not 40 < k < 90]
+    df = spark.createDataFrame(rows, "s int, k long, v long")
+    chunk = F.floor(F.col("k") / 7)
+    lag = {r.k: r.was for r in series.previous(df, ["s"], ["k"], chunk, F.col("v"), "was").collect()}
+    last = {r.k: r.so_far for r in series.carried(df, ["s"], ["k"], chunk, F.col("v"), "so_far").collect()}
+    was, so_far = {}, {}
+    for s, k, v in rows:
+        assert lag[k] == was.get(s)
+        was[s] = v
+        so_far[s] = so_far.get(s) if v is None else v
+        assert last[k] == so_far.get(s)
+
+
 def test_one_clock_over_days(spark):
     day, step = 86_400_000, 21_600_000
     ticks = [k * step for k in range(40) if k not in (5, 6, 7)] + [9 * step + 7]

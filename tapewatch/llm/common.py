@@ -31,13 +31,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tapewatch/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: later steps survive lost executors and reuse the rows."""
-    path = scratch(df.sparkSession, name)
+    path = path or scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables below the shared folder that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that operators have left in the shared folder, of this session and of earlier ones.
+
+    Results read these tables, so call it once they are written or collected.
+    """
+    removed(spark, f"{shared_folder(spark)}/tapewatch")
+
+
 def write_files(df: DataFrame, path: str, ordered: bool = False) -> None:
     """Writes rows (seg int, k long, data binary) as files of raw bytes, each datum followed by a zero byte.
 
@@ -66,19 +81,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     shortens paths; rounds grow with the logarithm of the diameter. Tables are written to the shared folder after
     each round. A null endpoint takes no part.
     """
+    spark = edges.sparkSession
     edges = edges.where("u is not null and v is not null and u <> v").select("u", "v")
     both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    parent = written(both.groupBy("u").agg(F.min("v").alias("p")).select(F.col("u").alias("node"), F.least("u", "p").alias("p")), "parent")
+    at = scratch(spark, "parent")
+    first = both.groupBy("u").agg(F.min("v").alias("p")).select(F.col("u").alias("node"), F.least("u", "p").alias("p"))
+    parent = written(first, "parent", at)
     for _ in range(max_rounds):
         up = parent.select(F.col("node").alias("p"), F.col("p").alias("g"))
         grand = parent.join(up, "p").select("node", "p", "g")
         seen = both.join(grand.select(F.col("node").alias("v"), F.col("g").alias("seen")), "v")
         least = seen.groupBy(F.col("u").alias("node")).agg(F.min("seen").alias("m"))
-        step = written(grand.join(least, "node").select("node", "p", F.least("g", "m").alias("m")), "step")
+        step_at, new_at = scratch(spark, "step"), scratch(spark, "parent")
+        step = written(grand.join(least, "node").select("node", "p", F.least("g", "m").alias("m")), "step", step_at)
         hooked = step.groupBy(F.col("p").alias("node")).agg(F.min("m").alias("h"))
         new = step.join(hooked, "node", "left").select("node", "p", F.least("m", F.coalesce("h", "m")).alias("q"))
-        new = written(new, "parent")
-        parent = new.select("node", F.col("q").alias("p"))
+        new = written(new, "parent", new_at)
+        removed(spark, at, step_at)  # the new table holds all that later rounds read
+        parent, at = new.select("node", F.col("q").alias("p")), new_at
         if new.where("p <> q").isEmpty():
             break
     else:

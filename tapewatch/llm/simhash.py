@@ -24,7 +24,9 @@ MAX_BITS = 3
 SHARED_BYTES = 8 - MAX_BITS
 PREFIX = 7
 PICKS = list(combinations(range(PREFIX), PREFIX - MAX_BITS))
-#: Posting lists above this many fingerprints are not paired; their members meet through bit variants.
+#: The five positions under which the members of a crowded list are posted again.
+FIVES = list(combinations(range(8), SHARED_BYTES))
+#: Posting lists above this many fingerprints are split by a further position.
 CROWDED = 256
 CHUNK = 1 << 16
 
@@ -75,10 +77,10 @@ def _mask(positions: tuple[int, ...]) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def _first_pick() -> list[int]:
-    """For each set of shared positions among the first seven, as bits, the pick of its lowest four; -1 if fewer."""
-    at = {p: k for k, p in enumerate(PICKS)}
-    return [at[tuple(s[:4])] if len(s := [i for i in range(PREFIX) if m >> i & 1]) >= 4 else -1 for m in range(1 << PREFIX)]
+def _first_pick(picks: list[tuple[int, ...]]) -> list[int]:
+    """For each set of shared positions, as bits, the pick that is its lowest positions; -1 if there is none."""
+    at, size = {p: k for k, p in enumerate(picks)}, len(picks[0])
+    return [at.get(tuple([i for i in range(8) if m >> i & 1][:size]), -1) for m in range(1 << 8)]
 
 
 def _shared(x: Column, n: int) -> Column:
@@ -90,26 +92,48 @@ def _shared(x: Column, n: int) -> Column:
 def linked_fingerprints(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Links (u, v) between distinct fingerprints fp: every pair within three bits is linked, or joined by such links.
 
-    Posting lists of up to `crowded` members yield their pairs. Members of longer lists are linked through stars:
-    for a variant w, all fingerprints within two bits of w are linked to the smallest one within one bit of it.
-    Two fingerprints three bits apart share such a star, so components are the same as with all pairs.
+    Posting lists of up to `crowded` members yield their pairs. Longer lists are split by the byte of each later
+    position: a pair shares five positions, so it meets again in the list of the lowest five. What is crowded even
+    there agrees in 40 bits; those members are linked through stars: for a variant w, all fingerprints within two
+    bits of w are linked to the smallest one within one bit of it. Two fingerprints three bits apart share such a
+    star, so components are the same as with all pairs.
     """
     posts = _postings(fps)
-    full = written(posts.groupBy("pick", "key").count().where(F.col("count") > crowded).select("pick", "key"), "crowded")
+    full = _crowded(posts, crowded, "crowded")
     if full.isEmpty():
-        return _pairs(posts)
-    members = written(posts.join(full, ["pick", "key"], "left_semi").select("fp").distinct(), "members")
-    rest = posts.join(full, ["pick", "key"], "left_anti")
-    return union_all([_pairs(rest), _stars(members)])
+        return _pairs(posts, PICKS)
+    split = _split(posts.join(full, ["pick", "key"], "left_semi"))
+    links = [_pairs(posts.join(full, ["pick", "key"], "left_anti"), PICKS)]
+    dense = _crowded(split, crowded, "dense")
+    if dense.isEmpty():
+        return union_all([*links, _pairs(split, FIVES)])
+    members = written(split.join(dense, ["pick", "key"], "left_semi").select("fp").distinct(), "members")
+    return union_all([*links, _pairs(split.join(dense, ["pick", "key"], "left_anti"), FIVES), _stars(members)])
 
 
-def _pairs(posts: DataFrame) -> DataFrame:
+def _crowded(posts: DataFrame, crowded: int, name: str) -> DataFrame:
+    return written(posts.groupBy("pick", "key").count().where(F.col("count") > crowded).select("pick", "key"), name)
+
+
+def _split(posts: DataFrame) -> DataFrame:
+    """Postings of crowded lists under each further position behind their last one."""
+    at = {p: k for k, p in enumerate(FIVES)}
+    further = [[at[(*p, e)] for e in range(p[-1] + 1, 8)] for p in PICKS]
+    picks = F.element_at(F.array(*(F.array(*(F.lit(k).cast("short") for k in f)) for f in further)), F.col("pick") + 1)
+    mask = F.element_at(F.array(*(F.lit(_mask(p)) for p in FIVES)), F.col("five") + 1)
+    return posts.select("fp", F.explode(picks).alias("five")).select(F.col("five").alias("pick"), F.col("fp").bitwiseAND(mask).alias("key"), "fp")
+
+
+def _pairs(posts: DataFrame, picks: list[tuple[int, ...]]) -> DataFrame:
+    """Pairs of each posting list: their shared positional bytes are tallied, pairs below the least number fall away,
+    the list of the lowest shared positions reports the pair, and the bits are verified."""
     a, b = posts.select("pick", "key", F.col("fp").alias("u")), posts.select("pick", "key", F.col("fp").alias("v"))
+    met = a.join(b, (a["pick"] == b["pick"]) & (a["key"] == b["key"]) & (F.col("u") < F.col("v"))).select(a["pick"], "u", "v")
     x = F.col("u").bitwiseXOR(F.col("v"))
-    first = F.element_at(F.array(*(F.lit(k) for k in _first_pick())), _shared(x, PREFIX) + 1)
-    met = (a["pick"] == b["pick"]) & (a["key"] == b["key"]) & (F.col("u") < F.col("v"))
-    tally = F.bit_count(_shared(x, 8)) >= SHARED_BYTES
-    return a.join(b, met & tally & (F.bit_count(x) <= MAX_BITS) & (first == a["pick"])).select("u", "v")
+    shared = _shared(x, 8)
+    first = F.element_at(F.array(*(F.lit(k) for k in _first_pick(picks))), shared + 1)
+    tallied = met.where(F.bit_count(shared) >= SHARED_BYTES).where(first == F.col("pick"))
+    return tallied.where(F.bit_count(x) <= MAX_BITS).select("u", "v")
 
 
 def _stars(members: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tapewatch.llm import simhash
-from tapewatch.llm.common import components
+from tapewatch.llm.common import clear, components, shared_folder, written
 
 
 def plain(text):
@@ -82,11 +83,27 @@ def test_crowded_lists_keep_every_link(spark):
     signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
     df = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, id long")
     want = brute(signed)
-    for crowded in (1000, 0):
+    for crowded in (1000, 3, 0):  # no list is split; some are, and stay crowded; all are
         got = {r.id: r.component_id for r in simhash.group(df, crowded).collect()}
         assert got == dict(enumerate(want))
 
 
+def test_split_lists_report_each_pair_once(spark):
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    fps = {base}
+    while len(fps) < 150:
+        f = base
+        for _ in range(rng.randint(1, 4)):
+            f ^= 1 << rng.randrange(64)
+        fps.add(f)
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    want = sorted((u, v) for u in signed for v in signed if u < v and bin((u ^ v) & (1 << 64) - 1).count("1") <= 3)
+    posts = simhash._postings(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    whole, split = simhash._pairs(posts, simhash.PICKS), simhash._pairs(simhash._split(posts), simhash.FIVES)
+    assert sorted(map(tuple, whole.collect())) == want == sorted(map(tuple, split.collect()))
+
+
 def test_nulls_repeats_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, "z y x w v u"), (1, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
@@ -99,3 +116,11 @@ def test_components_of_long_chain_and_star(spark):
     star = spark.range(1001, 1400).select(F.lit(1000).cast("long").alias("u"), F.col("id").alias("v"))
     got = components(edges.unionByName(star)).groupBy("label").count().collect()
     assert {(r["label"], r["count"]) for r in got} == {(0, 300), (1000, 400)}
+
+
+def test_left_tables_can_be_cleared(spark):
+    kept = written(spark.range(3), "kept")
+    assert kept.count() == 3
+    clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(shared_folder(spark) + "/tapewatch/*").count()

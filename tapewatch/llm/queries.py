@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import binary_records, decontaminate, langid, lattice, packing, pii, quality_cnn, simhash, toxicity, warc
+from tapewatch.llm import binary_records, bpe, decontaminate, langid, lattice, packing, pii, quality_cnn, simhash, toxicity, warc
 from tapewatch.llm.common import bucket_of_id, table
 
 
@@ -76,6 +76,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket_of_id("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -88,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_quality": op9_quality,
         "op10_langid": op10_langid,
+        "op13_bpe": op13_bpe,
     }
 
 

@@ -27,7 +27,7 @@ SCALE = 1_000_000_000
 SLAB = 1024
 BLOCK = 64
 #: Entries that a task counts before it hands them on; bytes of a text that are split at once.
-ENTRIES = 200_000
+ENTRIES = 500_000
 PART = 1 << 20
 
 _UPPER = bytes(range(0x41, 0x5B))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapewatch.functions import jsontree
 from tapewatch.functions.stats import finite
 
 STAMPS = ["received_wall_ms", "received_monotonic_s", "continuity_generation", "arrival_seq"]
@@ -153,19 +154,20 @@ def normalize_external_alerts(payloads: DataFrame) -> DataFrame:
     """Alerts posted by others (columns payload, now_ms): defaults, cases, lengths, allowed values, time within [now - 300 s, now].
 
     The source stands for the exchange. The key is the caller's or source:symbol:category:direction, always below
-    `external:`. Where the time was moved, metrics (values as text) tell so. Missing and null fields take defaults.
+    `external:`. Missing and null fields take defaults. Metrics are there as flat text and, with all their nesting, as a
+    bounded JSON text (jsontree.bounded); where the time was moved, both tell so.
     """
     fields = (
         "struct<severity:string,source:string,category:string,symbol:string,title:string,message:string,direction:string,"
         "dedup_key:string,timestamp_ms:string,metrics:map<string,string>>"
     )
-    j = payloads.select("now_ms", F.from_json("payload", fields).alias("j"))
+    j = payloads.select("now_ms", F.from_json("payload", fields).alias("j"), jsontree.raw(F.col("payload"), "metrics").alias("raw"))
     told = j.select(
         "now_ms", F.lower(F.coalesce("j.severity", F.lit("warning"))).alias("sev"), F.substring(F.coalesce("j.source", F.lit("external")), 1, 80).alias("source"),
         F.substring(F.upper(F.coalesce("j.symbol", F.lit("MARKET"))), 1, 40).alias("symbol"), F.lower(F.coalesce("j.direction", F.lit("mixed"))).alias("side"),
         F.substring(F.coalesce("j.category", F.lit("external")), 1, 80).alias("category"), "j.title", F.substring(F.coalesce("j.message", F.lit("External alert received.")), 1, 4000).alias("message"),
         F.coalesce(F.nullif(F.col("j.timestamp_ms").try_cast("long"), F.lit(0)), F.col("now_ms")).alias("told_ms"), _present(F.col("j.dedup_key")).alias("key"),
-        F.coalesce("j.metrics", F.create_map().cast("map<string,string>")).alias("metrics"),
+        F.coalesce("j.metrics", F.create_map().cast("map<string,string>")).alias("metrics"), "raw",
     )
     at = F.greatest(F.col("now_ms") - 300_000, F.least("told_ms", "now_ms"))
     moved = at != F.col("told_ms")
@@ -176,17 +178,15 @@ def normalize_external_alerts(payloads: DataFrame) -> DataFrame:
         F.substring(F.coalesce("title", F.concat(F.lit("External alert: "), "symbol")), 1, 200).alias("title"), "message",
         F.when(F.col("side").isin("up", "down", "mixed"), F.col("side")).otherwise("mixed").alias("direction"), at.alias("timestamp_ms"), moved.alias("timestamp_normalized"),
         F.array("source").alias("exchanges"), F.when(moved, F.map_concat(rest, mark)).otherwise(F.col("metrics")).alias("metrics"), "source", "key",
+        jsontree.bounded_map(F.col("raw"), "_timestamp_normalized", moved).alias("metrics_json"),
     )
     key = F.coalesce("key", F.concat_ws(":", "source", "symbol", "category", "direction"))
     return out.withColumn("dedup_key", F.substring(F.concat(F.lit("external:"), key), 1, 300)).drop("key")
 
 
-def sanitize_json(col: Column, max_entries: int = 200, max_key: int = 100, max_value: int = 1000) -> Column:
-    """A map of text or number values made safe: short keys, the first entries by key, long text cut, non-finite numbers null.
-
-    Free nesting has no column form; one level of map<string, string> or map<string, double> is handled.
-    """
-    return F.map_from_entries(F.slice(F.array_sort(F.map_entries(F.map_from_entries(F.transform(F.map_entries(col), lambda e: F.struct(F.substring(e["key"], 1, max_key).alias("key"), F.substring(e["value"].cast("string"), 1, max_value).alias("value")))))), 1, max_entries))
+def sanitize_json(col: Column) -> Column:
+    """JSON text of any shape made safe to keep: bounded keys, lists and depth, no number that is not finite."""
+    return jsontree.bounded(col)
 
 
 def sanitize_numbers(col: Column) -> Column:

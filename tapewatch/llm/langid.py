@@ -100,7 +100,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
                 if (got := trigrams(text)) is not None:
                     own.setdefault(lang, np.zeros(BINS, np.int32))[got[0]] += got[1].astype(np.int32)
-        yield pd.DataFrame({"lang": list(own), "n": [x.tobytes() for x in own.values()]})
+        if own:  # an empty frame has no type of its columns
+            yield pd.DataFrame({"lang": list(own), "n": [x.tobytes() for x in own.values()]})
 
     counts = np.zeros((len(langs), BINS))
     for r in picked.mapInPandas(count, "lang string, n binary").toLocalIterator():

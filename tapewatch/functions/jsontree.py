@@ -1,13 +1,15 @@
-"""JSON of any shape as columns: kinds of values, entries in the order of the text, and a bounded copy.
-
-A value is looked at twice: as VARIANT, which knows the types of all that lies below it, and as text, whose map form keeps
-the order of the keys. Not-a-number and the infinities are read as such.
-"""
+"""JSON of any shape as columns: kinds of values and entries of a VARIANT, and a bounded copy of a text."""
 
 from __future__ import annotations
 
+import json
+import math
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Bounds of a copy, and what stands for values below the deepest level.
 MAX_DEPTH, MAX_KEYS, MAX_KEY, MAX_ITEMS = 12, 200, 100, 500
@@ -58,66 +60,57 @@ def items(v: Column) -> Column:
     return F.when(kind(v) == "list", F.try_variant_get(v, "$", "array<variant>"))
 
 
-def raw(text_: Column, name: str) -> Column:
-    """The text of a key's value."""
-    return F.element_at(F.from_json(text_, "map<string,string>"), name)
-
-
-def entries(v: Column, text_: Column) -> Column:
-    """(k, v, t) for each key of a map in the order of its text; null where v is no map."""
-    by_key = F.try_variant_get(v, "$", "map<string,variant>")
-    told = F.transform(F.map_entries(F.from_json(text_, "map<string,string>")), lambda e: F.struct(e["key"].alias("k"), F.element_at(by_key, e["key"]).alias("v"), e["value"].alias("t")))
-    return F.when(kind(v) == "map", told)
-
+def entries(v: Column) -> Column:
+    """(key, value) for each key of a map, by key; null where v is no map."""
+    return F.when(kind(v) == "map", F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")))
 
-def elements(v: Column, text_: Column) -> Column:
-    """(k, v, t) for each value of a list, k null; null where v is no list."""
-    told = F.from_json(text_, "array<string>")
-    return F.transform(items(v), lambda x, i: F.struct(F.lit(None).cast("string").alias("k"), x.alias("v"), F.get(told, i).alias("t")))
 
-
-def _quoted(s: Column) -> Column:
-    return F.to_json(s.cast("variant"))
-
-
-def _parts(v: Column, text_: Column, depth: int) -> Column:
-    """(k, body) of the first keys or values of a map or list, keys cut; of keys that are equal then the last one stays."""
-    few = F.coalesce(F.slice(entries(v, text_), 1, MAX_KEYS), F.slice(elements(v, text_), 1, MAX_ITEMS))
-    parts = F.transform(few, lambda e: F.struct(F.substring(e["k"], 1, MAX_KEY).alias("k"), _copy(e["v"], e["t"], depth + 1).alias("body")))
-    cut = F.exists(few, lambda e: F.coalesce(F.length(e["k"]) > MAX_KEY, F.lit(False)))
-    later = lambda p, i: F.exists(F.slice(parts, i + 2, MAX_KEYS), lambda q: F.coalesce(q["k"] == p["k"], F.lit(False)))
-    return F.when(cut, F.filter(parts, lambda p, i: ~later(p, i))).otherwise(parts)
+def _walk(value: object, depth: int) -> object:
+    if isinstance(value, dict | list) and depth >= MAX_DEPTH:
+        return TOO_DEEP
+    if isinstance(value, dict):
+        return {k[:MAX_KEY]: _walk(v, depth + 1) for k, v in islice(value.items(), MAX_KEYS)}
+    if isinstance(value, list):
+        return [_walk(v, depth + 1) for v in islice(value, MAX_ITEMS)]
+    if depth >= MAX_DEPTH:
+        return TOO_DEEP
+    return None if isinstance(value, float) and not math.isfinite(value) else value
 
 
-def _joined(parts: Column, is_map: Column) -> Column:
-    each = F.transform(parts, lambda p: F.concat(F.when(p["k"].isNotNull(), F.concat(_quoted(p["k"]), F.lit(":"))).otherwise(""), p["body"]))
-    all_ = F.array_join(each, ",")
-    return F.when(is_map, F.concat(F.lit("{"), all_, F.lit("}"))).otherwise(F.concat(F.lit("["), all_, F.lit("]")))
+@F.pandas_udf(StringType())
+def _copies(texts: pd.Series, name: pd.Series, extra: pd.Series) -> pd.Series:
+    """Bounded copies; where `name` is not null of the map under that key (else {}), in which `extra`, if told, is true."""
 
+    def one(text: str | None, name: str | None, extra: str | None) -> str | None:
+        try:
+            value = None if text is None else json.loads(text)
+        except (ValueError, RecursionError):
+            text = value = None
+        if name is None:
+            if text is None:
+                return None
+            out = _walk(value, 0)
+        else:
+            inner = value.get(name) if isinstance(value, dict) else None
+            out = _walk(inner if isinstance(inner, dict) else {}, 0)
+            if extra is not None:
+                out = {k: v for k, v in out.items() if k != extra} | {extra: True}
+        return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
 
-def _copy(v: Column, text_: Column, depth: int) -> Column:
-    if depth >= MAX_DEPTH:
-        return F.lit(f'"{TOO_DEEP}"')
-    of = kind(v)
-    bad = F.coalesce((of == "float") & (F.isnan(number(v)) | (F.abs(number(v)) == float("inf"))), F.lit(False))
-    plain = F.when(bad | of.isin("null", "missing"), "null").otherwise(F.to_json(v))
-    return F.when(of.isin("map", "list"), _joined(_parts(v, text_, depth), of == "map")).otherwise(plain)
+    return pd.Series([one(*row) for row in zip(texts, name, extra, strict=True)], dtype=object)
 
 
 def bounded(text_: Column) -> Column:
     """A JSON text again, made safe to keep.
 
-    Maps keep their first 200 keys, cut to 100 characters, lists their first 500 values, and below 12 levels stands a mark;
-    numbers that are not finite become null. Numbers are written in their shortest form. Null where the text is no JSON,
-    or a map below its top has a key twice.
+    Maps keep their first 200 keys, cut to 100 characters (of keys that are equal then the last value stays), lists their
+    first 500 values, and below 12 levels stands a mark; numbers that are not finite become null. Null where the text is no
+    JSON or nested beyond what the parser takes (about a thousand levels). Nesting of any depth has no form as a column
+    expression that the analyzer resolves, so batches of texts are walked in Python.
     """
-    v = parsed(text_)
-    return F.when(v.isNotNull(), _copy(v, text_, 0))
+    return _copies(text_, F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def bounded_map(text_: Column, extra: str, told: Column) -> Column:
-    """A bounded copy of a map ({} for all else); where told, the key `extra` is true."""
-    v = parsed(text_)
-    parts = F.when(kind(v) == "map", _parts(v, text_, 0)).otherwise(F.array().cast("array<struct<k:string,body:string>>"))
-    more = F.array(F.struct(F.lit(extra).alias("k"), F.lit("true").alias("body")))
-    return _joined(F.when(told, F.concat(F.filter(parts, lambda p: p["k"] != extra), more)).otherwise(parts), F.lit(True))
+def bounded_map(text_: Column, name: str, extra: str, told: Column) -> Column:
+    """A bounded copy of the map under a key of a JSON text ({} for all else); where told, its key `extra` is true."""
+    return _copies(text_, F.lit(name), F.when(told, extra))

@@ -161,13 +161,13 @@ def normalize_external_alerts(payloads: DataFrame) -> DataFrame:
         "struct<severity:string,source:string,category:string,symbol:string,title:string,message:string,direction:string,"
         "dedup_key:string,timestamp_ms:string,metrics:map<string,string>>"
     )
-    j = payloads.select("now_ms", F.from_json("payload", fields).alias("j"), jsontree.raw(F.col("payload"), "metrics").alias("raw"))
+    j = payloads.select("now_ms", F.from_json("payload", fields).alias("j"), "payload")
     told = j.select(
         "now_ms", F.lower(F.coalesce("j.severity", F.lit("warning"))).alias("sev"), F.substring(F.coalesce("j.source", F.lit("external")), 1, 80).alias("source"),
         F.substring(F.upper(F.coalesce("j.symbol", F.lit("MARKET"))), 1, 40).alias("symbol"), F.lower(F.coalesce("j.direction", F.lit("mixed"))).alias("side"),
         F.substring(F.coalesce("j.category", F.lit("external")), 1, 80).alias("category"), "j.title", F.substring(F.coalesce("j.message", F.lit("External alert received.")), 1, 4000).alias("message"),
         F.coalesce(F.nullif(F.col("j.timestamp_ms").try_cast("long"), F.lit(0)), F.col("now_ms")).alias("told_ms"), _present(F.col("j.dedup_key")).alias("key"),
-        F.coalesce("j.metrics", F.create_map().cast("map<string,string>")).alias("metrics"), "raw",
+        F.coalesce("j.metrics", F.create_map().cast("map<string,string>")).alias("metrics"), "payload",
     )
     at = F.greatest(F.col("now_ms") - 300_000, F.least("told_ms", "now_ms"))
     moved = at != F.col("told_ms")
@@ -178,7 +178,7 @@ def normalize_external_alerts(payloads: DataFrame) -> DataFrame:
         F.substring(F.coalesce("title", F.concat(F.lit("External alert: "), "symbol")), 1, 200).alias("title"), "message",
         F.when(F.col("side").isin("up", "down", "mixed"), F.col("side")).otherwise("mixed").alias("direction"), at.alias("timestamp_ms"), moved.alias("timestamp_normalized"),
         F.array("source").alias("exchanges"), F.when(moved, F.map_concat(rest, mark)).otherwise(F.col("metrics")).alias("metrics"), "source", "key",
-        jsontree.bounded_map(F.col("raw"), "_timestamp_normalized", moved).alias("metrics_json"),
+        jsontree.bounded_map(F.col("payload"), "metrics", "_timestamp_normalized", moved).alias("metrics_json"),
     )
     key = F.coalesce("key", F.concat_ws(":", "source", "symbol", "category", "direction"))
     return out.withColumn("dedup_key", F.substring(F.concat(F.lit("external:"), key), 1, 300)).drop("key")

@@ -37,32 +37,49 @@ def field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f'$["{name}"]', "variant")
 
 
+# These tests look at v once each, so that rules made of many of them stay small plans.
+_KINDS = {
+    "bool": "BOOLEAN", "text": "STRING", "map": "OBJECT.*", "list": "ARRAY.*", "int": r"BIGINT|DECIMAL\((19|[23][0-9]),0\)",
+    "number": r"BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\)",
+}
+
+
+def is_kind(v: Column, name: str) -> Column:
+    """Whether v is a bool, text, map, list, int or number; false where it is missing."""
+    return F.coalesce(F.regexp_like(F.schema_of_variant(v), F.lit(f"(?s)^({_KINDS[name]})$")), F.lit(False))
+
+
+def is_null(v: Column) -> Column:
+    """Missing or null."""
+    return F.coalesce(F.schema_of_variant(v) == "VOID", F.lit(True))
+
+
 def number(v: Column) -> Column:
     """A number as double; null for all else, true and false among them."""
-    return F.when(kind(v).isin("int", "float"), F.try_variant_get(v, "$", "double"))
+    return F.when(is_kind(v, "number"), F.try_variant_get(v, "$", "double"))
 
 
 def whole(v: Column) -> Column:
     """A whole number as long; null for all else, and beyond 64 bits."""
-    return F.when(kind(v) == "int", F.try_variant_get(v, "$", "bigint"))
+    return F.when(is_kind(v, "int"), F.try_variant_get(v, "$", "bigint"))
 
 
-def text(v: Column) -> Column:
-    return F.when(kind(v) == "text", F.try_variant_get(v, "$", "string"))
+def flag(v: Column) -> Column:
+    return F.when(is_kind(v, "bool"), F.try_variant_get(v, "$", "boolean"))
 
 
-def flag(v: Column) -> Column:
-    return F.when(kind(v) == "bool", F.try_variant_get(v, "$", "boolean"))
+def text(v: Column) -> Column:
+    return F.when(is_kind(v, "text"), F.try_variant_get(v, "$", "string"))
 
 
 def items(v: Column) -> Column:
     """The values of a list as an array; null for all else."""
-    return F.when(kind(v) == "list", F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def entries(v: Column) -> Column:
     """(key, value) for each key of a map, by key; null where v is no map."""
-    return F.when(kind(v) == "map", F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")))
+    return F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
 
 
 def _walk(value: object, depth: int) -> object:

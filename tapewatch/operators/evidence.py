@@ -1,7 +1,7 @@
 """Evidence gate: rules and roll-ups over sampled status rows, down to one verdict.
 
-Samples are rows (timestamp_ms, body) with the JSON body as text. The body is parsed once with explicit schemas; where
-a rule tells a wrong type from a missing value, the raw token is looked at as a variant.
+Samples are rows (timestamp_ms, body) with the JSON body as text. Measures read it through explicit schemas, in which values
+of a wrong type are null; rules, which tell a wrong type from a missing value, read it as a variant (`evidence_rules`).
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewatch.functions import jsontree
 from tapewatch.functions.series import by_time, previous
 from tapewatch.functions.stats import finite
+from tapewatch.operators import evidence_rules as rules
 from tapewatch.params import Gate
 
 SYMBOL = "struct<healthy:boolean,message_age_seconds:double,messages:bigint,trades:bigint,liquidations:bigint>"
@@ -31,8 +33,8 @@ SAMPLE = f"struct<timestamp:string,monitor_gap_seconds:double,primary:{INSTANCE}
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """timestamp_ms, body and the typed sample `s`."""
-    return rows.select("timestamp_ms", "body", F.from_json("body", SAMPLE).alias("s"))
+    """timestamp_ms, the typed sample `s` and the sample as a variant `v`."""
+    return rows.select("timestamp_ms", F.from_json("body", SAMPLE).alias("s"), jsontree.parsed(F.col("body")).alias("v"))
 
 
 def dedup_samples(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,8 +51,8 @@ def coverage(rows: DataFrame, interval_seconds: float) -> DataFrame:
 
 
 def instances(samples: DataFrame) -> DataFrame:
-    """One row for each sample and instance: timestamp_ms, instance, i (null if missing) and raw text of it."""
-    both = F.explode(F.array(*(F.struct(F.lit(n).alias("instance"), F.col(f"s.{n}").alias("i"), F.get_json_object("body", f"$.{n}").alias("raw")) for n in ("primary", "shadow"))))
+    """One row for each sample and instance: timestamp_ms, instance, i (null if missing) and v, the same as a variant."""
+    both = F.explode(F.array(*(F.struct(F.lit(n).alias("instance"), F.col(f"s.{n}").alias("i"), jsontree.field(F.col("v"), n).alias("v")) for n in ("primary", "shadow"))))
     return samples.select("timestamp_ms", both.alias("x")).select("timestamp_ms", "x.*")
 
 
@@ -89,90 +91,33 @@ def container_restarts(samples: DataFrame) -> DataFrame:
     return rows.withColumn("again", F.coalesce(F.col("c") != F.col("was"), F.lit(False))).agg(F.count_if("again").alias("restarts"))
 
 
-def _bad_count(c: Column) -> Column:
-    return c.isNull() | (c < 0)
-
-
-def _bad_number(c: Column) -> Column:
-    return ~F.coalesce(finite(c) & (c >= 0), F.lit(False))
-
-
-def _wrong_optional(raw: Column, path: str, ok: tuple[str, ...]) -> Column:
-    """A value that may be missing or null, but not of another type."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), path, "variant"))
-    return F.coalesce(kind.isNotNull() & ~kind.isin("VOID", *ok) & ~kind.startswith("DECIMAL"), F.lit(False))
-
-
-# The tasks that every instance runs, and the one that it runs where checkpoints are enabled.
-BASE_TASKS = ["event-consumer", "detector", "health-monitor", "maintenance", "alert-workers"]
-CHECKPOINT_TASK = "state-checkpoint"
-
-
-def status_errors(i: Column, raw: Column) -> Column:
-    """Presence, type and range rules on one instance's status, at most 64 messages."""
-    q, c, a, k = i["queue_health"], i["clock_health"], i["alarm_delivery"], i["checkpoint_health"]
-    some = lambda m, test: F.exists(F.map_values(m), test)
-    rules: list[tuple[Column, str]] = [
-        (i["ok"].isNull(), "ok missing or invalid"),
-        (_bad_count(i["runtime_started_ms"]) | (i["runtime_started_ms"] == 0), "runtime_started_ms missing or invalid"),
-        (_bad_number(i["uptime_seconds"]), "uptime_seconds missing or invalid"),
-        (i["readiness"]["ready"].isNull(), "readiness.ready missing or invalid"),
-        (i["readiness"]["state"].isNull() | (i["readiness"]["state"] == ""), "readiness.state missing or invalid"),
-        (i["readiness"]["reasons"].isNull(), "readiness.reasons missing or invalid"),
-        (i["readiness"]["ready"] & (F.size(i["readiness"]["reasons"]) > 0), "ready with reasons"),
-        (_bad_count(i["queue_size"]), "queue_size missing or invalid"),
-        (_bad_count(i["queue_capacity"]) | (i["queue_capacity"] == 0), "queue_capacity missing or invalid"),
-        (i["queue_size"] > i["queue_capacity"], "queue_size above capacity"),
-        (i["feeds"].isNull() | (F.size(i["feeds"]) == 0), "feeds missing or empty"),
-        (some(i["feeds"], lambda f: f["connected"].isNull() | f["healthy"].isNull() | f["subscription_acknowledged"].isNull()), "feed flags missing or invalid"),
-        (some(i["feeds"], lambda f: _bad_count(f["dropped_events"]) | _bad_count(f["reconnects"]) | _bad_count(f["trades"]) | _bad_count(f["liquidations"])), "feed counters missing or invalid"),
-        (some(i["feeds"], lambda f: f["healthy"] & ~(f["connected"] & f["subscription_acknowledged"])), "healthy feed is not connected and acknowledged"),
-        (some(i["feeds"], lambda f: f["symbols"].isNull() | (F.size(f["symbols"]) == 0)), "feed symbols missing or empty"),
-        (some(i["feeds"], lambda f: F.exists(F.map_values(f["symbols"]), lambda s: s["healthy"].isNull() | _bad_count(s["messages"]))), "symbol fields missing or invalid"),
-        (i["tasks"].isNull(), "tasks missing or invalid"),
-        (i["expected_tasks"].isNull() | (F.size(i["expected_tasks"]) == 0), "expected_tasks missing or empty"),
-        (F.size(F.array_except(i["expected_tasks"], F.map_keys(i["tasks"]))) > 0, "expected task missing"),
-        (some(i["tasks"], lambda t: t["state"].isNull() | t["ready"].isNull() | t["heartbeat_stale"].isNull()), "task fields missing or invalid"),
-        (some(i["tasks"], lambda t: F.coalesce(t["heartbeat_stale"], F.lit(False))), "task heartbeat stale"),
-        (some(i["tasks"], lambda t: F.coalesce(t["last_error"], F.lit("")) != ""), "task error"),
-        (_bad_count(q["high_water"]) | _bad_count(q["drops_total"]) | _bad_count(q["drops_since_last_health_check"]), "queue_health counters missing or invalid"),
-        (_bad_number(q["consumer_lag_seconds"]), "queue_health.consumer_lag_seconds missing or invalid"),
-        (_bad_number(q["utilization"]) | (q["utilization"] > 1), "queue_health.utilization missing or invalid"),
-        (_bad_count(c["future_events_quarantined"]) | _bad_count(c["clock_adjustments"]), "clock_health counters missing or invalid"),
-        (_wrong_optional(raw, "$.clock_health.last_quarantine_ms", ("BIGINT",)), "clock_health.last_quarantine_ms invalid"),
-        (a["enabled"].isNull() | _bad_count(a["local_queue_depth"]) | a["counts"].isNull(), "alarm_delivery missing or invalid"),
-        (k["enabled"].isNull() | _bad_count(k["failures"]), "checkpoint_health missing or invalid"),
-        (_wrong_optional(raw, "$.checkpoint_health.last_failure_ms", ("BIGINT",)), "checkpoint_health.last_failure_ms invalid"),
-        (_wrong_optional(raw, "$.checkpoint_health.age_seconds", ("BIGINT", "DOUBLE")), "checkpoint_health.age_seconds invalid"),
-        (i["markets"].isNull() | (F.size(i["markets"]) == 0), "markets missing or empty"),
-        (F.exists(i["markets"], lambda m: m["symbol"].isNull() | _bad_count(m["ready_venues"]) | _bad_count(m["configured_venues"]) | m["venue_readiness"].isNull()), "market fields missing or invalid"),
-        (F.exists(i["markets"], lambda m: m["ready_venues"] > m["configured_venues"]), "more ready venues than configured"),
-    ]
-    return F.slice(F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), text) for bad, text in rules))), 1, 64)
+def instance_evidence_errors(samples: DataFrame) -> DataFrame:
+    """(timestamp_ms, instance, errors): see `evidence_rules`; a sample without the instance has one error."""
+    return instances(samples).select("timestamp_ms", "instance", rules.instance_errors(F.col("v")).alias("errors"))
 
 
-def instance_evidence_errors(samples: DataFrame) -> DataFrame:
-    """(timestamp_ms, instance, errors): status rules plus consistency of tasks and of ready venues.
+def container_evidence_errors(samples: DataFrame) -> DataFrame:
+    """(timestamp_ms, errors) of the container's state."""
+    return samples.select("timestamp_ms", rules.container_errors(jsontree.field(F.col("v"), "docker")).alias("errors"))
 
-    The expected tasks are the base set, one `feed-*` for each feed, and the checkpoint task where it is enabled.
-    """
-    rows = instances(samples)
-    i = F.col("i")
-    want = F.array_union(F.array_union(F.array(*(F.lit(t) for t in BASE_TASKS)), F.transform(F.map_keys(i["feeds"]), lambda f: F.concat(F.lit("feed-"), f))), F.when(i["checkpoint_health"]["enabled"], F.array(F.lit(CHECKPOINT_TASK))).otherwise(F.array().cast("array<string>")))
-    tasks_differ = F.array_sort(want) != F.array_sort(F.array_distinct(i["expected_tasks"]))
-    eligible = F.exists(i["markets"], lambda m: F.size(F.filter(F.map_values(m["venue_readiness"]), lambda v: F.coalesce(v["alert_eligible"], F.lit(False)))) != m["ready_venues"])
-    more = F.array_compact(F.array(
-        F.when(i["evidence_complete"].isNull() | ~i["evidence_complete"], "evidence incomplete"), F.when(F.size(i["evidence_errors"]) > 0, "evidence errors told"),
-        F.when(F.coalesce(tasks_differ, F.lit(False)), "expected tasks differ"), F.when(F.coalesce(eligible, F.lit(False)), "ready venues differ from eligible ones"),
-    ))
-    return rows.select("timestamp_ms", "instance", F.when(i.isNull(), F.array(F.lit("instance missing"))).otherwise(F.concat(status_errors(i, F.col("raw")), more)).alias("errors"))
 
+def _malformed_gap(v: Column) -> Column:
+    return ~rules.passes(jsontree.field(v, "monitor_gap_seconds"), "number")
 
-def container_evidence_errors(samples: DataFrame) -> DataFrame:
-    d = F.col("s.docker")
-    rules = [(~d["observed"], "container not observed"), (~d["present"], "container absent"), (~d["running"], "container not running"), (d["health"] != "healthy", "container not healthy"), (_bad_count(d["restart_count"]), "restart_count missing or invalid"), (d["container_id"].isNull() | (d["container_id"] == ""), "container_id missing"), (d["started_at"].isNull() | (d["started_at"] == ""), "started_at missing")]
-    listed = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(True)), text) for bad, text in rules)))
-    return samples.select("timestamp_ms", F.when(d.isNull(), F.array(F.lit("container missing"))).otherwise(listed).alias("errors"))
+
+def evidence_issues(samples: DataFrame, most: int = rules.MOST_ERRORS) -> DataFrame:
+    """Distinct issues with their place as prefix: issue, samples, first_ms; the `most` that came first, in that order.
+
+    Within a sample the primary instance comes first, the container last. A malformed gap is told besides the `most`.
+    """
+    each = instance_evidence_errors(samples).select("timestamp_ms", F.col("instance").alias("part"), "errors")
+    each = each.unionByName(container_evidence_errors(samples).select("timestamp_ms", F.lit("docker").alias("part"), "errors"))
+    order = F.struct("timestamp_ms", F.array_position(F.array(F.lit("primary"), F.lit("shadow"), F.lit("docker")), F.col("part")).alias("part"), "at")
+    told = each.select("timestamp_ms", "part", F.posexplode("errors").alias("at", "error")).select(F.concat_ws(": ", "part", "error").alias("issue"), "timestamp_ms", order.alias("place"))
+    found = told.groupBy("issue").agg(F.countDistinct("timestamp_ms").alias("samples"), F.min("place").alias("place"))
+    gap = samples.where(_malformed_gap(F.col("v"))).agg(F.count("*").alias("samples"), F.min("timestamp_ms").alias("first_ms")).where("samples > 0")
+    first = found.orderBy("place").limit(most).select("issue", "samples", F.col("place.timestamp_ms").alias("first_ms"))
+    return first.unionByName(gap.select(F.lit("sample: monitor_gap_seconds is missing or invalid").alias("issue"), "samples", "first_ms"))
 
 
 def flatten_status(samples: DataFrame, stale_seconds: float, freshness_seconds: float) -> DataFrame:
@@ -184,24 +129,18 @@ def flatten_status(samples: DataFrame, stale_seconds: float, freshness_seconds:
     return s.select("timestamp_ms", "instance", "feed", "symbol", "feed_healthy", (F.coalesce(F.col("y.messages") > 0, F.lit(False)) & fresh(F.col("y.message_age_seconds"), freshness_seconds)).alias("symbol_healthy"), "y.messages")
 
 
-def quiet_market(m: Column, transport_healthy: Column) -> Column:
-    """A market that is only quiet: some but not all venues ready, the rest stale, nothing recovering, feeds healthy."""
-    fair = F.forall(F.map_values(m["venue_readiness"]), lambda v: (v["alert_eligible"] & (v["reason"] == "ready")) | (~v["alert_eligible"] & (v["reason"] == "stale_data")))
-    reasons = F.array_sort(F.array_distinct(m["readiness_reasons"])) == F.array(F.lit("ready"), F.lit("stale_data"))
-    return F.coalesce((m["ready_venues"] > 0) & (m["ready_venues"] < m["configured_venues"]) & reasons & transport_healthy & fair & (m["max_recovery_seconds_remaining"] == 0), F.lit(False))
-
-
 def detector_readiness(samples: DataFrame) -> DataFrame:
-    """One row: samples of instances with an unready market, with only quiet ones, distinct instance:symbol:ready/configured, least ratio."""
-    rows = instances(samples).where("i is not null")
-    transport = F.coalesce(F.forall(F.map_values("i.feeds"), lambda f: F.coalesce(f["healthy"], F.lit(False))), F.lit(False))
-    m = rows.withColumn("transport", transport).select("timestamp_ms", "instance", "transport", F.explode("i.markets").alias("m"))
-    ratio = F.when((F.col("m.configured_venues") > 0) & (F.col("m.ready_venues") >= 0), F.col("m.ready_venues") / F.col("m.configured_venues")).otherwise(0.0)
-    short = F.coalesce(F.col("m.ready_venues") < F.col("m.configured_venues"), F.lit(True))
-    quiet = quiet_market(F.col("m"), F.col("transport"))
-    name = F.concat(F.col("instance"), F.lit(":"), F.coalesce("m.symbol", F.lit("?")), F.lit(":"), F.coalesce(F.col("m.ready_venues").cast("string"), F.lit("?")), F.lit("/"), F.coalesce(F.col("m.configured_venues").cast("string"), F.lit("?")))
-    per = m.select("timestamp_ms", "instance", (short & ~quiet).alias("unready"), (short & quiet).alias("quiet"), F.when(short & ~quiet, name).alias("pair"), ratio.alias("ratio")).groupBy("timestamp_ms", "instance").agg(F.max("unready").alias("unready"), F.max("quiet").alias("quiet"), F.collect_set("pair").alias("pairs"), F.min("ratio").alias("ratio"))
-    return per.agg(F.count_if("unready").alias("unready_samples"), F.count_if(F.col("quiet") & ~F.col("unready")).alias("quiet_samples"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("unready_pairs"), F.coalesce(F.min("ratio"), F.lit(0.0)).alias("min_ready_ratio"))
+    """One row: how many samples of an instance had an unready market, how many a quiet one, which pairs
+    (instance:symbol:ready/configured), and the least share of ready venues.
+
+    An instance without markets is unready; no sample at all gives the share 1.
+    """
+    m = instances(samples).select(rules.market_states(F.col("v"), F.col("instance")).alias("m"))
+    has = lambda name: F.exists("m", lambda x: x["state"] == name)
+    per = m.agg(F.count_if(has("unready")).alias("unready_samples"), F.count_if(has("quiet")).alias("quiet_samples"), F.coalesce(F.min(F.array_min(F.transform("m", lambda x: x["ratio"]))), F.lit(1.0)).alias("min_ready_ratio"))
+    each = m.select(F.explode("m").alias("m")).select("m.*").distinct()
+    pairs = each.agg(*(F.array_sort(F.collect_set(F.when(F.col("state") == n, F.col("pair")))).alias(f"{n}_pairs") for n in ("unready", "quiet")))
+    return per.crossJoin(pairs)  # single rows
 
 
 def max_rollups(samples: DataFrame) -> DataFrame:
@@ -232,13 +171,14 @@ def summarize(rows: DataFrame, g: Gate = Gate(), counts: DataFrame | None = None
     errors = instance_evidence_errors(s).agg(*(of(n, (F.size("errors") > 0).cast("int"))(f"{n}_evidence_failures") for n in both))
     restarts = runtime_restarts(s).agg(*(of(n, F.col("restarts"))(f"{n}_restarts") for n in both))
     boxes = container_evidence_errors(s).agg(F.count_if(F.size("errors") > 0).alias("container_evidence_failures"))
-    samples = s.agg(F.count_if(_bad_number(F.col("s.monitor_gap_seconds"))).alias("malformed_gaps"), F.coalesce(F.max(F.when(F.col("s.docker.restart_count") >= 0, F.col("s.docker.restart_count"))), F.lit(0)).alias("container_restart_count"))
+    samples = s.agg(F.count_if(_malformed_gap(F.col("v"))).alias("malformed_gaps"), F.coalesce(F.max(F.when(F.col("s.docker.restart_count") >= 0, F.col("s.docker.restart_count"))), F.lit(0)).alias("container_restart_count"))
     checkpoint = F.col("i.checkpoint_health")
     unhealthy = F.coalesce(checkpoint["enabled"], F.lit(False)) & ~F.coalesce(checkpoint["healthy"], F.lit(False))
     checkpoints = instances(s).agg(F.count_if(unhealthy).alias("checkpoint_unhealthy_samples"))
     parts = [
         coverage(kept, g.interval_seconds), duplicates, failures, errors, boxes, samples, monitor_gaps(s, g.interval_seconds), restarts,
         container_restarts(s).withColumnRenamed("restarts", "container_identity_restarts"), checkpoints, detector_readiness(s), max_rollups(s),
+        evidence_issues(s).agg(F.array_sort(F.collect_list("issue")).alias("evidence_issues")),
     ]
     out = parts[0]
     for p in parts[1:]:

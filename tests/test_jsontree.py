@@ -57,10 +57,11 @@ def test_bounded_of_no_json(spark):
 
 
 def test_kinds(spark):
-    want = {"null": "null", "true": "bool", "5": "int", "-5": "int", str(10**24): "int", "5.0": "float", "1e3": "float", "NaN": "float", '"5"': "text", "[1]": "list", "{}": "map"}
-    df = spark.createDataFrame([(t,) for t in want], "t string")
-    got = {r.t: r.k for r in df.select("t", J.kind(J.field(J.parsed(F.concat(F.lit('{"v":'), "t", F.lit("}"))), "v")).alias("k")).collect()}
-    assert got == want
+    want = {"null": "", "true": "bool", "5": "int number", "-5": "int number", str(10**24): "int number", "5.0": "number", "1e3": "number", "NaN": "number", '"5"': "text", "[1]": "list", "{}": "map"}
+    df = spark.createDataFrame([(t,) for t in want], "t string").withColumn("v", J.field(J.parsed(F.concat(F.lit('{"v":'), "t", F.lit("}"))), "v"))
+    got = {r.t: (r.k, r.n) for r in df.select("t", F.concat_ws(" ", *(F.when(J.is_kind(F.col("v"), k), k) for k in ("bool", "int", "list", "map", "number", "text"))).alias("k"), J.is_null(F.col("v")).alias("n")).collect()}
+    assert got == {t: (k, t == "null") for t, k in want.items()}
+    assert df.where(J.is_null(J.field(F.col("v"), "none"))).count() == len(want)
 
 
 def test_external_metrics_are_bounded(spark):

@@ -252,10 +252,10 @@ def sample(k, **change):
     inst = {
         "ok": True, "evidence_complete": True, "evidence_errors": [], "runtime_started_ms": 1000, "uptime_seconds": 100.0 + 60 * k, "readiness": {"ready": True, "state": "ready", "reasons": []}, "queue_size": 1, "queue_capacity": 100,
         "feeds": {"okx": {"healthy": True, "connected": True, "subscription_acknowledged": True, "message_age_seconds": 1.0, "dropped_events": 0, "reconnects": 0, "trades": 5, "liquidations": 0, "symbols": {"BTC": {"healthy": True, "message_age_seconds": 1.0, "messages": 5, "trades": 5, "liquidations": 0}}}},
-        "expected_tasks": [*TASKS, "feed-okx"], "tasks": {t: {"state": "running", "ready": True, "heartbeat_age_seconds": 1.0, "heartbeat_stale": False, "last_error": None} for t in (*TASKS, "feed-okx")},
+        "expected_tasks": [*TASKS, "feed-okx"], "tasks": {t: {"state": "running", "ready": True, "heartbeat_age_seconds": 1.0, "heartbeat_stale": False, "last_error": ""} for t in (*TASKS, "feed-okx")},
         "queue_health": {"high_water": 3, "drops_total": 0, "drops_since_last_health_check": 0, "consumer_lag_seconds": 0.1, "utilization": 0.01}, "clock_health": {"future_events_quarantined": 0, "clock_adjustments": 0, "last_quarantine_ms": None},
-        "alarm_delivery": {"enabled": True, "local_queue_depth": 0, "counts": {"success": 1}}, "checkpoint_health": {"enabled": False, "age_seconds": None, "failures": 0, "last_failure_ms": None},
-        "markets": [{"symbol": "BTC", "ready_venues": 1, "configured_venues": 1, "readiness_reasons": ["ready"], "max_recovery_seconds_remaining": 0.0, "min_window_coverage_ratio": 1.0, "max_largest_gap_seconds": 0.0, "venue_readiness": {"okx": venue}}],
+        "alarm_delivery": {"enabled": True, "local_queue_depth": 0, "counts": {"queued": 0, "attempt": 0, "success": 1, "failure": 0}}, "checkpoint_health": {"enabled": False, "healthy": True, "reason": "disabled", "last_failure_ms": None},
+        "markets": [{"symbol": "BTC", "ready_venues": 1, "configured_venues": 1, "readiness_reasons": ["ready"], "readiness_reason": "ready", "max_recovery_seconds_remaining": 0.0, "min_window_coverage_ratio": 1.0, "max_largest_gap_seconds": 0.0, "venue_readiness": {"okx": venue}}],
     }
     box = {"observed": True, "present": True, "running": True, "status": "running", "health": "healthy", "restart_count": 0, "container_id": "c", "started_at": "s"}
     return json.dumps({"timestamp": f"2024-01-01T{k // 60:02d}:{k % 60:02d}:00Z", "monitor_gap_seconds": 0, "primary": {**inst, **change}, "shadow": inst, "docker": box})
@@ -276,7 +276,7 @@ def test_gate(spark):
     bad = [*lines[:20], sample(20, ok=False), sample(21, uptime_seconds=1.0), sample(22, expected_tasks=["event-consumer"]), sample(23, **counters), *lines[27:], lines[40]]
     v, _ = verdict(spark, bad)
     assert v.reasons == [
-        "sample coverage 95.1% is below 98.0%", "1 duplicate timestamp sample(s)", "1 primary failure sample(s)", "1 incomplete primary evidence sample(s)", "1 monitoring gap(s)", "drop counter reached 0 feed / 4 market queue",
+        "sample coverage 95.1% is below 98.0%", "1 duplicate timestamp sample(s)", "1 primary failure sample(s)", "2 incomplete primary evidence sample(s)", "1 monitoring gap(s)", "drop counter reached 0 feed / 4 market queue",
         "future-event quarantine counter reached 2", "clock adjustment counter reached 1", "runtime restarts observed: primary 1, shadow 0, container counter 0, container identity 0",
     ]
     assert verdict(spark, ["{}"])[0].reasons == ["no valid soak samples"]

@@ -160,15 +160,25 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples (timestamp_ms, body) whose instances are derived from events; every seventh is not ok."""
+    """Samples (timestamp_ms, body) whose instances are derived from events; every seventh is not ok.
+
+    Markets are unready (every eighth), quiet (every eighth), recovering or missing (one in sixteen each), else ready.
+    """
     e = _read(spark, sf_dir, "events").where("ts is not null")
     k = F.col("event_id")
     ms = (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).cast("long") * 1000
-    venue = F.create_map(F.lit("okx"), F.struct((k % 4 != 0).alias("ready"), (k % 4 != 0).alias("alert_eligible"), F.when(k % 4 != 0, "ready").otherwise("stale_data").alias("reason")))
-    market = F.struct(F.lit("BTC").alias("symbol"), F.when(k % 4 != 0, 1).otherwise(0).alias("ready_venues"), F.lit(1).alias("configured_venues"), F.array(F.lit("ready")).alias("readiness_reasons"), F.lit(0.0).alias("max_recovery_seconds_remaining"), venue.alias("venue_readiness"))
+    up = F.struct(F.lit(True).alias("ready"), F.lit(True).alias("alert_eligible"), F.lit("ready").alias("reason"))
+    stale = F.struct(F.lit(False).alias("ready"), F.lit(False).alias("alert_eligible"), F.lit("stale_data").alias("reason"))
+    low, half, back, gone = k % 8 == 0, k % 8 == 4, k % 16 == 1, k % 16 == 3
+    venues = F.when(low, F.create_map(F.lit("okx"), stale)).when(half, F.create_map(F.lit("okx"), up, F.lit("binance"), stale)).otherwise(F.create_map(F.lit("okx"), up))
+    market = F.struct(
+        F.lit("BTC").alias("symbol"), F.when(low, 0).otherwise(1).alias("ready_venues"), F.when(half, 2).otherwise(1).alias("configured_venues"),
+        F.when(half, F.array(F.lit(" Stale_Data"), F.lit("ready"))).otherwise(F.array(F.lit("ready"))).alias("readiness_reasons"),
+        F.when(back, 5.0).otherwise(0.0).alias("max_recovery_seconds_remaining"), venues.alias("venue_readiness"),
+    )
     feeds = F.create_map(F.lit("okx"), F.struct(F.lit(True).alias("healthy"), F.lit(True).alias("connected"), F.lit(True).alias("subscription_acknowledged"), F.lit(1.0).alias("message_age_seconds"), (k % 3).alias("dropped_events"), F.lit(0).alias("reconnects"), F.lit(1).alias("trades"), F.lit(0).alias("liquidations"), F.create_map(F.lit("BTC"), F.struct(F.lit(True).alias("healthy"), F.lit(1.0).alias("message_age_seconds"), (k % 2).alias("messages"))).alias("symbols")))
-    inst = F.struct((k % 7 != 0).alias("ok"), F.floor(k / 400).alias("runtime_started_ms"), (k % 400).cast("double").alias("uptime_seconds"), feeds.alias("feeds"), F.array(market).alias("markets"))
-    box = F.struct(F.lit(True).alias("observed"), F.lit(True).alias("present"), (k % 50 != 0).alias("running"), F.lit("healthy").alias("health"), F.lit(0).alias("restart_count"), F.concat(F.lit("c"), F.floor(k / 300)).alias("container_id"), F.lit("s").alias("started_at"))
+    inst = F.struct((k % 7 != 0).alias("ok"), F.floor(k / 400).alias("runtime_started_ms"), (k % 400).cast("double").alias("uptime_seconds"), feeds.alias("feeds"), F.when(~gone, F.array(market)).alias("markets"), F.struct((k % 7 != 0).alias("ready")).alias("readiness"))
+    box = F.struct(F.lit(True).alias("observed"), F.lit(True).alias("present"), (k % 50 != 0).alias("running"), F.when(k % 50 != 0, "running").otherwise("exited").alias("status"), F.lit("healthy").alias("health"), F.lit(0).alias("restart_count"), F.concat(F.lit("c"), F.floor(k / 300)).alias("container_id"), F.lit("s").alias("started_at"))
     body = F.struct(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), inst.alias("primary"), inst.alias("shadow"), box.alias("docker"))
     return e.select(ms.alias("timestamp_ms"), F.to_json(body).alias("body"))
 

@@ -722,9 +722,18 @@ def _g10(s, d):
     return G.container_evidence_errors(G.parsed(D.evidence(s, d))).select("timestamp_ms", F.size("errors").alias("n"))
 
 
-@query("g11_g12_detector_readiness", "SELECT 2 * count(DISTINCT t) FILTER (k % 4 = 0) AS unready_samples FROM evd", V)
+_MARKETS = """mk AS (SELECT i, k % 7 <> 0 AS ok, CASE WHEN k % 8 = 0 THEN 'low' WHEN k % 8 = 4 THEN 'half' WHEN k % 16 = 1 THEN 'back' WHEN k % 16 = 3 THEN 'gone' ELSE 'ready' END AS m
+  FROM (SELECT k, unnest(['primary', 'shadow']) AS i FROM evd)),
+st AS (SELECT i || CASE m WHEN 'gone' THEN ':unknown:missing' WHEN 'half' THEN ':BTC:1/2' WHEN 'low' THEN ':BTC:0/1' ELSE ':BTC:1/1' END AS pair,
+  CASE WHEN m = 'ready' THEN 'ready' WHEN m = 'half' AND ok THEN 'quiet' ELSE 'unready' END AS s, CASE m WHEN 'half' THEN 0.5 WHEN 'ready' THEN 1.0 WHEN 'back' THEN 1.0 ELSE 0.0 END AS ratio FROM mk)"""
+
+
+@query("g11_g12_detector_readiness", """SELECT count(*) FILTER (s = 'unready') AS unready_samples, count(*) FILTER (s = 'quiet') AS quiet_samples, CAST(min(ratio) AS DOUBLE) AS min_ready_ratio,
+  (SELECT coalesce(string_agg(pair, ',' ORDER BY pair), '') FROM (SELECT DISTINCT pair FROM st WHERE s = 'unready')) AS unready_pairs,
+  (SELECT coalesce(string_agg(pair, ',' ORDER BY pair), '') FROM (SELECT DISTINCT pair FROM st WHERE s = 'quiet')) AS quiet_pairs FROM st""", V, _MARKETS)
 def _g12(s, d):
-    return G.detector_readiness(G.parsed(D.evidence(s, d))).select("unready_samples")
+    got = G.detector_readiness(G.parsed(D.evidence(s, d)))
+    return got.withColumns({f"{n}_pairs": F.array_join(f"{n}_pairs", ",") for n in ("unready", "quiet")})
 
 
 @query("g13_max_rollups", "SELECT CAST(max(k % 3) AS DOUBLE) AS max_feed_drops, 1.0 AS max_feed_age FROM evd", V)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.functions.series import previous
+from tapewatch.functions.series import by_time, previous, scanned
 
 SERIES = ["exchange", "symbol"]
 FOREVER = (1 << 63) - 1
@@ -24,10 +24,10 @@ def _reasons(col: Column) -> Column:
 def pair_breaks(log: DataFrame) -> DataFrame:
     """Breaks from start and end events: starts up to an end are one break, from the earliest of them (at least 1) to
     that end, not before start + 1; an end without a start is ignored; a break without an end stays open."""
-    order = Window.partitionBy(*SERIES).orderBy("timestamp_ms", F.when(F.col("phase") == "start", 0).otherwise(1))
-    ended = F.sum(F.when(F.col("phase") == "end", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = log.where(F.col("phase").isin("start", "end")).withColumn("__episode", F.coalesce(ended, F.lit(0)))
     start, end = F.col("phase") == "start", F.col("phase") == "end"
+    order = ["timestamp_ms", F.when(start, 0).otherwise(1)]
+    rows = scanned(log.where(start | end), SERIES, order, by_time(), F.when(end, 1).otherwise(0), "__ended", own=False)
+    rows = rows.withColumn("__episode", F.coalesce("__ended", F.lit(0)))
     paired = rows.groupBy(*SERIES, "__episode").agg(
         F.min(F.when(start, F.greatest("timestamp_ms", F.lit(1)))).alias("start_ms"),
         F.min(F.when(end, F.col("timestamp_ms"))).alias("__end"),
@@ -39,11 +39,11 @@ def pair_breaks(log: DataFrame) -> DataFrame:
 
 def merge_breaks(breaks: DataFrame) -> DataFrame:
     """Unions breaks that overlap or touch; an open one takes in everything after it. Reasons are joined as a sorted set."""
-    order = Window.partitionBy(*SERIES).orderBy("start_ms", F.coalesce("end_ms", F.lit(FOREVER)))
-    reach = F.max(F.coalesce("end_ms", F.lit(FOREVER))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    # the sum runs over a column of its own: windows do not nest
-    marked = breaks.withColumn("__new", F.when(reach.isNull() | (F.col("start_ms") > reach), 1).otherwise(0))
-    marked = marked.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    until, day = F.coalesce("end_ms", F.lit(FOREVER)), by_time("start_ms")
+    reached = scanned(breaks, SERIES, ["start_ms", until], day, until, "__reach", how="max", own=False)
+    marked = reached.withColumn("__new", F.when(F.col("__reach").isNull() | (F.col("start_ms") > F.col("__reach")), 1).otherwise(0))
+    # equal breaks: the one that opens an island comes first
+    marked = scanned(marked, SERIES, ["start_ms", until, F.desc("__new")], day, F.col("__new"), "__island")
     merged = marked.groupBy(*SERIES, "__island").agg(F.min("start_ms").alias("start_ms"), F.max(F.coalesce("end_ms", F.lit(FOREVER))).alias("__end"), _reasons(F.collect_set("reason")).alias("reason"))
     return merged.select(*SERIES, "start_ms", F.when(F.col("__end") < FOREVER, F.col("__end")).alias("end_ms"), "reason")
 
@@ -106,9 +106,8 @@ def fan_out_breaks(log: DataFrame, symbol_map: DataFrame) -> DataFrame:
 
 def loss_breaks(log: DataFrame) -> DataFrame:
     """Start events for each loss in a feed's log, with the generation that it begins (1 for the first)."""
-    order = Window.partitionBy("exchange").orderBy("timestamp_ms", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    lost = log.where(F.col("kind").isin(LOSS_KINDS))
-    return lost.select("exchange", F.lit("start").alias("phase"), "timestamp_ms", F.col("kind").alias("reason"), F.lit(None).cast("string").alias("symbol"), F.count("*").over(order).alias("generation"))
+    lost = scanned(log.where(F.col("kind").isin(LOSS_KINDS)), ["exchange"], ["timestamp_ms", "kind"], by_time(), F.lit(1), "__nth")
+    return lost.select("exchange", F.lit("start").alias("phase"), "timestamp_ms", F.col("kind").alias("reason"), F.lit(None).cast("string").alias("symbol"), F.col("__nth").alias("generation"))
 
 
 def runtime_pauses(ticks: DataFrame, interval_seconds: float = 5.0, max_gap_seconds: float = 15.0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewatch.functions.series import by_time, scanned
 from tapewatch.functions.stats import finite
 
 SERIES = ["exchange", "symbol"]
@@ -36,15 +37,16 @@ def running_max(df: DataFrame, keys: list[str], value: Column, out: str, chunk:
 def _dedup(df: DataFrame, keys: list[str], horizon_ms: int) -> DataFrame:
     """Keeps an event unless its id was accepted less than the horizon before the newest event so far.
 
-    Ids that are null or empty are never duplicates. `max_ms` runs over arrival order; an id that was already older
-    than the horizon when it arrived is passed and not remembered.
+    Ids that are null or empty are never duplicates; such rows move the newest time but meet no window. The newest time
+    runs over arrival order; an id that was already older than the horizon when it arrived is passed and not remembered.
     """
     named = F.col("event_id").isNotNull() & (F.col("event_id") != "")
     seen = running_max(df, keys, F.col("timestamp_ms"), "__max").withColumn("__late", F.col("timestamp_ms") < F.col("__max") - horizon_ms)
     before = Window.partitionBy(*keys, "event_id", "__late").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max("timestamp_ms").over(before)
-    again = named & ~F.col("__late") & last.isNotNull() & (last >= F.col("__max") - horizon_ms)
-    return seen.withColumn("__again", again).where(~F.col("__again")).drop("__max", "__late", "__again")
+    again = ~F.col("__late") & last.isNotNull() & (last >= F.col("__max") - horizon_ms)
+    kept = seen.where(named).withColumn("__again", again).where(~F.col("__again"))
+    return kept.select(*df.columns).unionByName(df.where(~named))
 
 
 def dedup_trades(df: DataFrame, horizon_seconds: int = 120) -> DataFrame:
@@ -121,7 +123,7 @@ def order_liquidations(liqs: DataFrame, retention_seconds: int = 4500) -> DataFr
     named = F.col("event_id").isNotNull() & (F.col("event_id") != "")
     newest = liqs.agg(F.coalesce(F.max(F.when(named, F.col("timestamp_ms"))), F.max("timestamp_ms")).alias("__newest"))  # one row
     kept = liqs.crossJoin(F.broadcast(newest)).where(F.col("timestamp_ms") >= F.col("__newest") - retention_seconds * 1000).drop("__newest")
-    return kept.withColumn("position", F.row_number().over(Window.partitionBy(*SERIES).orderBy("timestamp_ms", "arrival_seq")))
+    return scanned(kept, SERIES, ["timestamp_ms", "arrival_seq"], by_time(), F.lit(1), "position")
 
 
 def restore_buckets(saved: DataFrame, allowed: DataFrame, now_ms: int, saved_ms: int, bucket_seconds: int = 5, retention_seconds: int = 4500, skew_seconds: int = 5, max_age_seconds: int = 3600) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewatch.functions import jsontree
-from tapewatch.functions.series import by_time, previous
+from tapewatch.functions.series import by_time, previous, scanned
 from tapewatch.functions.stats import finite
 from tapewatch.operators import evidence_rules as rules
 from tapewatch.params import Gate
@@ -59,9 +59,8 @@ def instances(samples: DataFrame) -> DataFrame:
 def failure_counts(samples: DataFrame) -> DataFrame:
     """Per instance: samples that are not ok or missing, and the longest run of them."""
     rows = instances(samples).withColumn("bad", ~F.coalesce(F.col("i.ok"), F.lit(False)))
-    order = Window.partitionBy("instance").orderBy("timestamp_ms")
-    marked = rows.withColumn("__start", F.when(F.col("bad") & ~F.coalesce(F.lag("bad").over(order), F.lit(False)), 1).otherwise(0))
-    runs = marked.withColumn("__run", F.sum("__start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # the samples of a run have as many good ones before them
+    runs = scanned(rows.select("instance", "timestamp_ms", "bad"), ["instance"], ["timestamp_ms"], by_time(), F.when(F.col("bad"), 0).otherwise(1), "__run")
     sizes = runs.groupBy("instance", "__run").agg(F.count_if("bad").alias("n"))
     return sizes.groupBy("instance").agg(F.sum("n").alias("failures"), F.max("n").alias("longest_run"))
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewatch.functions.series import by_time, previous
+
 FEED = ["exchange"]
 
 
@@ -56,8 +58,7 @@ def feed_readiness(feeds: DataFrame, stale_seconds: float) -> DataFrame:
 
 def _episodes(history: DataFrame, keys: list[str], bad: Column) -> DataFrame:
     """Adds bad, was_bad (null at the first row)."""
-    order = Window.partitionBy(*keys).orderBy("timestamp_ms")
-    return history.withColumn("bad", bad).withColumn("was_bad", F.lag("bad").over(order))
+    return previous(history.withColumn("bad", bad), keys, ["timestamp_ms"], by_time(), F.col("bad"), "was_bad")
 
 
 def _told(back: Column, what: str, name: Column) -> tuple[Column, Column]:
@@ -89,9 +90,9 @@ def pipeline_health_alerts(samples: DataFrame, interval_seconds: float) -> DataF
     New drops are critical and bypass the cooldown; utilisation from 0.8 or lag over max(5, 2 intervals) warns, from
     0.95 or three times that lag is critical; the first of an episode bypasses; recovery is reported once.
     """
-    order = Window.partitionBy("source").orderBy("timestamp_ms")
+    samples = previous(samples, ["source"], ["timestamp_ms"], by_time(), F.col("drops_total"), "__drops")
     use, lag_limit = F.col("size") / F.col("capacity"), max(5.0, 2 * interval_seconds)
-    new_drops = F.greatest(F.col("drops_total") - F.coalesce(F.lag("drops_total").over(order), F.lit(0)), F.lit(0))
+    new_drops = F.greatest(F.col("drops_total") - F.coalesce("__drops", F.lit(0)), F.lit(0))
     s = samples.withColumn("utilization", use).withColumn("new_drops", new_drops)
     severity = F.when((F.col("new_drops") > 0) | (use >= 0.95) | (F.col("lag_seconds") > 3 * lag_limit), "critical").when((use >= 0.8) | (F.col("lag_seconds") > lag_limit), "warning")
     e = _episodes(s.withColumn("severity", severity), ["source"], F.col("severity").isNotNull())

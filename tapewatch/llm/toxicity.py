@@ -15,19 +15,22 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tapewatch.llm.common import drop_columns, letters, widened, written
+from tapewatch.llm.common import drop_columns, letters, small, union_all, widened, written
 
 ORDER, SHARED, BITS = 5, 2, 12
 MASK = (1 << BITS) - 1
 DISCOUNT = 0.75
 #: Documents of each label that the logistic layer is fitted on, at most about, and their largest share of all.
 SAMPLE, SHARE = 2000, 0.25
-#: Slots of a table of the model, at most; of n-grams that share a slot the weightier one stays.
-SLOTS = 1 << 21
+#: Values of the model that are sent to the tasks, at most; the others are joined with the places of texts that need them.
+HELD = 2_000_000
+#: Pairs of symbols whose values are sent, at most.
+PAIRS_HELD = 1 << 20
 #: Labels up to so many rows are sent to the tasks; beyond, texts are joined with them by key.
 LABELS_SENT = 3_000_000
 #: Evidence above which a word stands out.
@@ -176,36 +179,114 @@ def smoothed(top: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
 
 
 class Table:
-    """Values of n-grams in slots; each slot keeps a check of its n-gram, so that others are not found."""
-
-    def __init__(self, slots: int, slot: np.ndarray, check: np.ndarray, value: np.ndarray):
-        self.bits = np.uint64(64 - slots.bit_length() + 1)
-        self.check, self.value = np.zeros(slots, np.uint32), np.zeros(slots, np.float32)
-        self.check[slot], self.value[slot] = check, value
+    """Values of n-grams by a hash that no two of them share: one in each slot, those that share a slot with it sorted."""
+
+    def __init__(self, g: np.ndarray, value: np.ndarray):
+        h = g.astype(np.int64).view(np.uint64) * _SPREAD  # an odd factor: one to one
+        order = np.argsort(h)
+        h, value = h[order], value[order].astype(np.float32)
+        bits = max(10, (2 * len(h)).bit_length())
+        self.shift, self.size = np.uint64(64 - bits), len(h)
+        slot = (h >> self.shift).astype(np.int64)
+        first = np.diff(slot, prepend=-1) > 0
+        self.h, self.value, self.shared = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32), np.zeros(1 << bits, bool)
+        self.h[slot[first]], self.value[slot[first]] = h[first], value[first]
+        if not len(h) or slot[0] > 0:
+            self.h[0] = ~np.uint64(0)  # a hash of zero must not be found in an empty slot
+        self.shared[slot[~first]] = True
+        self.more, self.mores = h[~first], value[~first]
 
     def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(seen, value) of n-grams."""
         h = g.view(np.uint64) * _SPREAD
-        at = h >> self.bits
-        return self.check[at] == (h.astype(np.uint32) | np.uint32(1)), self.value[at]
+        at = (h >> self.shift).view(np.int64)
+        seen, value = self.h[at] == h, self.value[at]
+        if len(self.more):
+            left = np.flatnonzero(~seen)
+            left = left[self.shared[at[left]]]
+            k = np.minimum(np.searchsorted(self.more, h[left]), len(self.more) - 1)
+            hit = self.more[k] == h[left]
+            seen[left[hit]], value[left[hit]] = True, self.mores[k[hit]]
+        return seen, value
+
+
+def table_of(rows: DataFrame) -> Table:
+    """Collects (g, value); the caller bounds the rows."""
+    got = rows.select("g", F.col("value").cast("float").alias("value")).toArrow()
+    return Table(got.column(0).to_numpy(), got.column(1).to_numpy())
+
 
+_TWO = (1 << (2 * BITS)) - 1
 
-def table_of(rows: DataFrame, most: int = SLOTS) -> Table:
-    """Collects (g, weight, value) into at most `most` slots; of n-grams in one slot, that with the largest weight times value stays."""
-    n = rows.count()
-    slots = 1 << min(most.bit_length() - 1, max(14, (3 * n).bit_length()))
-    shift = 64 - slots.bit_length() + 1
-    spread = rows.mapInArrow(_hashed, "h long, weight long, value double")
-    kept = spread.groupBy(F.shiftrightunsigned("h", shift).alias("slot")).agg(F.max(F.struct((F.col("weight") * F.abs("value")).alias("w"), "h", "value")).alias("x"))
-    got = kept.select("slot", "x.h", F.col("x.value").cast("float").alias("value")).toArrow()  # at most `most` rows of 20 bytes
-    slot, h_, value = (got.column(k).to_numpy() for k in range(3))
-    return Table(slots, slot.astype(np.int64), h_.astype(np.int64).view(np.uint64).astype(np.uint32) | np.uint32(1), value)
 
+def split(tables: dict[int, tuple[DataFrame, DataFrame]], held: int = HELD) -> tuple[Model, dict[int, tuple[DataFrame, DataFrame]] | None]:
+    """The model with at most `held` values, and the values that it does not hold, or None.
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        h = (b.column(0).to_numpy().view(np.uint64) * _SPREAD).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h), b.column(1), b.column(2)], names=["h", "weight", "value"])
+    All n-grams and contexts that decide about a symbol hold the two symbols before it, so values are held or not by
+    such pairs, those of the most frequent pairs first.
+    """
+    paired = {
+        order: (of_gram.withColumn("pair", F.shiftright("g", BITS).bitwiseAND(F.lit(_TWO))), of_context.withColumn("pair", F.col("g").bitwiseAND(F.lit(_TWO))))
+        for order, (of_gram, of_context) in tables.items()
+    }
+    every = [t for both in paired.values() for t in both]
+    if sum(t.count() for t in every) <= held:
+        return Model({order: (table_of(a), table_of(b)) for order, (a, b) in tables.items()}), None
+    pairs = written(union_all([t.select("pair", "weight") for t in every]).groupBy("pair").agg(F.sum("weight").alias("w"), F.count("*").alias("n")), "pairs")
+    first = pairs.orderBy(F.desc("w"), "pair").limit(PAIRS_HELD).toArrow()
+    fit = int(np.searchsorted(np.cumsum(first.column("n").to_numpy()), held, "right"))
+    w, pair = (int(first.column(c)[fit - 1].as_py()) if fit else -1 for c in ("w", "pair"))
+    sent = (F.col("w") > w) | ((F.col("w") == w) & (F.col("pair") <= pair)) if fit else F.lit(False)
+    kept = small(pairs.where(sent).select("pair"))
+    model = Model({order: (table_of(a.join(kept, "pair", "left_semi")), table_of(b.join(kept, "pair", "left_semi"))) for order, (a, b) in paired.items()})
+    at = pairs.where(~sent).select((F.col("pair") + 1).alias("at"))  # buckets begin at 1
+    cells = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    model.rest = np.zeros((_TWO + 1) // 8, np.uint8)
+    for r in cells.toLocalIterator():  # at most 512 rows of 4096 bytes
+        part = np.frombuffer(r["bits"], np.uint8)
+        model.rest[(r["bucket"] - 1) * 4096 : (r["bucket"] - 1) * 4096 + len(part)] |= part
+    rest = {order: tuple(written(t.join(kept, "pair", "left_anti").select("g", "value"), "rest") for t in both) for order, both in paired.items()}
+    return model, rest
+
+
+def _joined(g: DataFrame, rest: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(g, d) of n-grams (g) of ORDER symbols, as `Model.differences` finds it, from tables of any size."""
+    found = g.withColumn("d", F.lit(0.0))
+    for order, (of_gram, of_context) in sorted(rest.items()):
+        found = found.withColumn("own", F.col("g").bitwiseAND(F.lit((1 << (BITS * order)) - 1))).withColumn("before", F.shiftright("own", BITS))
+        found = found.join(of_gram.select(F.col("g").alias("own"), F.col("value").alias("seen")), "own", "left")
+        found = found.join(of_context.select(F.col("g").alias("before"), F.col("value").alias("known")), "before", "left")
+        found = found.select("g", F.coalesce("seen", F.col("d") + F.coalesce("known", F.lit(0.0))).alias("d"))
+    return found
+
+
+def completed(rows: DataFrame, shared: Broadcast, rest: dict[int, tuple[DataFrame, DataFrame]] | None, text_col: str) -> DataFrame:
+    """rows with a column __more of (word, d): what values that the tasks do not hold add to the words of a text; null if nothing."""
+    if rest is None:
+        return rows.withColumn("__more", F.lit(None).cast(_MORE))
+    rows = written(rows.withColumn("__place", F.monotonically_increasing_id()), "scored")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                n = 0
+                for f, g in _texts_grams(t.as_py()):
+                    at = np.flatnonzero(shared.value.model.lacks(g))
+                    words = max(1, int((f == 0).sum()))  # as features counts them
+                    word = n + np.minimum(np.cumsum(f == 0) - (f == 0), words - 1)
+                    n += words
+                    for k in range(0, len(at), 100_000):
+                        own = at[k : k + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), place)), pa.array(word[own]), pa.array(g[own])], names=["__place", "word", "g"])
+
+    places = written(rows.select("__place", F.col(f"`{text_col}`")).mapInArrow(run, "__place long, word long, g long"), "places")
+    values = _joined(places.select("g").distinct(), rest)
+    words = places.join(values, "g").groupBy("__place", "word").agg(F.sum("d").alias("d"))
+    more = words.groupBy("__place").agg(F.collect_list(F.struct("word", "d")).alias("__more"))
+    return rows.join(more, "__place", "left").drop("__place")
+
+
+_MORE = "array<struct<word: bigint, d: double>>"
 
 
 class Model:
@@ -213,6 +294,12 @@ class Model:
 
     def __init__(self, tables: dict[int, tuple[Table, Table]]):
         self.tables = tables
+        self.rest: np.ndarray | None = None  # a bit for each pair of symbols whose values are not held
+
+    def lacks(self, g: np.ndarray) -> np.ndarray:
+        """Whether the values that decide about the last symbol are not held."""
+        pair = (g >> BITS) & _TWO
+        return (self.rest[pair >> 3] >> (pair & 7).astype(np.uint8)) & 1 > 0
 
     def differences(self, g: np.ndarray) -> np.ndarray:
         """Of each n-gram of ORDER symbols: ln p1 - ln p0 of its last symbol after the others."""
@@ -224,14 +311,20 @@ class Model:
             total = np.where(seen, value, total + np.where(known, rest, 0))
         return total
 
-    def features(self, text: str | None) -> list[float]:
+    def features(self, text: str | None, more: list[dict] | None = None) -> list[float]:
+        """What the logistic layer sees of a text; `more`: what values that are not held add to its words."""
         total = size = n = 0.0
+        at, add = np.array([m["word"] for m in more or ()], np.int64), np.array([m["d"] for m in more or ()])
         top, pair, last = np.zeros(0, np.float32), -np.inf, None
         over = np.zeros(len(STANDS_OUT))
         for f, g in _texts_grams(text):
             d = self.differences(g)
             ends = np.flatnonzero(f == 0)
             words = np.add.reduceat(d, np.concatenate(([0], ends[:-1] + 1))) if len(ends) else d.sum(keepdims=True)
+            if len(at):
+                here = (at >= n) & (at < n + len(words))
+                words[at[here] - int(n)] += add[here]
+                total += float(add[here].sum())
             total, size, n = total + float(d.sum()), size + len(d), n + len(words)
             over += [(words > t).sum() for t in STANDS_OUT]
             both = words if last is None else np.concatenate(([last], words))
@@ -258,22 +351,23 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2
 
 
 class Classifier:
-    def __init__(self, model: Model | None = None, layer: tuple | None = None):
-        self.model, self.layer = model, layer
+    def __init__(self, model: Model | None = None, layer: tuple | None = None, rest: dict[int, tuple[DataFrame, DataFrame]] | None = None):
+        self.model, self.layer, self.rest = model, layer, rest
 
-    def score(self, texts: list[str | None]) -> list[float]:
+    def score(self, texts: list[str | None], more: list[list[dict] | None] | None = None) -> list[float]:
         if self.layer is None:
             return [0.0] * len(texts)
         mean, scale, w = self.layer
-        x = (np.array([self.model.features(t) for t in texts]).reshape(-1, FEATURES) - mean) / scale
+        x = (np.array([self.model.features(*x) for x in zip(texts, more or [None] * len(texts), strict=True)]).reshape(-1, FEATURES) - mean) / scale
         return (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))).tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", sample: int = SAMPLE, share: float = SHARE) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", sample: int = SAMPLE, share: float = SHARE, held: int = HELD) -> Classifier:
     """Counts all labelled rows but those drawn for the logistic layer: of each label about `sample`, at most `share`.
 
     The draw is by a hash of the id. Rows with a null id, text or label are left out; with one label every score is 0.
-    A row of docs counts once for each row of labels with its id.
+    A row of docs counts once for each row of labels with its id. Of the model's values, `held` are sent to the tasks;
+    where there are more, the others are joined with the places of texts that need them.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -286,21 +380,21 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     rest = known.where("not drawn").select("id", "y")
     side = F.broadcast(rest) if sum(sizes.values()) <= LABELS_SENT else rest
     tables = smoothed(counts(texts.join(side, "id"), "text", "y"))
-    model = Model({order: (table_of(a), table_of(b)) for order, (a, b) in tables.items()})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 6 * SLOTS slots of 8 bytes
+    model, more = split(tables, held)
+    shared = docs.sparkSession.sparkContext.broadcast(Classifier(model))  # at most `held` values, each at most 4 slots of 13 bytes, and 2 MB
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [shared.value.features(t.as_py()) for t in b.column(2)]
+            x = [shared.value.model.features(t.as_py(), m) for t, m in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     # at most about 2 * sample rows: sent to the tasks, and FEATURES numbers of each come back
     picked = texts.join(F.broadcast(known.where("drawn").select("id", "y")), "id")
     schema = picked.select("id", "y").schema.add("x", ArrayType(DoubleType()))
-    rows = sorted((r["id"], r["y"], tuple(r["x"])) for r in picked.select("id", "y", "text").mapInArrow(measured, schema).collect())
+    rows = sorted((r["id"], r["y"], tuple(r["x"])) for r in completed(picked.select("id", "y", "text"), shared, more, "text").mapInArrow(measured, schema).collect())
     if len({r[1] for r in rows}) < 2:
         return Classifier()
-    return Classifier(model, logistic(np.array([r[2] for r in rows]), np.array([r[1] for r in rows], float)))
+    return Classifier(model, logistic(np.array([r[2] for r in rows]), np.array([r[1] for r in rows], float)), more)
 
 
 def score(docs: DataFrame, classifier: Classifier, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -310,11 +404,12 @@ def score(docs: DataFrame, classifier: Classifier, text_col: str = "text", out:
     """
     src = drop_columns(docs, out)
     keep = src.columns
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)  # of a bounded size, see fit
+    shared = docs.sparkSession.sparkContext.broadcast(Classifier(classifier.model, classifier.layer))  # of a bounded size, see fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = keep.index(text_col), shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.score(b.column(at).to_pylist()), pa.float64())], names=[*keep, out])
+            found = own.score(b.column(at).to_pylist(), b.column(len(keep)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, pa.float64())], names=[*keep, out])
 
-    return src.mapInArrow(run, widened(src, **{out: "double"}))
+    return completed(src, shared, classifier.rest, text_col).mapInArrow(run, widened(src, **{out: "double"}))

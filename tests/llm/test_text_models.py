@@ -167,3 +167,26 @@ def test_long_documents_are_learned_from(spark):
     got = quality_cnn.score(docs, quality_cnn.fit(docs, labels))
     assert got.columns == ["doc_id", "text", "score"]
     assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in got.collect())
+
+
+def test_toxicity_model_holds_every_ngram(spark):
+    g = np.unique(np.append(0, np.random.default_rng(5).integers(0, 1 << 60, 50_000)))
+    rows = spark.createDataFrame([(int(x), 1, float(k)) for k, x in enumerate(g)], "g long, weight long, value double")
+    table = toxicity.table_of(rows)
+    seen, value = table.find(g)
+    assert seen.all() and (value == np.arange(len(g))).all()
+    assert not table.find(g + 1)[0][~np.isin(g + 1, g)].any()
+    assert not toxicity.Table(g[1:], value[1:]).find(g[:1])[0].any() and not toxicity.Table(g[:0], value[:0]).find(g)[0].any()
+
+
+def test_toxicity_scores_do_not_depend_on_what_is_sent(spark):
+    rows = [(i, words("aa", 30) + (" vrakhmolg " if i % 4 == 0 else " ") + words("bb", 5), int(i % 4 == 0)) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i < 90], "doc_id long, label int")
+    want = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    for held in (0, 400):
+        c = toxicity.fit(docs, labels, held=held)
+        assert c.rest is not None and c.model.rest.any()
+        assert sum(t.size for pair in c.model.tables.values() for t in pair) <= held
+        got = {r.doc_id: r.score for r in toxicity.score(docs, c).collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-4

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm import decontaminate, langid, packing, pii, shingles
-from tapewatch.llm.common import bucket_of_id, table, written
+from tapewatch.llm import decontaminate, langid, packing, pii, shingles, simhash
+from tapewatch.llm.common import bucket_of_id, small, table, written
 from tapewatch.llm.queries import tokenizer_file
 
 #: A document is rejected if it has no letter, or if no language has this share of it.
@@ -25,12 +25,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles at similarity 0.8 or more: of each component the document with the smallest id stays.
+    """Operator 1, then five-word shingles at similarity 0.8 or more: of each component the document with the smallest id stays.
 
-    The three bits of the op1 query are too narrow here. Rows that share an id count as one document and stay or go
-    together; a row without an id is a document of its own.
+    What the SimHash operator puts together is verified on whole shingle sets, as three bits also link texts below 0.8.
+    Near copies further than three bits apart meet by minima. Rows that share an id count as one document and stay or
+    go together; a row without an id is a document of its own.
     """
-    return shingles.without_copies(docs)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    gone = shingles.copies(rows, met=simhash.linked_rows(rows))
+    return rows.join(small(gone), "__row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from tapewatch.llm.common import components, union_all, widened, written
+from tapewatch.llm.common import components, removed, scratch, small, surplus, union_all, widened, written
 
 WORDS = 5
 #: Two documents are near copies from this similarity, as a fraction.
@@ -66,28 +66,29 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketched(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with an own key for each row, a key for each shingle set (0 where it is empty) and the sketch."""
-    src = docs.withColumn("__row", F.monotonically_increasing_id())
-    at = src.columns.index(text_col)
+def sketched(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__row, id, __key, __picks) of numbered rows: a key for each shingle set (0 where it is empty) and the sketch."""
+    src = rows.select("__row", F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, picks = [], []
-            for t in b.column(at):
+            for t in b.column(2):
                 s = shingle_set(t.as_py())
                 keys.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0)
                 picks.append(sketch(s) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64()), pa.array(picks, pa.list_(pa.int64()))], names=[*b.schema.names, "__key", "__picks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(picks, pa.list_(pa.int64()))], names=["__row", "id", "__key", "__picks"])
 
-    return src.mapInArrow(run, widened(src, __key="long", __picks=ArrayType(LongType())))
+    return src.mapInArrow(run, widened(src.select("__row", "id"), __key="long", __picks=ArrayType(LongType())))
 
 
 def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
     """Pairs (u, v) of set keys whose similarity is high enough."""
-    pairs = written(pairs.distinct(), "met")
-    need = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(kinds.select("key", "row"), "key").select("row")
-    texts = written(rows.join(need, rows["__row"] == need["row"], "left_semi").select(F.col("__key").alias("key"), F.col(text_col).alias("text")), "met-texts")
+    spark, met_at, texts_at = pairs.sparkSession, scratch(pairs.sparkSession, "met"), scratch(pairs.sparkSession, "met-texts")
+    pairs = written(pairs.distinct(), "met", met_at)
+    keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    need = small(written(keys.join(kinds.select("key", "row"), "key"), "met-rows"))
+    texts = written(rows.join(need, rows["__row"] == need["row"]).select("key", F.col(f"`{text_col}`").alias("text")), "met-texts", texts_at)
     met = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,28 +101,37 @@ def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame, text_col: str)
                 good.append(alike(own, shingle_set(y.as_py())))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return written(met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "near")
+    near = written(met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "near")
+    removed(spark, met_at, texts_at)
+    return near
 
 
-def links(kinds: DataFrame, rows: DataFrame, text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
+def links(kinds: DataFrame, rows: DataFrame, text_col: str = "text", crowded: int = CROWDED, met: DataFrame | None = None) -> DataFrame:
     """(node, label) for set keys that are linked: every pair that meets and is near is joined by links.
 
-    All members of a posting list are first held against one of them. Only lists that still have more than one group
-    go on, crowded ones with further stars; then all their pairs from different groups are verified.
+    Pairs (u, v) of `met` are verified first. Then all members of a posting list that holds more than one group are held
+    against one of them. Only lists that still have more than one group go on, crowded ones with further stars; then all
+    their pairs from different groups are verified.
     """
     posts = kinds.select("key", F.explode("picks").alias("pick"))
     lists = posts.groupBy("pick").agg(F.count("*").alias("n")).where("n > 1").select("pick")
     posts = written(posts.join(lists, "pick", "left_semi"), "posts")
-    found, todo = [], posts
+
+    def open_lists(name: str) -> DataFrame:
+        named = posts.join(groups, posts["key"] == groups["node"], "left").select("pick", "key", F.coalesce("label", "key").alias("label"))
+        sizes = named.groupBy("pick").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        return written(named.join(sizes.select("pick", "n"), "pick"), name)
+
+    found = [kinds.select(F.col("key").alias("u"), F.col("key").alias("v")).limit(0) if met is None else verified(met, kinds, rows, text_col)]
+    groups = components(union_all(found))
+    todo = open_lists("open")
     for r in count():
-        hub = todo.groupBy("pick").agg(F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("h"), F.col("key").alias("hub"))).alias("x")).select("pick", "x.hub")
-        star = todo.join(hub, "pick").where("key <> hub").select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))
+        hub = todo.groupBy("pick").agg(F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("h"), F.col("key").alias("hub"), F.col("label").alias("own"))).alias("x")).select("pick", "x.hub", "x.own")
+        star = todo.join(hub, "pick").where("label <> own").select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))
         found.append(verified(star, kinds, rows, text_col))
         groups = components(union_all(found))
-        named = posts.join(groups, posts["key"] == groups["node"], "left").select("pick", "key", F.coalesce("label", "key").alias("label"))
-        sizes = named.groupBy("pick").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        left = written(named.join(sizes.select("pick", "n"), "pick"), "open")
-        todo = left.where(F.col("n") > crowded).select("pick", "key")
+        left = open_lists("open")
+        todo = left.where(F.col("n") > crowded)
         if r + 1 >= STARS or todo.isEmpty():
             break
     if left.isEmpty():
@@ -131,21 +141,28 @@ def links(kinds: DataFrame, rows: DataFrame, text_col: str = "text", crowded: in
     return components(union_all(found))
 
 
+def copies(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED, met: DataFrame | None = None) -> DataFrame:
+    """(__row) of numbered rows that are near copies: of each component of links one document stays, see `surplus`.
+
+    Texts without words are copies of each other. Rows that share a label in `met` (__row, label), the number of one of
+    them, are held against that one before any others.
+    """
+    own = written(sketched(rows, id_col, text_col), "sketches")
+    first = own.groupBy("__key").agg(F.min_by("__picks", "__row").alias("picks"), F.min("__row").alias("row"))
+    kinds = written(first.select(F.col("__key").alias("key"), "row", "picks"), "kinds")
+    if met is not None:
+        keys = own.select("__row", "__key")
+        met = met.join(keys, "__row").select("label", F.col("__key").alias("v")).join(keys.select(F.col("__row").alias("label"), F.col("__key").alias("u")), "label")
+        met = met.where("u <> v and u <> 0 and v <> 0").select("u", "v")
+    groups = links(kinds, rows, text_col, crowded, met)
+    return surplus(written(own.join(groups, own["__key"] == groups["node"], "left").select("__row", "id", F.coalesce("label", "__key").alias("label")), "groups"))
+
+
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """docs without near copies: of each component the document with the smallest id stays.
 
     Rows that share an id count as one document and stay or go together. A row without an id is a document of its own;
     where a component has no id at all, one of its rows stays. Texts without words are copies of each other.
     """
-    rows = written(sketched(docs, text_col), "sketches")
-    first = rows.groupBy("__key").agg(F.min("__row").alias("row")).select("row")
-    kinds = written(rows.join(first, rows["__row"] == first["row"]).select(F.col("__key").alias("key"), "row", F.col("__picks").alias("picks")), "kinds")
-    groups = links(kinds, rows, text_col, crowded)
-    own = rows.select("__row", F.col(f"`{id_col}`").alias("id"), "__key")
-    named = written(own.join(groups, own["__key"] == groups["node"], "left").select("__row", "id", F.coalesce("label", "__key").alias("label")), "groups")
-    best = named.groupBy("label").agg(F.min("id").alias("least"), F.min("__row").alias("first"))
-    marked = named.join(best, "label").withColumn("stays", F.when(F.col("least").isNull(), F.col("__row") == F.col("first")).otherwise(F.coalesce(F.col("id") == F.col("least"), F.lit(False))))
-    marked = written(marked.select("__row", "id", "stays"), "marked")
-    stay = marked.where("stays and id is not null").select("id").distinct()
-    gone = written(marked.where("not stays").join(stay, "id", "left_anti").select("__row"), "copies")
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    return rows.join(small(copies(rows, id_col, text_col, crowded)), "__row", "left_anti").select(*docs.columns)

@@ -66,3 +66,21 @@ def test_stage_rows_without_an_id_or_with_a_shared_one(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == [5, 7, 7]
     assert len([r for r in got if r.doc_id is None]) == 1
+
+
+def test_stage_takes_its_first_pairs_from_the_fingerprints(spark, monkeypatch):
+    base = " ".join(RNG.choices(VOCAB, k=3000))
+    # a chorus fills both fingerprints, while the sets of shingles hardly meet
+    chorus = " ".join("the same seven words come back again".split() * 300)
+    texts = [base, edited(base, 1), *(f"{chorus} {' '.join(RNG.choices(VOCAB, k=40))}" for _ in range(2))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], COLUMNS)
+    verified, seen = shingles.verified, []
+
+    def spy(pairs, *rest):
+        near = verified(pairs, *rest)
+        seen.append((pairs.count(), near.count()))
+        return near
+
+    monkeypatch.setattr(shingles, "verified", spy)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2, 3}
+    assert seen[0] == (2, 1) and all(met == 0 for met, _ in seen[1:])

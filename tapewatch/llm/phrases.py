@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -282,9 +283,8 @@ def _filters(marked: DataFrame, bits: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _read(docs: DataFrame, salt: int, filters: dict[str, np.ndarray], bits: int) -> DataFrame:
+def _read(docs: DataFrame, salt: int, sent: Broadcast, bits: int) -> DataFrame:
     """(key, n, least and greatest words around): one reading of the corpus; a phrase is counted whole or not at all."""
-    sent = docs.sparkSession.sparkContext.broadcast({k: v for k, v in filters.items() if v.any()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = sent.value
@@ -424,7 +424,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, step: int
             break
         marks = [("known", state), ("open", state.where(~F.col("grown") & (F.col("m") < LONGEST)))]
         filters = _filters(work.unionByName(_union(marks)), bits)
-        found = written(_read(docs, salt, filters, bits).where((F.col("n") >= least) | F.col("left_least").isNotNull()), "found")
+        sent = spark.sparkContext.broadcast({k: v for k, v in filters.items() if v.any()})
+        found = written(_read(docs, salt, sent, bits).where((F.col("n") >= least) | F.col("left_least").isNotNull()), "found")
+        sent.destroy()  # the filters of past rounds would stay with the driver
         # what has grown, what is around
         alone = lambda side: (F.col(f"{side}_least") == F.col(f"{side}_most")) & (F.col(f"{side}_least") != 0)
         seen = found.where("left_least is not null").select("key", (alone("left") | alone("right")).alias("now"))

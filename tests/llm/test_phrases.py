@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark import Broadcast, SparkContext
 
 from tapewatch.llm import phrases
 
@@ -81,3 +82,22 @@ def test_empty_and_short(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, "one two", "en", "", 0, ""), (2, "", "en", "", 0, ""), (3, None, None, "", 0, ""), (4, " .,\t", "de", "", 0, "")]
     assert phrases.collocations(spark.createDataFrame(rows, SCHEMA), least=1).collect() == [("en", 1, "one two", 1, 1, 1, 2, 2000)]
+
+
+def test_filters_leave_the_driver_after_each_round(spark, monkeypatch):
+    sent, gone = [], []
+    broadcast, destroy = SparkContext.broadcast, Broadcast.destroy
+
+    def keep(self, value):
+        sent.append(broadcast(self, value))
+        return sent[-1]
+
+    def drop(self, *args):
+        gone.append(self)
+        destroy(self, *args)
+
+    monkeypatch.setattr(SparkContext, "broadcast", keep)
+    monkeypatch.setattr(Broadcast, "destroy", drop)
+    got = phrases.collocations(spark.createDataFrame([(1, "one two three", "en", None, None, None)], SCHEMA), least=1, top=5, step=1, bits=1 << 15)
+    assert len(sent) > 1 and gone == sent
+    assert got.where("phrase = 'one two three'").count() == 1

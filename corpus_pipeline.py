@@ -32,7 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     go together; a row without an id is a document of its own.
     """
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    gone = shingles.copies(rows, met=simhash.linked_rows(rows))
+    own = written(shingles.sketched(rows), "sketches")
+    met = simhash.linked_rows(own.select("__row", F.col("__fp").alias("fp")))
+    gone = shingles.copies(rows, own, met=met)
     return rows.join(small(gone), "__row", "left_anti").select(*docs.columns)
 
 
@@ -54,8 +56,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: windows of 2048 ids. Workers have run the other stages before, so they keep fewer pieces."""
-    return packing.pack_documents(docs, tokenizer_file(), window=2048, end_id=1, entries=250_000)
+    """Operator 5: windows of 2048 ids. Workers have run the other stages before, so they keep fewer pieces and read less at once."""
+    return packing.pack_documents(docs, tokenizer_file(), window=2048, end_id=1, entries=250_000, batch=1 << 18)
 
 
 STAGES = [

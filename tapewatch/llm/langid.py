@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapewatch.llm import tokens
 from tapewatch.llm.common import drop_columns, letters, widened
 
 BINS = 1 << 16
@@ -122,6 +123,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     def run(batches):
         import pyarrow as pa
 
+        tokens.release()  # a worker that has packed before holds them
         m = shared.value
         at = keep.index(text_col)
         for b in batches:

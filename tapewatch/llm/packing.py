@@ -18,21 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.llm.common import written
-from tapewatch.llm.tokens import ENTRIES, encoder
+from tapewatch.llm.tokens import BATCH, ENTRIES, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Pieces that one task packs at a time.
 GROUP = 4096
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", entries: int = ENTRIES) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", entries: int = ENTRIES, batch: int = BATCH) -> DataFrame:
     """Token pieces of whole documents, cut at multiples of the window: (doc_id, start, length, ids_crc32, doc_tokens).
 
     A null text is empty; with an end id even an empty document has one id. Without one it has no piece.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, entries=entries)
+        enc = encoder(tokenizer, entries=entries, batch=batch)
         for b in batches:
             rows = []
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all(t.as_py() for t in b.column(1)), strict=True):
@@ -121,6 +121,6 @@ def pack(parts: DataFrame, window: int = 2048, group: int = GROUP) -> DataFrame:
     return packed.unionByName(full.withColumn("offset", F.lit(0).cast("long")))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, entries: int = ENTRIES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, entries: int = ENTRIES, batch: int = BATCH) -> DataFrame:
     """Tokenizes, cuts and packs whole documents. Other columns of docs are not looked at."""
-    return pack(pieces(docs, tokenizer, window, end_id, id_col, text_col, entries), window, group)
+    return pack(pieces(docs, tokenizer, window, end_id, id_col, text_col, entries, batch), window, group)

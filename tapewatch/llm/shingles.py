@@ -14,18 +14,20 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from tapewatch.llm import tokens
 from tapewatch.llm.common import components, removed, scratch, small, surplus, union_all, widened, written
+from tapewatch.llm.simhash import fingerprint
 
 WORDS = 5
 #: Two documents are near copies from this similarity, as a fraction.
 LEAST = (4, 5)
 ROWS, PICKS = 4, 32
-#: Posting lists with more members and more than one group get further stars before their pairs are formed.
-CROWDED, STARS = 256, 6
+#: Posting lists with more members and more than one group get further stars before what is left is joined.
+CROWDED, STARS = 256, 2
 CHUNK = 2048
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -67,19 +69,23 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def sketched(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__row, id, __key, __picks) of numbered rows: a key for each shingle set (0 where it is empty) and the sketch."""
+    """(__row, id, __fp, __key, __picks) of numbered rows: the SimHash fingerprint, a key for each shingle set (0 where it is empty) and the sketch."""
     src = rows.select("__row", F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()  # a worker that has packed before holds them
         for b in batches:
-            keys, picks = [], []
+            fps, keys, picks = [], [], []
             for t in b.column(2):
-                s = shingle_set(t.as_py())
+                text = t.as_py()
+                s = shingle_set(text)
+                fps.append(fingerprint(text))
                 keys.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0)
                 picks.append(sketch(s) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(picks, pa.list_(pa.int64()))], names=["__row", "id", "__key", "__picks"])
+            cols = [pa.array(fps, pa.int64()), pa.array(keys, pa.int64()), pa.array(picks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["__row", "id", "__fp", "__key", "__picks"])
 
-    return src.mapInArrow(run, widened(src.select("__row", "id"), __key="long", __picks=ArrayType(LongType())))
+    return src.mapInArrow(run, widened(src.select("__row", "id"), __fp="long", __key="long", __picks=ArrayType(LongType())))
 
 
 def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
@@ -106,12 +112,45 @@ def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame, text_col: str)
     return near
 
 
+def prefix_pairs(members: DataFrame, kinds: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """Pairs (u, v) of different label among members (key, label): every near pair is one of them.
+
+    Each set is put in one order, rare shingles first. Of a near pair, the smaller set A has its first shared shingle
+    among the first |A| / 9 + 1 and the larger set B among the first |B| / 5 + 1, as they share 8/9 of |A| at least and
+    4/5 of |B|; what follows it in either must hold the whole overlap. Texts that differ by more in shingles of their own
+    meet nobody, however many share the rest.
+    """
+    spark, sets_at, posts_at = members.sparkSession, scratch(members.sparkSession, "sets"), scratch(members.sparkSession, "prefixes")
+    need = small(written(members.join(kinds.select("key", "row"), "key"), "members"))
+    src = rows.select("__row", F.col(f"`{text_col}`").alias("text")).join(need.withColumnRenamed("row", "__row"), "__row").select("key", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [shingle_set(t.as_py()).view(np.int64) for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["key", "label", "set"])
+
+    sets = written(src.mapInArrow(run, "key long, label long, set array<long>"), "sets", sets_at)
+    items = sets.select("key", "label", F.size("set").alias("n"), F.explode("set").alias("s"))
+    ordered = items.join(items.groupBy("s").agg(F.count("*").alias("times")), "s").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("times", "s")) - 1)
+    posts = written(ordered.where("times > 1 and at <= floor(n / 5)").select("s", "key", "label", "n", "at"), "prefixes", posts_at)
+    mixed = posts.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s")
+    posts = posts.join(mixed, "s", "left_semi")
+    a, b = (posts.select("s", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "n", "at"))) for k in "ab")
+    met = a.where("at_a <= floor(n_a / 9)").join(b, "s").where("label_a <> label_b and (n_a < n_b or n_a = n_b and key_a <> key_b) and 5 * n_a >= 4 * n_b")
+    met = met.where("9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)")
+    pairs = written(met.select(F.least("key_a", "key_b").alias("u"), F.greatest("key_a", "key_b").alias("v")).distinct(), "prefix-pairs")
+    removed(spark, sets_at, posts_at)
+    return pairs
+
+
 def links(kinds: DataFrame, rows: DataFrame, text_col: str = "text", crowded: int = CROWDED, met: DataFrame | None = None) -> DataFrame:
     """(node, label) for set keys that are linked: every pair that meets and is near is joined by links.
 
     Pairs (u, v) of `met` are verified first. Then all members of a posting list that holds more than one group are held
-    against one of them. Only lists that still have more than one group go on, crowded ones with further stars; then all
-    their pairs from different groups are verified.
+    against one of them. Only lists that still have more than one group go on, crowded ones with further stars; then the
+    members of those lists are joined by their rarest shingles, see `prefix_pairs`.
     """
     posts = kinds.select("key", F.explode("picks").alias("pick"))
     lists = posts.groupBy("pick").agg(F.count("*").alias("n")).where("n > 1").select("pick")
@@ -126,7 +165,7 @@ def links(kinds: DataFrame, rows: DataFrame, text_col: str = "text", crowded: in
     groups = components(union_all(found))
     todo = open_lists("open")
     for r in count():
-        hub = todo.groupBy("pick").agg(F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("h"), F.col("key").alias("hub"), F.col("label").alias("own"))).alias("x")).select("pick", "x.hub", "x.own")
+        hub = todo.groupBy("pick").agg(F.min(F.struct(F.xxhash64("pick", "key", F.lit(r)).alias("h"), F.col("key").alias("hub"), F.col("label").alias("own"))).alias("x")).select("pick", "x.hub", "x.own")
         star = todo.join(hub, "pick").where("label <> own").select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))
         found.append(verified(star, kinds, rows, text_col))
         groups = components(union_all(found))
@@ -136,18 +175,16 @@ def links(kinds: DataFrame, rows: DataFrame, text_col: str = "text", crowded: in
             break
     if left.isEmpty():
         return groups
-    a, b = (left.select("pick", F.col("key").alias(k), F.col("label").alias(f"l{k}")) for k in "uv")
-    found.append(verified(a.join(b, "pick").where("u < v and lu <> lv").select("u", "v"), kinds, rows, text_col))
-    return components(union_all(found))
+    found.append(verified(prefix_pairs(left.select("key", "label").distinct(), kinds, rows, text_col), kinds, rows, text_col))
+    return groups if found[-1].isEmpty() else components(union_all(found))
 
 
-def copies(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED, met: DataFrame | None = None) -> DataFrame:
+def copies(rows: DataFrame, own: DataFrame, text_col: str = "text", crowded: int = CROWDED, met: DataFrame | None = None) -> DataFrame:
     """(__row) of numbered rows that are near copies: of each component of links one document stays, see `surplus`.
 
-    Texts without words are copies of each other. Rows that share a label in `met` (__row, label), the number of one of
-    them, are held against that one before any others.
+    own: the table of `sketched`. Texts without words are copies of each other. Rows that share a label in `met`
+    (__row, label), the number of one of them, are held against that one before any others.
     """
-    own = written(sketched(rows, id_col, text_col), "sketches")
     first = own.groupBy("__key").agg(F.min_by("__picks", "__row").alias("picks"), F.min("__row").alias("row"))
     kinds = written(first.select(F.col("__key").alias("key"), "row", "picks"), "kinds")
     if met is not None:
@@ -165,4 +202,5 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     where a component has no id at all, one of its rows stays. Texts without words are copies of each other.
     """
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    return rows.join(small(copies(rows, id_col, text_col, crowded)), "__row", "left_anti").select(*docs.columns)
+    gone = copies(rows, written(sketched(rows, id_col, text_col), "sketches"), text_col, crowded)
+    return rows.join(small(gone), "__row", "left_anti").select(*docs.columns)

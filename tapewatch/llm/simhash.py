@@ -173,7 +173,6 @@ def group(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return fps.join(of, "fp").select(*fps.columns, "component_id")
 
 
-def linked_rows(rows: DataFrame, text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
-    """(__row, label) of numbered rows: label is the smallest number reachable through links of fingerprints."""
-    fps = fingerprints(rows.select(F.col("__row").alias("id"), F.col(f"`{text_col}`").alias("text")))
-    return group(written(fps, "fingerprints"), crowded).select(F.col("id").alias("__row"), F.col("component_id").alias("label"))
+def linked_rows(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(__row, label) of numbered fingerprints (__row, fp): label is the smallest number reachable through links."""
+    return group(fps.withColumnRenamed("__row", "id"), crowded).select(F.col("id").alias("__row"), F.col("component_id").alias("label"))

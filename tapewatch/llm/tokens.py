@@ -9,6 +9,7 @@ a space stands between other white space are encoded whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterable, Iterator
 
@@ -40,30 +41,27 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
-def _powers(multiplier: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(multiplier: int, batch: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64, and of its inverse."""
     out = []
     for m in (multiplier, pow(multiplier, -1, 1 << 64)):
-        p = np.full(2 * BATCH + 1, m, np.uint64)
+        p = np.full(2 * batch + 1, m, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
 
-_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
-
-
 class PieceEncoder:
     """Encodes texts to arrays of ids of two bytes where the vocabulary allows it, else of four."""
 
-    def __init__(self, path: str, specials_as_text: bool = False, entries: int = ENTRIES):
+    def __init__(self, path: str, specials_as_text: bool = False, entries: int = ENTRIES, batch: int = BATCH):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_as_text
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.entries = entries
+        self.entries, self.batch = entries, batch
         self.marks = np.zeros(256, self.dtype)
         for m in MARKS + b"\n":
             (self.marks[m],) = self._whole([chr(m)])[0]  # one id each
@@ -72,8 +70,7 @@ class PieceEncoder:
         self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.off, self.size, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used, self.clock = np.zeros(1 << 16, self.dtype), 0, 0
-        if not _POWERS:
-            _POWERS.extend(_powers(m) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+        self.powers = [_powers(m, batch) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,18 +99,17 @@ class PieceEncoder:
             for s in self._segments((text or "").encode()):
                 waiting.append((last, s))
                 size += len(s)
-                if size >= BATCH:
+                if size >= self.batch:
                     yield from done(last)  # the last text may go on
                     waiting, size = [], 0
             last += 1
         yield from done(last)
 
-    @staticmethod
-    def _segments(data: bytes) -> Iterator[bytes]:
+    def _segments(self, data: bytes) -> Iterator[bytes]:
         """Cuts before a space between letters or digits."""
         at = 0
-        while len(data) - at > BATCH:
-            end = data.rfind(b" ", at + 1, at + BATCH)
+        while len(data) - at > self.batch:
+            end = data.rfind(b" ", at + 1, at + self.batch)
             while end > at and not (data[end - 1 : end].isalnum() and data[end + 1 : end + 2].isalnum()):
                 end = data.rfind(b" ", at + 1, end)
             if end <= at:
@@ -125,7 +121,7 @@ class PieceEncoder:
 
     def _some(self, segments: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(segments)
-        usual = [k for k, s in enumerate(segments) if len(s) <= BATCH]
+        usual = [k for k, s in enumerate(segments) if len(s) <= self.batch]
         buf = np.frombuffer(b"".join(segments[k] for k in usual), np.uint8)
         blank, bad = self._blanks(buf, np.cumsum([0, *(len(segments[k]) for k in usual)]))
         if bad.any():
@@ -195,7 +191,7 @@ class PieceEncoder:
         mark[at[~(_LETTER[before] | wide)]] = 0
         stop = stop - (mark > 0)
         keys = []
-        for power, inverse in _POWERS:
+        for power, inverse in self.powers:
             sums = np.zeros(len(buf) + 1, np.uint64)
             np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=sums[1:])
             h = (sums[stop] - sums[start]) * inverse[start]
@@ -287,9 +283,17 @@ class PieceEncoder:
         self.ids = np.concatenate((flat, np.empty(1 << 16, self.dtype)))
 
 
-def encoder(path: str, specials_as_text: bool = False, entries: int = ENTRIES) -> PieceEncoder:
+def encoder(path: str, specials_as_text: bool = False, entries: int = ENTRIES, batch: int = BATCH) -> PieceEncoder:
     """The worker's own encoder for a file, opened once."""
-    key = (path, specials_as_text, entries)
+    key = (path, specials_as_text, entries, batch)
     if key not in _OPEN:
-        _OPEN[key] = PieceEncoder(path, specials_as_text, entries)
+        _OPEN[key] = PieceEncoder(path, specials_as_text, entries, batch)
     return _OPEN[key]
+
+
+def release() -> None:
+    """Closes the worker's encoders and gives their memory back to the system; the next task that encodes opens them anew."""
+    if _OPEN:
+        _OPEN.clear()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is freed
+            trim(0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tapewatch.llm import binary_records as br
-from tapewatch.llm import packing
+from tapewatch.llm import packing, tokens
 from tapewatch.llm.common import scratch
 from tapewatch.llm.queries import tokenizer_file
 from tapewatch.llm.tokens import PieceEncoder
@@ -108,3 +108,12 @@ def test_packed_documents(spark):
             assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
     assert got.groupby("sequence_id").length.sum().max() <= 64
     assert packing.pack_documents(docs(spark).where("false"), tokenizer_file()).count() == 0
+
+
+def test_a_worker_gives_its_encoders_back():
+    path = tokenizer_file()
+    texts = ["the quick brown fox " * 40, None, "x" * 3000 + " one\ntwo  three. " * 30]
+    small = tokens.encoder(path, batch=256)
+    assert [x.tolist() for x in small.encode_all(texts)] == [x.tolist() for x in tokens.encoder(path).encode_all(texts)]
+    tokens.release()
+    assert not tokens._OPEN and tokens.encoder(path, batch=256) is not small

@@ -84,3 +84,22 @@ def test_stage_takes_its_first_pairs_from_the_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(shingles, "verified", spy)
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2, 3}
     assert seen[0] == (2, 1) and all(met == 0 for met, _ in seen[1:])
+
+
+def test_variants_below_the_least_similarity_are_not_all_paired(spark, monkeypatch):
+    base = " ".join(RNG.choices(VOCAB, k=300))
+    # pairs of variants share half to three quarters of their shingles; some are copies of the base or of each other
+    variants = [edited(base, RNG.randint(9, 14)) for _ in range(320)]
+    texts = [base, *variants, *(edited(v, 2) for v in variants[:40]), *(edited(base, k) for k in range(1, 8))]
+    RNG.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], COLUMNS)
+    verified, seen = shingles.verified, []
+
+    def spy(pairs, *rest):
+        seen.append(pairs.distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "verified", spy)
+    monkeypatch.setattr(shingles, "STARS", 1)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == survivors(texts)
+    assert seen[-1] < 5 * len(texts)

@@ -28,6 +28,8 @@ LEAST = (4, 5)
 ROWS, PICKS = 4, 32
 #: Posting lists with more members and more than one group get further stars before what is left is joined.
 CROWDED, STARS = 256, 2
+#: Members of longer lists of a rare shingle meet by what they do not share with a hub instead.
+LISTED = 64
 CHUNK = 2048
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -112,14 +114,16 @@ def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame, text_col: str)
     return near
 
 
-def prefix_pairs(members: DataFrame, kinds: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
-    """Pairs (u, v) of different label among members (key, label): every near pair is one of them.
+def prefix_pairs(members: DataFrame, kinds: DataFrame, rows: DataFrame, text_col: str, listed: int | None = None) -> DataFrame:
+    """Pairs (u, v) of different label among members (key, label): every near pair is one of them, or both are paired with one text near to both.
 
     Each set is put in one order, rare shingles first. Of a near pair, the smaller set A has its first shared shingle
     among the first |A| / 9 + 1 and the larger set B among the first |B| / 5 + 1, as they share 8/9 of |A| at least and
     4/5 of |B|; what follows it in either must hold the whole overlap. Texts that differ by more in shingles of their own
-    meet nobody, however many share the rest.
+    meet nobody, however many share the rest. Members of lists longer than `listed` meet by what they do not share
+    with a hub, see `apart_pairs`.
     """
+    listed = listed or LISTED
     spark, sets_at, posts_at = members.sparkSession, scratch(members.sparkSession, "sets"), scratch(members.sparkSession, "prefixes")
     need = small(written(members.join(kinds.select("key", "row"), "key"), "members"))
     src = rows.select("__row", F.col(f"`{text_col}`").alias("text")).join(need.withColumnRenamed("row", "__row"), "__row").select("key", "label", "text")
@@ -135,16 +139,66 @@ def prefix_pairs(members: DataFrame, kinds: DataFrame, rows: DataFrame, text_col
     items = sets.select("key", "label", F.size("set").alias("n"), F.explode("set").alias("s"))
     ordered = items.join(items.groupBy("s").agg(F.count("*").alias("times")), "s").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("times", "s")) - 1)
     posts = written(ordered.where("times > 1 and at <= floor(n / 5)").select("s", "key", "label", "n", "at"), "prefixes", posts_at)
-    mixed = posts.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s")
-    posts = posts.join(mixed, "s", "left_semi")
-    a, b = (posts.select("s", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "n", "at"))) for k in "ab")
+    mixed = posts.groupBy("s").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s", "size")
+    posts = posts.join(mixed, "s")
+    a, b = (posts.where(F.col("size") <= listed).select("s", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "n", "at"))) for k in "ab")
     met = a.where("at_a <= floor(n_a / 9)").join(b, "s").where("label_a <> label_b and (n_a < n_b or n_a = n_b and key_a <> key_b) and 5 * n_a >= 4 * n_b")
     met = met.where("9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)")
-    pairs = written(met.select(F.least("key_a", "key_b").alias("u"), F.greatest("key_a", "key_b").alias("v")).distinct(), "prefix-pairs")
-    removed(spark, sets_at, posts_at)
+    found = [written(met.select(F.least("key_a", "key_b").alias("u"), F.greatest("key_a", "key_b").alias("v")).distinct(), "prefix-pairs")]
+    full_at = scratch(spark, "crowded-lists")
+    full = written(posts.where(F.col("size") > listed).select("s", "key"), "crowded-lists", full_at)
+    if not full.isEmpty():
+        found.append(apart_pairs(full, sets))
+    removed(spark, sets_at, posts_at, full_at)
+    return union_all(found)
+
+
+def apart_pairs(posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different label among the members of each list (s, key): every near pair, or two pairs that join it.
+
+    Of the members of a list and of the lists that share members with it, the one in most lists is the list's hub; lists
+    with the same hub are one. Let D(A) be the shingles in either A or the hub, but not in both: D(A) and D(B) differ
+    where A and B do, in (|A| + |B|) / 9 shingles at most if the pair is near. Either D(A) and D(B) have no more than
+    that together; then A and B are both near the hub, and paired with it. Or they overlap and meet by prefixes, as in
+    `prefix_pairs`, what few members differ in first. So texts do not meet for what most of their list has.
+    """
+    spark, apart_at, posts_at = posts.sparkSession, scratch(posts.sparkSession, "apart"), scratch(posts.sparkSession, "prefixes")
+    often = posts.groupBy("key").agg(F.count("*").alias("lists"))
+    held = posts.join(often, "key").select("s", "key", F.struct("lists", "key").alias("hub"))
+    for by in ("s", "key", "s"):
+        held = held.drop("hub").join(held.groupBy(by).agg(F.max("hub").alias("hub")), by)
+    held = held.select(F.col("hub.key").alias("hub"), "key").distinct()
+    theirs = sets.select(F.col("key").alias("hub"), F.col("set").alias("other"), F.col("label").alias("own"))
+    both = held.join(sets, "key").join(theirs, "hub")
+    d = F.concat(F.array_except("set", "other"), F.array_except("other", "set"))
+    apart = written(both.select("hub", "key", "label", "own", F.size("set").alias("n"), F.size("other").alias("m"), d.alias("d")), "apart", apart_at)
+    near = apart.where("label <> own and 9 * size(d) <= n + m").select(F.least("hub", "key").alias("u"), F.greatest("hub", "key").alias("v"))
+    items = apart.select("hub", "key", "label", "n", F.size("d").alias("d"), F.explode("d").alias("s"))
+    times = items.groupBy("hub", "s").agg(F.count("*").alias("times"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    ordered = items.join(times, ["hub", "s"]).withColumn("at", F.row_number().over(Window.partitionBy("hub", "key").orderBy("times", "s")) - 1)
+    # of near sets one has at most 5/4 of the other's shingles, so they differ in a quarter of either at most
+    kept = written(ordered.where("lo <> hi and at <= floor(n / 4)").select("hub", "s", "key", "label", "n", "d", "at"), "prefixes", posts_at)
+    a, b = (kept.select("hub", "s", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "n", "d", "at"))) for k in "ab")
+    met = a.where("at_a <= floor(n_a / 8)").join(b, ["hub", "s"]).where("label_a <> label_b and (d_a < d_b or d_a = d_b and key_a <> key_b) and 5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
+    met = met.where("9 * (d_a + d_b) > n_a + n_b and 18 * least(d_a - at_a, d_b - at_b) >= 9 * (d_a + d_b) - n_a - n_b")
+    pairs = written(near.union(met.select(F.least("key_a", "key_b").alias("u"), F.greatest("key_a", "key_b").alias("v"))).distinct(), "apart-pairs")
+    removed(spark, apart_at, posts_at)
     return pairs
 
 
+def merged(groups: DataFrame | None, near: DataFrame) -> DataFrame:
+    """(node, label) of components of near pairs (u, v) and those found before: only links between labels go through the rounds."""
+    if groups is None:
+        return components(near)
+    by = lambda c: groups.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    named = near.join(by("u"), "u", "left").join(by("v"), "v", "left").select("u", "v", F.coalesce("of_u", "u").alias("of_u"), F.coalesce("of_v", "v").alias("of_v"))
+    named = written(named, "named")
+    ends = named.select(F.col("u").alias("node"), F.col("of_u").alias("label")).union(named.select("v", "of_v"))
+    step = components(named.select(F.least("of_u", "of_v").alias("u"), F.greatest("of_u", "of_v").alias("v")).distinct())
+    step = step.select(F.col("node").alias("label"), F.col("label").alias("now"))
+    return written(groups.union(ends).distinct().join(step, "label", "left").select("node", F.coalesce("now", "label").alias("label")), "groups")
+
+
 def links(kinds: DataFrame, rows: DataFrame, text_col: str = "text", crowded: int = CROWDED, met: DataFrame | None = None) -> DataFrame:
     """(node, label) for set keys that are linked: every pair that meets and is near is joined by links.
 
@@ -161,22 +215,20 @@ def links(kinds: DataFrame, rows: DataFrame, text_col: str = "text", crowded: in
         sizes = named.groupBy("pick").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         return written(named.join(sizes.select("pick", "n"), "pick"), name)
 
-    found = [kinds.select(F.col("key").alias("u"), F.col("key").alias("v")).limit(0) if met is None else verified(met, kinds, rows, text_col)]
-    groups = components(union_all(found))
+    groups = merged(None, kinds.select(F.col("key").alias("u"), F.col("key").alias("v")).limit(0) if met is None else verified(met, kinds, rows, text_col))
     todo = open_lists("open")
     for r in count():
         hub = todo.groupBy("pick").agg(F.min(F.struct(F.xxhash64("pick", "key", F.lit(r)).alias("h"), F.col("key").alias("hub"), F.col("label").alias("own"))).alias("x")).select("pick", "x.hub", "x.own")
         star = todo.join(hub, "pick").where("label <> own").select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))
-        found.append(verified(star, kinds, rows, text_col))
-        groups = components(union_all(found))
+        groups = merged(groups, verified(star, kinds, rows, text_col))
         left = open_lists("open")
         todo = left.where(F.col("n") > crowded)
         if r + 1 >= STARS or todo.isEmpty():
             break
     if left.isEmpty():
         return groups
-    found.append(verified(prefix_pairs(left.select("key", "label").distinct(), kinds, rows, text_col), kinds, rows, text_col))
-    return groups if found[-1].isEmpty() else components(union_all(found))
+    last = verified(prefix_pairs(left.select("key", "label").distinct(), kinds, rows, text_col), kinds, rows, text_col)
+    return groups if last.isEmpty() else merged(groups, last)
 
 
 def copies(rows: DataFrame, own: DataFrame, text_col: str = "text", crowded: int = CROWDED, met: DataFrame | None = None) -> DataFrame:

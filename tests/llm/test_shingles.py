@@ -103,3 +103,31 @@ def test_variants_below_the_least_similarity_are_not_all_paired(spark, monkeypat
     monkeypatch.setattr(shingles, "STARS", 1)
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == survivors(texts)
     assert seen[-1] < 5 * len(texts)
+
+
+def test_a_group_of_near_copies_does_not_meet_all_its_farther_variants(spark):
+    base = " ".join(RNG.choices(VOCAB, k=150))
+    # a group with one label, and variants just out of reach, some with copies of their own
+    group = [base, *(edited(base, RNG.choice([1, 2])) for _ in range(90))]
+    variants = [edited(base, RNG.choice([3, 4, 5])) for _ in range(150)]
+    texts = [*group, *variants, *(edited(v, RNG.choice([1, 2])) for v in variants[:40])]
+    sets = [grams(t) for t in texts]
+    label = [0 if i < len(group) else i for i in range(len(texts))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "__row long, text string")
+    kinds = rows.select(rows["__row"].alias("key"), rows["__row"].alias("row"))
+    members = spark.createDataFrame(list(enumerate(label)), "key long, label long")
+    got = {(r.u, r.v) for r in shingles.prefix_pairs(members, kinds, rows, "text").collect()}
+    near = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if label[i] != label[j] and near(i, j)}
+
+    def joined(pairs):
+        root = list(label)
+        for i, j in pairs:
+            x, y = sorted((root[i], root[j]))
+            root = [x if r == y else r for r in root]
+        return root
+
+    assert len(want) > 100 and all(label[u] != label[v] and u < v for u, v in got)
+    assert joined([p for p in got if near(*p)]) == joined(want)
+    # further variants are within a few shingles of each member of the group, but need not be held against each
+    assert len(got - want) < 5 * len(texts)

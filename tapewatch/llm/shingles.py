@@ -163,11 +163,10 @@ def apart_pairs(posts: DataFrame, sets: DataFrame) -> DataFrame:
     `prefix_pairs`, what few members differ in first. So texts do not meet for what most of their list has.
     """
     spark, apart_at, posts_at = posts.sparkSession, scratch(posts.sparkSession, "apart"), scratch(posts.sparkSession, "prefixes")
-    often = posts.groupBy("key").agg(F.count("*").alias("lists"))
-    held = posts.join(often, "key").select("s", "key", F.struct("lists", "key").alias("hub"))
-    for by in ("s", "key", "s"):
-        held = held.drop("hub").join(held.groupBy(by).agg(F.max("hub").alias("hub")), by)
-    held = held.select(F.col("hub.key").alias("hub"), "key").distinct()
+    top = posts.groupBy("key").agg(F.count("*").alias("lists")).select("key", F.struct("lists", "key").alias("hub"))
+    for on, by in (("key", "s"), ("s", "key"), ("key", "s")):
+        top = posts.join(top, on).groupBy(by).agg(F.max("hub").alias("hub"))
+    held = posts.join(top, "s").select(F.col("hub.key").alias("hub"), "key").distinct()
     theirs = sets.select(F.col("key").alias("hub"), F.col("set").alias("other"), F.col("label").alias("own"))
     both = held.join(sets, "key").join(theirs, "hub")
     d = F.concat(F.array_except("set", "other"), F.array_except("other", "set"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import components, union_all, written
+from tapewatch.llm.common import components, dealt, small, union_all, written
 
 MAX_BITS = 3
 SHARED_BYTES = 8 - MAX_BITS
@@ -102,11 +102,13 @@ def linked_fingerprints(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     full = _crowded(posts, crowded, "crowded")
     if full.isEmpty():
         return _pairs(posts, PICKS)
+    full = small(full)
     split = _split(posts.join(full, ["pick", "key"], "left_semi"))
     links = [_pairs(posts.join(full, ["pick", "key"], "left_anti"), PICKS)]
     dense = _crowded(split, crowded, "dense")
     if dense.isEmpty():
         return union_all([*links, _pairs(split, FIVES)])
+    dense = small(dense)
     members = written(split.join(dense, ["pick", "key"], "left_semi").select("fp").distinct(), "members")
     return union_all([*links, _pairs(split.join(dense, ["pick", "key"], "left_anti"), FIVES), _stars(members)])
 
@@ -128,7 +130,7 @@ def _pairs(posts: DataFrame, picks: list[tuple[int, ...]]) -> DataFrame:
     """Pairs of each posting list: their shared positional bytes are tallied, pairs below the least number fall away,
     the list of the lowest shared positions reports the pair, and the bits are verified."""
     a, b = posts.select("pick", "key", F.col("fp").alias("u")), posts.select("pick", "key", F.col("fp").alias("v"))
-    met = a.join(b, (a["pick"] == b["pick"]) & (a["key"] == b["key"]) & (F.col("u") < F.col("v"))).select(a["pick"], "u", "v")
+    met = a.join(dealt(b), (a["pick"] == b["pick"]) & (a["key"] == b["key"]) & (F.col("u") < F.col("v"))).select(a["pick"], "u", "v")
     x = F.col("u").bitwiseXOR(F.col("v"))
     shared = _shared(x, 8)
     first = F.element_at(F.array(*(F.lit(k) for k in _first_pick(picks))), shared + 1)
@@ -147,7 +149,7 @@ def _stars(members: DataFrame) -> DataFrame:
         return members.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("w"), "fp")
 
     hub = variants(near).groupBy("w").agg(F.min("fp").alias("u"))
-    return variants([*near, *signed(two)]).join(hub, "w").where("u <> fp").select("u", F.col("fp").alias("v")).distinct()
+    return variants([*near, *signed(two)]).join(dealt(hub), "w").where("u <> fp").select("u", F.col("fp").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:

@@ -124,3 +124,16 @@ def test_left_tables_can_be_cleared(spark):
     clear(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(shared_folder(spark) + "/tapewatch/*").count()
+
+
+def sent(df):
+    """The tables that the plan sends to all tasks."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastExchange" in line]
+
+
+def test_exploded_postings_are_sent_to_no_task(spark):
+    """Spark takes 35 postings or 65 variants of a fingerprint for one row."""
+    fps = written(spark.range(300).select(F.xxhash64("id").alias("fp")), "few")
+    assert not sent(simhash.linked_fingerprints(fps))
+    assert not sent(simhash._pairs(simhash._split(simhash._postings(fps)), simhash.FIVES))
+    assert not sent(simhash._stars(fps))

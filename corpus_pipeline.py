@@ -42,8 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Operator 2: documents that hold a benchmark item go, with all rows of their id; a row without an id by itself."""
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     held = written(decontaminate.held_items(rows, table(spark, sf_dir, "benchmark"), id_col="__row").select("__row").distinct(), "held")
-    ids = written(rows.join(held, "__row", "left_semi").where("doc_id is not null").select("doc_id").distinct(), "held-ids")
-    return rows.join(held, "__row", "left_anti").join(ids, "doc_id", "left_anti").select(*docs.columns)
+    ids = written(rows.join(small(held), "__row", "left_semi").where("doc_id is not null").select("doc_id").distinct(), "held-ids")
+    return rows.join(small(held), "__row", "left_anti").join(small(ids), "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from tapewatch.llm import tokens
-from tapewatch.llm.common import components, removed, scratch, small, surplus, union_all, widened, written
+from tapewatch.llm.common import components, dealt, removed, scratch, small, surplus, union_all, widened, written
 from tapewatch.llm.simhash import fingerprint
 
 WORDS = 5
@@ -96,7 +96,7 @@ def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame, text_col: str)
     pairs = written(pairs.distinct(), "met", met_at)
     keys = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
     need = small(written(keys.join(kinds.select("key", "row"), "key"), "met-rows"))
-    texts = written(rows.join(need, rows["__row"] == need["row"]).select("key", F.col(f"`{text_col}`").alias("text")), "met-texts", texts_at)
+    texts = dealt(written(rows.join(need, rows["__row"] == need["row"]).select("key", F.col(f"`{text_col}`").alias("text")), "met-texts", texts_at))
     met = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,12 +137,12 @@ def prefix_pairs(members: DataFrame, kinds: DataFrame, rows: DataFrame, text_col
 
     sets = written(src.mapInArrow(run, "key long, label long, set array<long>"), "sets", sets_at)
     items = sets.select("key", "label", F.size("set").alias("n"), F.explode("set").alias("s"))
-    ordered = items.join(items.groupBy("s").agg(F.count("*").alias("times")), "s").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("times", "s")) - 1)
+    ordered = items.join(dealt(items.groupBy("s").agg(F.count("*").alias("times"))), "s").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("times", "s")) - 1)
     posts = written(ordered.where("times > 1 and at <= floor(n / 5)").select("s", "key", "label", "n", "at"), "prefixes", posts_at)
     mixed = posts.groupBy("s").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s", "size")
-    posts = posts.join(mixed, "s")
+    posts = posts.join(dealt(mixed), "s")
     a, b = (posts.where(F.col("size") <= listed).select("s", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "n", "at"))) for k in "ab")
-    met = a.where("at_a <= floor(n_a / 9)").join(b, "s").where("label_a <> label_b and (n_a < n_b or n_a = n_b and key_a <> key_b) and 5 * n_a >= 4 * n_b")
+    met = a.where("at_a <= floor(n_a / 9)").join(dealt(b), "s").where("label_a <> label_b and (n_a < n_b or n_a = n_b and key_a <> key_b) and 5 * n_a >= 4 * n_b")
     met = met.where("9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)")
     found = [written(met.select(F.least("key_a", "key_b").alias("u"), F.greatest("key_a", "key_b").alias("v")).distinct(), "prefix-pairs")]
     full_at = scratch(spark, "crowded-lists")
@@ -165,20 +165,20 @@ def apart_pairs(posts: DataFrame, sets: DataFrame) -> DataFrame:
     spark, apart_at, posts_at = posts.sparkSession, scratch(posts.sparkSession, "apart"), scratch(posts.sparkSession, "prefixes")
     top = posts.groupBy("key").agg(F.count("*").alias("lists")).select("key", F.struct("lists", "key").alias("hub"))
     for on, by in (("key", "s"), ("s", "key"), ("key", "s")):
-        top = posts.join(top, on).groupBy(by).agg(F.max("hub").alias("hub"))
-    held = posts.join(top, "s").select(F.col("hub.key").alias("hub"), "key").distinct()
+        top = posts.join(dealt(top), on).groupBy(by).agg(F.max("hub").alias("hub"))
+    held = posts.join(dealt(top), "s").select(F.col("hub.key").alias("hub"), "key").distinct()
     theirs = sets.select(F.col("key").alias("hub"), F.col("set").alias("other"), F.col("label").alias("own"))
-    both = held.join(sets, "key").join(theirs, "hub")
+    both = held.join(dealt(sets), "key").join(dealt(theirs), "hub")
     d = F.concat(F.array_except("set", "other"), F.array_except("other", "set"))
     apart = written(both.select("hub", "key", "label", "own", F.size("set").alias("n"), F.size("other").alias("m"), d.alias("d")), "apart", apart_at)
     near = apart.where("label <> own and 9 * size(d) <= n + m").select(F.least("hub", "key").alias("u"), F.greatest("hub", "key").alias("v"))
     items = apart.select("hub", "key", "label", "n", F.size("d").alias("d"), F.explode("d").alias("s"))
     times = items.groupBy("hub", "s").agg(F.count("*").alias("times"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    ordered = items.join(times, ["hub", "s"]).withColumn("at", F.row_number().over(Window.partitionBy("hub", "key").orderBy("times", "s")) - 1)
+    ordered = items.join(dealt(times), ["hub", "s"]).withColumn("at", F.row_number().over(Window.partitionBy("hub", "key").orderBy("times", "s")) - 1)
     # of near sets one has at most 5/4 of the other's shingles, so they differ in a quarter of either at most
     kept = written(ordered.where("lo <> hi and at <= floor(n / 4)").select("hub", "s", "key", "label", "n", "d", "at"), "prefixes", posts_at)
     a, b = (kept.select("hub", "s", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "n", "d", "at"))) for k in "ab")
-    met = a.where("at_a <= floor(n_a / 8)").join(b, ["hub", "s"]).where("label_a <> label_b and (d_a < d_b or d_a = d_b and key_a <> key_b) and 5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
+    met = a.where("at_a <= floor(n_a / 8)").join(dealt(b), ["hub", "s"]).where("label_a <> label_b and (d_a < d_b or d_a = d_b and key_a <> key_b) and 5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a")
     met = met.where("9 * (d_a + d_b) > n_a + n_b and 18 * least(d_a - at_a, d_b - at_b) >= 9 * (d_a + d_b) - n_a - n_b")
     pairs = written(near.union(met.select(F.least("key_a", "key_b").alias("u"), F.greatest("key_a", "key_b").alias("v"))).distinct(), "apart-pairs")
     removed(spark, apart_at, posts_at)
@@ -207,18 +207,18 @@ def links(kinds: DataFrame, rows: DataFrame, text_col: str = "text", crowded: in
     """
     posts = kinds.select("key", F.explode("picks").alias("pick"))
     lists = posts.groupBy("pick").agg(F.count("*").alias("n")).where("n > 1").select("pick")
-    posts = written(posts.join(lists, "pick", "left_semi"), "posts")
+    posts = written(posts.join(dealt(lists), "pick", "left_semi"), "posts")
 
     def open_lists(name: str) -> DataFrame:
         named = posts.join(groups, posts["key"] == groups["node"], "left").select("pick", "key", F.coalesce("label", "key").alias("label"))
         sizes = named.groupBy("pick").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        return written(named.join(sizes.select("pick", "n"), "pick"), name)
+        return written(named.join(dealt(sizes.select("pick", "n")), "pick"), name)
 
     groups = merged(None, kinds.select(F.col("key").alias("u"), F.col("key").alias("v")).limit(0) if met is None else verified(met, kinds, rows, text_col))
     todo = open_lists("open")
     for r in count():
         hub = todo.groupBy("pick").agg(F.min(F.struct(F.xxhash64("pick", "key", F.lit(r)).alias("h"), F.col("key").alias("hub"), F.col("label").alias("own"))).alias("x")).select("pick", "x.hub", "x.own")
-        star = todo.join(hub, "pick").where("label <> own").select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))
+        star = todo.join(dealt(hub), "pick").where("label <> own").select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))
         groups = merged(groups, verified(star, kinds, rows, text_col))
         left = open_lists("open")
         todo = left.where(F.col("n") > crowded)

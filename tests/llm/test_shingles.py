@@ -1,4 +1,5 @@
 import random
+import re
 
 import corpus_pipeline
 from tapewatch.llm import shingles
@@ -131,3 +132,18 @@ def test_a_group_of_near_copies_does_not_meet_all_its_farther_variants(spark):
     assert joined([p for p in got if near(*p)]) == joined(want)
     # further variants are within a few shingles of each member of the group, but need not be held against each
     assert len(got - want) < 5 * len(texts)
+
+
+def test_shingles_and_texts_are_sent_to_no_task(spark):
+    """Spark takes the list of a set for one shingle, and a written text for its compressed bytes."""
+    base = " ".join(RNG.choices(VOCAB, k=150))
+    rows = spark.createDataFrame(list(enumerate([base, *(edited(base, RNG.choice([1, 2, 3, 4])) for _ in range(90))])), "__row long, text string")
+    kinds = rows.select(rows["__row"].alias("key"), rows["__row"].alias("row"))
+    plans = spark._jsparkSession.sharedState().statusStore()
+    began = plans.executionsCount()
+    pairs = shingles.prefix_pairs(kinds.select("key", kinds["key"].alias("label")), kinds, rows, "text")
+    assert shingles.verified(pairs, kinds, rows, "text").count() > 0
+    run = plans.executionsList()
+    said = "\n".join(run.apply(k).physicalPlanDescription() for k in range(began, run.size()))
+    sent = {c for columns in re.findall(r"\) BroadcastExchange\nInput \[\d+\]: \[(.*?)\]", said) for c in re.findall(r"(\w+)#", columns)}
+    assert "SortMergeJoin" in said and not sent & {"s", "set", "other", "text", "a", "b", "hub"}

@@ -29,6 +29,7 @@ INSTANCE = (
     f"checkpoint_health:struct<enabled:boolean,healthy:boolean,last_success_age_seconds:double,age_seconds:double,failures:bigint,last_failure_ms:bigint>,markets:array<{MARKET}>>"
 )
 CONTAINER = "struct<observed:boolean,present:boolean,running:boolean,status:string,health:string,restart_count:bigint,container_id:string,started_at:string>"
+INSTANCES = ("primary", "shadow")
 SAMPLE = f"struct<timestamp:string,monitor_gap_seconds:double,primary:{INSTANCE},shadow:{INSTANCE},docker:{CONTAINER}>"
 
 
@@ -52,7 +53,7 @@ def coverage(rows: DataFrame, interval_seconds: float) -> DataFrame:
 
 def instances(samples: DataFrame) -> DataFrame:
     """One row for each sample and instance: timestamp_ms, instance, i (null if missing) and v, the same as a variant."""
-    both = F.explode(F.array(*(F.struct(F.lit(n).alias("instance"), F.col(f"s.{n}").alias("i"), jsontree.field(F.col("v"), n).alias("v")) for n in ("primary", "shadow"))))
+    both = F.explode(F.array(*(F.struct(F.lit(n).alias("instance"), F.col(f"s.{n}").alias("i"), jsontree.field(F.col("v"), n).alias("v")) for n in INSTANCES)))
     return samples.select("timestamp_ms", both.alias("x")).select("timestamp_ms", "x.*")
 
 
@@ -92,7 +93,8 @@ def container_restarts(samples: DataFrame) -> DataFrame:
 
 def instance_evidence_errors(samples: DataFrame) -> DataFrame:
     """(timestamp_ms, instance, errors): see `evidence_rules`; a sample without the instance has one error."""
-    return instances(samples).select("timestamp_ms", "instance", rules.instance_errors(F.col("v")).alias("errors"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("instance"), jsontree.field(F.col("v"), n).alias("v")) for n in INSTANCES)))
+    return samples.select("timestamp_ms", each.alias("x")).select("timestamp_ms", "x.instance", rules.instance_errors(F.col("x.v")).alias("errors"))
 
 
 def container_evidence_errors(samples: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def container_evidence_errors(samples: DataFrame) -> DataFrame:
 
 
 def _malformed_gap(v: Column) -> Column:
-    return ~rules.passes(jsontree.field(v, "monitor_gap_seconds"), "number")
+    return ~rules.is_number(jsontree.field(v, "monitor_gap_seconds"))
 
 
 def evidence_issues(samples: DataFrame, most: int = rules.MOST_ERRORS) -> DataFrame:

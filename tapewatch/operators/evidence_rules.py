@@ -1,4 +1,4 @@
-"""Rules on a recorded status, kept as tables and compiled to one column of messages.
+"""Rules on a recorded status, kept as tables and run on each value, read once from its variant, in Arrow batches.
 
 A table lists (field, test, wording): the field of a map, what its value must be, and what the message says of it. A test
 that ends in `?` also lets a missing or null value pass. Tables apply to the status itself, to its parts, or to every entry
@@ -7,12 +7,15 @@ of a map or list below it; messages name the entry. They come in the order of th
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tapewatch.functions.jsontree import entries, field, flag, is_kind, is_null, items, number, text, whole
+from tapewatch.functions import variants
+from tapewatch.functions.jsontree import entries, field, flag, is_kind, items, number, text, whole
 
 Table = list[tuple[str, str, str]]
 
@@ -61,197 +64,219 @@ VENUE_FLAGS: Table = [("ready", "flag", WRONG), ("base_ready", "flag", WRONG), (
 VENUE: Table = [("reason", "name", BAD), ("data_age_seconds", "number?", WRONG)]
 
 
-def sure(test: Column) -> Column:
-    """Null counts as false."""
-    return F.coalesce(test, F.lit(False))
-
-
-def _number(v: Column, least: float = 0.0, most: float = 1.7976931348623157e308) -> Column:
-    return sure(number(v).between(least, most))  # not-a-number is above all others
-
-
-def _string(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
+def _real(v: object, least: float = 0.0, most: float = sys.float_info.max) -> bool:
+    return type(v) in (int, float) and least <= v <= most
 
 
-def _name(v: Column) -> Column:
-    return sure(text(v) != "")
+def _name(v: object) -> bool:
+    return type(v) is str and v != ""
 
 
-def _count(v: Column) -> Column:
-    return is_kind(v, "int") & sure(F.try_variant_get(v, "$", "double") >= 0)
+def _all(v: object, test: Callable[[object], bool]) -> bool:
+    return type(v) is list and all(map(test, v))
 
 
-TESTS: dict[str, Callable[[Column], Column]] = {
-    "flag": lambda v: is_kind(v, "bool"),
-    "text": lambda v: is_kind(v, "text"),
-    "map": lambda v: is_kind(v, "map"),
+#: What a value read from a variant must be; None is missing or null.
+TESTS: dict[str, Callable[[object], bool]] = {
+    "flag": lambda v: type(v) is bool,
+    "text": lambda v: type(v) is str,
+    "map": lambda v: type(v) is dict,
     "name": _name,
-    "names": lambda v: sure((F.size(items(v)) > 0) & F.forall(items(v), _name)),
-    "count": _count,
-    "size": lambda v: is_kind(v, "int") & sure(F.try_variant_get(v, "$", "double") > 0),
-    "number": _number,
-    "share": lambda v: _number(v, 0.0, 1.0),
-    "time": lambda v: _number(v, 1.0),
+    "names": lambda v: _all(v, _name) and len(v) > 0,
+    "count": lambda v: type(v) is int and v >= 0,
+    "size": lambda v: type(v) is int and v > 0,
+    "number": _real,
+    "share": lambda v: _real(v, 0.0, 1.0),
+    "time": lambda v: _real(v, 1.0),
 }
 
 
-def passes(v: Column, test: str) -> Column:
-    ok = TESTS[test.rstrip("?")](v)
-    return ok | is_null(v) if test.endswith("?") else ok
+def _field(v: object, name: str) -> object:
+    return v.get(name) if type(v) is dict else None
 
 
-def _say(bad: Column, *words: Column | str) -> Column:
-    return F.when(bad, F.concat(*(F.lit(w) if isinstance(w, str) else w for w in words)))
+def _entries(v: object) -> list[tuple[str, object]]:
+    return list(v.items()) if type(v) is dict else []
 
 
-def _told(v: Column, table: Table, *place: Column | str) -> Column:
-    """One message or null for each line of the table."""
-    return F.array(*(_say(~passes(field(v, name), test), *place, f"{name} {wording}") for name, test, wording in table))
+def _items(v: object) -> list[object]:
+    return v if type(v) is list else []
 
 
-def _one(bad: Column, *words: Column | str) -> Column:
-    return F.array(_say(bad, *words))
+def _told(v: object, table: Table, place: str = "") -> list[str]:
+    """One message for each line of the table that does not hold."""
+    found = []
+    for name, test, wording in table:
+        x = _field(v, name)
+        if not (TESTS[test.rstrip("?")](x) or x is None and test[-1] == "?"):
+            found.append(f"{place}{name} {wording}")
+    return found
 
 
-def _each(among: Column, messages: Callable[..., Column]) -> Column:
-    """The messages of all entries; none where there is no map or list."""
-    return F.coalesce(F.flatten(F.transform(among, messages)), F.array().cast("array<string>"))
+def _one(bad: bool, message: str) -> list[str]:
+    return [message] if bad else []
 
 
-def _part(i: Column, name: str) -> tuple[Column, Column]:
+def _part(i: dict, name: str) -> tuple[object, list[str]]:
     """A map below the status, and the message if it is none."""
-    v = field(i, name)
-    return v, _one(~is_kind(v, "map"), f"{name} {BAD}")
-
-
-def _if_map(v: Column, then: Column, *otherwise: Column | str) -> Column:
-    return F.when(is_kind(v, "map"), then).otherwise(_one(F.lit(True), *otherwise))
-
-
-def _symbols(feed: Column, name: Column) -> Column:
-    symbols = field(feed, "symbols")
-
-    def one(s: Column) -> Column:
-        place = (F.lit("feeds."), name, F.lit(".symbols."), s["key"])
-        return F.concat(_one(s["key"] == "", "feeds.", name, " contains an invalid symbol name"), _if_map(s["value"], _told(s["value"], SYMBOL, *place, "."), *place, " is invalid"))
-
-    return F.concat(_one(~sure(F.size(entries(symbols)) > 0), "feeds.", name, ".symbols is missing, invalid, or empty"), _each(entries(symbols), one))
-
-
-def _feeds(i: Column, ready: Column) -> Column:
-    feeds = field(i, "feeds")
+    v = i.get(name)
+    return v, _one(type(v) is not dict, f"{name} {BAD}")
+
+
+def _symbols(feed: dict, name: str) -> list[str]:
+    symbols = _entries(feed.get("symbols"))
+    out = _one(not symbols, f"feeds.{name}.symbols is missing, invalid, or empty")
+    for key, v in symbols:
+        place = f"feeds.{name}.symbols.{key}"
+        out += _one(key == "", f"feeds.{name} contains an invalid symbol name")
+        out += _told(v, SYMBOL, f"{place}.") if type(v) is dict else [f"{place} is invalid"]
+    return out
+
+
+def _feeds(i: dict, ready: bool) -> list[str]:
+    feeds = _entries(i.get("feeds"))
+    out = _one(not feeds, "feeds is missing, invalid, or empty")
+    for name, v in feeds:
+        out += _one(name == "", "feed name is invalid")
+        if type(v) is not dict:
+            out.append(f"feeds.{name} is invalid")
+            continue
+        out += _told(v, FEED_FLAGS, f"feeds.{name}.") + _one(ready and v.get("healthy") is not True, f"ready instance contains unhealthy feed {name}")
+        out += _told(v, FEED, f"feeds.{name}.") + _symbols(v, name)
+    return out
+
+
+def _expected_tasks(i: dict) -> list[str]:
+    """The tasks that a status must tell of, sorted: the base set, one for each feed, and the checkpoint task where enabled."""
+    more = [CHECKPOINT_TASK] if _field(i.get("checkpoint_health"), "enabled") is True else []
+    return sorted({*BASE_TASKS, *(f"feed-{name}" for name, _ in _entries(i.get("feeds"))), *more})
+
+
+def _tasks(i: dict, ready: bool) -> list[str]:
+    told, tasks, want = i.get("expected_tasks"), i.get("tasks"), _expected_tasks(i)
+    sound = _all(told, _name) and len(set(told)) == len(told)
+    out = _one(not sound, f"expected_tasks {BAD}") + _one(sound and sorted(told) != want, "expected_tasks does not match feeds/checkpoint evidence")
+    out += _one(type(tasks) is not dict, f"tasks {BAD}")
+    for name in want:
+        v = _field(tasks, name)
+        if type(v) is not dict:
+            out.append(f"expected task {name} {BAD}")
+            continue
+        healthy = v.get("state") in SOUND_STATES and v.get("ready") is True and v.get("heartbeat_stale") is False
+        out += _told(v, TASK, f"tasks.{name}.") + _one(ready and not healthy, f"ready instance contains unhealthy expected task {name}")
+    return out
+
+
+def _venues_of(m: dict) -> tuple[int, int, bool]:
+    """As `venue_counts`."""
+    whole64 = lambda v: v if type(v) is int and -(1 << 63) <= v < 1 << 63 else 0
+    configured, ready = (whole64(m.get(f"{n}_venues")) for n in ("configured", "ready"))
+    return configured, ready, configured > 0 and 0 <= ready <= configured
+
+
+def _market(m: dict, prefix: str) -> list[str]:
+    configured, ready, valid = _venues_of(m)
+    venues = _entries(m.get("venue_readiness"))
+    out = _told(m, [("symbol", "name", BAD)], f"{prefix}.") + _one(not valid, f"{prefix} venue counts are missing or invalid") + _told(m, MARKET, f"{prefix}.")
+    out += _one(not venues, f"{prefix}.venue_readiness is missing, invalid, or empty")
+    out += _one(len(venues) > 0 and valid and len(venues) != configured, f"{prefix}.venue_readiness count does not match configured_venues")
+    for key, v in venues:
+        place = f"{prefix}.venue_readiness.{key}"
+        out += _one(key == "", f"{prefix}.venue_readiness contains an invalid venue name")
+        out += _told(v, VENUE_FLAGS, f"{place}.") + _told(v, VENUE, f"{place}.") if type(v) is dict else [f"{place} is invalid"]
+    eligible = sum(_field(v, "alert_eligible") is True for _, v in venues)
+    return out + _one(len(venues) > 0 and valid and eligible != ready, f"{prefix}.ready_venues does not match venue readiness evidence")
+
+
+def _markets(i: dict) -> list[str]:
+    markets = _items(i.get("markets"))
+    out = _one(not markets, "markets is missing, invalid, or empty")
+    for at, m in enumerate(markets):
+        out += _market(m, f"markets[{at}]") if type(m) is dict else [f"markets[{at}] is invalid"]
+    return out
+
+
+def _readiness(i: dict) -> list[str]:
+    v, missing = _part(i, "readiness")
+    ok, ready = i.get("ok"), _field(v, "ready")
+    differ = type(ok) is bool and type(ready) is bool and ok != ready
+    out = missing + _told(v, [("ready", "flag", BAD)], "readiness.") + _one(differ, "ok does not match readiness.ready") + _told(v, [("state", "name", BAD)], "readiness.")
+    return out + _one(not _all(_field(v, "reasons"), TESTS["text"]), f"readiness.reasons {BAD}")
 
-    def one(f: Column) -> Column:
-        name, v = f["key"], f["value"]
-        place = ("feeds.", name, ".")
-        inner = F.concat(
-            _told(v, FEED_FLAGS, *place), _one(ready & ~sure(flag(field(v, "healthy"))), "ready instance contains unhealthy feed ", name),
-            _told(v, FEED, *place), _symbols(v, name),
-        )
-        return F.concat(_one(name == "", "feed name is invalid"), _if_map(v, inner, "feeds.", name, " is invalid"))
 
-    return F.concat(_one(~sure(F.size(entries(feeds)) > 0), "feeds is missing, invalid, or empty"), _each(entries(feeds), one))
+def _checkpoint(i: dict, ready: bool) -> list[str]:
+    v, missing = _part(i, "checkpoint_health")
+    out = missing + _told(v, CHECKPOINT, "checkpoint_health.")
+    if _field(v, "enabled") is True:
+        out += _told(v, CHECKPOINT_ENABLED, "checkpoint_health.") + _one(ready and v.get("healthy") is not True, "ready instance contains an unhealthy checkpoint")
+    return out
 
 
-def expected_tasks(i: Column) -> Column:
-    """The tasks that a status must tell of, sorted: the base set, one for each feed, and the checkpoint task where enabled."""
-    feeds = F.transform(F.coalesce(entries(field(i, "feeds")), F.array().cast("array<struct<key:string,value:variant>>")), lambda f: F.concat(F.lit("feed-"), f["key"]))
-    enabled = sure(flag(field(field(i, "checkpoint_health"), "enabled")))
-    more = F.when(enabled, F.array(F.lit(CHECKPOINT_TASK))).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.concat(F.array(*(F.lit(t) for t in BASE_TASKS)), feeds, more)))
-
+def _plain_part(i: dict, name: str, table: Table) -> list[str]:
+    v, missing = _part(i, name)
+    return missing + _told(v, table, f"{name}.")
 
-def _tasks(i: Column, ready: Column) -> Column:
-    told, tasks, want = field(i, "expected_tasks"), field(i, "tasks"), expected_tasks(i)
-    names = F.transform(items(told), _string)
-    sound = sure(F.forall(items(told), _name) & (F.size(F.array_distinct(names)) == F.size(names)))
-    differ = sound & sure(F.array_sort(names) != want)
-    by_name = F.try_variant_get(tasks, "$", "map<string,variant>")
 
-    def one(name: Column) -> Column:
-        v = F.try_element_at(by_name, name)
-        healthy = sure(text(field(v, "state")).isin(SOUND_STATES)) & sure(flag(field(v, "ready"))) & sure(~flag(field(v, "heartbeat_stale")))
-        inner = F.concat(_told(v, TASK, "tasks.", name, "."), _one(ready & ~healthy, "ready instance contains unhealthy expected task ", name))
-        return _if_map(v, inner, "expected task ", name, f" {BAD}")
+def _instance(i: object) -> list[str]:
+    if type(i) is not dict:
+        return [f"instance section {BAD}"]
+    ready = i.get("ok") is True
+    listed = (
+        _one(i.get("evidence_complete") is not True, "evidence_complete is not true") + _one(i.get("evidence_errors") != [], "evidence_errors is missing, invalid, or nonempty")
+        + _told(i, STATUS) + _readiness(i) + _feeds(i, ready) + _checkpoint(i, ready) + _tasks(i, ready) + _plain_part(i, "queue_health", QUEUE) + _plain_part(i, "clock_health", CLOCK)
+        + _plain_part(i, "alarm_delivery", DELIVERY) + _told(_field(i.get("alarm_delivery"), "counts"), COUNTS, "alarm_delivery.counts.") + _markets(i)
+    )
+    return listed[:MOST_ERRORS]
 
-    return F.concat(_one(~sound, f"expected_tasks {BAD}"), _one(differ, "expected_tasks does not match feeds/checkpoint evidence"), _one(~is_kind(tasks, "map"), f"tasks {BAD}"), _each(want, one))
 
+def _container(d: object) -> list[str]:
+    if type(d) is not dict:
+        return [f"docker section {BAD}"]
+    return (
+        _one(d.get("observed") is not True, "docker state was not explicitly observed") + _one(d.get("present") is not True, "docker container is absent")
+        + _one(d.get("running") is not True or d.get("status") != "running", "docker container is not running") + _one(d.get("health") != "healthy", "docker container is not healthy")
+        + _told(d, [("restart_count", "count", BAD), ("container_id", "name", BAD), ("started_at", "name", BAD)], "docker ")
+    )
 
-def venue_counts(market: Column) -> tuple[Column, Column, Column]:
-    """(configured, ready, whether they can be so); values that are no whole numbers count as 0."""
-    configured, ready = (F.coalesce(whole(field(market, f"{n}_venues")), F.lit(0)) for n in ("configured", "ready"))
-    return configured, ready, (configured > 0) & (ready >= 0) & (ready <= configured)
 
+def _column(rules: Callable[[object], list[str]]) -> Callable[[Column], Column]:
+    def run(v: pa.Array) -> pa.Array:
+        return pa.array([rules(x) for x in variants.values(v)], pa.list_(pa.string()))
 
-def _markets(i: Column) -> Column:
-    markets = items(field(i, "markets"))
+    return F.arrow_udf(run, "array<string>")
 
-    def one(m: Column, at: Column) -> Column:
-        prefix = F.concat(F.lit("markets["), at.cast("string"), F.lit("]"))
-        configured, ready, valid = venue_counts(m)
-        venues = entries(field(m, "venue_readiness"))
 
-        def venue(x: Column) -> Column:
-            place = (prefix, ".venue_readiness.", x["key"])
-            inner = F.concat(_told(x["value"], VENUE_FLAGS, *place, "."), _told(x["value"], VENUE, *place, "."))
-            return F.concat(_one(x["key"] == "", prefix, ".venue_readiness contains an invalid venue name"), _if_map(x["value"], inner, *place, " is invalid"))
+def instance_errors(i: Column) -> Column:
+    """What is wrong with the status of an instance (a variant), at most 64 messages; one if it is no map at all."""
+    return _column(_instance)(i)
 
-        eligible = F.size(F.filter(venues, lambda x: sure(flag(field(x["value"], "alert_eligible")))))
-        some = sure(F.size(venues) > 0)
-        inner = F.concat(
-            _told(m, [("symbol", "name", BAD)], prefix, "."), _one(~valid, prefix, " venue counts are missing or invalid"), _told(m, MARKET, prefix, "."),
-            _one(~some, prefix, ".venue_readiness is missing, invalid, or empty"),
-            _one(some & valid & (F.size(venues) != configured), prefix, ".venue_readiness count does not match configured_venues"),
-            _each(venues, venue), _one(some & valid & (eligible != ready), prefix, ".ready_venues does not match venue readiness evidence"),
-        )
-        return _if_map(m, inner, prefix, " is invalid")
 
-    return F.concat(_one(~sure(F.size(markets) > 0), "markets is missing, invalid, or empty"), _each(markets, one))
+def container_errors(d: Column) -> Column:
+    """What is wrong with the state of the container (a variant)."""
+    return _column(_container)(d)
 
 
-def _readiness(i: Column) -> Column:
-    v, missing = _part(i, "readiness")
-    ok, ready, reasons = flag(field(i, "ok")), flag(field(v, "ready")), field(v, "reasons")
-    return F.concat(
-        missing, _told(v, [("ready", "flag", BAD)], "readiness."), _one(sure(ok != ready), "ok does not match readiness.ready"), _told(v, [("state", "name", BAD)], "readiness."),
-        _one(~sure(F.forall(items(reasons), TESTS["text"])), f"readiness.reasons {BAD}"),
-    )
+# ---- the same as columns
 
 
-def _checkpoint(i: Column, ready: Column) -> Column:
-    v, missing = _part(i, "checkpoint_health")
-    inner = F.concat(_told(v, CHECKPOINT_ENABLED, "checkpoint_health."), _one(ready & ~sure(flag(field(v, "healthy"))), "ready instance contains an unhealthy checkpoint"))
-    return F.concat(missing, _told(v, CHECKPOINT, "checkpoint_health."), F.when(sure(flag(field(v, "enabled"))), inner).otherwise(F.array().cast("array<string>")))
+def sure(test: Column) -> Column:
+    """Null counts as false."""
+    return F.coalesce(test, F.lit(False))
 
 
-def _plain_part(i: Column, name: str, table: Table) -> Column:
-    v, missing = _part(i, name)
-    return F.concat(missing, _told(v, table, f"{name}."))
+def is_number(v: Column) -> Column:
+    """As the test "number"."""
+    return sure(number(v).between(0.0, sys.float_info.max))  # not-a-number is above all others
 
 
-def instance_errors(i: Column) -> Column:
-    """What is wrong with the status of an instance (a variant), at most 64 messages; one if it is no map at all."""
-    ready = sure(flag(field(i, "ok")))
-    recorded = items(field(i, "evidence_errors"))
-    listed = F.concat(
-        _one(~sure(flag(field(i, "evidence_complete"))), "evidence_complete is not true"), _one(~sure(F.size(recorded) == 0), "evidence_errors is missing, invalid, or nonempty"),
-        _told(i, STATUS), _readiness(i), _feeds(i, ready), _checkpoint(i, ready), _tasks(i, ready), _plain_part(i, "queue_health", QUEUE), _plain_part(i, "clock_health", CLOCK),
-        _plain_part(i, "alarm_delivery", DELIVERY), _told(field(field(i, "alarm_delivery"), "counts"), COUNTS, "alarm_delivery.counts."), _markets(i),
-    )
-    return F.when(is_kind(i, "map"), F.slice(F.array_compact(listed), 1, MOST_ERRORS)).otherwise(F.array(F.lit(f"instance section {BAD}")))
+def _string(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
 
 
-def container_errors(d: Column) -> Column:
-    """What is wrong with the state of the container (a variant)."""
-    true = lambda name: sure(flag(field(d, name)))
-    says = lambda name, want: sure(text(field(d, name)) == want)
-    listed = F.concat(
-        _one(~true("observed"), "docker state was not explicitly observed"), _one(~true("present"), "docker container is absent"),
-        _one(~(true("running") & says("status", "running")), "docker container is not running"), _one(~says("health", "healthy"), "docker container is not healthy"),
-        _told(d, [("restart_count", "count", BAD), ("container_id", "name", BAD), ("started_at", "name", BAD)], "docker "),
-    )
-    return F.when(is_kind(d, "map"), F.array_compact(listed)).otherwise(F.array(F.lit(f"docker section {BAD}")))
+def venue_counts(market: Column) -> tuple[Column, Column, Column]:
+    """(configured, ready, whether they can be so); values that are no whole numbers count as 0."""
+    configured, ready = (F.coalesce(whole(field(market, f"{n}_venues")), F.lit(0)) for n in ("configured", "ready"))
+    return configured, ready, (configured > 0) & (ready >= 0) & (ready <= configured)
 
 
 # ---- markets: ready, quiet or unready

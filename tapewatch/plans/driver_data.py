@@ -164,7 +164,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Markets are unready (every eighth), quiet (every eighth), recovering or missing (one in sixteen each), else ready.
     """
-    e = _read(spark, sf_dir, "events").where("ts is not null")
+    # a sample takes a hundred times the work of its event, so the few splits of the file are dealt out
+    e = _read(spark, sf_dir, "events").where("ts is not null").select("event_id", "ts").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
     k = F.col("event_id")
     ms = (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).cast("long") * 1000
     up = F.struct(F.lit(True).alias("ready"), F.lit(True).alias("alert_eligible"), F.lit("ready").alias("reason"))

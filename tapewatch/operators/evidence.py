@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ INSTANCE = (
 )
 CONTAINER = "struct<observed:boolean,present:boolean,running:boolean,status:string,health:string,restart_count:bigint,container_id:string,started_at:string>"
 INSTANCES = ("primary", "shadow")
+MALFORMED_GAP = "sample: monitor_gap_seconds is missing or invalid"
 SAMPLE = f"struct<timestamp:string,monitor_gap_seconds:double,primary:{INSTANCE},shadow:{INSTANCE},docker:{CONTAINER}>"
 
 
@@ -59,17 +61,27 @@ def instances(samples: DataFrame) -> DataFrame:
 
 def failure_counts(samples: DataFrame) -> DataFrame:
     """Per instance: samples that are not ok or missing, and the longest run of them."""
-    rows = instances(samples).withColumn("bad", ~F.coalesce(F.col("i.ok"), F.lit(False)))
+    return _failure_counts(instances(samples).select("instance", "timestamp_ms", _bad(F.col("i")).alias("bad")))
+
+
+def _bad(i: Column) -> Column:
+    return ~F.coalesce(i["ok"], F.lit(False))
+
+
+def _failure_counts(rows: DataFrame) -> DataFrame:
     # the samples of a run have as many good ones before them
-    runs = scanned(rows.select("instance", "timestamp_ms", "bad"), ["instance"], ["timestamp_ms"], by_time(), F.when(F.col("bad"), 0).otherwise(1), "__run")
+    runs = scanned(rows, ["instance"], ["timestamp_ms"], by_time(), F.when(F.col("bad"), 0).otherwise(1), "__run")
     sizes = runs.groupBy("instance", "__run").agg(F.count_if("bad").alias("n"))
     return sizes.groupBy("instance").agg(F.sum("n").alias("failures"), F.max("n").alias("longest_run"))
 
 
 def monitor_gaps(samples: DataFrame, interval_seconds: float) -> DataFrame:
     """Explicit gaps above zero plus steps of at least 1.5 intervals between samples: how many and the largest."""
-    told = samples.select("timestamp_ms", F.coalesce(F.col("s.monitor_gap_seconds"), F.lit(0.0)).alias("told"), F.lit(0).alias("one"))
-    t = previous(told, ["one"], ["timestamp_ms"], by_time(), F.col("timestamp_ms"), "before")
+    return _monitor_gaps(samples.select("timestamp_ms", F.coalesce(F.col("s.monitor_gap_seconds"), F.lit(0.0)).alias("told")), interval_seconds)
+
+
+def _monitor_gaps(told: DataFrame, interval_seconds: float) -> DataFrame:
+    t = previous(told.withColumn("one", F.lit(0)), ["one"], ["timestamp_ms"], by_time(), F.col("timestamp_ms"), "before")
     t = t.withColumn("step", (F.col("timestamp_ms") - F.col("before")) / 1000.0)
     wide = F.coalesce(F.col("step") >= 1.5 * interval_seconds, F.lit(False))
     return t.agg((F.count_if(F.col("told") > 0) + F.count_if(wide)).alias("gaps"), F.coalesce(F.greatest(F.max(F.when(F.col("told") > 0, F.col("told"))), F.max(F.when(wide, F.col("step")))), F.lit(0.0)).alias("largest_gap_seconds"))
@@ -77,17 +89,28 @@ def monitor_gaps(samples: DataFrame, interval_seconds: float) -> DataFrame:
 
 def runtime_restarts(samples: DataFrame) -> DataFrame:
     """Per instance, among rows with a start and an uptime: the start changed or the uptime fell by over a second."""
-    rows = instances(samples).where(F.col("i.runtime_started_ms").isNotNull() & finite(F.col("i.uptime_seconds")) & (F.col("i.uptime_seconds") >= 0))
-    now = F.struct(F.col("i.runtime_started_ms").alias("start"), F.col("i.uptime_seconds").alias("uptime"))
-    rows = previous(rows.select("instance", "timestamp_ms", now.alias("now")), ["instance"], ["timestamp_ms"], by_time(), F.col("now"), "was")
+    return _runtime_restarts(instances(samples).select("instance", "timestamp_ms", _started(F.col("i")).alias("now")))
+
+
+def _started(i: Column) -> Column:
+    """The start and the uptime, null where either is missing or invalid."""
+    valid = i["runtime_started_ms"].isNotNull() & finite(i["uptime_seconds"]) & (i["uptime_seconds"] >= 0)
+    return F.when(valid, F.struct(i["runtime_started_ms"].alias("start"), i["uptime_seconds"].alias("uptime")))
+
+
+def _runtime_restarts(rows: DataFrame) -> DataFrame:
+    rows = previous(rows.where("now is not null"), ["instance"], ["timestamp_ms"], by_time(), F.col("now"), "was")
     again = (F.col("now.start") != F.col("was.start")) | (F.col("now.uptime") < F.col("was.uptime") - 1)
     return rows.withColumn("again", F.coalesce(again, F.lit(False))).groupBy("instance").agg(F.count_if("again").alias("restarts"))
 
 
 def container_restarts(samples: DataFrame) -> DataFrame:
     """How often (container_id, started_at) changed between samples that have both."""
-    rows = samples.select("timestamp_ms", F.struct("s.docker.container_id", "s.docker.started_at").alias("c"), F.lit(0).alias("one"))
-    rows = previous(rows.where("c.container_id is not null and c.started_at is not null"), ["one"], ["timestamp_ms"], by_time(), F.col("c"), "was")
+    return _container_restarts(samples.select("timestamp_ms", F.struct("s.docker.container_id", "s.docker.started_at").alias("c")))
+
+
+def _container_restarts(rows: DataFrame) -> DataFrame:
+    rows = previous(rows.withColumn("one", F.lit(0)).where("c.container_id is not null and c.started_at is not null"), ["one"], ["timestamp_ms"], by_time(), F.col("c"), "was")
     return rows.withColumn("again", F.coalesce(F.col("c") != F.col("was"), F.lit(False))).agg(F.count_if("again").alias("restarts"))
 
 
@@ -118,7 +141,7 @@ def evidence_issues(samples: DataFrame, most: int = rules.MOST_ERRORS) -> DataFr
     found = told.groupBy("issue").agg(F.countDistinct("timestamp_ms").alias("samples"), F.min("place").alias("place"))
     gap = samples.where(_malformed_gap(F.col("v"))).agg(F.count("*").alias("samples"), F.min("timestamp_ms").alias("first_ms")).where("samples > 0")
     first = found.orderBy("place").limit(most).select("issue", "samples", F.col("place.timestamp_ms").alias("first_ms"))
-    return first.unionByName(gap.select(F.lit("sample: monitor_gap_seconds is missing or invalid").alias("issue"), "samples", "first_ms"))
+    return first.unionByName(gap.select(F.lit(MALFORMED_GAP).alias("issue"), "samples", "first_ms"))
 
 
 def flatten_status(samples: DataFrame, stale_seconds: float, freshness_seconds: float) -> DataFrame:
@@ -136,7 +159,10 @@ def detector_readiness(samples: DataFrame) -> DataFrame:
 
     An instance without markets is unready; no sample at all gives the share 1.
     """
-    m = instances(samples).select(rules.market_states(F.col("v"), F.col("instance")).alias("m"))
+    return _detector_readiness(instances(samples).select(rules.market_states(F.col("v"), F.col("instance")).alias("m")))
+
+
+def _detector_readiness(m: DataFrame) -> DataFrame:
     has = lambda name: F.exists("m", lambda x: x["state"] == name)
     per = m.agg(F.count_if(has("unready")).alias("unready_samples"), F.count_if(has("quiet")).alias("quiet_samples"), F.coalesce(F.min(F.array_min(F.transform("m", lambda x: x["ratio"]))), F.lit(1.0)).alias("min_ready_ratio"))
     each = m.select(F.explode("m").alias("m")).select("m.*").distinct()
@@ -146,45 +172,69 @@ def detector_readiness(samples: DataFrame) -> DataFrame:
 
 def max_rollups(samples: DataFrame) -> DataFrame:
     """One row of maxima over feeds, symbols, tasks, queues, clocks, alarms and checkpoints; invalid values count as 0."""
+    return instances(samples).where("i is not null").agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(f"max_{n}") for n, c in _maxima(F.col("i")).items()))
+
+
+def _maxima(i: Column) -> dict[str, Column]:
+    """The values of an instance by name, 0 where there is none."""
     most = lambda m, field: F.coalesce(F.array_max(F.transform(F.map_values(m), lambda v: F.when(finite(v[field].cast("double")) & (v[field] >= 0), v[field].cast("double")))), F.lit(0.0))
     one = lambda c: F.when(finite(c.cast("double")) & (c >= 0), c.cast("double")).otherwise(0.0)
-    i = F.col("i")
-    cols = {
+    return {
         "feed_age": most(i["feeds"], "message_age_seconds"), "feed_drops": most(i["feeds"], "dropped_events"), "feed_reconnects": most(i["feeds"], "reconnects"),
         "symbol_age": F.coalesce(F.array_max(F.transform(F.map_values(i["feeds"]), lambda f: most(f["symbols"], "message_age_seconds"))), F.lit(0.0)),
         "task_heartbeat_age": most(i["tasks"], "heartbeat_age_seconds"), "queue_size": one(i["queue_size"]), "queue_high_water": one(i["queue_health"]["high_water"]), "queue_drops": one(i["queue_health"]["drops_total"]),
         "queue_lag": one(i["queue_health"]["consumer_lag_seconds"]), "queue_utilization": one(i["queue_health"]["utilization"]), "future_events": one(i["clock_health"]["future_events_quarantined"]), "clock_adjustments": one(i["clock_health"]["clock_adjustments"]),
         "alarm_depth": one(i["alarm_delivery"]["local_queue_depth"]), "alarm_failures": one(F.element_at(i["alarm_delivery"]["counts"], "failure")), "checkpoint_age": one(i["checkpoint_health"]["last_success_age_seconds"]), "checkpoint_failures": one(i["checkpoint_health"]["failures"]),
     }
-    return instances(samples).where("i is not null").agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(f"max_{n}") for n, c in cols.items()))
 
 
 def summarize(rows: DataFrame, g: Gate = Gate(), counts: DataFrame | None = None) -> DataFrame:
     """One row with everything the gate looks at; `counts` is the row of read_evidence that tells the invalid lines.
 
-    Each part is an aggregate of its own, so the joins are of single rows.
+    Samples are parsed once, to narrow rows that are kept on disk until the row is made, which is done here at once. Each
+    part is an aggregate of its own, so the joins are of single rows.
     """
     kept, duplicates = dedup_samples(rows)
-    s = parsed(kept)
+    s = _narrow(parsed(kept)).persist(StorageLevel.DISK_ONLY)
     of = lambda name, value: F.coalesce(F.sum(F.when(F.col("instance") == name, value)), F.lit(0)).alias
-    both = ("primary", "shadow")
-    failures = failure_counts(s).agg(*(of(n, F.col("failures"))(f"{n}_failures") for n in both), F.max("longest_run").alias("longest_failure_run"))
-    errors = instance_evidence_errors(s).agg(*(of(n, (F.size("errors") > 0).cast("int"))(f"{n}_evidence_failures") for n in both))
-    restarts = runtime_restarts(s).agg(*(of(n, F.col("restarts"))(f"{n}_restarts") for n in both))
-    boxes = container_evidence_errors(s).agg(F.count_if(F.size("errors") > 0).alias("container_evidence_failures"))
-    samples = s.agg(F.count_if(_malformed_gap(F.col("v"))).alias("malformed_gaps"), F.coalesce(F.max(F.when(F.col("s.docker.restart_count") >= 0, F.col("s.docker.restart_count"))), F.lit(0)).alias("container_restart_count"))
-    checkpoint = F.col("i.checkpoint_health")
-    unhealthy = F.coalesce(checkpoint["enabled"], F.lit(False)) & ~F.coalesce(checkpoint["healthy"], F.lit(False))
-    checkpoints = instances(s).agg(F.count_if(unhealthy).alias("checkpoint_unhealthy_samples"))
+    each = s.select("timestamp_ms", F.explode("each").alias("x")).select("timestamp_ms", "x.*")
+    failures = _failure_counts(each.select("instance", "timestamp_ms", "bad")).agg(*(of(n, F.col("failures"))(f"{n}_failures") for n in INSTANCES), F.max("longest_run").alias("longest_failure_run"))
+    restarts = _runtime_restarts(each.select("instance", "timestamp_ms", "now")).agg(*(of(n, F.col("restarts"))(f"{n}_restarts") for n in INSTANCES))
+    samples = s.agg(
+        *(F.count_if(f"told.{n}").alias(f"{n}_evidence_failures") for n in INSTANCES), F.count_if("told.docker").alias("container_evidence_failures"), F.count_if("told.malformed_gap").alias("malformed_gaps"),
+        F.coalesce(F.max(F.when(F.col("restart_count") >= 0, F.col("restart_count"))), F.lit(0)).alias("container_restart_count"),
+    )
+    issues = s.select("timestamp_ms", F.explode("told.issues").alias("x")).groupBy("x.issue").agg(F.min(F.struct("timestamp_ms", "x.part", "x.at")).alias("place"))
+    issues = issues.orderBy("place").limit(rules.MOST_ERRORS).agg(F.collect_list("issue").alias("issues"))
+    gap = F.when(F.col("malformed_gaps") > 0, F.array(F.lit(MALFORMED_GAP))).otherwise(F.array().cast("array<string>"))
     parts = [
-        coverage(kept, g.interval_seconds), duplicates, failures, errors, boxes, samples, monitor_gaps(s, g.interval_seconds), restarts,
-        container_restarts(s).withColumnRenamed("restarts", "container_identity_restarts"), checkpoints, detector_readiness(s), max_rollups(s),
-        evidence_issues(s).agg(F.array_sort(F.collect_list("issue")).alias("evidence_issues")),
+        coverage(s, g.interval_seconds), duplicates, failures, samples, _monitor_gaps(s.select("timestamp_ms", "told_gap").withColumnRenamed("told_gap", "told"), g.interval_seconds), restarts,
+        _container_restarts(s.select("timestamp_ms", "c")).withColumnRenamed("restarts", "container_identity_restarts"),
+        s.agg(F.coalesce(F.sum("unhealthy"), F.lit(0)).alias("checkpoint_unhealthy_samples")), _detector_readiness(s.select(F.explode("markets").alias("m"))),
+        s.agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in s.columns if c.startswith("max_"))), issues,
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)  # single rows
-    return out.withColumn("invalid_rows", F.lit(0).cast("long")) if counts is None else out.crossJoin(counts.select(F.col("invalid").alias("invalid_rows")))
+    out = out.withColumn("evidence_issues", F.array_sort(F.concat("issues", gap))).drop("issues")
+    out = out.withColumn("invalid_rows", F.lit(0).cast("long")) if counts is None else out.crossJoin(counts.select(F.col("invalid").alias("invalid_rows")))
+    try:
+        return rows.sparkSession.createDataFrame([out.first()], out.schema)
+    finally:
+        s.unpersist()
+
+
+def _narrow(samples: DataFrame) -> DataFrame:
+    """What the summary looks at of each sample."""
+    checkpoint = lambda n: F.col(f"s.{n}.checkpoint_health")
+    unhealthy = lambda n: F.coalesce(checkpoint(n)["enabled"], F.lit(False)) & ~F.coalesce(checkpoint(n)["healthy"], F.lit(False))
+    primary, shadow = (_maxima(F.col(f"s.{n}")) for n in INSTANCES)
+    return samples.select(
+        "timestamp_ms", F.array(*(F.struct(F.lit(n).alias("instance"), _bad(F.col(f"s.{n}")).alias("bad"), _started(F.col(f"s.{n}")).alias("now")) for n in INSTANCES)).alias("each"),
+        F.coalesce(F.col("s.monitor_gap_seconds"), F.lit(0.0)).alias("told_gap"), F.struct("s.docker.container_id", "s.docker.started_at").alias("c"), F.col("s.docker.restart_count").alias("restart_count"),
+        sum(F.when(unhealthy(n), 1).otherwise(0) for n in INSTANCES).cast("long").alias("unhealthy"), rules.told(F.col("timestamp_ms"), F.col("v")).alias("told"),
+        F.array(*(rules.market_states(jsontree.field(F.col("v"), n), F.lit(n)) for n in INSTANCES)).alias("markets"), *(F.greatest(primary[n], shadow[n]).alias(f"max_{n}") for n in primary),
+    )
 
 
 def gate(summary: DataFrame, g: Gate = Gate()) -> DataFrame:

@@ -256,6 +256,28 @@ def container_errors(d: Column) -> Column:
     return _column(_container)(d)
 
 
+def told(timestamp_ms: Column, sample: Column) -> Column:
+    """Which parts of each sample have errors, and those errors that no earlier sample of its batch has, with their place.
+
+    Of an issue, every batch tells the first place, so the first of all is among them.
+    """
+    return F.arrow_udf(_told_rows, "primary boolean, shadow boolean, docker boolean, malformed_gap boolean, issues array<struct<part:int,at:int,issue:string>>")(timestamp_ms, sample)
+
+
+def _told_rows(times: pa.Array, samples: pa.Array) -> pa.Array:
+    when, found, seen = times.to_pylist(), variants.values(samples), set()
+    rows: list[dict | None] = [None] * len(when)
+    for k in sorted(range(len(when)), key=lambda k: (when[k] is not None, when[k] or 0)):
+        parts = {"primary": _instance(_field(found[k], "primary")), "shadow": _instance(_field(found[k], "shadow")), "docker": _container(_field(found[k], "docker"))}
+        rows[k] = {n: len(errors) > 0 for n, errors in parts.items()} | {"malformed_gap": not _real(_field(found[k], "monitor_gap_seconds")), "issues": []}
+        for at_part, (n, errors) in enumerate(parts.items()):
+            for at, error in enumerate(errors):
+                if (n, error) not in seen:
+                    seen.add((n, error))
+                    rows[k]["issues"].append({"part": at_part, "at": at, "issue": f"{n}: {error}"})
+    return pa.array(rows, pa.struct([*((n, pa.bool_()) for n in ("primary", "shadow", "docker", "malformed_gap")), ("issues", pa.list_(pa.struct([("part", pa.int32()), ("at", pa.int32()), ("issue", pa.string())])))]))
+
+
 # ---- the same as columns
 
 

@@ -35,3 +35,21 @@ def test_rules_read_a_value_once(spark):
     samples = G.parsed(spark.createDataFrame([(1, "{}")], "timestamp_ms long, body string"))
     plan = G.instance_evidence_errors(samples)._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "heartbeat_age_seconds" not in plan and len(plan) < 5000
+
+
+def test_the_summary_parses_a_sample_once(spark, monkeypatch):
+    read, seen = G.parsed, spark.sparkContext.accumulator(0)
+
+    def same(body):
+        seen.add(len(body))
+        return body
+
+    counted = F.arrow_udf(same, "string").asNondeterministic()
+    monkeypatch.setattr(G, "parsed", lambda rows: read(rows.withColumn("body", counted("body"))))
+    bodies = [{"primary": {"ok": i % 3 > 0, "queue_size": i - 1}, "docker": {"restart_count": i}} for i in range(20)]
+    rows = spark.createDataFrame([(1000 * i, json.dumps(b)) for i, b in enumerate(bodies)], "timestamp_ms long, body string")
+    got = G.summarize(rows).first()
+    assert (got.samples, got.primary_failures, got.shadow_failures, got.longest_failure_run, got.container_restart_count, got.malformed_gaps) == (20, 7, 20, 20, 19, 20)
+    kept = read(rows)
+    assert got.evidence_issues == sorted(r.issue for r in G.evidence_issues(kept).collect()) and "primary: queue_size is missing or invalid" in got.evidence_issues
+    assert seen.value == 20

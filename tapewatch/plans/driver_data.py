@@ -159,13 +159,14 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(k.alias("id"), F.floor(k / 3).cast("string").alias("alert_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), channel.alias("channel"), _status(k).alias("status"), (k % 3).cast("int").alias("attempt"), F.lit("").alias("detail"))
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evidence(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Samples (timestamp_ms, body) whose instances are derived from events; every seventh is not ok.
 
     Markets are unready (every eighth), quiet (every eighth), recovering or missing (one in sixteen each), else ready.
     """
-    # a sample takes a hundred times the work of its event, so the few splits of the file are dealt out
-    e = _read(spark, sf_dir, "events").where("ts is not null").select("event_id", "ts").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
+    e = _read(spark, sf_dir, "events").where("ts is not null")
+    if dealt:  # where samples take far more work than their events; those of one second then come in any order
+        e = e.select("event_id", "ts").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
     k = F.col("event_id")
     ms = (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).cast("long") * 1000
     up = F.struct(F.lit(True).alias("ready"), F.lit(True).alias("alert_eligible"), F.lit("ready").alias("reason"))

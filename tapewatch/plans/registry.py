@@ -714,7 +714,7 @@ def _g1(s, d):
 
 @query("g2_g9_instance_evidence_errors")
 def _g9(s, d):
-    return G.instance_evidence_errors(G.parsed(D.evidence(s, d)))
+    return G.instance_evidence_errors(G.parsed(D.evidence(s, d, dealt=True)))
 
 
 @query("g10_container_evidence_errors", "SELECT t AS timestamp_ms, CASE WHEN k % 50 = 0 THEN 1 ELSE 0 END AS n FROM evd", V)
@@ -743,4 +743,4 @@ def _g13(s, d):
 
 @query("g14_gate")
 def _g14(s, d):
-    return G.gate(G.summarize(D.evidence(s, d)))
+    return G.gate(G.summarize(D.evidence(s, d, dealt=True)))
